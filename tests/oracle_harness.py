@@ -33,7 +33,7 @@ def _norm(v):
         return None
     if isinstance(v, float):
         if math.isnan(v):
-            return "NaN"
+            return None  # pandas turns NULL doubles into NaN; compare both as missing
         return float(v)
     if isinstance(v, pd.Timestamp):
         return v.to_pydatetime().replace(tzinfo=None)
