@@ -307,7 +307,8 @@ def q_mode_median(t):
     return A.mode_median(t.lineitem, "l_returnflag", "l_quantity")
 
 
-_CUBE_AGGS = {"n": F.count(F.lit(1)), "total": F.round(F.sum("o_totalprice"), 2)}
+def _cube_aggs():
+    return {"n": F.count(F.lit(1)), "total": F.round(F.sum("o_totalprice"), 2)}
 
 
 @register("cube_rollup", sql="""
@@ -315,7 +316,7 @@ SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2
        CAST(grouping(o_orderstatus, o_orderpriority) AS INTEGER) AS grouping_id
 FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
 def q_cube(t):
-    return A.cube_rollup(t.orders, ["o_orderstatus", "o_orderpriority"], dict(_CUBE_AGGS), "cube")
+    return A.cube_rollup(t.orders, ["o_orderstatus", "o_orderpriority"], _cube_aggs(), "cube")
 
 
 @register("cube_rollup_rollup", sql="""
@@ -323,7 +324,7 @@ SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2
        CAST(grouping(o_orderstatus, o_orderpriority) AS INTEGER) AS grouping_id
 FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""")
 def q_rollup(t):
-    return A.cube_rollup(t.orders, ["o_orderstatus", "o_orderpriority"], dict(_CUBE_AGGS), "rollup")
+    return A.cube_rollup(t.orders, ["o_orderstatus", "o_orderpriority"], _cube_aggs(), "rollup")
 
 
 @register("crosstab", sql="""
@@ -435,3 +436,45 @@ def q_bind_rows(t):
     s = t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"),
                           F.col("s_acctbal").alias("acctbal"))
     return V.bind_rows([c, s], id_col="source", names=["customer", "supplier"])
+
+
+# ------------------------------------------------------------------ 2.3 as-of / range
+@register("join_asof", sql="""
+WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
+v AS (SELECT event_id AS r_event_id, user_id, ts AS r_ts, value AS r_value FROM events WHERE event_type = 'view')
+SELECT p.event_id, p.user_id, p.ts, v.r_ts, v.r_event_id, v.r_value
+FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.r_ts""")
+def q_join_asof(t):
+    """For each purchase, the user's last view at or before it."""
+    e = t.events
+    p = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    v = e.where("event_type = 'view'").select("event_id", "user_id", "ts", "value")
+    return J.join_asof(p, v, "user_id", "ts", ["event_id", "value"])
+
+
+@register("join_range", sql="""
+SELECT p.event_id AS purchase_id, e.event_id
+FROM events e JOIN events p ON p.event_type = 'purchase'
+ AND e.ts >= p.ts AND e.ts < p.ts + INTERVAL 30 MINUTE""")
+def q_join_range(t):
+    """Every event inside the 30 minutes that start at each purchase."""
+    e = t.events
+    iv = e.where("event_type = 'purchase'").select(
+        F.col("event_id").alias("purchase_id"), F.col("ts").alias("lo"),
+        (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("hi"))
+    pts = e.select("event_id", F.col("ts").alias("p_ts"))
+    return J.join_range(pts, iv, "p_ts", "lo", "hi").select("purchase_id", "event_id")
+
+
+@register("join_range_keyed", sql="""
+SELECT p.event_id AS purchase_id, e.event_id
+FROM events e JOIN events p ON p.event_type = 'purchase' AND e.user_id = p.user_id
+ AND e.ts >= p.ts - INTERVAL 1 DAY AND e.ts < p.ts""")
+def q_join_range_keyed(t):
+    """Events of the same user in the day before each purchase."""
+    e = t.events
+    iv = e.where("event_type = 'purchase'").select(
+        F.col("event_id").alias("purchase_id"), "user_id",
+        (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("lo"), F.col("ts").alias("hi"))
+    pts = e.select("event_id", "user_id", F.col("ts").alias("p_ts"))
+    return J.join_range(pts, iv, "p_ts", "lo", "hi", on=["user_id"]).select("purchase_id", "event_id")
