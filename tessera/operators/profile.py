@@ -16,9 +16,8 @@ from pyspark.sql import types as T
 
 from tessera.checks import as_list
 from tessera.operators.ranking import average_ranks, cut_bin, exact_quantiles
-from tessera.session import scratch_dir
-
 MAX_LEVELS = 1_000_000
+RANK_BROADCAST_ROWS = 1_000_000
 
 
 def _long(df: DataFrame, cols, key=None, value_type: str = "double") -> DataFrame:
@@ -112,27 +111,26 @@ def outlier_fence(df: DataFrame, by, col: str, method: str = "tukey", k: float |
     return j.withColumn("is_outlier", (F.col(col) < F.col("lower")) | (F.col(col) > F.col("upper")))
 
 
-def correlations(df: DataFrame, cols, method: str = "pearson", key=None) -> DataFrame:
+def correlations(df: DataFrame, cols, method: str = "pearson") -> DataFrame:
     """Long form (var1, var2, r) for every pair var1 before var2 in ``cols``.
 
-    Spearman = Pearson on mid-ranks; ranks come from the distributed rank
-    recipe per column and are joined back on (column, value), then set wide
-    again per row ``key`` (required for Spearman)."""
+    Spearman = Pearson on mid-ranks. Mid-ranks of all columns come from one
+    run of the distributed rank recipe over (column, value) rows; each
+    column's rank table (one row per distinct value) is then joined to the
+    rows by value: broadcast when its checked size is small (a column with few
+    distinct values), a shuffle join otherwise."""
     cols = as_list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if method == "spearman":
-        key = as_list(key)
-        if not key:
-            # no unique key given: number the rows once and pin the numbering
-            # (and cut lineage) with a reliable checkpoint in the shared folder
-            scratch_dir(df.sparkSession)
-            df = df.select(*cols).withColumn("__rid", F.monotonically_increasing_id()).checkpoint(eager=True)
-            key = ["__rid"]
-        long = _long(df, cols, key)
-        ranks = average_ranks(long, "value", by=["column"]).select("column", "value", "avg_rank")
-        ranked = long.join(ranks, ["column", "value"], "left")
-        wide = ranked.groupBy(*key).pivot("column", cols).agg(F.first("avg_rank"))
-        src = wide
+        ranks = average_ranks(_long(df, cols), "value", by=["column"]).select("column", "value", "avg_rank")
+        sizes = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}
+        src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+        for c in cols:
+            rc = ranks.where(F.col("column") == F.lit(c)).select(
+                F.col("value").alias(c), F.col("avg_rank").alias(f"__r_{c}"))
+            small = sizes.get(c, 0) <= RANK_BROADCAST_ROWS
+            src = src.join(F.broadcast(rc) if small else rc, c, "left")
+        src = src.select(*[F.col(f"__r_{c}").alias(c) for c in cols])
     elif method == "pearson":
         src = df
     else:

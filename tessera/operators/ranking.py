@@ -1,20 +1,23 @@
 """Running sums over a sorted key, exact quantiles and average ranks, all
 without a window that pulls every row into one task.
 
-Recipe (used by quantiles, equal-frequency cuts, ROC, rank tests and
-Spearman correlation):
+Recipe (used by quantiles, equal-frequency cuts, ROC, rank tests, Spearman
+correlation and stratified splits):
 
 1. pre-aggregate to one row per distinct (group, value) with its weights; the
    partial aggregation also flattens a hot value into a single row;
-2. range-partition those rows on (group, value) and sort within partitions;
-3. one pass per partition (``mapInPandas``) adds the running weight inside that
-   partition; the result is checkpointed so positions are pinned and lineage
-   is cut;
-4. per (partition, group) totals, at most partitions x groups rows, become
-   offsets by a window that is partitioned by group (or, with no group, runs
-   over one row per partition);
-5. the offsets are joined back: broadcast when their row count is checked to
-   be small, a shuffle join otherwise.
+2. cut each group's value range into B buckets at approximate quantiles of the
+   distinct values (``percentile_approx``: one small row of bounds per group),
+   so a bucket holds about 1/B of the group's distinct values. The bucket is
+   a deterministic function of the row, so every branch of the plan agrees;
+3. running weight inside (group, bucket) by a window partitioned on both, so
+   each window task sorts about 1/B of a group;
+4. per (group, bucket) totals, at most groups x B rows, become offsets by a
+   window partitioned by group (or, with no group, over the B bucket rows);
+5. the offsets are joined back: broadcast when their row count is known or
+   checked to be small, a shuffle join otherwise.
+
+Everything stays in the JVM (no Python worker, no checkpoint).
 """
 
 from __future__ import annotations
@@ -26,73 +29,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.checks import as_list, require_columns
-from tessera.session import scratch_dir
 
 BROADCAST_ROWS = 2_000_000
+_ORDERABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def _running_in_partition(weights: list[str]):
-    def run(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry = {w: 0 for w in weights}
-        for pdf in batches:
-            for w in weights:
-                cs = pdf[w].cumsum() + carry[w]
-                if len(cs):
-                    carry[w] = cs.iloc[-1]
-                pdf["_run_" + w] = cs
-            pdf["_pid"] = pid
-            yield pdf
-    return run
+def _n_buckets(df: DataFrame, buckets: int | None) -> int:
+    if buckets:
+        return int(buckets)
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def sorted_cumulative(df: DataFrame, order_col: str, weights, by=(), *,
-                      partitions: int | None = None, few_groups: bool = False) -> DataFrame:
+                      buckets: int | None = None, few_groups: bool = False) -> DataFrame:
     """For rows that are already one per distinct (by, order_col), add for every
     weight ``w`` the columns ``w_before`` (sum of ``w`` over rows of the same group
     with a smaller key) and ``w_total`` (group sum).
 
     ``few_groups`` states that the number of groups is small and known (for
-    example three measures); the offsets table is then broadcast unchecked.
+    example three measures); the per-group tables are then broadcast unchecked.
     """
     weights, by = as_list(weights), as_list(by)
     require_columns(df, order_col, *weights, *by)
-    spark = df.sparkSession
-    scratch_dir(spark)
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = by + [order_col]
-    srt = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
-    fields = list(srt.schema.fields)
-    for w in weights:
-        fields.append(T.StructField("_run_" + w, srt.schema[w].dataType))
-    fields.append(T.StructField("_pid", T.LongType()))
-    tagged = srt.mapInPandas(_running_in_partition(weights), T.StructType(fields))
-    tagged = tagged.checkpoint(eager=True)
+    nb = _n_buckets(df, buckets)
+    key = F.col(order_col)
+    if nb > 1 and isinstance(df.schema[order_col].dataType, _ORDERABLE):
+        probs = [i / nb for i in range(1, nb)]
+        acc = max(10_000, 50 * nb)
+        bounds = df.groupBy(*by).agg(F.percentile_approx(key, probs, acc).alias("__bounds"))
+        if not by:
+            d = df.crossJoin(F.broadcast(bounds))  # one row of nb - 1 values
+        else:
+            d = df.join(F.broadcast(bounds) if few_groups else bounds, by)
+        d = d.withColumn("__bkt", F.size(F.filter("__bounds", lambda b: b < key))).drop("__bounds")
+    else:
+        d = df.withColumn("__bkt", F.lit(0))
 
-    aggs = []
-    for w in weights:
-        aggs.append(F.min_by(F.col("_run_" + w) - F.col(w), F.col(order_col)).alias("_start_" + w))
-        aggs.append(F.sum(w).alias("_sum_" + w))
-    stats = tagged.groupBy("_pid", *by).agg(*aggs)
-    w_prev = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*by)
-    cols = ["_pid", *by]
+    run_w = Window.partitionBy(*by, "__bkt").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("*", *[F.sum(w).over(run_w).alias("__run_" + w) for w in weights])
+
+    stats = d.groupBy(*by, "__bkt").agg(*[F.sum(w).alias("__sum_" + w) for w in weights])
+    prev = Window.partitionBy(*by).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    cols = [*by, "__bkt"]
     for w in weights:
-        cols += [
-            F.col("_start_" + w),
-            F.coalesce(F.sum("_sum_" + w).over(w_prev), F.lit(0)).alias("_off_" + w),
-            F.sum("_sum_" + w).over(w_all).alias(w + "_total"),
-        ]
+        cols += [F.coalesce(F.sum("__sum_" + w).over(prev), F.lit(0)).alias("__off_" + w),
+                 F.sum("__sum_" + w).over(whole).alias(w + "_total")]
     stats = stats.select(*cols)
     if by and not few_groups and stats.count() > BROADCAST_ROWS:
-        joined = tagged.join(stats, ["_pid", *by])
+        joined = d.join(stats, [*by, "__bkt"])
     else:
-        joined = tagged.join(F.broadcast(stats), ["_pid", *by])
+        joined = d.join(F.broadcast(stats), [*by, "__bkt"])
     out = [F.col(c) for c in df.columns]
     for w in weights:
-        before = F.col("_off_" + w) + F.col("_run_" + w) - F.col(w) - F.col("_start_" + w)
+        before = F.col("__off_" + w) + F.col("__run_" + w) - F.col(w)
         out += [before.alias(w + "_before"), F.col(w + "_total")]
     return joined.select(*out)
 
@@ -138,17 +128,11 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=(), *, names=None,
     return agg.select(*outs)
 
 
-def average_ranks(df: DataFrame, col: str, by=(), weights=()) -> DataFrame:
-    """Per distinct (by, col): ``_n`` rows, mid-rank ``avg_rank`` (1-based, ties
-    share the mean of their positions), ``_n_total`` rows in the group, plus
-    ``w_before``/``w_total`` running sums for extra weight columns already
-    present per distinct value (pass a pre-aggregated frame for those)."""
-    by, weights = as_list(by), as_list(weights)
-    if weights:
-        hist = df
-    else:
-        hist = value_histogram(df, col, by)
-    cum = sorted_cumulative(hist, col, ["_n", *weights], by)
+def average_ranks(df: DataFrame, col: str, by=()) -> DataFrame:
+    """Per distinct non-NULL (by, col): ``_n`` rows, mid-rank ``avg_rank``
+    (1-based, ties share the mean of their positions) and ``_n_total``."""
+    hist = value_histogram(df, col, by)
+    cum = sorted_cumulative(hist, col, ["_n"], by)
     return cum.withColumn("avg_rank", F.col("_n_before") + (F.col("_n") + 1) / 2.0)
 
 
