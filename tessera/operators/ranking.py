@@ -76,10 +76,12 @@ def sorted_cumulative(df: DataFrame, order_col: str, weights, by=(), *,
         cols += [F.coalesce(F.sum("__sum_" + w).over(prev), F.lit(0)).alias("__off_" + w),
                  F.sum("__sum_" + w).over(whole).alias(w + "_total")]
     stats = stats.select(*cols)
-    if by and not few_groups and stats.count() > BROADCAST_ROWS:
+    if by and not few_groups:
+        # groups x buckets rows, unknown before running: AQE measures the
+        # materialised stage and turns this into a broadcast join when small
         joined = d.join(stats, [*by, "__bkt"])
     else:
-        joined = d.join(F.broadcast(stats), [*by, "__bkt"])
+        joined = d.join(F.broadcast(stats), [*by, "__bkt"])  # at most few groups x buckets rows
     out = [F.col(c) for c in df.columns]
     for w in weights:
         before = F.col("__off_" + w) + F.col("__run_" + w) - F.col(w)
@@ -95,10 +97,11 @@ def value_histogram(df: DataFrame, col: str, by=(), weight: str | None = None) -
 
 
 def exact_quantiles(df: DataFrame, col: str, probs, by=(), *, names=None,
-                    few_groups: bool = False) -> DataFrame:
+                    few_groups: bool = False, count_name: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles (position (n-1)p, the rule of R type 7 and
     of DuckDB ``quantile_cont``) per group; NULLs ignored. One row per group with
-    one double column per probability (named ``names`` or ``q_<p>``)."""
+    one double column per probability (named ``names`` or ``q_<p>``), plus the
+    group's non-NULL count when ``count_name`` is given."""
     by, probs = as_list(by), [float(p) for p in as_list(probs)]
     names = as_list(names) or [f"q_{str(p).replace('.', '_')}" for p in probs]
     hist = value_histogram(df, col, by)
@@ -120,8 +123,10 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=(), *, names=None,
         aggs += [F.max(F.when(covers(lo), F.col(col))).cast("double").alias(f"_lo{i}"),
                  F.max(F.when(covers(hi), F.col(col))).cast("double").alias(f"_hi{i}"),
                  F.max(h - lo).alias(f"_d{i}")]
+    if count_name:
+        aggs.append(F.max(n).alias(count_name))
     agg = picked.groupBy(*by).agg(*aggs)
-    outs = [F.col(b) for b in by]
+    outs = [F.col(b) for b in by] + ([F.col(count_name)] if count_name else [])
     for i, name in enumerate(names):
         lo_v, hi_v, d = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_d{i}")
         outs.append(F.when(d == 0, lo_v).otherwise(lo_v + (hi_v - lo_v) * d).alias(name))

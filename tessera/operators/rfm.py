@@ -127,13 +127,13 @@ def rfm_grid(scored: DataFrame, bins: int = 5) -> DataFrame:
     bins x bins grid present, empty cells with 0 customers and NULL median."""
     require_columns(scored, "r_score", "f_score", "monetary")
     spark = scored.sparkSession
-    counts = scored.groupBy("r_score", "f_score").agg(F.count(F.lit(1)).alias("customers"))
+    # one pass: the median job also yields each cell's customer count
+    # (monetary is never NULL here: it is a rounded sum of order amounts)
     med = exact_quantiles(scored, "monetary", [0.5], by=["r_score", "f_score"],
-                          names=["median_monetary"], few_groups=True)
+                          names=["median_monetary"], few_groups=True, count_name="customers")
     grid = (spark.range(1, bins + 1).select(F.col("id").cast("int").alias("r_score"))
             .crossJoin(spark.range(1, bins + 1).select(F.col("id").cast("int").alias("f_score"))))
-    return (grid.join(counts, ["r_score", "f_score"], "left")
-            .join(med, ["r_score", "f_score"], "left")
+    return (grid.join(F.broadcast(med), ["r_score", "f_score"], "left")
             .select("r_score", "f_score",
                     F.coalesce("customers", F.lit(0)).cast("bigint").alias("customers"),
                     F.round("median_monetary", 6).alias("median_monetary")))

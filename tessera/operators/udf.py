@@ -25,10 +25,19 @@ def row_map(df: DataFrame, col: str, fn, return_type: str = "double", name: str
     return df.withColumn(name or f"{col}_mapped", u(F.col(col)))
 
 
-def group_map(df: DataFrame, by, fn, schema: str) -> DataFrame:
+def group_map(df: DataFrame, by, fn, schema: str, kind: str = "pandas") -> DataFrame:
+    """``kind='pandas'``: fn(pandas.DataFrame) -> pandas.DataFrame
+    (``applyInPandas``). ``kind='arrow'``: fn(pyarrow.Table) -> pyarrow.Table
+    (``applyInArrow``), which skips the per-group pandas conversion; with many
+    small groups it is several times faster."""
     by = as_list(by)
     require_columns(df, *by)
-    return df.groupBy(*by).applyInPandas(fn, schema)
+    g = df.groupBy(*by)
+    if kind == "arrow":
+        return g.applyInArrow(fn, schema)
+    if kind == "pandas":
+        return g.applyInPandas(fn, schema)
+    raise ValueError(f"kind={kind!r}")
 
 
 def group_reduce(df: DataFrame, by, col: str, fn, return_type: str = "double", name: str = "value") -> DataFrame:
@@ -51,6 +60,26 @@ def ols_slope_per_group(x: str, y: str, key: str):
     return fn
 
 
+def ols_slope_per_group_arrow(x: str, y: str, key: str):
+    """The same slope as ``ols_slope_per_group`` on Arrow tables (numpy maths)."""
+    import numpy as np
+    import pyarrow as pa
+
+    def fn(tbl: pa.Table) -> pa.Table:
+        xv = tbl.column(x).to_numpy().astype(float)
+        yv = tbl.column(y).to_numpy().astype(float)
+        n = len(xv)
+        slope = None
+        if n > 1:
+            dx = xv - xv.mean()
+            vx = (dx * dx).mean()
+            if vx > 0:
+                slope = float((dx * (yv - yv.mean())).mean() / vx)
+        return pa.table({key: tbl.column(key).slice(0, 1), "n": pa.array([n], pa.int64()),
+                         "slope": pa.array([slope], pa.float64())})
+    return fn
+
+
 def trimmed_mean(frac: float = 0.1):
     """Mean after dropping floor(n * frac) values from each end."""
     import numpy as np

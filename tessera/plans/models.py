@@ -77,8 +77,8 @@ FROM orders GROUP BY o_custkey""")
 def q_group_map(t):
     o = t.orders.select("o_custkey", "o_totalprice",
                         F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).alias("day"))
-    r = U.group_map(o, "o_custkey", U.ols_slope_per_group("day", "o_totalprice", "o_custkey"),
-                    "o_custkey long, n long, slope double")
+    r = U.group_map(o, "o_custkey", U.ols_slope_per_group_arrow("day", "o_totalprice", "o_custkey"),
+                    "o_custkey long, n long, slope double", kind="arrow")
     return r.withColumn("slope", F.round("slope", 4))
 
 
