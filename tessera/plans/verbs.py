@@ -157,6 +157,9 @@ for _how, _key in (("inner", "l.custkey"), ("left", "l.custkey"), ("right", "r.c
         return q
     register(f"join_mutating_{_how}", sql=_join_sql(_how.upper(), _key))(_mk(_how))
 
+# the inventory key itself: the left join, which keeps unmatched customers
+register("join_mutating", sql=_join_sql("LEFT", "l.custkey"))(_mk("left"))
+
 
 @register("join_filtering_semi", sql="""
 SELECT c_custkey, c_name FROM customer
@@ -166,6 +169,20 @@ def q_join_semi(t):
                             t.orders.where("o_totalprice > 400000"), [("c_custkey", "o_custkey")], "semi")
 
 
+@register("join_filtering", sql="""
+SELECT c_custkey, c_name FROM customer
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)
+UNION ALL
+SELECT c_custkey, c_name FROM customer
+WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)""")
+def q_join_filtering(t):
+    """Semi and anti join stacked: each customer exactly once, in one of the two."""
+    c = t.customer.select("c_custkey", "c_name")
+    big = t.orders.where("o_totalprice > 400000")
+    on = [("c_custkey", "o_custkey")]
+    return J.join_filtering(c, big, on, "anti").unionByName(J.join_filtering(c, big, on, "semi"))
+
+
 @register("join_filtering_anti", sql="""
 SELECT c_custkey, c_name FROM customer
 WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)""")
