@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.checks import as_list, require_columns
+from tessera.operators import hotsplit
 from tessera.operators.verbs import order_cols
 
 RANK_KINDS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile")
@@ -21,8 +22,12 @@ def _w(by, order) -> Window:
     return Window.partitionBy(*as_list(by)).orderBy(*order_cols(order))
 
 
-def rank_family(df: DataFrame, by, order, kinds=RANK_KINDS, ntile: int = 4) -> DataFrame:
-    """Adds one column per rank kind (``ntile`` uses ``ntile`` buckets)."""
+def rank_family(df: DataFrame, by, order, kinds=RANK_KINDS, ntile: int = 4,
+                hot_rows: int = hotsplit.HOT_ROWS) -> DataFrame:
+    """Adds one column per rank kind (``ntile`` uses ``ntile`` buckets). Groups
+    above ``hot_rows`` rows are ranked in pieces (see ``hotsplit``)."""
+    if all(isinstance(o, str) for o in as_list(order)):
+        return hotsplit.ranks(df, by, order, kinds, ntile, hot_rows)
     w = _w(by, order)
     fns = {"row_number": F.row_number(), "rank": F.rank(), "dense_rank": F.dense_rank(),
            "percent_rank": F.percent_rank(), "cume_dist": F.cume_dist(), "ntile": F.ntile(ntile)}
@@ -41,15 +46,18 @@ def lead_lag(df: DataFrame, by, order, col: str, k: int = 1) -> DataFrame:
 def cumulative(df: DataFrame, by, order, col: str, any_flag: Column | None = None,
                all_flag: Column | None = None) -> DataFrame:
     """Running sum, mean, min, max from the first row to the current row, and a
-    running any / all of the given boolean columns."""
-    w = _w(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = [F.sum(col).over(w).alias("cum_sum"), F.avg(col).over(w).alias("cum_mean"),
-            F.min(col).over(w).alias("cum_min"), F.max(col).over(w).alias("cum_max")]
+    running any / all of the given boolean columns. Groups above the hot-row
+    threshold run in pieces with carried prefix aggregates (see ``hotsplit``)."""
+    aggs = {"cum_sum": ("sum", F.col(col)), "__cnt": ("count", F.col(col)),
+            "cum_min": ("min", F.col(col)), "cum_max": ("max", F.col(col))}
     if any_flag is not None:
-        cols.append(F.bool_or(any_flag).over(w).alias("cum_any"))
+        aggs["cum_any"] = ("any", any_flag)
     if all_flag is not None:
-        cols.append(F.bool_and(all_flag).over(w).alias("cum_all"))
-    return df.select("*", *cols)
+        aggs["cum_all"] = ("all", all_flag)
+    r = hotsplit.running(df, by, order, aggs)
+    r = r.withColumn("cum_mean", F.col("cum_sum") / F.col("__cnt")).drop("__cnt")
+    names = ["cum_sum", "cum_mean", "cum_min", "cum_max"] + [k for k in ("cum_any", "cum_all") if k in aggs]
+    return r.select(*df.columns, *names)
 
 
 ROLL_FUNCS = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "median": F.median}
@@ -100,7 +108,17 @@ def rolling_time(df: DataFrame, by, ts: str, col: str, span: str = "1 HOUR",
 def locf_fill(df: DataFrame, by, order, col: str, direction: str = "forward",
               max_gap: int | None = None, name: str | None = None) -> DataFrame:
     """Carry the last (``forward``) or next (``backward``) non-NULL value over
-    NULLs; with ``max_gap``, only across runs of at most that many rows."""
+    NULLs; with ``max_gap``, only across runs of at most that many rows.
+    Hot groups run in pieces (see ``hotsplit``); the backward fill is the
+    forward fill under the reversed order."""
+    if all(isinstance(o, str) for o in as_list(order)):
+        if direction == "forward":
+            ordr = as_list(order)
+        elif direction == "backward":
+            ordr = [o[1:] if o.startswith("-") else "-" + o for o in as_list(order)]
+        else:
+            raise ValueError(f"direction={direction!r}")
+        return hotsplit.fill_forward(df, by, ordr, col, name or f"{col}_filled", max_gap)
     w = _w(by, order)
     rn = F.row_number().over(w)
     d = df.withColumn("__rn", rn).withColumn(
