@@ -1,9 +1,11 @@
 """Survival analysis: Kaplan-Meier curves, the log-rank test, Weibull AFT
 (Spark ML) and the Cox model with Breslow ties.
 
-The time-ordered work runs on tables already grouped to one row per distinct
-(group, time): their size is the number of distinct times, not the number of
-subjects, so the time-ordered windows stay small.
+The time-ordered work runs on tables grouped to one row per distinct (group,
+time), and its running sums (subjects at risk, cumulative log survival,
+risk-set sums) use the distributed running-sum recipe of ``ranking``, so even
+continuous durations with as many distinct times as subjects never meet in
+one task.
 """
 
 from __future__ import annotations
@@ -11,10 +13,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.checks import as_list, require_columns
+from tessera.operators.ranking import sorted_cumulative
 
 
 def km_curve(df: DataFrame, duration: str, event: str, by=()) -> DataFrame:
@@ -24,13 +27,18 @@ def km_curve(df: DataFrame, duration: str, event: str, by=()) -> DataFrame:
     require_columns(df, duration, event, *by)
     g = df.where(F.col(duration).isNotNull()).groupBy(*by, duration).agg(
         F.sum(F.col(event).cast("long")).alias("n_event"), F.count(F.lit(1)).alias("__rows"))
-    rev = Window.partitionBy(*by).orderBy(F.col(duration).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    fwd = Window.partitionBy(*by).orderBy(F.col(duration).asc()).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("n_risk", F.sum("__rows").over(rev))
-    term = F.when(F.col("n_event") < F.col("n_risk"), F.log(1 - F.col("n_event") / F.col("n_risk"))).otherwise(0.0)
-    dead = F.max(F.when(F.col("n_event") == F.col("n_risk"), 1).otherwise(0)).over(fwd)
-    surv = F.when(dead == 1, F.lit(0.0)).otherwise(F.exp(F.sum(term).over(fwd)))
-    return g.select(*by, F.col(duration).alias("time"), "n_risk", "n_event",
+    # at risk at t = subjects with duration >= t = group total - those before t
+    c = sorted_cumulative(g, duration, ["__rows"], by)
+    c = c.withColumn("n_risk", F.col("__rows_total") - F.col("__rows_before"))
+    c = c.select(*by, duration, "n_event", "__rows", "n_risk",
+                 F.when(F.col("n_event") < F.col("n_risk"), F.log(1 - F.col("n_event") / F.col("n_risk")))
+                 .otherwise(0.0).alias("__term"),
+                 F.when(F.col("n_event") == F.col("n_risk"), 1).otherwise(0).alias("__dead"))
+    # product-limit = exp(running sum of log terms), 0 once everyone at risk failed
+    c = sorted_cumulative(c, duration, ["__term", "__dead"], by)
+    dead = (F.col("__dead_before") + F.col("__dead")) > 0
+    surv = F.when(dead, F.lit(0.0)).otherwise(F.exp(F.col("__term_before") + F.col("__term")))
+    return c.select(*by, F.col(duration).alias("time"), "n_risk", "n_event",
                     (F.col("__rows") - F.col("n_event")).alias("n_censor"), surv.alias("survival"))
 
 
@@ -43,8 +51,9 @@ def logrank_test(df: DataFrame, duration: str, event: str, group: str, a, b) ->
         F.count(F.lit(1)).alias("__rows"), F.count_if(ga).alias("__rows_a"),
         F.sum(F.col(event).cast("long")).alias("__d"),
         F.sum(F.when(ga, F.col(event).cast("long")).otherwise(0)).alias("__da"))
-    rev = Window.orderBy(F.col(duration).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("__n", F.sum("__rows").over(rev)).withColumn("__na", F.sum("__rows_a").over(rev))
+    g = sorted_cumulative(g, duration, ["__rows", "__rows_a"])
+    g = g.withColumn("__n", F.col("__rows_total") - F.col("__rows_before")) \
+        .withColumn("__na", F.col("__rows_a_total") - F.col("__rows_a_before"))
     n, na, dd = F.col("__n"), F.col("__na"), F.col("__d")
     e = dd * na / n
     v = F.when(n > 1, dd * (na / n) * (1 - na / n) * (n - dd) / (n - 1)).otherwise(0.0)
@@ -102,10 +111,10 @@ def cox_fit(df: DataFrame, duration: str, event: str, xs, max_iter: int = 25, to
         aggs += [F.sum(r * F.col(f"__x{i}") * F.col(f"__x{j}")).alias(f"s2_{i}_{j}")
                  for i in range(k) for j in range(i, k)]
         per_t = d.groupBy("__t").agg(*aggs)
-        rev = Window.orderBy(F.col("__t").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        cum = [F.sum("s0").over(rev).alias("S0")]
-        cum += [F.sum(f"s1_{i}").over(rev).alias(f"S1_{i}") for i in range(k)]
-        cum += [F.sum(f"s2_{i}_{j}").over(rev).alias(f"S2_{i}_{j}") for i in range(k) for j in range(i, k)]
+        # risk-set sums at t (durations >= t) = totals - sums over earlier times
+        sums = ["s0"] + [f"s1_{i}" for i in range(k)] + [f"s2_{i}_{j}" for i in range(k) for j in range(i, k)]
+        per_t = sorted_cumulative(per_t, "__t", sums)
+        cum = [(F.col(s + "_total") - F.col(s + "_before")).alias("S" + s[1:]) for s in sums]
         rs = per_t.select("d", "eta_ev", *[f"xe_{i}" for i in range(k)], *cum).where("d > 0")
         tot = [F.sum("eta_ev").alias("eta_ev"), F.sum(F.col("d") * F.log("S0")).alias("dlogS0")]
         tot += [F.sum(F.col(f"xe_{i}") - F.col("d") * F.col(f"S1_{i}") / F.col("S0")).alias(f"u_{i}") for i in range(k)]
