@@ -131,6 +131,56 @@ def ranks(df: DataFrame, by, order, kinds, ntile: int = 4, hot_rows: int = HOT_R
     return j.select(*keep, *[cols[k].alias(k) for k in kinds])
 
 
+def with_halo(df: DataFrame, by, order, before: int, after: int, cols_fn, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Row-frame windows (lag, lead, k-row rolling) with hot groups split.
+
+    Each piece is extended with a halo: the ``before`` rows that precede it
+    and the ``after`` rows that follow it in its group, taken from the tails
+    and heads of neighbouring pieces (at most before/after rows per piece, so
+    the carried arrays are bounded). ``cols_fn(w)`` returns the new columns
+    for a Window ``w`` over (group, piece) in the requested order; halo rows
+    only serve as context and are dropped from the output."""
+    by = as_list(by)
+    d = split_groups(df, by, order, hot_rows)
+    spec = order_spec(order)
+    wp = Window.partitionBy(*by, "__piece")
+    d = d.withColumn("__rn", F.row_number().over(wp.orderBy(*spec))) \
+        .withColumn("__pcnt", F.count(F.lit(1)).over(wp))
+    row = F.struct(*[F.col(c) for c in df.columns])
+    parts = [d.select(*df.columns, "__piece", F.lit(0).alias("__halo"))]
+    pieces = d.groupBy(*by, "__piece").agg(
+        F.sort_array(F.collect_list(F.when(F.col("__rn") > F.col("__pcnt") - before,
+                                           F.struct(F.col("__rn").alias("k"), row.alias("r"))))).alias("__tail"),
+        F.sort_array(F.collect_list(F.when(F.col("__rn") <= after,
+                                           F.struct(F.col("__rn").alias("k"), row.alias("r"))))).alias("__head"))
+    over = Window.partitionBy(*by).orderBy("__piece")
+    if before > 0:
+        prev = over.rowsBetween(Window.unboundedPreceding, -1)
+        # previous pieces' tails in piece order, flattened; keep the last `before`
+        seq = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("__piece").alias("p"),
+                                                                         F.col("__tail").alias("t"))).over(prev)),
+                                    lambda s: s["t"]))
+        h = pieces.select(*by, "__piece", seq.alias("__seq")).where(F.size("__seq") > 0)
+        start = F.greatest(F.size("__seq") - before + 1, F.lit(1))
+        h = h.select(*by, "__piece", F.explode(F.slice("__seq", start, F.lit(before))).alias("__x"))
+        parts.append(h.select(*[F.col("__x.r." + c).alias(c) for c in df.columns], "__piece",
+                              F.lit(1).alias("__halo")))
+    if after > 0:
+        nxt = over.rowsBetween(1, Window.unboundedFollowing)
+        seq = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col("__piece").alias("p"),
+                                                                         F.col("__head").alias("t"))).over(nxt)),
+                                    lambda s: s["t"]))
+        h = pieces.select(*by, "__piece", seq.alias("__seq")).where(F.size("__seq") > 0)
+        h = h.select(*by, "__piece", F.explode(F.slice("__seq", F.lit(1), F.lit(after))).alias("__x"))
+        parts.append(h.select(*[F.col("__x.r." + c).alias(c) for c in df.columns], "__piece",
+                              F.lit(1).alias("__halo")))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    w = Window.partitionBy(*by, "__piece").orderBy(*spec)
+    return u.select(*df.columns, "__halo", *cols_fn(w)).where("__halo = 0").drop("__halo")
+
+
 def fill_forward(df: DataFrame, by, order, col: str, name: str, max_gap: int | None = None,
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Last non-NULL value at or before each row (optionally only within

@@ -35,12 +35,16 @@ def rank_family(df: DataFrame, by, order, kinds=RANK_KINDS, ntile: int = 4,
 
 
 def lead_lag(df: DataFrame, by, order, col: str, k: int = 1) -> DataFrame:
-    """Value k rows back and ahead, difference and growth against k rows back."""
-    w = _w(by, order)
-    lag = F.lag(col, k).over(w)
-    return df.select("*", lag.alias(f"{col}_lag"), F.lead(col, k).over(w).alias(f"{col}_lead"),
-                     (F.col(col) - lag).alias(f"{col}_diff"),
-                     F.try_divide(F.col(col) - lag, lag).alias(f"{col}_growth"))
+    """Value k rows back and ahead, difference and growth against k rows back.
+    Hot groups run in pieces with a k-row halo (see ``hotsplit``)."""
+    def cols(w):
+        lag = F.lag(col, k).over(w)
+        return [lag.alias(f"{col}_lag"), F.lead(col, k).over(w).alias(f"{col}_lead"),
+                (F.col(col) - lag).alias(f"{col}_diff"), F.try_divide(F.col(col) - lag, lag).alias(f"{col}_growth")]
+
+    if all(isinstance(o, str) for o in as_list(order)):
+        return hotsplit.with_halo(df, by, order, k, k, cols)
+    return df.select("*", *cols(_w(by, order)))
 
 
 def cumulative(df: DataFrame, by, order, col: str, any_flag: Column | None = None,
@@ -76,19 +80,25 @@ def rolling_rows(df: DataFrame, by, order, col: str, k: int, fn: str = "mean",
         lo, hi = -(k // 2), k // 2
     else:
         raise ValueError(f"align={align!r}")
-    w = _w(by, order).rowsBetween(lo, hi)
-    if fn == "median":
-        # Spark refuses a frame on median(); the frame holds k rows, so sorting
-        # its values is bounded work per row.
-        a = F.array_sort(F.collect_list(col).over(w))
-        n = F.size(a)
-        mid = F.element_at(a, (n / 2 + 0.5).cast("int"))
-        val = F.when(n == 0, F.lit(None)).when(n % 2 == 1, mid).otherwise(
-            (F.element_at(a, (n / 2).cast("int")) + F.element_at(a, (n / 2 + 1).cast("int"))) / 2)
-    else:
-        val = ROLL_FUNCS[fn](col).over(w)
-    full = F.count(F.lit(1)).over(w) == k
-    return df.withColumn(name or f"{col}_roll_{fn}", F.when(full, val))
+
+    def cols(wbase):
+        w = wbase.rowsBetween(lo, hi)
+        if fn == "median":
+            # Spark refuses a frame on median(); the frame holds k rows, so
+            # sorting its values is bounded work per row.
+            a = F.array_sort(F.collect_list(col).over(w))
+            n = F.size(a)
+            mid = F.element_at(a, (n / 2 + 0.5).cast("int"))
+            val = F.when(n == 0, F.lit(None)).when(n % 2 == 1, mid).otherwise(
+                (F.element_at(a, (n / 2).cast("int")) + F.element_at(a, (n / 2 + 1).cast("int"))) / 2)
+        else:
+            val = ROLL_FUNCS[fn](col).over(w)
+        full = F.count(F.lit(1)).over(w) == k
+        return [F.when(full, val).alias(name or f"{col}_roll_{fn}")]
+
+    if all(isinstance(o, str) for o in as_list(order)):
+        return hotsplit.with_halo(df, by, order, -lo, hi, cols)
+    return df.select("*", *cols(_w(by, order)))
 
 
 def rolling_time(df: DataFrame, by, ts: str, col: str, span: str = "1 HOUR",
@@ -144,8 +154,18 @@ def interpolate_linear(df: DataFrame, by, ts: str, col: str, order_tiebreak: str
     """NULLs between two known points are filled on the straight line through
     them in time; leading and trailing NULLs stay NULL."""
     order = [ts] + ([order_tiebreak] if order_tiebreak else [])
-    w = _w(by, order)
     t = _epoch_micros(F.col(ts))
+    if all(isinstance(o, str) for o in order):
+        # previous and next known (value, time) by two hot-group-safe fills
+        known = F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("v"), t.alias("t")))
+        d = df.withColumn("__known", known)
+        d = hotsplit.fill_forward(d, by, order, "__known", "__prev")
+        d = hotsplit.fill_forward(d, by, ["-" + o for o in order], "__known", "__next")
+        v0, t0, v1, t1 = (F.col("__prev.v"), F.col("__prev.t"), F.col("__next.v"), F.col("__next.t"))
+        interp = F.when(F.col(col).isNotNull(), F.col(col)).when(
+            t1 == t0, v0).otherwise(v0 + (v1 - v0) * (t - t0) / (t1 - t0))
+        return d.withColumn(name or f"{col}_interp", interp).drop("__known", "__prev", "__next")
+    w = _w(by, order)
     d = df.withColumn("__t", t).withColumn("__kt", F.when(F.col(col).isNotNull(), F.col("__t")))
     back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fwd = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)

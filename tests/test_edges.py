@@ -121,3 +121,13 @@ def test_join_asof_ties_and_missing(spark):
     from tessera.operators.joins import join_asof
     j = join_asof(left, right, "k", "ts", ["v"], bucket_seconds=4).toPandas().set_index("id")
     assert j.loc[1, "r_v"] == "b" and j.loc[2, "r_v"] == "a" and pd.isna(j.loc[3, "r_v"])
+
+
+def test_nest_splits_big_groups(spark):
+    from tessera.operators import reshape as RS
+    df = spark.createDataFrame([(1 if i < 25 else 2, i) for i in range(30)], "g int, v int")
+    n = RS.nest(df, "g", "items", max_items=10).toPandas()
+    assert n[n["g"] == 1]["items"].map(len).max() <= 20  # hash split into 3 parts
+    assert sorted(n[n["g"] == 1]["items_part"]) == sorted(set(n[n["g"] == 1]["items_part"]))
+    back = RS.unnest(RS.nest(df, "g", "items", max_items=10), "items").toPandas()
+    assert sorted(back["v"]) == list(range(30))
