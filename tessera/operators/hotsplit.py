@@ -181,6 +181,31 @@ def with_halo(df: DataFrame, by, order, before: int, after: int, cols_fn, hot_ro
     return u.select(*df.columns, "__halo", *cols_fn(w)).where("__halo = 0").drop("__halo")
 
 
+def with_time_halo(df: DataFrame, by, ts: str, span_seconds: int, cols_fn, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Time-range windows (a frame reaching ``span_seconds`` back) with hot
+    groups split into pieces along ``ts``. A row is copied, as context only,
+    into each later piece of its group that starts less than the span after
+    it; ``cols_fn(partition_cols)`` returns the new columns, given the
+    partition columns to use in the window. Copies per row are bounded by the
+    number of pieces; they are dropped from the output."""
+    by = as_list(by)
+    d = split_groups(df, by, [ts], hot_rows)
+    secs = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            F.col(ts).cast("timestamp_ntz"))
+    starts = d.where(F.col("__piece") > 0).groupBy(*by, "__piece").agg(F.min(secs).alias("__s")) \
+        .groupBy(*by).agg(F.collect_list(F.struct(F.col("__piece").alias("p"), F.col("__s").alias("s")))
+                          .alias("__starts"))
+    # only split (hot) groups appear: at most rows / hot_rows groups x PIECES entries
+    j = d.join(F.broadcast(starts), by, "left") if by else _cross_left(d, starts)
+    j = j.withColumn("__starts", F.coalesce("__starts", F.array().cast(starts.schema["__starts"].dataType)))
+    me = secs
+    targets = F.filter("__starts", lambda x: (x["p"] > F.col("__piece")) & (x["s"] - span_seconds <= me))
+    halo = j.select(*df.columns, F.explode(targets).alias("__t")).select(
+        *df.columns, F.col("__t.p").alias("__piece"), F.lit(1).alias("__halo"))
+    u = d.select(*df.columns, "__piece", F.lit(0).alias("__halo")).unionByName(halo)
+    return u.select(*df.columns, "__halo", *cols_fn([*by, "__piece"])).where("__halo = 0").drop("__halo")
+
+
 def fill_forward(df: DataFrame, by, order, col: str, name: str, max_gap: int | None = None,
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Last non-NULL value at or before each row (optionally only within

@@ -107,12 +107,19 @@ def rolling_time(df: DataFrame, by, ts: str, col: str, span: str = "1 HOUR",
     group whose time lies within ``span`` before the current row, peers included."""
     by = as_list(by)
     require_columns(df, ts, col, *by)
-    part = ", ".join(f"`{b}`" for b in by)
-    frame = (f"OVER (PARTITION BY {part} ORDER BY `{ts}` "
-             f"RANGE BETWEEN INTERVAL {span} PRECEDING AND CURRENT ROW)")
     sql = {"sum": f"sum(`{col}`)", "count": f"count(`{col}`)", "mean": f"avg(`{col}`)",
            "max": f"max(`{col}`)", "min": f"min(`{col}`)"}
-    return df.select("*", *[F.expr(f"{sql[f]} {frame}").alias(prefix + f) for f in as_list(fns)])
+
+    def cols(part_cols):
+        part = ", ".join(f"`{b}`" for b in part_cols)
+        frame = (f"OVER ({'PARTITION BY ' + part if part else ''} ORDER BY `{ts}` "
+                 f"RANGE BETWEEN INTERVAL {span} PRECEDING AND CURRENT ROW)")
+        return [F.expr(f"{sql[f]} {frame}").alias(prefix + f) for f in as_list(fns)]
+
+    n, unit = span.split()
+    secs = int(n) * {"SECOND": 1, "MINUTE": 60, "HOUR": 3600, "DAY": 86400}[unit.upper().rstrip("S")]
+    # hot groups run in time pieces, each with the rows of the span before it
+    return hotsplit.with_time_halo(df, by, ts, secs, cols)
 
 
 def locf_fill(df: DataFrame, by, order, col: str, direction: str = "forward",

@@ -78,6 +78,22 @@ def test_global_window_split(spark, small_dir):
     assert pd.Series(got["row_number"]).is_unique
 
 
+def test_time_halo_matches_plain_window(spark, small_dir):
+    e = spark.read.parquet(f"{small_dir}/events.parquet").select("event_id", "user_id", "ts", "value")
+
+    def cols(part):
+        p = ", ".join(part)
+        return [F.expr(f"sum(value) OVER (PARTITION BY {p} ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS "
+                       f"PRECEDING AND CURRENT ROW)").alias("s"),
+                F.expr(f"count(value) OVER (PARTITION BY {p} ORDER BY ts RANGE BETWEEN INTERVAL 6 HOURS "
+                       f"PRECEDING AND CURRENT ROW)").alias("n")]
+
+    got = H.with_time_halo(e, "user_id", "ts", 6 * 3600, cols, hot_rows=3).toPandas().set_index("event_id").sort_index()
+    want = e.select("*", *cols(["user_id"])).toPandas().set_index("event_id").sort_index()
+    assert len(got) == len(want)
+    assert ((got["s"] - want["s"]).abs() < 1e-9).all() and (got["n"] == want["n"]).all()
+
+
 def test_halo_windows_match_plain_window(spark, small_dir):
     e = spark.read.parquet(f"{small_dir}/events.parquet").select("event_id", "user_id", "ts", "value")
     order = ["ts", "event_id"]
