@@ -16,6 +16,10 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: st
     fields and the raw line in ``_corrupt_record`` (PERMISSIVE mode). The text
     tokens "" and "NA" read as NULL. For cp1252 files Spark needs
     ``spark.sql.legacy.javaCharsets=true``; ISO-8859-1 differs in 0x80-0x9F."""
+    if encoding.lower().replace("_", "-") in ("cp1252", "windows-1252"):
+        # Spark only accepts this Java charset name with the legacy flag on
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        encoding = "windows-1252"
     fields = list(schema.fields)
     if keep_corrupt and CORRUPT not in schema.fieldNames():
         fields.append(T.StructField(CORRUPT, T.StringType(), True))

@@ -95,6 +95,16 @@ def test_italian_latin1_text(spark):
     assert r["_corrupt_record"] is None
 
 
+def test_cp1252_text(spark):
+    d = tempfile.mkdtemp(prefix="tessera-1252-")
+    path = os.path.join(d, "eur.csv")
+    with open(path, "wb") as f:
+        f.write("c;v\nprezzo €;2\n“virgolette”;3\n".encode("cp1252"))
+    schema = T.StructType([T.StructField("c", T.StringType()), T.StructField("v", T.IntegerType())])
+    rows = TX.read_delimited(spark, path, schema, sep=";", encoding="cp1252").toPandas().sort_values("v")
+    assert list(rows["c"]) == ["prezzo €", "“virgolette”"]
+
+
 def test_bad_row_kept_as_corrupt(spark):
     d = tempfile.mkdtemp(prefix="tessera-bad-")
     path = os.path.join(d, "x.csv")
