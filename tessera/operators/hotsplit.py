@@ -11,6 +11,11 @@ per-piece aggregate carried forward by a window over the pieces of the group
 The piece of a row is a deterministic function of the row and two small
 broadcast tables (the hot groups and their cut points), so recomputation
 after a lost executor gives the same pieces.
+
+Cost: finding hot groups reads the input twice more (row counts per group,
+then cut points for the hot groups only). When the input is an expensive
+plan, write it (or pass ``hot_rows=None`` where no key can be hot, which
+gives the plain one-window-per-group plan).
 """
 
 from __future__ import annotations
@@ -44,6 +49,9 @@ def split_groups(df: DataFrame, by, order, hot_rows: int = HOT_ROWS, pieces: int
     increase along the window order)."""
     by = as_list(by)
     col, desc = _first_order(order)
+    if hot_rows is None:
+        # splitting disabled: one piece per group, no extra passes over the input
+        return df.withColumn("__piece", F.lit(0))
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__cnt"))
     hot = counts.where(F.col("__cnt") > hot_rows).select(*by)  # at most rows / hot_rows groups
     probs = [i / pieces for i in range(1, pieces)]
