@@ -105,6 +105,21 @@ def weighted_stats(df: DataFrame, by, x: str, w: str, probs=(0.5,), names=None)
     return mom.join(wq, by, "left") if by else mom.crossJoin(wq)
 
 
+def trimmed_mean(df: DataFrame, by, col: str, frac: float = 0.1) -> DataFrame:
+    """Mean after dropping floor(n * frac) values from each end of each group,
+    exact and distributed: positions come from the running-count recipe over
+    distinct values, and each value contributes the part of its run of equal
+    values that lies inside the kept positions."""
+    by = as_list(by)
+    hist = value_histogram(df, col, by)
+    cum = sorted_cumulative(hist, col, ["_n"], by)
+    n, before, cnt = F.col("_n_total"), F.col("_n_before"), F.col("_n")
+    k = F.floor(n * F.lit(float(frac)))
+    kept = F.greatest(F.lit(0), F.least(before + cnt, n - k) - F.greatest(before, k))
+    s = cum.groupBy(*by).agg(F.sum(F.col(col) * kept).alias("__s"), F.sum(kept).alias("__k"))
+    return s.select(*by, F.try_divide(F.col("__s"), F.col("__k")).alias("trimmed_mean"))
+
+
 def moments_by(df: DataFrame, by, col: str) -> DataFrame:
     """n, mean, sample sd, population skewness, population excess kurtosis."""
     by = as_list(by)

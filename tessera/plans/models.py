@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.operators import aggregate as A
 from tessera.operators import models as MD
 from tessera.operators import stats as ST
 from tessera.operators import udf as U
@@ -77,17 +78,37 @@ FROM orders GROUP BY o_custkey""")
 def q_group_map(t):
     o = t.orders.select("o_custkey", "o_totalprice",
                         F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).alias("day"))
-    r = U.group_map(o, "o_custkey", U.ols_slope_per_group_arrow("day", "o_totalprice", "o_custkey"),
-                    "o_custkey long, n long, slope double", kind="arrow")
+    # split-apply-combine in two levels: partial sums per (customer, piece),
+    # then the slope per customer from at most 64 partial rows
+    r = U.group_map(o, "o_custkey",
+                    U.ols_moments_arrow("day", "o_totalprice", "o_custkey", shift_x=10957.0, shift_y=250000.0),
+                    "o_custkey long, " + U.MOMENT_SCHEMA, kind="arrow",
+                    combine=U.ols_slope_combine_arrow("o_custkey"),
+                    combine_schema="o_custkey long, n long, slope double")
     return r.withColumn("slope", F.round("slope", 4))
 
 
 @register("group_reduce", sql="""
+SELECT o_orderpriority, round(exp(avg(ln(o_totalprice))), 4) AS geo_mean FROM orders GROUP BY 1""")
+def q_group_reduce(t):
+    """Geometric mean per priority: a user aggregate (sum of logs, pandas UDF)
+    reduced in two levels so no worker holds a whole priority group."""
+    o = t.orders
+    r = U.group_reduce(o, "o_orderpriority", "o_totalprice", U.sum_of_logs, "double", "log_sum",
+                       combine=U.plain_sum, pieces=64)
+    n = o.groupBy("o_orderpriority").agg(F.count("o_totalprice").alias("__n"))
+    return r.join(n, "o_orderpriority").select(
+        "o_orderpriority", F.round(F.exp(F.col("log_sum") / F.col("__n")), 4).alias("geo_mean"))
+
+
+@register("trimmed_mean", sql="""
 WITH r AS (SELECT o_orderpriority, o_totalprice,
                   row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS rn,
                   count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
 SELECT o_orderpriority, round(avg(o_totalprice), 4) AS trimmed_mean FROM r
 WHERE rn > floor(n * 0.1) AND rn <= n - floor(n * 0.1) GROUP BY 1""")
-def q_group_reduce(t):
-    r = U.group_reduce(t.orders, "o_orderpriority", "o_totalprice", U.trimmed_mean(0.1), "double", "trimmed_mean")
+def q_trimmed_mean(t):
+    """10% trimmed mean per priority, exact and distributed (the non-decomposable
+    aggregate done with the running-count recipe instead of a per-group UDF)."""
+    r = A.trimmed_mean(t.orders, "o_orderpriority", "o_totalprice", 0.1)
     return r.withColumn("trimmed_mean", F.round("trimmed_mean", 4))
