@@ -91,12 +91,11 @@ def _breaks_one(pdf, order, y, max_breaks, min_size, key_cols):
         cost[0, j] = seg(0, j)
     for m in range(1, max_breaks + 1):
         for j in range((m + 1) * min_size, n + 1):
-            best, arg = inf, 0
-            for i in range(m * min_size, j - min_size + 1):
-                c = cost[m - 1, i] + seg(i, j)
-                if c < best:
-                    best, arg = c, i
-            cost[m, j], back[m, j] = best, arg
+            i = np.arange(m * min_size, j - min_size + 1)
+            s, s2 = c1[j] - c1[i], c2[j] - c2[i]
+            c = cost[m - 1, i] + (s2 - s * s / (j - i))
+            k = int(np.argmin(c))  # first minimum, as a left-to-right scan would keep
+            cost[m, j], back[m, j] = c[k], i[k]
     rows = []
     for m in range(0, max_breaks + 1):
         if not np.isfinite(cost[m, n]):
