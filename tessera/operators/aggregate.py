@@ -88,12 +88,11 @@ def weighted_stats(df: DataFrame, by, x: str, w: str, probs=(0.5,), names=None)
     by, probs = as_list(by), as_list(probs)
     names = as_list(names) or [f"wq{int(round(p * 100)):02d}" for p in probs]
     d = df.where(F.col(x).isNotNull() & F.col(w).isNotNull())
-    mom = d.groupBy(*by).agg(
-        (F.sum(F.col(x) * F.col(w)) / F.sum(w)).alias("wmean"),
-        F.sum(w).alias("wsum"),
-        F.sum(F.col(x) * F.col(x) * F.col(w)).alias("__sxx"))
-    mom = mom.select(*by, "wmean", "wsum",
-                     (F.col("__sxx") / F.col("wsum") - F.col("wmean") * F.col("wmean")).alias("wvar"))
+    mom = d.groupBy(*by).agg((F.sum(F.col(x) * F.col(w)) / F.sum(w)).alias("wmean"), F.sum(w).alias("wsum"))
+    # second pass around the weighted mean: no cancellation of large squares
+    dev = (d.join(mom, by) if by else d.crossJoin(F.broadcast(mom))).groupBy(*by).agg(
+        (F.sum(F.col(w) * (F.col(x) - F.col("wmean")) ** 2) / F.first("wsum")).alias("wvar"))
+    mom = mom.join(dev, by) if by else mom.crossJoin(dev)
     hist = value_histogram(d, x, by, weight=w)
     cum = sorted_cumulative(hist, x, ["_n"], by)
     incl = F.col("_n_before") + F.col("_n")

@@ -37,7 +37,9 @@ def group_map(df: DataFrame, by, fn, schema: str, kind: str = "pandas", combine=
     With ``combine``: split-apply-combine in two levels. ``fn`` runs on
     sub-groups (the group's rows spread over ``pieces`` by a hash of the row)
     and returns partial rows (``schema``); ``combine`` runs per group on its at
-    most ``pieces`` x (partial rows) rows and returns ``combine_schema``. Only
+    most ``pieces`` x (partial rows) rows and returns ``combine_schema``; with
+    no ``combine_schema``, ``combine`` is a DataFrame -> DataFrame function
+    over all partial rows (a Spark aggregation, no second Python pass). Only
     groups above ``hot_rows`` rows are spread; no worker then holds a whole
     hot group."""
     by = as_list(by)
@@ -54,6 +56,9 @@ def group_map(df: DataFrame, by, fn, schema: str, kind: str = "pandas", combine=
         return apply(df.groupBy(*by), fn, schema)
     d = _with_pieces(df, by, pieces, hot_rows)
     partial = apply(d.groupBy(*by, "__piece"), lambda t: fn(_drop_piece(t)), schema)
+    if combine_schema is None:
+        # a DataFrame -> DataFrame combine: plain Spark aggregation of partials
+        return combine(partial)
     return apply(partial.groupBy(*by), combine, combine_schema)
 
 
@@ -180,6 +185,18 @@ def ols_slope_combine_arrow(key: str):
     return fn
 
 
+def ols_slope_combine_spark(key: str):
+    """DataFrame combine over the partial sums: count and slope, in Spark."""
+    def fn(partial: DataFrame) -> DataFrame:
+        s = partial.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")])
+        n = F.col("n")
+        vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
+        ok = (n > 1) & (vx > F.lit(1e-9) * F.greatest(F.lit(1.0), F.col("sxx")))
+        slope = F.when(ok, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / vx)
+        return s.select(key, n.cast("bigint").alias("n"), slope.alias("slope"))
+    return fn
+
+
 def trimmed_mean(frac: float = 0.1):
     """Mean after dropping floor(n * frac) values from each end."""
     import numpy as np

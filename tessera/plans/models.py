@@ -83,8 +83,7 @@ def q_group_map(t):
     r = U.group_map(o, "o_custkey",
                     U.ols_moments_arrow("day", "o_totalprice", "o_custkey", shift_x=10957.0, shift_y=250000.0),
                     "o_custkey long, " + U.MOMENT_SCHEMA, kind="arrow",
-                    combine=U.ols_slope_combine_arrow("o_custkey"),
-                    combine_schema="o_custkey long, n long, slope double")
+                    combine=U.ols_slope_combine_spark("o_custkey"))
     return r.withColumn("slope", F.round("slope", 4))
 
 
