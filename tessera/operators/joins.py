@@ -35,8 +35,6 @@ def join_mutating(left: DataFrame, right: DataFrame, on, how: str = "inner",
     require_columns(left, *[a for a, _ in pairs])
     require_columns(right, *[b for _, b in pairs])
     same_keys = {a for a, b in pairs if a == b}
-    lk = {a for a, _ in pairs}
-    rk = {b for _, b in pairs}
     clash = (set(left.columns) & set(right.columns)) - same_keys
     lsel = [F.col(c).alias(c + suffix[0] if c in clash else c) for c in left.columns]
     rsel = [F.col(c).alias(("__r_" + c) if c in same_keys else (c + suffix[1] if c in clash else c))
@@ -66,7 +64,6 @@ def join_mutating(left: DataFrame, right: DataFrame, on, how: str = "inner",
         if c in same_keys:
             continue
         cols.append(F.col(rname(c)))
-    del lk, rk
     return j.select(*cols)
 
 
