@@ -283,6 +283,12 @@ def q_quantiles_by(t):
     return q.select("o_orderpriority", *[F.round(c, 6).alias(c) for c in ("q10", "q25", "q50", "q75", "q90")])
 
 
+@register("quantiles_by_approx")
+def q_quantiles_by_approx(t):
+    """percentile_approx quantiles per priority (asked for explicitly; rows-only check)."""
+    return A.quantiles_by(t.orders, "o_orderpriority", "o_totalprice", [0.1, 0.25, 0.5, 0.75, 0.9], approx=True)
+
+
 @register("weighted_stats", sql="""
 WITH m AS (SELECT l_returnflag, sum(l_extendedprice * l_quantity) / sum(l_quantity) AS wmean,
                   sum(l_quantity) AS wsum FROM lineitem GROUP BY l_returnflag),
