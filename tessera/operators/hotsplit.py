@@ -12,10 +12,11 @@ The piece of a row is a deterministic function of the row and two small
 broadcast tables (the hot groups and their cut points), so recomputation
 after a lost executor gives the same pieces.
 
-Cost: finding hot groups reads the input twice more (row counts per group,
-then cut points for the hot groups only). When the input is an expensive
-plan, write it (or pass ``hot_rows=None`` where no key can be hot, which
-gives the plain one-window-per-group plan).
+Cost: one counting pass (partial counts per group) decides whether any group
+is hot; when none is, the plain one-window-per-group plan runs. With hot
+groups, their cut points take one more pass over the hot groups' rows. When
+the input is an expensive plan, write it first (or pass ``hot_rows=None``
+where no key can be hot, which skips the counting pass).
 """
 
 from __future__ import annotations
@@ -43,6 +44,17 @@ def order_spec(order) -> list[Column]:
     return out
 
 
+def has_hot_groups(df: DataFrame, by, hot_rows) -> bool:
+    """One aggregate pass (partial counts per group): is any group larger than
+    ``hot_rows``? When none is, callers run the plain one-window-per-group
+    plan, which then costs a single further pass."""
+    if hot_rows is None:
+        return False
+    by = as_list(by)
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__cnt"))
+    return not counts.where(F.col("__cnt") > hot_rows).isEmpty()
+
+
 def split_groups(df: DataFrame, by, order, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
     """Adds ``__piece``: 0 for groups of at most ``hot_rows`` rows; for larger
     groups, the piece of the group's range of the first order column (pieces
@@ -79,6 +91,9 @@ def running(df: DataFrame, by, order, aggs: dict, hot_rows: int = HOT_ROWS) -> D
     """Running aggregates from the first row of the group to the current row.
     ``aggs``: {name: (kind, Column)} with kind in sum, count, min, max, any, all."""
     by = as_list(by)
+    if not has_hot_groups(df, by, hot_rows):
+        w = Window.partitionBy(*by).orderBy(*order_spec(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*df.columns, *[_PIECE_AGG[k](c).over(w).alias(n) for n, (k, c) in aggs.items()])
     d = split_groups(df, by, order, hot_rows)
     w = Window.partitionBy(*by, "__piece").orderBy(*order_spec(order)).rowsBetween(Window.unboundedPreceding, 0)
     d = d.select("*", *[_PIECE_AGG[k](c).over(w).alias(f"__in_{n}") for n, (k, c) in aggs.items()])
@@ -111,8 +126,13 @@ def ranks(df: DataFrame, by, order, kinds, ntile: int = 4, hot_rows: int = HOT_R
     earlier pieces (ties of the full order key never straddle two pieces)."""
     by = as_list(by)
     kinds = as_list(kinds)
-    d = split_groups(df, by, order, hot_rows)
     spec = order_spec(order)
+    if not has_hot_groups(df, by, hot_rows):
+        w = Window.partitionBy(*by).orderBy(*spec)
+        fns = {"row_number": F.row_number(), "rank": F.rank(), "dense_rank": F.dense_rank(),
+               "percent_rank": F.percent_rank(), "cume_dist": F.cume_dist(), "ntile": F.ntile(ntile)}
+        return df.select(*df.columns, *[fns[k].over(w).alias(k) for k in kinds])
+    d = split_groups(df, by, order, hot_rows)
     w = Window.partitionBy(*by, "__piece").orderBy(*spec)
     peers = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.select("*", F.row_number().over(w).alias("__rn"), F.rank().over(w).alias("__rk"),
@@ -149,6 +169,8 @@ def with_halo(df: DataFrame, by, order, before: int, after: int, cols_fn, hot_ro
     for a Window ``w`` over (group, piece) in the requested order; halo rows
     only serve as context and are dropped from the output."""
     by = as_list(by)
+    if not has_hot_groups(df, by, hot_rows):
+        return df.select(*df.columns, *cols_fn(Window.partitionBy(*by).orderBy(*order_spec(order))))
     d = split_groups(df, by, order, hot_rows)
     spec = order_spec(order)
     wp = Window.partitionBy(*by, "__piece")
@@ -197,6 +219,8 @@ def with_time_halo(df: DataFrame, by, ts: str, span_seconds: int, cols_fn, hot_r
     partition columns to use in the window. Copies per row are bounded by the
     number of pieces; they are dropped from the output."""
     by = as_list(by)
+    if not has_hot_groups(df, by, hot_rows):
+        return df.select(*df.columns, *cols_fn(by))
     d = split_groups(df, by, [ts], hot_rows)
     secs = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                             F.col(ts).cast("timestamp_ntz"))
@@ -219,6 +243,15 @@ def fill_forward(df: DataFrame, by, order, col: str, name: str, max_gap: int | N
     """Last non-NULL value at or before each row (optionally only within
     ``max_gap`` rows), with hot groups split into pieces."""
     by = as_list(by)
+    if not has_hot_groups(df, by, hot_rows):
+        w = Window.partitionBy(*by).orderBy(*order_spec(order))
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        d = df.withColumn("__rn", F.row_number().over(w))
+        d = d.withColumn("__kn", F.when(F.col(col).isNotNull(), F.col("__rn")))
+        val = F.last(col, ignorenulls=True).over(upto)
+        if max_gap is not None:
+            val = F.when(F.col("__rn") - F.last("__kn", ignorenulls=True).over(upto) <= max_gap, val)
+        return d.select(*df.columns, val.alias(name))
     d = split_groups(df, by, order, hot_rows)
     w = Window.partitionBy(*by, "__piece").orderBy(*order_spec(order))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
