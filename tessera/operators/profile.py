@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from tessera.checks import as_list
 from tessera.operators.ranking import average_ranks, cut_bin, exact_quantiles
+
 MAX_LEVELS = 1_000_000
-RANK_BROADCAST_ROWS = 1_000_000
 
 
 def _long(df: DataFrame, cols, key=None, value_type: str = "double") -> DataFrame:
@@ -117,19 +117,19 @@ def correlations(df: DataFrame, cols, method: str = "pearson") -> DataFrame:
     Spearman = Pearson on mid-ranks. Mid-ranks of all columns come from one
     run of the distributed rank recipe over (column, value) rows; each
     column's rank table (one row per distinct value) is then joined to the
-    rows by value: broadcast when its checked size is small (a column with few
-    distinct values), a shuffle join otherwise."""
+    rows by value; AQE broadcasts the tables its runtime statistics show to be
+    small (columns with few distinct values) and shuffles the others."""
     cols = as_list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if method == "spearman":
         ranks = average_ranks(_long(df, cols), "value", by=["column"]).select("column", "value", "avg_rank")
-        sizes = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}
         src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
         for c in cols:
             rc = ranks.where(F.col("column") == F.lit(c)).select(
                 F.col("value").alias(c), F.col("avg_rank").alias(f"__r_{c}"))
-            small = sizes.get(c, 0) <= RANK_BROADCAST_ROWS
-            src = src.join(F.broadcast(rc) if small else rc, c, "left")
+            # no hint: AQE measures each materialised rank table and broadcasts
+            # the small ones (few distinct values), shuffling only large ones
+            src = src.join(rc, c, "left")
         src = src.select(*[F.col(f"__r_{c}").alias(c) for c in cols])
     elif method == "pearson":
         src = df
