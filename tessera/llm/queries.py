@@ -51,6 +51,18 @@ def op3(table):
     return chat_collapse.collapse_and_render(table("conversations"))
 
 
+@query("op1_spaced_seeds")
+def op1(table):
+    from tessera.llm import decontam
+    return decontam.overlaps(table("documents"), table("benchmark"))
+
+
+@query("op4_golay_simhash")
+def op4(table):
+    from tessera.llm import simhash_golay
+    return simhash_golay.near_duplicates(table("documents"), shingle=3, max_bits=3)
+
+
 @query("op5_vector_packing")
 def op5(table):
     from tessera.llm import packing, tokens
