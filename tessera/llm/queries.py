@@ -45,6 +45,13 @@ WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.n_turns > a.n_turns AND b.turns[1:
 """
 
 
+@query("op2_pairwise_gam")
+def op2(table):
+    from tessera.llm import quality_gam
+    docs = table("documents")
+    return quality_gam.score(docs, quality_gam.learn(docs, table("labels")))
+
+
 @query("op3_chat_collapse", _COLLAPSE_SQL)
 def op3(table):
     from tessera.llm import chat_collapse
@@ -70,6 +77,13 @@ def op5(table):
     return packing.pack_documents(table("documents"), functools.partial(tokens.encoder_for, path))
 
 
+@query("op6_nb_linear")
+def op6(table):
+    from tessera.llm import toxicity
+    docs = table("documents")
+    return toxicity.score(docs, toxicity.learn(docs, table("labels")))
+
+
 @query("op7_hash_tree_shards")
 def op7(table):
     from tessera.llm import sharding
