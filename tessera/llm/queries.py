@@ -108,3 +108,13 @@ WHERE rank <= 5
 def op8(table):
     from tessera.llm import kd_search
     return kd_search.top_k(table("embeddings"), k=5, every=50)
+
+
+#: The key of the registered queries; a deployment passes its own secret.
+PII_KEY = "registered-query"
+
+
+@query("op10_pii_surrogates")
+def op10(table):
+    from tessera.llm import pii
+    return pii.replace(table("documents"), PII_KEY)
