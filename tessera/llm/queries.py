@@ -118,3 +118,9 @@ PII_KEY = "registered-query"
 def op10(table):
     from tessera.llm import pii
     return pii.replace(table("documents"), PII_KEY)
+
+
+@query("op9_wrapper_text")
+def op9(table):
+    from tessera.llm import html_wrapper
+    return html_wrapper.main_texts(table("pages"))
