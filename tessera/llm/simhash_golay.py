@@ -186,6 +186,7 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def spanning(prints: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """Links (positions) that connect what is connected within ``max_bits``: breadth first over those not reached."""
+    prints = prints.view(U64)  # the bits of a negative number are not those of its absolute value
     left, out = np.arange(len(prints)), []
     while len(left):
         queue, left = [left[0]], left[1:]
