@@ -1,0 +1,275 @@
+"""Classifiers by held-out accuracy, page text by known pages, surrogates by their promises, and the pipeline."""
+
+import collections
+import html
+import math
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessera.llm import html_wrapper, pii, quality_gam, simhash_golay, toxicity
+from tests.llm.test_exact import brute_components, brute_fingerprint, brute_overlaps, check_pack
+
+SF = "/root/testdata/sf0.01"
+SMALL = "/root/testdata/sf0.001"
+
+
+def auc(score, label):
+    order = np.argsort(np.argsort(score)) + 1
+    pos = label.sum()
+    return (order[label == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(label) - pos))
+
+
+# --- classifiers
+
+@pytest.mark.parametrize("module,label,folds,fold", [(toxicity, "toxic", 5, 0), (quality_gam, "quality", 3, 1)])
+def test_held_out_accuracy(spark, module, label, folds, fold):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.join(labels.select("doc_id"), "doc_id", "left_semi").where("length(text) < 20000")
+    rows = module.score(known, module.learn(known, labels)).join(labels, "doc_id").toPandas()
+    assert all(rows.held_out == [zlib.crc32(str(i).encode()) % folds == fold for i in rows.doc_id])
+    assert rows.score.between(0, 1).all() and (rows.predicted == (rows.score >= 0.5)).all()
+    out = rows[rows.held_out]
+    assert auc(out.score.to_numpy(), out[label].to_numpy()) > 0.98
+    assert (out.predicted == out[label]).mean() > 0.96
+
+
+@pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality_gam, "quality")])
+def test_classifier_edges(spark, odd_docs, no_docs, module, label):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int, text string, extra int")
+    one = spark.createDataFrame([(i, 1, 1, "x", 0) for i in range(1, 10)] + [(3, None, None, "y", 1), (None, 0, 0, "z", 1)], none.schema)
+    n = odd_docs.count()
+    for labels, low, high in ((none, 0, 0.5), (one, 0.5, 1)):
+        rows = module.score(odd_docs, module.learn(odd_docs, labels)).collect()
+        assert len(rows) == n and all(low <= r.score <= high for r in rows)
+        assert module.score(no_docs, module.learn(no_docs, labels)).count() == 0
+
+
+def test_logistic_fit_meets_its_equation():
+    rng = np.random.default_rng(1)
+    x = (rng.random((300, 6)) < 0.4).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ [2, -1, 0, 1, 0, -2] - 0.3)))).astype(float)
+    scale = rng.normal(size=6)
+    at, sizes = np.nonzero(x)[1], x.sum(1).astype(int)
+    w, b = toxicity.logistic(at, sizes, scale, y, 1e-3, 4000)
+    g = (1 / (1 + np.exp(-(x * scale @ w + b))) - y) / 300
+    assert np.abs((x * scale).T @ g + 1e-3 * w).max() < 1e-5 and abs(g.sum()) < 1e-5
+
+
+def test_places_are_the_distinct_ngrams():
+    params = toxicity.Params(bits=30, orders=(2, 3))
+    for text in ("", "a", "Abab ab", "ñÑ\U0001f600"):
+        s = f" {text.lower()} "
+        n = sum(len({s[i:i + k] for i in range(len(s) - k + 1)}) for k in (2, 3))
+        got = next(toxicity.places(pa.array([text]), toxicity.Params(bits=24, orders=(2, 3))))
+        assert len(got) == len(set(got.tolist())) == n, params
+
+
+def test_gam_learns_an_interaction():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = quality_gam.fit(x[:3000], y[:3000])
+    assert (0, 1) in model.pairs
+    assert ((model.scores(x[3000:]) >= 0.5) == y[3000:]).mean() > 0.9
+
+
+def test_features_by_hand():
+    got = dict(zip(quality_gam.FEATURES, quality_gam.features(pa.array(["Ab ab ab\nAb ab ab\n#1 x!"]))[0], strict=True))
+    assert math.isclose(math.expm1(got["log_words"]), 8) and math.isclose(got["repeated_words"], 2 / 8)
+    assert math.isclose(got["distinct_words"], 4 / 8) and math.isclose(got["distinct_lines"], 2 / 3)
+    assert math.isclose(got["upper"], 2 / 23) and math.isclose(got["digit"], 1 / 23)
+
+
+# --- page text
+
+def page(body, host="a.example", head=""):
+    return (f"https://{host}/x", f"<!DOCTYPE html><html><head><title>T</title>{head}</head><body>{body}</body></html>")
+
+
+CASES = [
+    (page("<nav><ul><li>menu</li></ul></nav><article><h1>One</h1><p>Two &amp; <b>th</b>ree&nbsp;four<p>five<br>six</article><footer>f</footer>"), "One Two & three four five six"),
+    (page("<header>top</header><main><p>a<script>if (a</b) x('<p>')</script></p><form>no</form><div class='cookie-notice'>no</div>b</main>"), "a b"),
+    (page("<article><p>in</p><aside>no</aside><div id='comments'><p>no</p></div><section class=\"share-buttons\">no</section><!-- no --><p>out"), "in out"),
+    (page("<div><p>plain text only &lt;b&gt; here</p></div><div class='sidebar'>no</div>", "plain.example"), "plain text only <b> here"),
+    (("not a url", "just words"), "just words"), ((None, None), ""), (("http://e.example", ""), ""), (("http://e.example/2", "<p"), ""),
+    (page("<article>1 < 2 and <i>x</i><table><tr><td>c</td><td>d</td></tr></table><div role=navigation>no</div><p hidden>no</p></article>"), "1 < 2 and x c d"),
+]
+
+
+def test_main_texts(spark):
+    rows = [(i, u, h, "extra") for i, ((u, h), _) in enumerate(CASES)]
+    df = spark.createDataFrame(rows + [rows[0]], "page_id long, url string, html string, text string")
+    got = html_wrapper.main_texts(df).collect()
+    assert sorted((r.page_id, r.text, r.n_chars) for r in got) == sorted([(i, t, len(t)) for i, (_, t) in enumerate(CASES)] + [(0, CASES[0][1], len(CASES[0][1]))])
+    assert html_wrapper.main_texts(df.limit(0)).count() == 0
+    shuffled = html_wrapper.main_texts(df, broadcast_bytes=0).collect()
+    assert sorted(map(tuple, shuffled), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_template_text_of_a_host_is_left_out(spark):
+    rows = [(i, f"http://h.example/{i}", f"<body><div class=top>The Daily</div><div class=box><div class=t>Read our terms</div><div class=x><p>Story {i} {'w ' * 30}</p><p>More {i}</p></div></div></body>")
+            for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for r in html_wrapper.main_texts(df).collect():
+        assert r.text == f"Story {r.page_id} {'w ' * 30}More {r.page_id}"
+
+
+def test_wrapper_expression():
+    pages = ["<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><h2>t</h2><p>y</p>"]
+    a, b = (html_wrapper.stream(html_wrapper.parse(p)) for p in pages)
+    assert "".join(map(str, html_wrapper.align(a, b))) == "<ul>(<li>#TEXT</li>)+</ul>(<h2>#TEXT</h2>)?<p>#TEXT</p>"
+
+
+def test_given_pages_against_a_plain_reading(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    raw = {r.page_id: r.html for r in pages.collect()}
+    for r in html_wrapper.main_texts(pages).collect():
+        article = re.search(r"<article>(.*?)(</article>|$)", raw[r.page_id], re.S)[1]
+        want = re.sub(r"<[^>]*>", " ", article.replace("<b>", "").replace("</b>", ""))
+        assert r.text == " ".join(html.unescape(want).split())
+
+
+# --- surrogates
+
+KINDS = {"email": pii.EMAIL, "ip": pii.IP, "card": pii.CARD}
+
+
+def spans(text):
+    import regex
+    return [m[0] for m in regex.finditer(pii.ANY.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"), text or "")]
+
+
+def test_surrogates_on_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r.text for r in pii.replace(docs, "k").collect()}
+    assert set(before) == set(after)
+    pairs, found = collections.defaultdict(set), 0
+    for d, text in before.items():
+        old, new = spans(text), spans(after[d])
+        found += len(old)
+        if not old:
+            assert after[d] == text
+        assert len(old) == len(new)
+        gap = lambda t, parts: [x for x in re.split("|".join(map(re.escape, sorted(parts, key=len, reverse=True))), t)]
+        if old:
+            assert gap(text, old) == gap(after[d], new)
+        for a, b in zip(old, new, strict=True):
+            pairs[a].add(b)
+            assert a != b and ("@" in a) == ("@" in b)
+            assert re.sub(r"\d", "9", a) == re.sub(r"\d", "9", b) or "@" in a or a.count(".") == 3 or re.search("[a-f]", a)
+    assert found > 40
+    assert all(len(v) == 1 for v in pairs.values())
+    assert len({next(iter(v)) for v in pairs.values()}) == len(pairs)
+    assert not set(pairs) & {x for v in pairs.values() for x in v}
+
+
+def one(spark, *texts, key="k"):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pii.replace(df, key).orderBy("doc_id").collect()]
+
+
+def test_surrogate_promises(spark):
+    got = one(spark, "A.B@Mail.EXAMPLE.com and a.b@mail.example.com", "+1 (017) 555-7713, +1 017 555 7713", "4111 1111 1111 1111 4111-1111-1111-1111",
+              "Mrs. Jane Smith, Mr. John Smith, Mr. Smith; MRS. X", "Господин Иван Петров", "v1.2.3 on 2024-01-02 at 10.5, room 12, Mr. or mrs", "10.1.2.3!",
+              "a.b@mail.example.com again", "DE89 3704 0044 0532 0130 00")
+    a, b = re.findall(r"\S+@\S+", got[0])
+    assert a.lower() == b.lower() == re.findall(r"\S+@\S+", got[7])[0] and a.endswith(".com")
+    x, y = got[1].split(", ")
+    assert re.sub(r"\D", "", x) == re.sub(r"\D", "", y) and re.fullmatch(r"\+\d \(\d{3}\) \d{3}-\d{4}", x)
+    cards = re.findall(r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", got[2])
+    digits = [int(c) for c in re.sub(r"\D", "", cards[0])]
+    assert re.sub(r"\D", "", cards[0]) == re.sub(r"\D", "", cards[1])
+    assert sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+    jane, john, smith = re.fullmatch(r"Mrs\. (\w+ \w+), Mr\. (\w+ \w+), Mr\. (\w+); MRS\. X", got[3]).groups()
+    assert jane.split()[1] == john.split()[1] == smith and jane.split()[0].endswith("na") and john.split()[0].endswith("ro")
+    assert re.fullmatch("Господин [а-яА-Я]+ор [а-яА-Я]+ман", got[4])
+    assert got[5] == "v1.2.3 on 2024-01-02 at 10.5, room 12, Mr. or mrs"
+    assert re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}!", got[6]) and all(0 < int(p) < 255 for p in got[6][:-1].split("."))
+    assert re.fullmatch(r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", got[8])
+    assert one(spark, "a.b@mail.example.com") == [re.findall(r"\S+@\S+", got[7])[0]]
+    assert one(spark, "a.b@mail.example.com", key="other") != one(spark, "a.b@mail.example.com")
+
+
+def test_collisions_are_drawn_again(spark):
+    """So many short names that first surrogates must collide: distinct names stay distinct."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"{a.upper()}{b}{c}" for a in letters for b in letters for c in letters][:9000]
+    texts = [" and ".join(f"Mr. {n}" for n in names[i:i + 30]) for i in range(0, len(names), 30)] + ["Mr. Aaa again, Mr. Aaa"]
+    got = one(spark, *texts)
+    new = [w for t in got[:-1] for w in re.findall(r"Mr\. (\w+)", t)]
+    assert len(new) == len(set(new)) == 9000 and not set(new) & set(names)
+    assert got[-1] == f"Mr. {new[0]} again, Mr. {new[0]}"
+
+
+def test_surrogate_edges(spark, odd_docs, no_docs):
+    out = pii.replace(odd_docs, "k")
+    assert out.columns == odd_docs.columns and pii.replace(no_docs, "k").count() == 0
+    before, after = ({(r.doc_id, r.text) for r in d.collect()} for d in (odd_docs, out))
+    assert len(before - after) == 1 and out.count() == odd_docs.count()
+
+
+# --- the pipeline
+
+def test_pipeline(spark):
+    """Every stage of run() against a plain version of its decision."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) < 6000")
+    docs = docs.unionAll(docs.where("doc_id = 1"))  # a repeated row
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    rows = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, columns = docs.collect(), docs.columns
+        from tessera.session import scratch_path
+        path = scratch_path(spark, f"test-{name}")
+        stage(spark, docs, SMALL).write.parquet(path)
+        docs = spark.read.parquet(path)
+        after = rows[name] = docs.collect()
+        kept = sorted(r.doc_id for r in after)
+        if name == "toxicity":
+            model = toxicity.learn(spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) < 6000").unionAll(
+                spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id = 1")), labels)
+            scores = model.scores(pa.array([r.text for r in before]))
+            assert kept == sorted(r.doc_id for r, s in zip(before, scores, strict=True) if s < 0.5)
+        elif name == "simhash_near_dedup":
+            root = brute_components({r.doc_id: brute_fingerprint(r.text) for r in before})
+            assert kept == sorted(i for i, r in root.items() if i == r)
+        elif name == "benchmark_decontamination":
+            gone = {d for d, _ in brute_overlaps([(r.doc_id, r.text) for r in before], bench)}
+            assert gone and kept == sorted(r.doc_id for r in before if r.doc_id not in gone)
+        elif name == "pii_surrogates":
+            old = {r.doc_id: r.text for r in before}
+            assert kept == sorted(old)
+            for r in after:
+                assert r.n_chars == len(r.text) and (r.text != old[r.doc_id]) == bool(spans(old[r.doc_id]))
+                assert not set(spans(r.text)) & set(spans(old[r.doc_id]))
+        else:
+            check_pack(after, [(r.doc_id, r.text) for r in before])
+        assert name == "vector_packing" or docs.columns == columns
+
+
+def test_pipeline_edges(spark, odd_docs, no_docs):
+    for docs in (odd_docs, no_docs):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SMALL)
+            rows = out.collect()
+            if name == "simhash_near_dedup" and n:
+                assert collections.Counter(r.doc_id for r in rows) == collections.Counter([1, 2, 6, 7, 8, 9, None])
+            elif name != "vector_packing":
+                assert len(rows) == n and out.columns == docs.columns
+
+
+def test_nothing_else_imports_the_package():
+    import pathlib
+    root = pathlib.Path(__file__).parents[2]
+    for p in [*root.glob("tessera/**/*.py"), *root.glob("*.py"), *root.glob("tests/*.py")]:
+        if "llm" not in p.parts and p.name not in ("corpus_pipeline.py", "__spark_entry__.py"):
+            assert "tessera.llm" not in p.read_text(), p
+    assert simhash_golay and F
