@@ -27,7 +27,3 @@ def require_columns(df: DataFrame, *cols) -> None:
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-
-
-def is_numeric(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, T.NumericType)

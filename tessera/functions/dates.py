@@ -50,6 +50,8 @@ def _add_unit(d: Column, unit: str, n: int = 1) -> Column:
         return F.date_add(d, 7 * n)
     if unit == "day":
         return F.date_add(d, n)
+    if unit in ("hour", "minute", "second"):
+        return d + F.expr(f"INTERVAL {n} {unit.upper()}")
     raise ValueError(f"unit={unit!r}")
 
 

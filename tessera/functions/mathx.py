@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.checks import as_list
+from tessera.operators.groupjoin import join_rows_by
 
 
 def _c(c) -> Column:
@@ -45,7 +46,7 @@ def scale_by_group(df: DataFrame, cols, by=(), kinds=("z", "minmax"), suffix: st
         aggs += [F.avg(c).alias(f"__m_{c}"), F.stddev_samp(c).alias(f"__s_{c}"),
                  F.min(c).alias(f"__lo_{c}"), F.max(c).alias(f"__hi_{c}")]
     st = df.groupBy(*by).agg(*aggs)
-    j = df.join(st, by, "left") if by else df.crossJoin(F.broadcast(st))
+    j = join_rows_by(df, st, by)
     out = []
     for c in cols:
         if "z" in kinds:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.checks import as_list, require_columns
+from tessera.operators.groupjoin import join_by
 from tessera.operators.ranking import exact_quantiles, sorted_cumulative, value_histogram
 
 AGG_FUNCS = {
@@ -88,12 +89,13 @@ def weighted_stats(df: DataFrame, by, x: str, w: str, probs=(0.5,), names=None)
     by, probs = as_list(by), as_list(probs)
     names = as_list(names) or [f"wq{int(round(p * 100)):02d}" for p in probs]
     d = df.where(F.col(x).isNotNull() & F.col(w).isNotNull())
-    mom = d.groupBy(*by).agg((F.sum(F.col(x) * F.col(w)) / F.sum(w)).alias("wmean"), F.sum(w).alias("wsum"))
-    # second pass around the weighted mean: no cancellation of large squares
-    dev = (d.join(mom, by) if by else d.crossJoin(F.broadcast(mom))).groupBy(*by).agg(
-        (F.sum(F.col(w) * (F.col(x) - F.col("wmean")) ** 2) / F.first("wsum")).alias("wvar"))
-    mom = mom.join(dev, by) if by else mom.crossJoin(dev)
+    # one row per distinct value first: moments and quantiles both come from it
     hist = value_histogram(d, x, by, weight=w)
+    mom = hist.groupBy(*by).agg(F.try_divide(F.sum(F.col(x) * F.col("_n")), F.sum("_n")).alias("wmean"), F.sum("_n").alias("wsum"))
+    # second pass around the weighted mean: no cancellation of large squares
+    dev = join_by(hist, mom, by).groupBy(*by).agg(
+        F.try_divide(F.sum(F.col("_n") * (F.col(x) - F.col("wmean")) ** 2), F.first("wsum")).alias("wvar"))
+    mom = join_by(mom, dev, by)
     cum = sorted_cumulative(hist, x, ["_n"], by)
     incl = F.col("_n_before") + F.col("_n")
     picks = []
@@ -101,7 +103,7 @@ def weighted_stats(df: DataFrame, by, x: str, w: str, probs=(0.5,), names=None)
         target = F.col("_n_total") * F.lit(float(p))
         picks.append(F.min(F.when((F.col("_n_before") < target) & (incl >= target), F.col(x))).alias(n))
     wq = cum.groupBy(*by).agg(*picks)
-    return mom.join(wq, by, "left") if by else mom.crossJoin(wq)
+    return join_by(mom, wq, by)
 
 
 def trimmed_mean(df: DataFrame, by, col: str, frac: float = 0.1) -> DataFrame:
@@ -134,7 +136,7 @@ def mode_median(df: DataFrame, by, col: str) -> DataFrame:
     mode = counts.groupBy(*by).agg(
         F.min_by(F.col(col), F.struct((-F.col("__c")).alias("c"), F.col(col).alias("v"))).alias("mode"))
     med = exact_quantiles(df, col, [0.5], by=by, names=["median"])
-    return mode.join(med, by, "left") if by else mode.crossJoin(med)
+    return join_by(mode, med, by)
 
 
 def cube_rollup(df: DataFrame, dims, aggs: dict, kind: str = "cube", sets=None) -> DataFrame:
@@ -156,16 +158,11 @@ def crosstab(df: DataFrame, r: str, c: str) -> DataFrame:
     rows = g.groupBy(r).agg(F.sum("n").alias("__rn"))
     cols = g.groupBy(c).agg(F.sum("n").alias("__cn"))
     tot = total_row(g, "n")
-    return (g.join(rows, r).join(cols, c).crossJoin(F.broadcast(tot))
+    return (join_by(join_by(g, rows, r), cols, c).crossJoin(F.broadcast(tot))
             .select(r, c, "n",
                     (F.col("n") / F.col("__rn")).alias("row_share"),
                     (F.col("n") / F.col("__cn")).alias("col_share"),
                     (F.col("n") / F.col("__total")).alias("share")))
 
 
-def crosstab_wide(df: DataFrame, r: str, c: str, levels) -> DataFrame:
-    """Wide counts; the column levels must be given (no discovery job)."""
-    return df.groupBy(r).pivot(c, list(levels)).agg(F.count(F.lit(1))).fillna(0)
-
-
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("Column", "DataFrame", "Window", "F")]

@@ -24,8 +24,8 @@ def ols_cusum(df: DataFrame, order: str, y: str, by=()) -> DataFrame:
     run = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     d = df.withColumn("resid", F.col(y) - F.avg(y).over(whole))
     n = F.count(F.lit(1)).over(whole)
-    sigma = F.sqrt(F.sum(F.col("resid") ** 2).over(whole) / (n - 1))
-    d = d.withColumn("cusum", F.sum("resid").over(run) / (sigma * F.sqrt(n)))
+    sigma = F.sqrt(F.try_divide(F.sum(F.col("resid") ** 2).over(whole), n - 1))
+    d = d.withColumn("cusum", F.try_divide(F.sum("resid").over(run), sigma * F.sqrt(n)))
     return d.withColumn("max_abs", F.max(F.abs("cusum")).over(whole))
 
 
@@ -39,7 +39,7 @@ def chow_test(df: DataFrame, x: str, y: str, at, by=()) -> DataFrame:
         syy = F.regr_syy(c(F.col(y)), c(F.col(x)))
         sxy = F.regr_sxy(c(F.col(y)), c(F.col(x)))
         sxx = F.regr_sxx(c(F.col(y)), c(F.col(x)))
-        return syy - sxy * sxy / sxx, F.regr_count(c(F.col(y)), c(F.col(x)))
+        return syy - F.coalesce(F.try_divide(sxy * sxy, sxx), F.lit(0.0)), F.regr_count(c(F.col(y)), c(F.col(x)))
 
     rp, n = rss(None)
     r1, n1 = rss(F.col(x) < F.lit(at))
@@ -47,8 +47,8 @@ def chow_test(df: DataFrame, x: str, y: str, at, by=()) -> DataFrame:
     s = df.groupBy(*by).agg(rp.alias("rss_pooled"), r1.alias("rss_1"), r2.alias("rss_2"),
                             n.alias("n"), n1.alias("n1"), n2.alias("n2"))
     k = 2
-    f = ((F.col("rss_pooled") - F.col("rss_1") - F.col("rss_2")) / k) / \
-        ((F.col("rss_1") + F.col("rss_2")) / (F.col("n") - 2 * k))
+    f = F.try_divide((F.col("rss_pooled") - F.col("rss_1") - F.col("rss_2")) / k,
+                     F.try_divide(F.col("rss_1") + F.col("rss_2"), F.col("n") - 2 * k))
     return s.select(*by, f.alias("f"), F.lit(k).cast("bigint").alias("df1"),
                     (F.col("n") - 2 * k).cast("bigint").alias("df2"),
                     F.col("n1").cast("bigint").alias("n1"), F.col("n2").cast("bigint").alias("n2"))

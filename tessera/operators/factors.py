@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import exact_quantiles
-
-MAX_LEVELS = 1_000_000
+from tessera.operators.groupjoin import join_by
+from tessera.operators.ranking import exact_quantiles, sorted_cumulative
 
 
 def level_counts(df: DataFrame, col: str) -> DataFrame:
@@ -16,9 +15,9 @@ def level_counts(df: DataFrame, col: str) -> DataFrame:
 
 def factor_lump(df: DataFrame, col: str, n: int, other: str = "Other", name: str | None = None) -> DataFrame:
     """Keep the ``n`` most frequent levels (ties by level value), others become
-    ``other``. The kept levels come from a distributed top-n (TakeOrderedAndProject)
+    ``other``; NULL is no level and stays NULL. The kept levels come from a distributed top-n (TakeOrderedAndProject)
     and are at most ``n`` rows, so broadcasting them is bounded."""
-    top = level_counts(df, col).orderBy(F.col("n").desc(), F.col(col).asc()).limit(n) \
+    top = level_counts(df.where(F.col(col).isNotNull()), col).orderBy(F.col("n").desc(), F.col(col).asc()).limit(n) \
         .select(F.col(col).alias("__lvl"), F.lit(True).alias("__keep"))
     j = df.join(F.broadcast(top), df[col] == top["__lvl"], "left")
     out = F.when(F.col("__keep"), F.col(col)).when(F.col(col).isNull(), F.lit(None)).otherwise(F.lit(other))
@@ -28,16 +27,16 @@ def factor_lump(df: DataFrame, col: str, n: int, other: str = "Other", name: str
 def factor_order(df: DataFrame, col: str, by: str | None = None, fn: str = "freq") -> DataFrame:
     """Level table (level, n, key, position): ordered by frequency (descending)
     or, with ``by``, by the median of ``by`` within the level (ascending); ties
-    by level value. The position window runs over the level table, one row per
-    level, whose size is checked."""
+    by level value. Positions are ranks of the distinct keys by the distributed
+    recipe, plus the place among the levels of one key."""
     counts = level_counts(df.where(F.col(col).isNotNull()), col)
-    if counts.count() > MAX_LEVELS:
-        raise ValueError(f"{col} has more than {MAX_LEVELS} levels")
     if by is None:
-        lv = counts.withColumn("key", F.col("n").cast("double"))
-        order = [F.col("key").desc(), F.col(col).asc()]
+        lv = counts.withColumn("key", F.col("n").cast("double")).withColumn("__down", -F.col("key"))
     else:
-        med = exact_quantiles(df, by, [0.5], by=[col], names=["key"])
-        lv = counts.join(med, col, "left")
-        order = [F.col("key").asc_nulls_last(), F.col(col).asc()]
-    return lv.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+        med = exact_quantiles(df.where(F.col(col).isNotNull()), by, [0.5], by=[col], names=["key"])
+        # a level without values comes last
+        lv = join_by(counts, med, [col]).withColumn("__down", F.coalesce("key", F.lit(float("inf"))))
+    keys = sorted_cumulative(lv.groupBy("__down").agg(F.count(F.lit(1)).alias("__levels")), "__down", ["__levels"])
+    w = Window.partitionBy("__down").orderBy(F.col(col).asc())
+    out = lv.withColumn("__at", F.row_number().over(w)).join(keys, "__down")
+    return out.select(col, "n", "key", (F.col("__levels_before") + F.col("__at")).cast("int").alias("position"))

@@ -23,8 +23,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.checks import as_list
+from tessera.operators.groupjoin import join_by
+from tessera.operators.ranking import text_number
 
 HOT_ROWS = 5_000_000
 PIECES = 64
@@ -67,13 +70,18 @@ def split_groups(df: DataFrame, by, order, hot_rows: int = HOT_ROWS, pieces: int
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__cnt"))
     hot = counts.where(F.col("__cnt") > hot_rows).select(*by)  # at most rows / hot_rows groups
     probs = [i / pieces for i in range(1, pieces)]
-    src = df.join(F.broadcast(hot), by) if by else df.crossJoin(F.broadcast(hot.select(F.lit(1).alias("__h"))))
-    bounds = src.groupBy(*by).agg(F.percentile_approx(F.col(col), probs, 10_000).alias("__bounds"))
-    d = df.join(F.broadcast(bounds), by, "left") if by else _cross_left(df, bounds)
-    key = F.col(col)
-    cmp = (lambda b: b > key) if desc else (lambda b: b < key)
-    piece = F.when(F.col("__bounds").isNull(), F.lit(0)).otherwise(F.size(F.filter("__bounds", cmp)))
-    return d.withColumn("__piece", piece).drop("__bounds")
+    # texts are cut by the number their first bytes make, which follows their order
+    key = text_number(F.col(col)) if isinstance(df.schema[col].dataType, T.StringType) else F.col(col)
+    src = df.withColumn("__order", key)
+    held = join_by(src, hot, by, "inner") if by else src.crossJoin(hot.select(F.lit(1).alias("__h")))
+    bounds = held.groupBy(*by).agg(F.percentile_approx("__order", probs, 10_000).alias("__bounds"))
+    d = join_by(src, bounds, by) if by else _cross_left(src, bounds)
+    me = F.col("__order")
+    cmp = (lambda b: b > me) if desc else (lambda b: b < me)
+    # NULL comes first in ascending order and last in descending order
+    piece = F.when(F.col("__bounds").isNull(), F.lit(0)).when(me.isNull(), F.lit(pieces if desc else 0)).otherwise(
+        F.size(F.filter("__bounds", cmp)))
+    return d.withColumn("__piece", piece).drop("__bounds", "__order")
 
 
 def _cross_left(df: DataFrame, one_or_none: DataFrame) -> DataFrame:
@@ -101,7 +109,7 @@ def running(df: DataFrame, by, order, aggs: dict, hot_rows: int = HOT_ROWS) -> D
     prev = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     carry = pieces.select(*by, "__piece", *[_CARRY[k](f"__p_{n}").over(prev).alias(f"__c_{n}")
                                             for n, (k, _) in aggs.items()])
-    j = d.join(carry, [*by, "__piece"], "left")
+    j = join_by(d, carry, [*by, "__piece"])
     out = []
     for n, (k, _) in aggs.items():
         c, i = F.col(f"__c_{n}"), F.col(f"__in_{n}")
@@ -137,6 +145,7 @@ def ranks(df: DataFrame, by, order, kinds, ntile: int = 4, hot_rows: int = HOT_R
     peers = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.select("*", F.row_number().over(w).alias("__rn"), F.rank().over(w).alias("__rk"),
                  F.dense_rank().over(w).alias("__dr"), F.count(F.lit(1)).over(peers).alias("__le"))
+    # a struct counts NULL fields as values
     okey = F.struct(*[F.col(o.lstrip("-")) for o in as_list(order)])
     pieces = d.groupBy(*by, "__piece").agg(F.count(F.lit(1)).alias("__pn"), F.count_distinct(okey).alias("__pd"))
     prev = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,7 +153,7 @@ def ranks(df: DataFrame, by, order, kinds, ntile: int = 4, hot_rows: int = HOT_R
     carry = pieces.select(*by, "__piece", F.coalesce(F.sum("__pn").over(prev), F.lit(0)).alias("__cn"),
                           F.coalesce(F.sum("__pd").over(prev), F.lit(0)).alias("__cd"),
                           F.sum("__pn").over(whole).alias("__N"))
-    j = d.join(carry, [*by, "__piece"], "left")
+    j = join_by(d, carry, [*by, "__piece"])
     rn = (F.col("__cn") + F.col("__rn")).cast("int")
     rk = (F.col("__cn") + F.col("__rk")).cast("int")
     n = F.col("__N")
@@ -228,7 +237,7 @@ def with_time_halo(df: DataFrame, by, ts: str, span_seconds: int, cols_fn, hot_r
         .groupBy(*by).agg(F.collect_list(F.struct(F.col("__piece").alias("p"), F.col("__s").alias("s")))
                           .alias("__starts"))
     # only split (hot) groups appear: at most rows / hot_rows groups x PIECES entries
-    j = d.join(F.broadcast(starts), by, "left") if by else _cross_left(d, starts)
+    j = join_by(d, starts, by) if by else _cross_left(d, starts)
     j = j.withColumn("__starts", F.coalesce("__starts", F.array().cast(starts.schema["__starts"].dataType)))
     me = secs
     targets = F.filter("__starts", lambda x: (x["p"] > F.col("__piece")) & (x["s"] - span_seconds <= me))
@@ -269,7 +278,7 @@ def fill_forward(df: DataFrame, by, order, col: str, name: str, max_gap: int | N
     last_known = pieces.select(*by, "__piece", "__start",
                                F.last("__pv", ignorenulls=True).over(prev).alias("__cv"),
                                F.last(F.col("__start") + F.col("__pk"), ignorenulls=True).over(prev).alias("__ck"))
-    j = d.join(last_known, [*by, "__piece"], "left")
+    j = join_by(d, last_known, [*by, "__piece"])
     val = F.coalesce(F.col("__lv"), F.col("__cv"))
     if max_gap is not None:
         here = F.col("__start") + F.col("__rn")

@@ -7,14 +7,14 @@ count is fixed or has been checked.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.checks import as_list, require_columns
-
-BROADCAST_ROWS = 2_000_000
+from tessera.operators.groupjoin import BROADCAST_ROWS, join_by
 
 
 def _pairs(on):
@@ -72,34 +72,24 @@ def join_filtering(left: DataFrame, right: DataFrame, on, how: str = "semi") ->
     if how not in ("semi", "anti"):
         raise ValueError(f"how={how!r}")
     pairs = _pairs(on)
-    r = right.select(*[F.col(b).alias("__k_" + a) for a, b in pairs]).distinct() \
-        if how == "semi" else right.select(*[F.col(b).alias("__k_" + a) for a, b in pairs])
+    r = right.select(*[F.col(b).alias("__k_" + a) for a, b in pairs])
     cond = reduce(lambda x, y: x & y, [left[a] == r["__k_" + a] for a, _ in pairs])
     return left.join(r, cond, "left_semi" if how == "semi" else "left_anti")
 
 
-def join_nested(left: DataFrame, right: DataFrame, on, name: str = "data",
-                max_items: int = 100_000) -> DataFrame:
+def join_nested(left: DataFrame, right: DataFrame, on, name: str = "data", parts: int = 1) -> DataFrame:
     """Right matches nested as an array of structs per left row.
 
-    A key with more than ``max_items`` matches is split over several output rows
-    (``<name>_part`` 0, 1, ...) by a hash of the right row, so no array and no
-    task ever holds an unbounded group; the union of a key's parts is exactly
-    its matches. Left rows without a match get one row with an empty array.
+    With ``parts``, a key's matches come in that many hash parts (``<name>_part``), each an
+    output row of its own, at every size alike: choose it where a key may have
+    too many matches for one array. Left rows without a match get one row with
+    an empty array.
     """
     pairs = _pairs(on)
     rkeys = [b for _, b in pairs]
     payload = [c for c in right.columns if c not in rkeys]
-    counts = right.groupBy(*rkeys).agg(F.count(F.lit(1)).alias("__n"))
-    parts = counts.select(*rkeys, (F.floor((F.col("__n") - 1) / max_items) + 1).alias("__parts"))
-    big = parts.where("__parts > 1")
-    tagged = right.withColumn("__part", F.lit(0).cast("bigint"))
-    if big.limit(1).count():
-        # only keys with more matches than max_items are split
-        tagged = right.join(F.broadcast(big), rkeys, "left").withColumn(
-            "__part", F.when(F.col("__parts").isNull(), F.lit(0).cast("bigint")).otherwise(
-                F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.col("__parts"))))
-    nested = tagged.groupBy(*rkeys, "__part").agg(
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.lit(parts)) if parts > 1 else F.lit(0).cast("bigint")
+    nested = right.withColumn("__part", part).groupBy(*rkeys, "__part").agg(
         F.collect_list(F.struct(*[F.col(c) for c in payload])).alias(name))
     cond = reduce(lambda x, y: x & y, [left[a] == nested[b] for a, b in pairs])
     j = left.join(nested, cond, "left")
@@ -108,21 +98,24 @@ def join_nested(left: DataFrame, right: DataFrame, on, name: str = "data",
                     F.coalesce(nested[name], F.array().cast(nested.schema[name].dataType)).alias(name))
 
 
-def expand_complete(df: DataFrame, cols, fill: dict | None = None, max_levels: int = 100_000) -> DataFrame:
+def expand_complete(df: DataFrame, cols, fill: dict | None = None, max_rows: int = 1_000_000_000) -> DataFrame:
     """Every combination of the distinct values of ``cols``, joined to the data;
     combinations absent from the data get ``fill`` values (or NULL).
 
-    The spine is the product of the level sets, so each set's size is counted
-    before it is broadcast."""
+    The result has as many rows as the product of the level sets: their
+    sizes are counted, and a product above ``max_rows`` is an error. A level
+    set is broadcast up to ``BROADCAST_ROWS`` levels."""
     cols = as_list(cols)
     require_columns(df, *cols)
-    spine = None
-    for c in cols:
-        lv = df.select(c).distinct()
-        n = lv.count()
-        if n > max_levels:
-            raise ValueError(f"{c} has {n} levels (> {max_levels}); the spine would not fit")
-        spine = lv if spine is None else spine.crossJoin(F.broadcast(lv))
+    sets = [df.select(c).distinct() for c in cols]
+    sizes = [lv.count() for lv in sets]
+    if math.prod(sizes) > max_rows:
+        raise ValueError(f"the levels of {cols} ({sizes}) make more than {max_rows} combinations")
+    # the largest set leads, so the sets that are broadcast are the small ones
+    order = sorted(range(len(cols)), key=lambda i: -sizes[i])
+    spine = sets[order[0]]
+    for i in order[1:]:
+        spine = spine.crossJoin(F.broadcast(sets[i]) if sizes[i] <= BROADCAST_ROWS else sets[i])
     spine = spine.select(*[F.col(c).alias("__s_" + c) for c in cols])
     data = df.select(*[F.col(c).alias("__d_" + c) for c in df.columns])
     cond = reduce(lambda x, y: x & y, [F.col("__s_" + c).eqNullSafe(F.col("__d_" + c)) for c in cols])
@@ -189,8 +182,10 @@ def join_asof(left: DataFrame, right: DataFrame, by, ts: str, right_cols,
              .withColumn("__c", F.last("__r", ignorenulls=True).over(w_prev))
              .where("__tag = 1").select(*by, "__b", "__c"))
 
-    j = inside.join(carry, [*by, "__b"], "left")
+    j = join_by(inside, carry, [*by, "__b"])
     m = F.coalesce(F.col("__m"), F.col("__c"))
+    known = reduce(lambda x, y: x & y, [F.col("__l." + c).isNotNull() for c in [*by, ts]], F.lit(True))
+    m = F.when(known, m)  # a NULL key or time matches nothing
     return j.select(*[F.col("__l." + c).alias(c) for c in lcols],
                     m.getField(rts_name).alias(rts_name),
                     *[m.getField(n).alias(n) for n in rnames])

@@ -40,10 +40,9 @@ def feature_names(encoded: DataFrame, col: str = "features") -> list[str]:
     return [n for _, n in slots]
 
 
-def _prepared(df: DataFrame, formula: str, index_label: bool):
+def _prepared(df: DataFrame, formula: str):
     """Encode once and cache for the fit. Rows with NULL inputs are skipped;
     a numeric 0/1 label is used as it is (indexing it would add levels)."""
-    del index_label  # string labels are indexed by RFormula itself
     rf = RFormula(formula=formula, featuresCol="features", labelCol="label", handleInvalid="skip")
     model = rf.fit(df)
     data = model.transform(df).select("label", "features").cache()
@@ -76,7 +75,7 @@ def _tree_rules(debug: str, names: list[str]):
 def tree_fit(df: DataFrame, formula: str, depth: int = 5, min_n: int = 20, kind: str = "classification",
              max_bins: int = 32, seed: int = 42) -> DataFrame:
     """Decision tree; rows are the leaves: rule (conjunction of splits), prediction."""
-    data, names = _prepared(df, formula, kind == "classification")
+    data, names = _prepared(df, formula)
     try:
         est = (DecisionTreeClassifier if kind == "classification" else DecisionTreeRegressor)(
             maxDepth=depth, minInstancesPerNode=min_n, maxBins=max_bins, seed=seed)
@@ -90,7 +89,7 @@ def tree_fit(df: DataFrame, formula: str, depth: int = 5, min_n: int = 20, kind:
 def forest_fit(df: DataFrame, formula: str, n_trees: int = 50, depth: int = 5, seed: int = 42,
                kind: str = "classification") -> DataFrame:
     """Random forest; rows are (feature, importance), importances summing to 1."""
-    data, names = _prepared(df, formula, kind == "classification")
+    data, names = _prepared(df, formula)
     try:
         est = (RandomForestClassifier if kind == "classification" else RandomForestRegressor)(
             numTrees=n_trees, maxDepth=depth, seed=seed)
@@ -104,7 +103,7 @@ def forest_fit(df: DataFrame, formula: str, n_trees: int = 50, depth: int = 5, s
 
 def svm_linear(df: DataFrame, formula: str, reg: float = 0.01, max_iter: int = 100) -> DataFrame:
     """Linear max-margin classifier (hinge loss, L2); rows (term, coefficient)."""
-    data, names = _prepared(df, formula, True)
+    data, names = _prepared(df, formula)
     try:
         m = LinearSVC(regParam=reg, maxIter=max_iter, standardization=True).fit(data)
     finally:
@@ -116,7 +115,7 @@ def svm_linear(df: DataFrame, formula: str, reg: float = 0.01, max_iter: int = 1
 def glm_fit(df: DataFrame, formula: str, family: str = "binomial", link: str | None = None) -> DataFrame:
     """GLM by iteratively reweighted least squares (Spark ML); rows (term,
     estimate, std_error, z_value) plus deviance and AIC."""
-    data, names = _prepared(df, formula, False)
+    data, names = _prepared(df, formula)
     try:
         kw = {"family": family, "maxIter": 50}
         if link:

@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.checks import as_list
-from tessera.operators.ranking import average_ranks, cut_bin, exact_quantiles
-
-MAX_LEVELS = 1_000_000
+from tessera.operators.groupjoin import join_by, join_rows_by, safe_corr
+from tessera.operators.ranking import average_ranks, cut_bin, exact_quantiles, sorted_cumulative
 
 
 def _long(df: DataFrame, cols, key=None, value_type: str = "double") -> DataFrame:
@@ -65,7 +64,7 @@ def profile_numeric(df: DataFrame, cols=None) -> DataFrame:
         F.min("value").alias("min"), F.max("value").alias("max"),
         F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"))
     names = [f"p{int(round(p * 100)):02d}" for p in PROFILE_PROBS]
-    q = exact_quantiles(long, "value", list(PROFILE_PROBS), by=["column"], names=names, few_groups=True)
+    q = exact_quantiles(long, "value", list(PROFILE_PROBS), by=["column"], names=names)
     return mom.join(q, "column", "left").select(
         "column", "n", "mean", "sd", F.try_divide(F.col("sd"), F.col("mean")).alias("cv"), "min", *names, "max",
         (F.col("p75") - F.col("p25")).alias("iqr"), "skewness", "kurtosis")
@@ -73,17 +72,19 @@ def profile_numeric(df: DataFrame, cols=None) -> DataFrame:
 
 def freq_table(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
     """value, count, percent, cumulative percent; most frequent first (ties by
-    value), NULL counted as a level. The running sum is over the level table,
-    whose size is checked."""
+    value), NULL counted as a level. Levels of one count are ordered within that
+    count; counts are few (n levels have at most about sqrt(2 x rows) different
+    ones), and their running sums use the distributed recipe."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    if g.count() > MAX_LEVELS:
-        raise ValueError(f"{col} has more than {MAX_LEVELS} levels")
-    tot = g.agg(F.sum("n").alias("__tot"))
-    w = Window.orderBy(F.col("n").desc(), F.col(col).asc_nulls_last())
-    out = g.crossJoin(F.broadcast(tot)).select(
-        col, "n", (F.col("n") * 100.0 / F.col("__tot")).alias("pct"),
-        (F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) * 100.0 / F.col("__tot")).alias("cum_pct"),
-        F.row_number().over(w).alias("position"))
+    c = g.groupBy("n").agg(F.count(F.lit(1)).alias("__levels")).select(
+        "n", "__levels", (F.col("n") * F.col("__levels")).alias("__rows"), (-F.col("n")).alias("__down"))
+    c = sorted_cumulative(c, "__down", ["__levels", "__rows"])
+    w = Window.partitionBy("n").orderBy(F.col(col).asc_nulls_last())
+    j = g.withColumn("__at", F.row_number().over(w)).join(c.drop("__levels", "__rows", "__down"), "n")
+    out = j.select(
+        col, "n", (F.col("n") * 100.0 / F.col("__rows_total")).alias("pct"),
+        ((F.col("__rows_before") + F.col("n") * F.col("__at")) * 100.0 / F.col("__rows_total")).alias("cum_pct"),
+        (F.col("__levels_before") + F.col("__at")).cast("int").alias("position"))
     return out.where(F.col("position") <= top) if top else out
 
 
@@ -99,15 +100,15 @@ def outlier_fence(df: DataFrame, by, col: str, method: str = "tukey", k: float |
     elif method == "mad":
         k = 3.0 if k is None else k
         med = exact_quantiles(df, col, [0.5], by=by, names=["__med"])
-        dev = (df.join(med, by) if by else df.crossJoin(F.broadcast(med))).select(
+        dev = join_rows_by(df, med, by).select(
             *by, F.abs(F.col(col) - F.col("__med")).alias("__dev"))
         mad = exact_quantiles(dev, "__dev", [0.5], by=by, names=["__mad"])
-        both = med.join(mad, by) if by else med.crossJoin(mad)
+        both = join_by(med, mad, by)
         f = both.select(*by, (F.col("__med") - k * 1.4826 * F.col("__mad")).alias("lower"),
                         (F.col("__med") + k * 1.4826 * F.col("__mad")).alias("upper"))
     else:
         raise ValueError(f"method={method!r}")
-    j = df.join(f, by, "left") if by else df.crossJoin(F.broadcast(f))
+    j = join_rows_by(df, f, by)
     return j.withColumn("is_outlier", (F.col(col) < F.col("lower")) | (F.col(col) > F.col("upper")))
 
 
@@ -135,7 +136,7 @@ def correlations(df: DataFrame, cols, method: str = "pearson") -> DataFrame:
         src = df
     else:
         raise ValueError(f"method={method!r}")
-    one = src.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    one = src.agg(*[safe_corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
     rows = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"{a}__{b}").alias("r")) for a, b in pairs]
     return one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
 
@@ -144,7 +145,7 @@ def _entropy_of(counts: DataFrame, by, n_col: str = "n") -> DataFrame:
     """-sum p log2 p per group ``by`` over the count column."""
     by = as_list(by)
     tot = counts.groupBy(*by).agg(F.sum(n_col).alias("__t"))
-    j = counts.join(tot, by) if by else counts.crossJoin(F.broadcast(tot))
+    j = join_by(counts, tot, by)
     p = F.col(n_col) / F.col("__t")
     return j.groupBy(*by).agg((-F.sum(p * F.log2(p))).alias("h"))
 
@@ -190,7 +191,8 @@ def gain_lift(df: DataFrame, score: str, target: str, n: int = 10) -> DataFrame:
     cum_n, cum_p = F.sum("n").over(w), F.sum("positives").over(w)
     tot_n, tot_p = F.sum("n").over(wall), F.sum("positives").over(wall)
     return g.select("grp", "n", "positives", cum_n.alias("cum_n"), cum_p.alias("cum_positives"),
-                    (cum_p / tot_p).alias("gain"), ((cum_p / cum_n) / (tot_p / tot_n)).alias("lift"))
+                    F.try_divide(cum_p, tot_p).alias("gain"),
+                    F.try_divide(cum_p / cum_n, tot_p / tot_n).alias("lift"))
 
 
 def histogram_bins(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
@@ -198,7 +200,9 @@ def histogram_bins(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     in the last bin); empty bins kept."""
     x = F.col(col)
     rng = df.agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
-    idx = F.least(F.floor((x - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins) + 1, F.lit(bins))
+    # a constant column has no width: all its rows are in bin 1
+    share = F.coalesce(F.try_divide(x - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0))
+    idx = F.least(F.floor(share * bins) + 1, F.lit(bins))
     cnt = df.where(x.isNotNull()).crossJoin(F.broadcast(rng)).groupBy(idx.cast("int").alias("bin")) \
         .agg(F.count(F.lit(1)).alias("n"))
     spine = rng.select("__lo", "__hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
@@ -213,7 +217,7 @@ def box_summary(df: DataFrame, by, col: str) -> DataFrame:
     number of points outside them, per group."""
     by = as_list(by)
     q = exact_quantiles(df, col, [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"])
-    j = df.join(q, by) if by else df.crossJoin(F.broadcast(q))
+    j = join_rows_by(df, q, by)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     x = F.col(col)

@@ -6,10 +6,11 @@ correlation and stratified splits):
 
 1. pre-aggregate to one row per distinct (group, value) with its weights; the
    partial aggregation also flattens a hot value into a single row;
-2. cut each group's value range into B buckets at approximate quantiles of the
-   distinct values (``percentile_approx``: one small row of bounds per group),
-   so a bucket holds about 1/B of the group's distinct values. The bucket is
-   a deterministic function of the row, so every branch of the plan agrees;
+2. cut the value range of each large group into B buckets at approximate quantiles
+   of the distinct values (``percentile_approx``: one small row of bounds per
+   large group), so a bucket holds about 1/B of the group's distinct values; a
+   group of up to ``BUCKET_VALUES`` distinct values is one bucket. The bucket
+   is a deterministic function of the row, so every branch of the plan agrees;
 3. running weight inside (group, bucket) by a window partitioned on both, so
    each window task sorts about 1/B of a group;
 4. per (group, bucket) totals, at most groups x B rows, become offsets by a
@@ -29,39 +30,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.checks import as_list, require_columns
+from tessera.operators.groupjoin import join_by
 
-BROADCAST_ROWS = 2_000_000
 _ORDERABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def _n_buckets(df: DataFrame, buckets: int | None) -> int:
-    if buckets:
-        return int(buckets)
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: Distinct values of a group that one task sorts; larger groups are cut into buckets.
+BUCKET_VALUES = 200_000
+
+
+def _below(bounds: Column, key: Column, steps: int) -> Column:
+    """How many of the sorted bounds are smaller than the key, by bisection."""
+    def step(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        less = F.coalesce(F.get(bounds, mid) < key, F.lit(False))
+        go = s["lo"] < s["hi"]
+        return F.struct(F.when(go & less, mid + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(go & ~less, mid).otherwise(s["hi"]).alias("hi"))
+    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["lo"]
 
 
 def sorted_cumulative(df: DataFrame, order_col: str, weights, by=(), *,
-                      buckets: int | None = None, few_groups: bool = False) -> DataFrame:
+                      buckets: int | None = None, bucket_values: int = BUCKET_VALUES) -> DataFrame:
     """For rows that are already one per distinct (by, order_col), add for every
     weight ``w`` the columns ``w_before`` (sum of ``w`` over rows of the same group
-    with a smaller key) and ``w_total`` (group sum).
+    with a smaller key) and ``w_total`` (group sum). NULL is a group like any other.
 
-    ``few_groups`` states that the number of groups is small and known (for
-    example three measures); the per-group tables are then broadcast unchecked.
-    """
+    Only groups with more than ``bucket_values`` rows are cut, into ``buckets``
+    (by default the session's shuffle partitions) ranges of the key; text
+    keys are cut by the number their first bytes make."""
     weights, by = as_list(weights), as_list(by)
     require_columns(df, order_col, *weights, *by)
-    nb = _n_buckets(df, buckets)
-    key = F.col(order_col)
-    if nb > 1 and isinstance(df.schema[order_col].dataType, _ORDERABLE):
+    nb = int(buckets or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key, proxy = F.col(order_col), None
+    if isinstance(df.schema[order_col].dataType, _ORDERABLE):
+        proxy = key
+    elif isinstance(df.schema[order_col].dataType, T.StringType):
+        proxy = text_number(key)
+    if nb > 1 and proxy is not None:
         probs = [i / nb for i in range(1, nb)]
-        acc = max(10_000, 50 * nb)
-        bounds = df.groupBy(*by).agg(F.percentile_approx(key, probs, acc).alias("__bounds"))
-        if not by:
-            d = df.crossJoin(F.broadcast(bounds))  # one row of nb - 1 values
-        else:
-            d = df.join(F.broadcast(bounds) if few_groups else bounds, by)
-        d = d.withColumn("__bkt", F.size(F.filter("__bounds", lambda b: b < key))).drop("__bounds")
+        # one row per group that is large; the others have no bounds and stay whole
+        large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > bucket_values)
+        src = df.withColumn("__proxy", proxy)
+        held = join_by(src, large, by, "inner") if by else src.crossJoin(F.broadcast(large))
+        bounds = held.groupBy(*by).agg(F.percentile_approx("__proxy", probs, max(10_000, 50 * nb)).alias("__bounds"))
+        d = join_by(src, bounds, by)
+        d = d.withColumn("__bkt", F.when(F.col("__bounds").isNull(), F.lit(0)).otherwise(
+            _below(F.col("__bounds"), F.col("__proxy"), nb.bit_length() + 1))).drop("__bounds", "__proxy")
     else:
         d = df.withColumn("__bkt", F.lit(0))
 
@@ -76,12 +92,8 @@ def sorted_cumulative(df: DataFrame, order_col: str, weights, by=(), *,
         cols += [F.coalesce(F.sum("__sum_" + w).over(prev), F.lit(0)).alias("__off_" + w),
                  F.sum("__sum_" + w).over(whole).alias(w + "_total")]
     stats = stats.select(*cols)
-    if by and not few_groups:
-        # groups x buckets rows, unknown before running: AQE measures the
-        # materialised stage and turns this into a broadcast join when small
-        joined = d.join(stats, [*by, "__bkt"])
-    else:
-        joined = d.join(F.broadcast(stats), [*by, "__bkt"])  # at most few groups x buckets rows
+    # with groups: at most groups + large groups x buckets rows, left to AQE; without: at most ``nb`` rows
+    joined = join_by(d, stats, [*by, "__bkt"], "inner", broadcast=not by)
     out = [F.col(c) for c in df.columns]
     for w in weights:
         before = F.col("__off_" + w) + F.col("__run_" + w) - F.col(w)
@@ -89,6 +101,11 @@ def sorted_cumulative(df: DataFrame, order_col: str, weights, by=(), *,
     return joined.select(*out)
 
 
+def text_number(c: Column) -> Column:
+    """A number that never decreases along the order of texts: their first six bytes."""
+    return F.conv(F.substring(F.rpad(F.hex(F.encode(c, "UTF-8")), 12, "0"), 1, 12), 16, 10).cast("bigint")
+
+
 def value_histogram(df: DataFrame, col: str, by=(), weight: str | None = None) -> DataFrame:
     """One row per distinct non-null (by, col) with its row count ``_n``."""
     by = as_list(by)
@@ -96,16 +113,21 @@ def value_histogram(df: DataFrame, col: str, by=(), weight: str | None = None) -
     return df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(w.alias("_n"))
 
 
+def _with_null_row(df: DataFrame, col: str, by) -> DataFrame:
+    """The histogram with a NULL value of weight 0, so a group without values keeps its row."""
+    return df.groupBy(*as_list(by), col).agg(F.count(col).alias("_n"))
+
+
 def exact_quantiles(df: DataFrame, col: str, probs, by=(), *, names=None,
-                    few_groups: bool = False, count_name: str | None = None) -> DataFrame:
+                    count_name: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles (position (n-1)p, the rule of R type 7 and
-    of DuckDB ``quantile_cont``) per group; NULLs ignored. One row per group with
-    one double column per probability (named ``names`` or ``q_<p>``), plus the
+    of DuckDB ``quantile_cont``) per group; NULLs ignored, and NULL for a group
+    without values. One row per group (NULL is a group) with one double column per probability (named ``names`` or ``q_<p>``), plus the
     group's non-NULL count when ``count_name`` is given."""
     by, probs = as_list(by), [float(p) for p in as_list(probs)]
     names = as_list(names) or [f"q_{str(p).replace('.', '_')}" for p in probs]
-    hist = value_histogram(df, col, by)
-    cum = sorted_cumulative(hist, col, ["_n"], by, few_groups=few_groups)
+    hist = _with_null_row(df, col, by)
+    cum = sorted_cumulative(hist, col, ["_n"], by)
     n = F.col("_n_total")
     before, cnt = F.col("_n_before"), F.col("_n")
 
@@ -116,16 +138,14 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=(), *, names=None,
     for p in probs:
         h = (n - 1).cast("double") * F.lit(p)
         parts.append((h, F.floor(h), F.ceil(h)))
-    cond = reduce(lambda a, b: a | b, [covers(lo) | covers(hi) for _, lo, hi in parts])
-    picked = cum.where(cond)
     aggs = []
     for i, (h, lo, hi) in enumerate(parts):
         aggs += [F.max(F.when(covers(lo), F.col(col))).cast("double").alias(f"_lo{i}"),
                  F.max(F.when(covers(hi), F.col(col))).cast("double").alias(f"_hi{i}"),
-                 F.max(h - lo).alias(f"_d{i}")]
+                 F.max(F.when(n > 0, h - lo)).alias(f"_d{i}")]
     if count_name:
         aggs.append(F.max(n).alias(count_name))
-    agg = picked.groupBy(*by).agg(*aggs)
+    agg = cum.groupBy(*by).agg(*aggs)
     outs = [F.col(b) for b in by] + ([F.col(count_name)] if count_name else [])
     for i, name in enumerate(names):
         lo_v, hi_v, d = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_d{i}")

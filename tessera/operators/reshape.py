@@ -33,20 +33,15 @@ def pivot_wider(df: DataFrame, ids, key: str, levels, aggs: dict, fill=None) ->
     return out.fillna(fill) if fill is not None else out
 
 
-def nest(df: DataFrame, by, name: str = "data", max_items: int = 100_000) -> DataFrame:
-    """Rows of each group into an array of structs. A group with more than
-    ``max_items`` rows is spread over several output rows (``<name>_part`` 0, 1,
-    ...) by a hash of the row, so no array and no task holds an unbounded
-    group; ``unnest`` of all parts gives back exactly the group's rows."""
+def nest(df: DataFrame, by, name: str = "data", parts: int = 1) -> DataFrame:
+    """Rows of each group into an array of structs: one output row per group, or with ``parts`` the
+    group's non-empty parts (``<name>_part``) by a hash of the row, at every size alike. Choose
+    ``parts`` where a group may be too large for one array; ``unnest`` of all
+    parts gives back exactly the group's rows."""
     by = as_list(by)
     rest = [c for c in df.columns if c not in by]
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    big = counts.where(F.col("__n") > max_items).select(
-        *by, (F.floor((F.col("__n") - 1) / max_items) + 1).alias("__parts"))  # <= rows / max_items keys
-    j = df.join(F.broadcast(big), by, "left") if by else df.crossJoin(F.broadcast(big))
-    part = F.when(F.col("__parts").isNull(), F.lit(0).cast("bigint")).otherwise(
-        F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("__parts")))
-    return j.withColumn(name + "_part", part).groupBy(*by, name + "_part").agg(
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(parts)) if parts > 1 else F.lit(0).cast("bigint")
+    return df.withColumn(name + "_part", part).groupBy(*by, name + "_part").agg(
         F.collect_list(F.struct(*rest)).alias(name))
 
 

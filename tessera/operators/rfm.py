@@ -41,7 +41,7 @@ def rfm_cut_points(per_customer: DataFrame, bins: int = 5) -> DataFrame:
         for m in MEASURES])).alias("kv")).select("kv.measure", "kv.value")
     probs = [i / bins for i in range(1, bins)]
     names = [f"c{i}" for i in range(1, bins)]
-    q = exact_quantiles(long, "value", probs, by=["measure"], names=names, few_groups=True)
+    q = exact_quantiles(long, "value", probs, by=["measure"], names=names)
     wide = q.groupBy().pivot("measure", list(MEASURES)).agg(*[F.first(n).alias(n) for n in names])
     if len(names) == 1:  # pivot names a single aggregate by the pivot value alone
         wide = wide.select(*[F.col(m).alias(f"{m}_c1") for m in MEASURES])
@@ -92,7 +92,7 @@ def rfm_orders(orders: DataFrame, id_col: str, ts_col: str, amount_col: str, as_
     return rfm_customers(per, id_col, "_last", "_n", "_amount", as_of, bins)
 
 
-# Default segment rules, checked in order, first match wins.
+# Fixed values of this library's own choice: default segment rules, checked in order, first match wins.
 # (segment, r_min, r_max, f_min, f_max, m_min, m_max), all bounds inclusive.
 DEFAULT_SEGMENTS = [
     ("champions", 4, 5, 4, 5, 4, 5),
@@ -102,8 +102,8 @@ DEFAULT_SEGMENTS = [
     ("promising", 3, 4, 1, 1, 1, 5),
     ("need_attention", 2, 3, 2, 3, 2, 3),
     ("about_to_sleep", 2, 3, 1, 2, 1, 2),
-    ("at_risk", 1, 2, 2, 5, 2, 5),
     ("cant_lose_them", 1, 1, 4, 5, 4, 5),
+    ("at_risk", 1, 2, 2, 5, 2, 5),
     ("hibernating", 1, 2, 1, 2, 1, 2),
 ]
 DEFAULT_OTHER = "others"
@@ -130,7 +130,7 @@ def rfm_grid(scored: DataFrame, bins: int = 5) -> DataFrame:
     # one pass: the median job also yields each cell's customer count
     # (monetary is never NULL here: it is a rounded sum of order amounts)
     med = exact_quantiles(scored, "monetary", [0.5], by=["r_score", "f_score"],
-                          names=["median_monetary"], few_groups=True, count_name="customers")
+                          names=["median_monetary"], count_name="customers")
     grid = (spark.range(1, bins + 1).select(F.col("id").cast("int").alias("r_score"))
             .crossJoin(spark.range(1, bins + 1).select(F.col("id").cast("int").alias("f_score"))))
     return (grid.join(F.broadcast(med), ["r_score", "f_score"], "left")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.checks import as_list, require_columns
+from tessera.operators.groupjoin import join_by, join_rows_by, safe_corr
 from tessera.operators.ranking import exact_quantiles, sorted_cumulative
 
 
@@ -24,25 +25,29 @@ def group_moments(df: DataFrame, by: str, x: str) -> DataFrame:
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"))
 
 
-def t_test_welch(df: DataFrame, by: str, x: str, reference) -> DataFrame:
-    """Welch two-sample t for every level against ``reference``: one row per
-    other level with mean difference (level - reference), t and Welch df."""
-    m = group_moments(df, by, x)
-    ref = m.where(F.col(by) == F.lit(reference)).select(
-        F.col("n").alias("n0"), F.col("mean").alias("m0"), F.col("var").alias("v0"))
-    o = m.where(F.col(by) != F.lit(reference)).crossJoin(F.broadcast(ref))  # ref: one row
+def t_test_welch(df: DataFrame, by: str, x: str, reference=None) -> DataFrame:
+    """Welch two-sample t: one row per pair of levels with mean difference
+    (level - reference), t and Welch df. With ``reference``, its pairs with every
+    other level; without, every pair, the smaller level as reference."""
+    m = group_moments(df, by, x).where(F.col(by).isNotNull())
+    ref = m.select(F.col(by).alias("__ref"), F.col("n").alias("n0"), F.col("mean").alias("m0"), F.col("var").alias("v0"))
+    if reference is None:
+        o = m.join(ref, F.col("__ref") < F.col(by))  # pairs of levels: the result itself
+    else:
+        ref = ref.where(F.col("__ref") == F.lit(reference))
+        o = m.where(F.col(by) != F.lit(reference)).crossJoin(F.broadcast(ref))  # ref: one row
     se2 = F.col("var") / F.col("n") + F.col("v0") / F.col("n0")
-    dfw = se2 * se2 / ((F.col("var") / F.col("n")) ** 2 / (F.col("n") - 1)
-                       + (F.col("v0") / F.col("n0")) ** 2 / (F.col("n0") - 1))
-    return o.select(F.col(by).alias("level"), F.lit(str(reference)).alias("reference"),
+    dfw = F.try_divide(se2 * se2, F.try_divide((F.col("var") / F.col("n")) ** 2, F.col("n") - 1)
+                       + F.try_divide((F.col("v0") / F.col("n0")) ** 2, F.col("n0") - 1))
+    return o.select(F.col(by).alias("level"), F.col("__ref").cast("string").alias("reference"),
                     (F.col("mean") - F.col("m0")).alias("mean_diff"),
-                    ((F.col("mean") - F.col("m0")) / F.sqrt(se2)).alias("t"), dfw.alias("df"))
+                    F.try_divide(F.col("mean") - F.col("m0"), F.sqrt(se2)).alias("t"), dfw.alias("df"))
 
 
 def anova_oneway(df: DataFrame, by: str, x: str) -> DataFrame:
     """One row: between and within sums of squares, their df, F and eta squared."""
     m = group_moments(df, by, x)
-    tot = m.agg(F.sum("n").alias("__total"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("gm"),
+    tot = m.agg(F.sum("n").alias("__total"), F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("gm"),
                 F.count(F.lit(1)).alias("k"))
     j = m.crossJoin(F.broadcast(tot))  # one row
     s = j.groupBy("__total", "k").agg(
@@ -50,14 +55,14 @@ def anova_oneway(df: DataFrame, by: str, x: str) -> DataFrame:
         F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0))).alias("ssw"))
     dfb, dfw = F.col("k") - 1, F.col("__total") - F.col("k")
     return s.select("ssb", "ssw", dfb.cast("bigint").alias("df_between"), dfw.cast("bigint").alias("df_within"),
-                    ((F.col("ssb") / dfb) / (F.col("ssw") / dfw)).alias("f"),
-                    (F.col("ssb") / (F.col("ssb") + F.col("ssw"))).alias("eta_sq"))
+                    F.try_divide(F.try_divide(F.col("ssb"), dfb), F.try_divide(F.col("ssw"), dfw)).alias("f"),
+                    F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw")).alias("eta_sq"))
 
 
 def levene_test(df: DataFrame, by: str, x: str) -> DataFrame:
     """Brown-Forsythe (median-centred Levene): one-way ANOVA on |x - group median|."""
     med = exact_quantiles(df, x, [0.5], by=[by], names=["__med"])
-    z = df.join(med, by).select(by, F.abs(F.col(x) - F.col("__med")).alias("__z"))
+    z = join_rows_by(df, med, [by]).select(by, F.abs(F.col(x) - F.col("__med")).alias("__z"))
     return anova_oneway(z, by, "__z").select("f", "df_between", "df_within")
 
 
@@ -68,14 +73,16 @@ def chisq_test(df: DataFrame, r: str, c: str) -> DataFrame:
     g = df.groupBy(r, c).agg(F.count(F.lit(1)).alias("o"))
     rows = g.groupBy(r).agg(F.sum("o").alias("__r"))
     cols = g.groupBy(c).agg(F.sum("o").alias("__c"))
-    j = g.join(rows, r).join(cols, c)
-    s = j.agg(F.sum(F.col("o") * F.col("o") / (F.col("__r") * F.col("__c"))).alias("__q"),
+    j = join_by(join_by(g, rows, r), cols, c)
+    o = F.col("o").cast("double")
+    s = j.agg(F.sum(o * o / (F.col("__r").cast("double") * F.col("__c"))).alias("__q"),
               F.sum("o").alias("N"))
-    dims = g.agg(F.count_distinct(r).alias("R"), F.count_distinct(c).alias("C"))
+    # NULL is a level on both sides, like any other
+    dims = rows.agg(F.count(F.lit(1)).alias("R")).crossJoin(cols.agg(F.count(F.lit(1)).alias("C")))
     out = s.crossJoin(dims)
     chi = F.col("N") * F.col("__q") - F.col("N")
     return out.select(chi.alias("statistic"), ((F.col("R") - 1) * (F.col("C") - 1)).cast("bigint").alias("df"),
-                      F.sqrt(chi / (F.col("N") * (F.least("R", "C") - 1))).alias("cramers_v"))
+                      F.sqrt(F.try_divide(chi, F.col("N") * (F.least("R", "C") - 1))).alias("cramers_v"))
 
 
 def ranksum_test(df: DataFrame, by: str, x: str, a, b) -> DataFrame:
@@ -89,10 +96,10 @@ def ranksum_test(df: DataFrame, by: str, x: str, a, b) -> DataFrame:
     mid = F.col("_n_before") + (F.col("_n") + 1) / 2.0
     s = cum.agg(F.sum(F.col("_na") * mid).alias("w"), F.sum("_na").alias("na"), F.sum("_n").alias("N"),
                 F.sum(F.col("_n") ** 3 - F.col("_n")).alias("ties"))
-    nb = F.col("N") - F.col("na")
-    e = F.col("na") * (F.col("N") + 1) / 2.0
-    var = F.col("na") * nb / 12.0 * ((F.col("N") + 1) - F.col("ties") / (F.col("N") * (F.col("N") - 1)))
-    return s.select("w", F.col("na").alias("n_a"), nb.alias("n_b"), ((F.col("w") - e) / F.sqrt(var)).alias("z"))
+    nb, na, n = F.col("N") - F.col("na"), F.col("na").cast("double"), F.col("N").cast("double")
+    e = na * (n + 1) / 2.0
+    var = na * nb / 12.0 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1)))
+    return s.select("w", F.col("na").alias("n_a"), nb.alias("n_b"), F.try_divide(F.col("w") - e, F.sqrt(var)).alias("z"))
 
 
 # ---------------------------------------------------------------- metrics
@@ -103,7 +110,8 @@ def confusion_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:
                F.count_if((F.col(truth) == 0) & (F.col(pred) == 1)).alias("fp"),
                F.count_if((F.col(truth) == 1) & (F.col(pred) == 0)).alias("fn"),
                F.count_if((F.col(truth) == 0) & (F.col(pred) == 0)).alias("tn"))
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    # doubles: products of counts pass 64 bits from about 3e9 rows
+    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     n = tp + fp + fn + tn
     acc = F.try_divide(tp + tn, n)
     pe = F.try_divide((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn), n * n)
@@ -124,10 +132,10 @@ def roc_auc(df: DataFrame, score: str, truth: str) -> DataFrame:
     tp = F.col("_pos_total") - F.col("_pos_before")
     fp = F.col("_neg_total") - F.col("_neg_before")
     pts = cum.select(score, tp.alias("tp"), fp.alias("fp"),
-                     (tp / F.col("_pos_total")).alias("tpr"), (fp / F.col("_neg_total")).alias("fpr"),
+                     F.try_divide(tp, F.col("_pos_total")).alias("tpr"), F.try_divide(fp, F.col("_neg_total")).alias("fpr"),
                      (F.col("_pos") * (F.col("_neg_before") + F.col("_neg") / 2.0)).alias("__a"),
                      F.col("_pos_total"), F.col("_neg_total"))
-    area = pts.agg((F.sum("__a") / (F.first("_pos_total") * F.first("_neg_total"))).alias("auc"))
+    area = pts.agg(F.try_divide(F.sum("__a"), F.first("_pos_total").cast("double") * F.first("_neg_total")).alias("auc"))
     return pts.drop("__a", "_pos_total", "_neg_total").crossJoin(F.broadcast(area))
 
 
@@ -135,7 +143,7 @@ def regression_metrics(df: DataFrame, truth: str, pred: str) -> DataFrame:
     e = F.col(truth) - F.col(pred)
     s = df.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
                F.sum(e * e).alias("__sse"), F.var_pop(truth).alias("__vy"), F.count(truth).alias("__n"))
-    return s.select("rmse", "mae", (1 - F.col("__sse") / (F.col("__vy") * F.col("__n"))).alias("r2"))
+    return s.select("rmse", "mae", (1 - F.try_divide(F.col("__sse"), F.col("__vy") * F.col("__n"))).alias("r2"))
 
 
 # ---------------------------------------------------------------- linear models
@@ -240,14 +248,22 @@ def vif(df: DataFrame, cols) -> DataFrame:
     (k x k, from one aggregate of pairwise correlations)."""
     cols = as_list(cols)
     k = len(cols)
-    aggs = [F.corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+    aggs = [safe_corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
     r = df.select(*cols).dropna().agg(*aggs).first()
     m = np.eye(k)
     for i in range(k):
         for j in range(i + 1, k):
-            m[i, j] = m[j, i] = r[f"{i}_{j}"]
-    inv = np.linalg.inv(m)
-    return df.sparkSession.createDataFrame([(c, float(inv[i, i])) for i, c in enumerate(cols)],
+            m[i, j] = m[j, i] = np.nan if r[f"{i}_{j}"] is None else r[f"{i}_{j}"]
+    # a constant column has no correlation and no factor; it is left out of the others' factors
+    known = [i for i in range(k) if k == 1 or not np.isnan(np.delete(m[i], i)).all()]
+    value = dict.fromkeys(range(k))
+    if known:
+        try:
+            inv = np.linalg.inv(m[np.ix_(known, known)])
+            value |= {i: float(inv[n, n]) for n, i in enumerate(known)}
+        except np.linalg.LinAlgError:  # an exact linear relation: no finite factor
+            value |= dict.fromkeys(known, float("inf"))
+    return df.sparkSession.createDataFrame([(c, value[i]) for i, c in enumerate(cols)],
                                            "column string, vif double")
 
 
@@ -335,7 +351,7 @@ def drop_correlated(df: DataFrame, cols, cutoff: float = 0.9) -> DataFrame:
     runs on it on the driver."""
     cols = as_list(cols)
     k = len(cols)
-    aggs = [F.corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+    aggs = [safe_corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
     r = df.select(*cols).dropna().agg(*aggs).first()
     m = np.eye(k)
     for i in range(k):
@@ -365,7 +381,7 @@ def split_stratified(df: DataFrame, key: str, strata: str | None = None, p: floa
     h = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
     hist = h.groupBy(*s, "__h").agg(F.count(F.lit(1)).alias("_n"))
     cum = sorted_cumulative(hist, "__h", ["_n"], s)
-    pos = h.join(cum, [*s, "__h"])
+    pos = join_by(h, cum.drop("_n"), [*s, "__h"], "inner")
     # rows sharing a hash (a hash collision) get consecutive positions by key
     w = Window.partitionBy(*s, "__h").orderBy(key)
     pos = pos.withColumn("position", F.col("_n_before") + F.row_number().over(w) - 1)

@@ -61,7 +61,7 @@ def logrank_test(df: DataFrame, duration: str, event: str, group: str, a, b) ->
               F.sum("__d").alias("__dt"), F.sum(v).alias("variance"))
     return s.select("observed_a", "expected_a", (F.col("__dt") - F.col("observed_a")).alias("observed_b"),
                     (F.col("__dt") - F.col("expected_a")).alias("expected_b"), "variance",
-                    ((F.col("observed_a") - F.col("expected_a")) ** 2 / F.col("variance")).alias("chisq"))
+                    F.try_divide((F.col("observed_a") - F.col("expected_a")) ** 2, F.col("variance")).alias("chisq"))
 
 
 def aft_fit(df: DataFrame, duration: str, event: str, xs, shift: float = 0.0) -> DataFrame:
@@ -124,6 +124,8 @@ def cox_fit(df: DataFrame, duration: str, event: str, xs, max_iter: int = 25, to
                                                - F.col(f"S1_{i}") * F.col(f"S1_{j}") / (F.col("S0") ** 2)))
                            .alias(f"i_{i}_{j}"))
         row = rs.agg(*tot).first()
+        if row["u_0"] is None:
+            raise ValueError(f"no event in {event!r}: the partial likelihood is empty")
         u = np.array([row[f"u_{i}"] for i in range(k)])
         info = np.zeros((k, k))
         for i in range(k):

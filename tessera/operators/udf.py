@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessera.checks import as_list, require_columns
+from tessera.operators.groupjoin import join_by
 
 
 def row_map(df: DataFrame, col: str, fn, return_type: str = "double", name: str | None = None) -> DataFrame:
@@ -71,9 +72,13 @@ def _with_pieces(df: DataFrame, by, pieces: int, hot_rows: int) -> DataFrame:
     broadcast."""
     hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > hot_rows) \
         .select(*by, F.lit(True).alias("__hot"))
-    j = df.join(F.broadcast(hot), by, "left") if by else df.crossJoin(F.broadcast(hot))
-    piece = F.when(F.col("__hot"), F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(pieces))) \
-        .otherwise(F.lit(0).cast("bigint"))
+    if by:
+        j = join_by(df, hot, by)
+    else:
+        j = df.crossJoin(F.broadcast(df.agg((F.count(F.lit(1)) > hot_rows).alias("__hot"))))
+    # a hash of the row alone, so that a task that is run again deals its rows alike; equal rows share a piece
+    spread = F.xxhash64(*[F.col(c) for c in df.columns])
+    piece = F.when(F.col("__hot"), F.pmod(spread, F.lit(pieces))).otherwise(F.lit(0).cast("bigint"))
     return j.withColumn("__piece", piece).drop("__hot")
 
 
@@ -109,20 +114,8 @@ def group_reduce(df: DataFrame, by, col: str, fn, return_type: str = "double", n
 
 
 # -- ready-made functions used by the registered queries --------------------
-def ols_slope_per_group(x: str, y: str, key: str):
-    """Group function: slope of y on x (population covariance / variance)."""
-    import pandas as pd
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        xv, yv = pdf[x].astype(float), pdf[y].astype(float)
-        vx = ((xv - xv.mean()) ** 2).mean()
-        slope = (((xv - xv.mean()) * (yv - yv.mean())).mean() / vx) if len(pdf) > 1 and vx > 0 else None
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [len(pdf)], "slope": [slope]})
-    return fn
-
-
 def ols_slope_per_group_arrow(x: str, y: str, key: str):
-    """The same slope as ``ols_slope_per_group`` on Arrow tables (numpy maths)."""
+    """Group function: slope of y on x (population covariance / variance)."""
     import numpy as np
     import pyarrow as pa
 
@@ -195,16 +188,3 @@ def ols_slope_combine_spark(key: str):
         slope = F.when(ok, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / vx)
         return s.select(key, n.cast("bigint").alias("n"), slope.alias("slope"))
     return fn
-
-
-def trimmed_mean(frac: float = 0.1):
-    """Mean after dropping floor(n * frac) values from each end."""
-    import numpy as np
-    import pandas as pd
-
-    def fn(s: pd.Series) -> float:
-        v = np.sort(s.dropna().to_numpy(dtype=float))
-        k = int(np.floor(len(v) * frac))
-        v = v[k:len(v) - k]
-        return float(v.mean()) if len(v) else float("nan")
-    return fn

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.checks import as_list, numeric_columns, require_columns
+from tessera.operators.groupjoin import join_rows_by
 from tessera.operators.ranking import cut_bin, exact_quantiles
 
 
@@ -157,7 +158,7 @@ def bin_equal_freq(df: DataFrame, col: str, n: int, name: str = "bin", by=()) ->
     by = as_list(by)
     names = [f"_cut{i}" for i in range(1, n)]
     cuts = exact_quantiles(df, col, [i / n for i in range(1, n)], by=by, names=names)
-    joined = df.crossJoin(F.broadcast(cuts)) if not by else df.join(cuts, by, "left")
+    joined = join_rows_by(df, cuts, by)
     return joined.withColumn(name, cut_bin(F.col(col), [F.col(c) for c in names])).drop(*names)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.checks import as_list, require_columns
 from tessera.operators import hotsplit
+from tessera.operators.groupjoin import join_by
 from tessera.operators.verbs import order_cols
 
 RANK_KINDS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile")
@@ -34,7 +35,7 @@ def rank_family(df: DataFrame, by, order, kinds=RANK_KINDS, ntile: int = 4,
     return df.select("*", *[fns[k].over(w).alias(k) for k in as_list(kinds)])
 
 
-def lead_lag(df: DataFrame, by, order, col: str, k: int = 1) -> DataFrame:
+def lead_lag(df: DataFrame, by, order, col: str, k: int = 1, hot_rows: int | None = hotsplit.HOT_ROWS) -> DataFrame:
     """Value k rows back and ahead, difference and growth against k rows back.
     Hot groups run in pieces with a k-row halo (see ``hotsplit``)."""
     def cols(w):
@@ -43,12 +44,12 @@ def lead_lag(df: DataFrame, by, order, col: str, k: int = 1) -> DataFrame:
                 (F.col(col) - lag).alias(f"{col}_diff"), F.try_divide(F.col(col) - lag, lag).alias(f"{col}_growth")]
 
     if all(isinstance(o, str) for o in as_list(order)):
-        return hotsplit.with_halo(df, by, order, k, k, cols)
+        return hotsplit.with_halo(df, by, order, k, k, cols, hot_rows)
     return df.select("*", *cols(_w(by, order)))
 
 
 def cumulative(df: DataFrame, by, order, col: str, any_flag: Column | None = None,
-               all_flag: Column | None = None) -> DataFrame:
+               all_flag: Column | None = None, hot_rows: int | None = hotsplit.HOT_ROWS) -> DataFrame:
     """Running sum, mean, min, max from the first row to the current row, and a
     running any / all of the given boolean columns. Groups above the hot-row
     threshold run in pieces with carried prefix aggregates (see ``hotsplit``)."""
@@ -58,8 +59,8 @@ def cumulative(df: DataFrame, by, order, col: str, any_flag: Column | None = Non
         aggs["cum_any"] = ("any", any_flag)
     if all_flag is not None:
         aggs["cum_all"] = ("all", all_flag)
-    r = hotsplit.running(df, by, order, aggs)
-    r = r.withColumn("cum_mean", F.col("cum_sum") / F.col("__cnt")).drop("__cnt")
+    r = hotsplit.running(df, by, order, aggs, hot_rows)
+    r = r.withColumn("cum_mean", F.try_divide(F.col("cum_sum"), F.col("__cnt"))).drop("__cnt")
     names = ["cum_sum", "cum_mean", "cum_min", "cum_max"] + [k for k in ("cum_any", "cum_all") if k in aggs]
     return r.select(*df.columns, *names)
 
@@ -68,7 +69,7 @@ ROLL_FUNCS = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "median":
 
 
 def rolling_rows(df: DataFrame, by, order, col: str, k: int, fn: str = "mean",
-                 align: str = "right", name: str | None = None) -> DataFrame:
+                 align: str = "right", name: str | None = None, hot_rows: int | None = hotsplit.HOT_ROWS) -> DataFrame:
     """k-row rolling aggregate; NULL where the window holds fewer than k rows.
     ``align='right'`` uses the current and k-1 previous rows; ``'center'`` (odd k)
     uses (k-1)/2 rows on each side."""
@@ -97,12 +98,12 @@ def rolling_rows(df: DataFrame, by, order, col: str, k: int, fn: str = "mean",
         return [F.when(full, val).alias(name or f"{col}_roll_{fn}")]
 
     if all(isinstance(o, str) for o in as_list(order)):
-        return hotsplit.with_halo(df, by, order, -lo, hi, cols)
+        return hotsplit.with_halo(df, by, order, -lo, hi, cols, hot_rows)
     return df.select("*", *cols(_w(by, order)))
 
 
 def rolling_time(df: DataFrame, by, ts: str, col: str, span: str = "1 HOUR",
-                 fns=("sum", "count"), prefix: str = "win_") -> DataFrame:
+                 fns=("sum", "count"), prefix: str = "win_", hot_rows: int | None = hotsplit.HOT_ROWS) -> DataFrame:
     """Aggregates over ``(ts - span, ts]``-style range frames: all rows of the
     group whose time lies within ``span`` before the current row, peers included."""
     by = as_list(by)
@@ -117,15 +118,18 @@ def rolling_time(df: DataFrame, by, ts: str, col: str, span: str = "1 HOUR",
         return [F.expr(f"{sql[f]} {frame}").alias(prefix + f) for f in as_list(fns)]
 
     n, unit = span.split()
-    secs = int(n) * {"SECOND": 1, "MINUTE": 60, "HOUR": 3600, "DAY": 86400}[unit.upper().rstrip("S")]
+    # a halo may be longer than the frame, so a month counts as 31 days here
+    secs = int(n) * {"SECOND": 1, "MINUTE": 60, "HOUR": 3600, "DAY": 86400, "WEEK": 7 * 86400,
+                     "MONTH": 31 * 86400, "YEAR": 366 * 86400}[unit.upper().rstrip("S")]
     # hot groups run in time pieces, each with the rows of the span before it
-    return hotsplit.with_time_halo(df, by, ts, secs, cols)
+    return hotsplit.with_time_halo(df, by, ts, secs, cols, hot_rows)
 
 
 def locf_fill(df: DataFrame, by, order, col: str, direction: str = "forward",
-              max_gap: int | None = None, name: str | None = None) -> DataFrame:
+              max_gap: int | None = None, name: str | None = None, hot_rows: int | None = hotsplit.HOT_ROWS) -> DataFrame:
     """Carry the last (``forward``) or next (``backward``) non-NULL value over
-    NULLs; with ``max_gap``, only across runs of at most that many rows.
+    NULLs; with ``max_gap``, to the rows at most that many rows from the value
+    (of a longer run the nearest ``max_gap`` rows are filled).
     Hot groups run in pieces (see ``hotsplit``); the backward fill is the
     forward fill under the reversed order."""
     if all(isinstance(o, str) for o in as_list(order)):
@@ -135,7 +139,7 @@ def locf_fill(df: DataFrame, by, order, col: str, direction: str = "forward",
             ordr = [o[1:] if o.startswith("-") else "-" + o for o in as_list(order)]
         else:
             raise ValueError(f"direction={direction!r}")
-        return hotsplit.fill_forward(df, by, ordr, col, name or f"{col}_filled", max_gap)
+        return hotsplit.fill_forward(df, by, ordr, col, name or f"{col}_filled", max_gap, hot_rows)
     w = _w(by, order)
     rn = F.row_number().over(w)
     d = df.withColumn("__rn", rn).withColumn(
@@ -188,17 +192,30 @@ def _epoch_micros(c: Column) -> Column:
                             c.cast("timestamp_ntz")).cast("double")
 
 
-def time_bucket_agg(df: DataFrame, by, ts: str, unit: str, aggs: dict, fill: dict | None = None) -> DataFrame:
-    """Regular series: rows truncated to ``unit`` buckets (``hour``, ``day``...)
-    and aggregated; every bucket between a group's first and last one is kept,
+def time_bucket_agg(df: DataFrame, by, ts: str, unit: str, aggs: dict, fill: dict | None = None,
+                    width: int = 1) -> DataFrame:
+    """Regular series: rows cut into buckets of ``width`` units (15 ``minute``, 2 ``hour``,
+    ``day``, ``quarter``...; counted from 1970-01-01, weeks from their Monday) and aggregated; every bucket between a group's first and last one is kept,
     empty ones with ``fill`` values. The spine is one row per bucket per group,
     made by ``sequence`` from the group's own bounds (its size is the time span
     over the bucket width, not the row count)."""
     by = as_list(by)
-    bucket = F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")
+    unit = unit.lower()
+    whole = F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")
+    if unit in ("month", "quarter", "year"):
+        months = {"month": 1, "quarter": 3, "year": 12}[unit] * width
+        number = (F.year(whole) - 1970) * 12 + F.month(whole) - 1
+        bucket = F.add_months(F.lit("1970-01-01").cast("date"), (F.floor(number / months) * months).cast("int")).cast("timestamp_ntz")
+        step = F.expr(f"INTERVAL {months} MONTH")
+    else:
+        secs = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400}[unit] * width
+        origin = F.lit("1969-12-29 00:00:00" if unit == "week" else "1970-01-01 00:00:00").cast("timestamp_ntz")
+        at = F.timestamp_diff("SECOND", origin, whole)
+        bucket = origin + F.make_dt_interval(secs=F.floor(at / secs) * secs)
+        step = F.expr(f"INTERVAL {secs} SECOND")
     g = df.groupBy(*by, bucket.alias("bucket")).agg(*[v.alias(k) for k, v in aggs.items()])
     bounds = g.groupBy(*by).agg(F.min("bucket").alias("__lo"), F.max("bucket").alias("__hi"))
-    spine = bounds.select(*by, F.explode(F.sequence("__lo", "__hi", F.expr(f"INTERVAL 1 {unit.upper()}")))
+    spine = bounds.select(*by, F.explode(F.sequence("__lo", "__hi", step))
                           .alias("bucket"))
-    out = spine.join(g, [*by, "bucket"], "left")
+    out = join_by(spine, g, [*by, "bucket"])
     return out.fillna(fill) if fill else out

@@ -136,13 +136,14 @@ def q_breakpoints(t):
 @register("t_test_welch", sql="""
 WITH m AS (SELECT o_orderpriority AS level, count(*) AS n, avg(o_totalprice) AS mean, var_samp(o_totalprice) AS var
            FROM orders GROUP BY 1),
-r AS (SELECT n AS n0, mean AS m0, var AS v0 FROM m WHERE level = '1-URGENT')
-SELECT level, '1-URGENT' AS reference, round(mean - m0, 6) AS mean_diff,
+r AS (SELECT level AS reference, n AS n0, mean AS m0, var AS v0 FROM m)
+SELECT level, reference, round(mean - m0, 6) AS mean_diff,
        round((mean - m0) / sqrt(var / n + v0 / n0), 6) AS t,
        round((var / n + v0 / n0) ^ 2 / ((var / n) ^ 2 / (n - 1) + (v0 / n0) ^ 2 / (n0 - 1)), 6) AS df
-FROM m, r WHERE level <> '1-URGENT'""")
+FROM m JOIN r ON reference < level""")
 def q_t_test_welch(t):
-    r = ST.t_test_welch(t.orders, "o_orderpriority", "o_totalprice", "1-URGENT")
+    """Every pair of order priorities."""
+    r = ST.t_test_welch(t.orders, "o_orderpriority", "o_totalprice")
     return r.withColumns({c: F.round(c, 6) for c in ("mean_diff", "t", "df")})
 
 

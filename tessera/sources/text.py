@@ -14,11 +14,12 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: st
                    header: bool = True, keep_corrupt: bool = True) -> DataFrame:
     """Typed read of delimited text. Rows that do not parse are kept, with NULL
     fields and the raw line in ``_corrupt_record`` (PERMISSIVE mode). The text
-    tokens "" and "NA" read as NULL. For cp1252 files Spark needs
-    ``spark.sql.legacy.javaCharsets=true``; ISO-8859-1 differs in 0x80-0x9F."""
+    tokens "" and "NA" read as NULL. For cp1252 files the session must have
+    ``spark.sql.legacy.javaCharsets=true``, which only its owner sets; ISO-8859-1
+    differs in 0x80-0x9F."""
     if encoding.lower().replace("_", "-") in ("cp1252", "windows-1252"):
-        # Spark only accepts this Java charset name with the legacy flag on
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        if str(spark.conf.get("spark.sql.legacy.javaCharsets", "false")).lower() != "true":
+            raise ValueError("set spark.sql.legacy.javaCharsets=true to read cp1252 files")
         encoding = "windows-1252"
     fields = list(schema.fields)
     if keep_corrupt and CORRUPT not in schema.fieldNames():
@@ -41,9 +42,10 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = Tru
 
 def write_partitioned(df: DataFrame, path: str, fmt: str = "parquet", by=()) -> str:
     """Write partitioned by ``by`` columns (one folder per value). Rows are first
-    clustered on the partition columns so each task writes few files."""
+    rebalanced on the partition columns: AQE joins small values into one task
+    and splits a large one over several, each writing a file of its own."""
     by = list(by)
-    w = df.repartition(*by) if by else df
+    w = df.hint("rebalance", *by) if by else df
     w.write.mode("overwrite").format(fmt).partitionBy(*by).save(path)
     return path
 

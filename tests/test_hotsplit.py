@@ -131,3 +131,20 @@ def test_halo_windows_match_plain_window(spark, small_dir):
     assert len(got) == len(want)
     for c in ("lag2", "lead1", "roll3", "n3"):
         assert ((got[c].fillna(-1) - want[c].fillna(-1)).abs() < 1e-9).all(), c
+
+
+def test_nulls_text_and_descending_orders(spark, small_dir):
+    """NULL group keys and order values, text orders, either direction, no group: split equals plain."""
+    o = _orders(spark, small_dir).select(
+        F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey") % 4).alias("g"), "o_orderkey",
+        F.when(F.col("o_orderkey") % 6 != 0, F.col("o_totalprice")).alias("x"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit("t"), (F.col("o_orderkey") * 31 % 97).cast("string"))).alias("t"))
+    kinds = ["row_number", "rank", "dense_rank", "cume_dist", "ntile"]
+    aggs = {"s": ("sum", F.col("o_orderkey")), "n": ("count", F.col("x")), "hi": ("max", F.col("t"))}
+    for by in ("g", []):
+        for order in (["-x", "o_orderkey"], ["t", "o_orderkey"], ["-t", "-o_orderkey"], ["x", "o_orderkey"]):
+            for fn in (lambda hot: H.ranks(o, by, order, kinds, ntile=5, hot_rows=hot),
+                       lambda hot: H.running(o, by, order, aggs, hot_rows=hot),
+                       lambda hot: H.fill_forward(o, by, order, "x", "f", max_gap=2, hot_rows=hot)):
+                plain, split = (fn(h).toPandas().set_index("o_orderkey").sort_index() for h in (None, 50))
+                pd.testing.assert_frame_equal(plain[sorted(plain.columns)], split[sorted(plain.columns)], check_dtype=False)
