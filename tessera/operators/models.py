@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 def formula_encode(df: DataFrame, formula: str, keep=()) -> DataFrame:
     """R-style formula to (label, features): categorical terms one-hot encoded
     (reference level dropped), numeric terms as they are. Features are
-    returned as an array column next to the kept columns."""
-    rf = RFormula(formula=formula, featuresCol="__f", labelCol="label", handleInvalid="keep")
+    returned as an array column next to the kept columns. Rows with a NULL input are
+    left out; levels are in order of frequency, then name, and the last is the reference."""
+    rf = RFormula(formula=formula, featuresCol="__f", labelCol="label", handleInvalid="skip")
     m = rf.fit(df)
     out = m.transform(df)
     return out.select(*keep, "label", vector_to_array("__f").alias("features"))

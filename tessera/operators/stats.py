@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.checks import as_list, require_columns
 from tessera.operators.groupjoin import join_by, join_rows_by, safe_corr
 from tessera.operators.ranking import exact_quantiles, sorted_cumulative
+from tessera.operators.verbs import seeded_hash
 
 
 # ---------------------------------------------------------------- group tests
@@ -281,22 +282,29 @@ def naive_bayes_moments(df: DataFrame, label: str, xs) -> DataFrame:
 
 
 def naive_bayes_scores(df: DataFrame, label: str, xs, key: str, max_classes: int = 1000) -> DataFrame:
-    """Per row: log posterior (up to a constant) for each class and the
-    predicted class. The class table is broadcast after its size is checked."""
+    """Per row: the predicted class (the first of equals) and its log posterior (up
+    to a constant). The class table is broadcast after its size is checked."""
     xs = as_list(xs)
     mom = naive_bayes_moments(df, label, xs)
     if mom.count() > max_classes:
         raise ValueError("too many classes for a broadcast class table")
-    ll = F.log(F.col("prior"))
-    for x in xs:
-        v = F.col(f"var_{x}")
-        ll = ll - 0.5 * F.log(2 * math.pi * v) - (F.col(x) - F.col(f"mean_{x}")) ** 2 / (2 * v)
-    scored = df.select(key, *xs).crossJoin(F.broadcast(mom.select(F.col(label).alias("class"), "prior",
-                                                                   *[f"mean_{x}" for x in xs],
-                                                                   *[f"var_{x}" for x in xs])))
-    s = scored.select(key, "class", ll.alias("log_post"))
-    best = s.groupBy(key).agg(F.max_by("class", "log_post").alias("predicted"), F.max("log_post").alias("log_post"))
-    return best
+    # the class table is one row, an array of its classes in order: rows are scored where they are
+    fields = ["prior", *[f"{m}_{x}" for x in xs for m in ("mean", "var")]]
+    table = mom.where(F.col(label).isNotNull()).agg(F.array_sort(F.collect_list(
+        F.struct(F.col(label).alias("class"), *fields))).alias("__classes"))
+
+    def log_post(c):
+        ll = F.log(c["prior"])
+        for x in xs:
+            # a constant feature says nothing about its class
+            v = F.nullif(c[f"var_{x}"], F.lit(0.0))
+            ll = ll - F.coalesce(0.5 * F.log(2 * math.pi * v) + (F.col(x) - c[f"mean_{x}"]) ** 2 / (2 * v), F.lit(0.0))
+        return ll
+
+    scored = df.select(key, *xs).crossJoin(F.broadcast(table))
+    best = F.array_max(F.transform("__classes", lambda c, i: F.struct(log_post(c).alias("ll"), (-i).alias("at"))))
+    return scored.withColumn("__best", best).select(
+        key, F.get("__classes", -F.col("__best.at"))["class"].alias("predicted"), F.col("__best.ll").alias("log_post"))
 
 
 # ---------------------------------------------------------------- preprocessing
@@ -378,7 +386,7 @@ def split_stratified(df: DataFrame, key: str, strata: str | None = None, p: floa
     Positions come from the distributed rank recipe, so a large stratum is not
     sorted in one task."""
     s = [strata] if strata else []
-    h = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+    h = df.withColumn("__h", seeded_hash(key, seed))
     hist = h.groupBy(*s, "__h").agg(F.count(F.lit(1)).alias("_n"))
     cum = sorted_cumulative(hist, "__h", ["_n"], s)
     pos = join_by(h, cum.drop("_n"), [*s, "__h"], "inner")

@@ -177,6 +177,12 @@ def slice_top(df: DataFrame, by, order, n: int, ties: bool = False) -> DataFrame
     return df.withColumn("_r", fn.over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def seeded_hash(key: str, seed: int) -> Column:
+    """A whole number below 2^60 from the md5 of ``key|seed``, the same in any engine; a NULL key hashes like ""."""
+    text = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f"|{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def sample_rows(df: DataFrame, frac, by: str | None = None, seed: int = 42,
                 key: str | None = None) -> DataFrame:
     """Bernoulli sample; stratified when ``frac`` is a dict keyed by ``by`` values.
@@ -185,8 +191,7 @@ def sample_rows(df: DataFrame, frac, by: str | None = None, seed: int = 42,
     fraction, so the sample is repeatable across runs and partitionings."""
     if key is not None:
         require_columns(df, key)
-        u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000_007))
-             / F.lit(1_000_000_007.0))
+        u = seeded_hash(key, seed) / F.lit(2.0 ** 60)
         if isinstance(frac, dict):
             f = F.lit(0.0)
             for v, p in frac.items():

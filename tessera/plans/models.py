@@ -16,7 +16,12 @@ def labelled_docs(t):
         t.labels.select("doc_id", "quality"), "doc_id")
 
 
-@register("formula_encode")
+@register("formula_encode", sql="""
+WITH d AS (SELECT d.doc_id, d.n_chars, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id)),
+lv AS (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, lang) AS i, count(*) OVER () AS k FROM d GROUP BY lang)
+SELECT doc_id, CAST(quality AS DOUBLE) AS label,
+       list_prepend(CAST(n_chars AS DOUBLE), (SELECT list(CAST(lv.lang = d.lang AS DOUBLE) ORDER BY i) FROM lv WHERE i < k)) AS features
+FROM d""")
 def q_formula_encode(t):
     """quality ~ n_chars + lang: label and one-hot feature vector per document."""
     return MD.formula_encode(labelled_docs(t), "quality ~ n_chars + lang", keep=["doc_id"])

@@ -281,7 +281,17 @@ def q_json_column(t):
     return TX.json_column(e, "props", "k BIGINT").drop("props")
 
 
-@register("html_extract")
+@register("html_extract", sql="""
+WITH p AS (SELECT page_id, html,
+  regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+                 '(?s)<head>.*?</head>|<script.*?</script>|<style.*?</style>', '', 'g'), '(?s)<[^>]*>', ' ', 'g') AS body,
+  regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS head FROM pages),
+u AS (SELECT page_id, html,
+  replace(replace(replace(replace(replace(replace(replace(body, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS body,
+  replace(replace(replace(replace(replace(head, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS head FROM p)
+SELECT page_id, nullif(trim(regexp_replace(head, '\\s+', ' ', 'g')), '') AS title,
+       CAST(len(regexp_extract_all(html, '<a [^>]*href')) AS INTEGER) AS n_links,
+       CAST(length(trim(regexp_replace(body, '\\s+', ' ', 'g'))) AS INTEGER) AS text_chars FROM u""")
 def q_html_extract(t):
-    """Title, link count and visible text length per page (rows-only check)."""
+    """Title, link count and visible text length per page."""
     return TX.html_extract(t.pages)

@@ -311,10 +311,21 @@ def q_robust_se_hc0(t):
     return r.withColumns({k: F.round(k, 6) for k in ("estimate", "std_error")})
 
 
-@register("robust_se_cluster")
+@register("robust_se_cluster", sql="""
+WITH b AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b1, regr_intercept(l_extendedprice, l_quantity) AS b0,
+                  count(*) AS n, avg(l_quantity) AS mx, var_pop(l_quantity) * count(*) AS sxx FROM lineitem),
+s AS (SELECT l_orderkey, sum(l_extendedprice - b0 - b1 * l_quantity) AS e,
+             sum((l_extendedprice - b0 - b1 * l_quantity) * l_quantity) AS ex FROM lineitem, b GROUP BY l_orderkey),
+m AS (SELECT sum(e * e) AS m00, sum(e * ex) AS m01, sum(ex * ex) AS m11, count(*) AS g FROM s),
+v AS (SELECT *, (g / (g - 1.0)) * ((n - 1.0) / (n - 2.0)) AS c, 1.0 / n + mx * mx / sxx AS i00, -mx / sxx AS i01, 1 / sxx AS i11 FROM m, b)
+SELECT '(Intercept)' AS term, round(b0, 4) AS estimate,
+       round(sqrt(c * (i00 * i00 * m00 + 2 * i00 * i01 * m01 + i01 * i01 * m11)), 4) AS std_error, 'cluster' AS kind FROM v
+UNION ALL
+SELECT 'l_quantity', round(b1, 4), round(sqrt(c * (i01 * i01 * m00 + 2 * i01 * i11 * m01 + i11 * i11 * m11)), 4), 'cluster' FROM v""")
 def q_robust_se_cluster(t):
-    """Cluster-robust (by order) standard errors, two regressors."""
-    return ST.robust_se(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"], cluster="l_orderkey")
+    """Cluster-robust (by order) standard errors."""
+    r = ST.robust_se(t.lineitem, "l_extendedprice", ["l_quantity"], cluster="l_orderkey")
+    return r.withColumns({k: F.round(k, 4) for k in ("estimate", "std_error")})
 
 
 @register("naive_bayes", sql=f"""
@@ -329,11 +340,15 @@ def q_naive_bayes(t):
                           "prior": F.round("prior", 6)})
 
 
-@register("naive_bayes_scores")
+@register("naive_bayes_scores", sql="""
+WITH s AS (SELECT d.doc_id, d.n_chars, l.quality FROM documents d JOIN labels l USING (doc_id)),
+g AS (SELECT quality, count(*) / (SELECT count(*) FROM s) AS prior, avg(n_chars) AS m, var_pop(n_chars) AS v FROM s GROUP BY 1),
+p AS (SELECT doc_id, g.quality, ln(prior) - 0.5 * ln(2 * pi() * v) - (n_chars - m) ^ 2 / (2 * v) AS ll FROM s, g)
+SELECT doc_id, arg_max(quality, ll) AS predicted, round(max(ll), 6) AS log_post FROM p GROUP BY doc_id""")
 def q_naive_bayes_scores(t):
     """Gaussian naive Bayes predicted quality per labelled document."""
     d = t.documents.select("doc_id", "n_chars").join(t.labels.select("doc_id", "quality"), "doc_id")
-    return ST.naive_bayes_scores(d, "quality", ["n_chars"], key="doc_id")
+    return ST.naive_bayes_scores(d, "quality", ["n_chars"], key="doc_id").withColumn("log_post", F.round("log_post", 6))
 
 
 _NZV_COLS = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -395,7 +410,11 @@ def q_drop_correlated(t):
     return ST.drop_correlated(li, ["l_quantity", "l_extendedprice", "l_net", "l_discount", "l_tax"], 0.5)
 
 
-@register("split_stratified")
+@register("split_stratified", sql="""
+WITH r AS (SELECT o_orderkey, o_orderstatus,
+  row_number() OVER (PARTITION BY o_orderstatus ORDER BY CAST('0x' || substr(md5(o_orderkey || '|42'), 1, 15) AS BIGINT), o_orderkey) - 1 AS pos,
+  count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
+SELECT o_orderkey, o_orderstatus, pos < floor(0.8 * n) AS is_train, CAST(pos % 5 AS INTEGER) AS fold FROM r""")
 def q_split_stratified(t):
     """Repeatable 80/20 split and 5 folds of orders, stratified by status."""
     return ST.split_stratified(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus",

@@ -266,10 +266,14 @@ def q_distinct_count(t):
     return A.distinct_count(t.lineitem, "l_returnflag", "l_partkey")
 
 
-@register("distinct_count_approx")
+@register("distinct_count_approx", sql="""
+SELECT l_returnflag, count(DISTINCT l_partkey) AS n_exact, true AS within_15_percent FROM lineitem GROUP BY l_returnflag""")
 def q_distinct_count_approx(t):
-    """HyperLogLog++ distinct parts per return flag (rows-only check)."""
-    return A.distinct_count(t.lineitem, "l_returnflag", "l_partkey", approx=True)
+    """HyperLogLog++ distinct parts per return flag, beside the exact count."""
+    approx = A.distinct_count(t.lineitem, "l_returnflag", "l_partkey", approx=True)
+    exact = A.distinct_count(t.lineitem, "l_returnflag", "l_partkey").withColumnRenamed("n_distinct", "n_exact")
+    return approx.join(exact, "l_returnflag").select(
+        "l_returnflag", "n_exact", (F.abs(F.col("n_distinct") - F.col("n_exact")) <= 0.15 * F.col("n_exact")).alias("within_15_percent"))
 
 
 @register("quantiles_by", sql="""
@@ -283,10 +287,17 @@ def q_quantiles_by(t):
     return q.select("o_orderpriority", *[F.round(c, 6).alias(c) for c in ("q10", "q25", "q50", "q75", "q90")])
 
 
-@register("quantiles_by_approx")
+@register("quantiles_by_approx", sql="""
+SELECT o_orderpriority, count(*) AS n, true AS ranks_within_1_percent FROM orders GROUP BY o_orderpriority""")
 def q_quantiles_by_approx(t):
-    """percentile_approx quantiles per priority (asked for explicitly; rows-only check)."""
-    return A.quantiles_by(t.orders, "o_orderpriority", "o_totalprice", [0.1, 0.25, 0.5, 0.75, 0.9], approx=True)
+    """percentile_approx quantiles per priority (asked for explicitly): are their ranks within 1 % of what was asked?"""
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    q = A.quantiles_by(t.orders, "o_orderpriority", "o_totalprice", probs, approx=True, names=[f"q{i}" for i in range(5)])
+    n = F.count(F.lit(1))
+    near = [(F.count_if(F.col("o_totalprice") <= F.col(f"q{i}")) >= n * (p - 0.01) - 1)
+            & (F.count_if(F.col("o_totalprice") < F.col(f"q{i}")) <= n * (p + 0.01) + 1) for i, p in enumerate(probs)]
+    return t.orders.join(q, "o_orderpriority").groupBy("o_orderpriority").agg(
+        n.alias("n"), (near[0] & near[1] & near[2] & near[3] & near[4]).alias("ranks_within_1_percent"))
 
 
 @register("weighted_stats", sql="""
@@ -386,13 +397,16 @@ def q_slice_top_ties(t):
                        ["-o_orderdate"], 1, ties=True)
 
 
-@register("sample_rows")
+@register("sample_rows", sql="""
+SELECT * FROM orders WHERE CAST('0x' || substr(md5(o_orderkey || '|7'), 1, 15) AS BIGINT) / 1152921504606846976.0 < 0.1""")
 def q_sample_rows(t):
     """Repeatable 10% Bernoulli sample of orders by a seeded hash of the key."""
     return V.sample_rows(t.orders, 0.1, seed=7, key="o_orderkey")
 
 
-@register("sample_rows_stratified")
+@register("sample_rows_stratified", sql="""
+SELECT * FROM orders WHERE CAST('0x' || substr(md5(o_orderkey || '|7'), 1, 15) AS BIGINT) / 1152921504606846976.0
+  < CASE o_orderstatus WHEN 'F' THEN 0.2 WHEN 'O' THEN 0.05 WHEN 'P' THEN 0.05 ELSE 0 END""")
 def q_sample_rows_strata(t):
     """Stratified repeatable sample: 20% of 'F' orders, 5% of the others."""
     return V.sample_rows(t.orders, {"F": 0.2, "O": 0.05, "P": 0.05}, by="o_orderstatus", seed=7,

@@ -146,5 +146,5 @@ def test_drop_correlated_drops_net_price(spark, medium_dir):
 def test_formula_names(spark, small_dir):
     docs = spark.read.parquet(f"{small_dir}/documents.parquet").withColumn("y", F.lit(1.0))
     enc = MD.formula_encode(docs, "y ~ n_chars + lang")
-    # n_chars + 3 of 4 languages (reference level dropped) + the slot kept for unseen levels
-    assert enc.select(F.size("features")).first()[0] == 5
+    # n_chars + 3 of 4 languages (reference level dropped)
+    assert enc.select(F.size("features")).first()[0] == 4
