@@ -61,35 +61,58 @@ class Piece:
                 Piece(self.doc, self.start + n, self.ids[n:], self.total, self.loss_at))
 
 
-def fill(pool: list[Piece], limits: Limits, cut: bool = True) -> list[Piece]:
+class Pool:
+    """Pieces that wait, with their size vectors (tokens, 1 segment, loss tokens) as one array."""
+
+    def __init__(self, pieces: list[Piece]):
+        self.pieces = pieces
+        self.sizes = np.array([(len(p.ids), 1, p.loss()) for p in pieces], float).reshape(-1, 3)
+        self.free = np.ones(len(pieces), bool)
+        self.left = len(pieces)
+
+    def take(self, k: int) -> Piece:
+        self.free[k] = False
+        self.left -= 1
+        return self.pieces[k]
+
+    def give(self, k: int, p: Piece) -> None:
+        """Put the rest of a cut piece back in its place."""
+        self.pieces[k], self.sizes[k], self.free[k] = p, (len(p.ids), 1, p.loss()), True
+        self.left += 1
+
+    def waiting(self) -> list[Piece]:
+        return [self.pieces[k] for k in np.flatnonzero(self.free)]
+
+    def tokens(self) -> int:
+        return int(self.sizes[self.free, 0].sum())
+
+
+def fill(pool: Pool, limits: Limits, cut: bool = True) -> list[Piece]:
     """Take one sequence's pieces out of the pool by the dot-product heuristic."""
     cap = np.array([limits.tokens, limits.segments, limits.loss], float)
-    sizes = np.array([(len(p.ids), 1, p.loss()) for p in pool], float)
-    free, room, taken = np.ones(len(pool), bool), cap.copy(), []
-    gone, extra = [], []
+    room, taken, rests = cap.copy(), [], []
+    share = pool.sizes / cap
     while room[0] > 0 and room[1] > 0:
-        fits = free & (sizes <= room).all(1)
+        fits = pool.free & (pool.sizes <= room).all(1)
         if fits.any():
-            k = int(np.argmax(np.where(fits, (sizes / cap) @ (room / cap), -1.0)))
-            taken.append(pool[k])
-            room -= sizes[k]
-        else:
-            rest = np.flatnonzero(free)
-            if not cut or not len(rest) or room[2] < 1:
-                break
-            k = int(rest[np.argmax(sizes[rest, 0])])
-            p, n = pool[k], int(room[0])
-            n = min(n, max(0, p.loss_at - p.start) + int(room[2]), len(p.ids) - 1)
-            if n < 1:
-                break
-            head, tail = p.cut(n)
-            taken.append(head)
-            extra.append(tail)
-            room -= (len(head.ids), 1, head.loss())
-        free[k] = False
-        gone.append(k)
-    drop = set(gone)
-    pool[:] = [p for i, p in enumerate(pool) if i not in drop] + extra
+            k = int(np.argmax(np.where(fits, share @ (room / cap), -1.0)))
+            room -= pool.sizes[k]
+            taken.append(pool.take(k))
+            continue
+        if not cut or not pool.free.any() or room[2] < 1:
+            break
+        k = int(np.argmax(np.where(pool.free, pool.sizes[:, 0], -1.0)))
+        p = pool.pieces[k]
+        n = min(int(room[0]), max(0, p.loss_at - p.start) + int(room[2]), len(p.ids) - 1)
+        if n < 1:
+            break
+        pool.take(k)
+        head, tail = p.cut(n)
+        taken.append(head)
+        rests.append((k, tail))
+        room -= (len(head.ids), 1, head.loss())
+    for k, tail in rests:
+        pool.give(k, tail)
     return taken
 
 
@@ -97,7 +120,7 @@ def pack(items: Iterator[Piece], limits: Limits, pool_size: int = 512, cut: bool
     """Sequences of pieces, in bounded memory.
 
     With ``cut=False`` an item beyond a limit is an error, since it can't stay whole."""
-    pool: list[Piece] = []
+    waiting: list[Piece] = []
     for p in items:
         while cut and len(p.ids) >= limits.tokens and limits.loss >= limits.tokens:
             head, p = p.cut(limits.tokens)
@@ -105,14 +128,17 @@ def pack(items: Iterator[Piece], limits: Limits, pool_size: int = 512, cut: bool
         if not cut and (len(p.ids) > limits.tokens or p.loss() > limits.loss):
             raise ValueError(f"document {p.doc} has {len(p.ids)} tokens, {p.loss()} with loss; a sequence takes {limits}")
         if len(p.ids):
-            pool.append(p)
-        if len(pool) >= pool_size:
-            while len(pool) > pool_size // 2:
+            waiting.append(p)
+        if len(waiting) >= pool_size:
+            pool = Pool(waiting)
+            while pool.left > pool_size // 2:
                 yield fill(pool, limits, cut)
-    while pool and (not cut or sum(len(p.ids) for p in pool) >= limits.tokens or len(pool) > limits.segments):
+            waiting = pool.waiting()
+    pool = Pool(waiting)
+    while pool.left and (not cut or pool.tokens() >= limits.tokens or pool.left > limits.segments):
         yield fill(pool, limits, cut)
-    while pool:  # the end: lengths that are powers of two
-        n = min(limits.tokens, limits.loss, 1 << (sum(len(p.ids) for p in pool).bit_length() - 1))
+    while pool.left:  # the end: lengths that are powers of two
+        n = min(limits.tokens, limits.loss, 1 << (pool.tokens().bit_length() - 1))
         yield fill(pool, Limits(n, limits.segments, n), cut)
 
 

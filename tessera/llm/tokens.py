@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 _SPLITS_ALIKE = re.compile(r"\s ")
-_LETTERS = re.compile(r"[^\W\d_]+\Z")
 #: ASCII characters that are neither letters, digits nor white space, except the apostrophe, which starts contractions.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -28,7 +28,7 @@ def byte_letters() -> dict[int, str]:
 class CachedEncoder(dict):
     """``ids(text)`` of a tokenizers file. As a dict: a stretch between spaces to the ids' bytes, with its leading space."""
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 1_600_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -41,15 +41,15 @@ class CachedEncoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str, space: str) -> bytes:
-        if not _LETTERS.match(word):
+        if not word.isalpha():  # letters of any script, as the vocabulary's pattern has them
             return self._whole(space + word)
         piece = (space + word).encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _marked(self, chunk: str, space: str) -> bytes:
         """A word with marks behind it: letters and marks never share a token."""
         word = chunk.rstrip(_MARKS)
-        if not word or word == chunk or not _LETTERS.match(word):
+        if not word or word == chunk or not word.isalpha():
             return self._word(chunk, space)
         tail = chunk[len(word):]
         if tail not in self.marks:

@@ -181,7 +181,7 @@ def test_whole_examples_stay_whole():
 
 
 @pytest.mark.parametrize("text", ["", " ", "  two", "a  b", "a\n b", "x\n\n y", "don't it's", "end\n", "a.\nB c", "tab\there now", "wörter, ñ! é\nç 12a a12",
-                                  "\n", "a \nb", "x  y", "trail ", "multi   space", "p.,!? q##", "日本 語 text", "<|endoftext|> a", "word\nTail2 x"])
+                                  "\n", "a \nb", "x  y", "trail ", "multi   space", "p.,!? q##", "日本 語 text", "<|endoftext|> a", "word\nTail2 x", "x² a½ Ⅷ b", "क्षत्रिय e\u0301 a\u200db", "ǅ ʰ ª"])
 def test_cached_encoder(text):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
