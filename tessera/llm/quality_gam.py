@@ -211,9 +211,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
             yield pa.RecordBatch.from_arrays([pa.array(x[:, j]) for j in range(x.shape[1])] + [b.column(1)], names=[*names, "label"])
 
     rows = sample(docs, labels, label, folds, fold, params.most_rows, key, text).mapInArrow(
-        run, ", ".join(f"{c} double" for c in names) + ", label int").orderBy(*names, "label").toArrow()  # at most most_rows rows
+        run, ", ".join(f"{c} double" for c in names) + ", label int").toArrow()  # at most most_rows rows
     x = np.stack([rows.column(c).to_numpy() for c in names], axis=1)
-    return fit(x, rows.column("label").to_numpy().astype(float), params)
+    y = rows.column("label").to_numpy().astype(float)
+    order = np.lexsort([y, *x.T])  # sums come out alike whatever order the rows arrive in
+    return fit(x[order], y[order], params)
 
 
 def score(docs: DataFrame, model: Model, folds: int = 3, fold: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
