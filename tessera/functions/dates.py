@@ -121,9 +121,12 @@ def business_calendar(spark_df_with_dates: DataFrame, date_col: str, holidays: D
     numbers it runs over a span-sized table, not over the data."""
     bounds = spark_df_with_dates.agg(F.min(F.to_date(date_col)).alias("lo"),
                                      F.max(F.to_date(date_col)).alias("hi"))
-    # pad the end so that a next business day exists for the last dates
-    days = bounds.select(F.explode(F.sequence("lo", F.date_add("hi", 14))).alias("dt"))
     hol = holidays.select(F.to_date(holiday_col).alias("dt")).distinct().withColumn("__hol", F.lit(True))
+    # pad the end so that a next business day exists for the last dates, even after a run of
+    # holidays: a closed run of n days holds at least 3n/7 - 2 of them outside the weekend
+    later = bounds.crossJoin(hol.select(F.col("dt").alias("__h"))).groupBy("lo", "hi").agg(F.count_if(F.col("__h") > F.col("hi")).alias("n"))
+    padded = bounds.join(later.select("lo", "n"), "lo", "left").select("lo", F.date_add("hi", (14 + 3 * F.coalesce("n", F.lit(0))).cast("int")).alias("end"))
+    days = padded.select(F.explode(F.sequence("lo", "end")).alias("dt"))
     cal = days.join(F.broadcast(hol), "dt", "left").withColumn(
         "is_business", (~F.weekday("dt").isin([d - 1 for d in weekend])) & F.col("__hol").isNull())
     w = Window.orderBy("dt")
@@ -132,3 +135,19 @@ def business_calendar(spark_df_with_dates: DataFrame, date_col: str, holidays: D
     cal = cal.withColumn("next_bd", F.first(F.when(F.col("is_business"), F.col("dt")), ignorenulls=True).over(
         w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     return cal.select("dt", "is_business", "bd_index", "next_bd")
+
+
+def business_days(df: DataFrame, start: str, end: str, holidays: DataFrame, holiday_col: str = "dt",
+                  weekend=(6, 7)) -> DataFrame:
+    """Adds ``start_is_business``, ``start_next_bd`` (first business day on or after the
+    start) and ``business_days`` (business days after the start up to and including the
+    end; negative if the end is earlier). NULL dates give NULL. The calendar has one row per day of the span of both
+    columns, which bounds what is broadcast."""
+    dates = df.select(F.explode(F.array(F.to_date(start), F.to_date(end))).alias("__d"))
+    cal = business_calendar(dates, "__d", holidays, holiday_col, weekend)
+    first = cal.select(F.col("dt").alias("__s"), F.col("is_business").alias("start_is_business"),
+                       F.col("next_bd").alias("start_next_bd"), F.col("bd_index").alias("__bs"))
+    last = cal.select(F.col("dt").alias("__e"), F.col("bd_index").alias("__be"))
+    j = (df.join(F.broadcast(first), F.to_date(start) == F.col("__s"), "left")
+         .join(F.broadcast(last), F.to_date(end) == F.col("__e"), "left"))
+    return j.select(*df.columns, "start_is_business", "start_next_bd", (F.col("__be") - F.col("__bs")).alias("business_days"))

@@ -34,6 +34,16 @@ def formula_encode(df: DataFrame, formula: str, keep=()) -> DataFrame:
     return out.select(*keep, "label", vector_to_array("__f").alias("features"))
 
 
+def design(df: DataFrame, formula: str, keep=()) -> tuple[DataFrame, str, list[str]]:
+    """The columns of an R-style formula: (frame with the kept columns, the label as ``label`` and one
+    numeric column per term, "label", term names). Categorical terms become 0/1 columns, the reference
+    level dropped; rows with a NULL input are left out."""
+    out = RFormula(formula=formula, featuresCol="__f", labelCol="label", handleInvalid="skip").fit(df).transform(df)
+    names = feature_names(out, "__f")
+    f = vector_to_array("__f")
+    return out.select(*keep, "label", *[f[i].alias(n) for i, n in enumerate(names)]), "label", names
+
+
 def feature_names(encoded: DataFrame, col: str = "features") -> list[str]:
     """Names of the slots of an ML vector column (from its attribute metadata)."""
     meta = encoded.schema[col].metadata.get("ml_attr", {}).get("attrs", {})

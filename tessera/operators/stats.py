@@ -177,11 +177,20 @@ def _ols(df: DataFrame, y: str, xs: list[str]):
     return n, means, cov, b, b0, rss, tss
 
 
-def lm_fit(df: DataFrame, y: str, xs) -> DataFrame:
-    """Least squares with intercept: rows (term, estimate, std_error, t_value)
+def _terms(df: DataFrame, y: str, xs, keep=()):
+    """Numeric columns as given, or those of a formula ``y ~ a + b`` passed as ``y``."""
+    if xs is None or "~" in y:
+        from tessera.operators.models import design
+        return design(df, y, keep)
+    return df, y, as_list(xs)
+
+
+def lm_fit(df: DataFrame, y: str, xs=None) -> DataFrame:
+    """Least squares with intercept, of ``y`` on numeric columns ``xs`` or of a formula
+    ``"y ~ a + b"`` (categorical terms allowed): rows (term, estimate, std_error, t_value)
     plus r_squared and n on every row. One aggregate job; the (k+1)x(k+1)
     co-moment matrix is solved on the driver."""
-    xs = as_list(xs)
+    df, y, xs = _terms(df, y, xs)
     require_columns(df, y, *xs)
     n, means, cov, b, b0, rss, tss = _ols(df, y, xs)
     k = len(xs)
@@ -197,16 +206,16 @@ def lm_fit(df: DataFrame, y: str, xs) -> DataFrame:
         "term string, estimate double, std_error double, t_value double, r_squared double, n long")
 
 
-def robust_se(df: DataFrame, y: str, xs, kind: str = "HC1", cluster: str | None = None) -> DataFrame:
+def robust_se(df: DataFrame, y: str, xs=None, kind: str = "HC1", cluster: str | None = None) -> DataFrame:
     """Heteroskedasticity- (HC0, HC1) or cluster-robust standard errors.
 
     Pass 1 fits by co-moments; pass 2 aggregates the meat X' diag(e^2) X (or,
     with ``cluster``, per-cluster score sums then their outer products) as k^2
     sums; the sandwich is formed on the driver."""
-    xs = as_list(xs)
+    df, y, xs = _terms(df, y, xs, [cluster] if cluster else [])
     n, means, cov, b, b0, rss, tss = _ols(df, y, xs)
     k = len(xs) + 1
-    design = [F.lit(1.0)] + [F.col(x).cast("double") for x in xs]
+    design = [F.lit(1.0)] + [F.col(f"`{x}`").cast("double") for x in xs]
     names = ["(Intercept)"] + xs
     resid = F.col(y) - F.lit(float(b0)) - sum((F.lit(float(bi)) * F.col(x) for x, bi in zip(xs, b)), F.lit(0.0))
     d = df.select(*(xs + [y] + ([cluster] if cluster else []))).dropna()
@@ -307,6 +316,42 @@ def naive_bayes_scores(df: DataFrame, label: str, xs, key: str, max_classes: int
         key, F.get("__classes", -F.col("__best.at"))["class"].alias("predicted"), F.col("__best.ll").alias("log_post"))
 
 
+def naive_bayes_levels(df: DataFrame, label: str, x: str, alpha: float = 1.0) -> DataFrame:
+    """Categorical class model of one column: per level and class the count and the log probability of the
+    level in the class, smoothed by ``alpha``; NULL is a level, rows without a label are left out."""
+    known = df.where(F.col(label).isNotNull())
+    classes = known.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    levels = known.select(x).distinct()
+    k = levels.agg(F.count(F.lit(1)).alias("__k"))
+    cells = known.groupBy(x, label).agg(F.count(F.lit(1)).alias("n"))
+    # levels x classes is the model itself
+    grid = levels.crossJoin(F.broadcast(classes)).crossJoin(F.broadcast(k))
+    j = join_by(grid, cells, [x, label])
+    n = F.coalesce(F.col("n"), F.lit(0))
+    return j.select(x, label, n.alias("n"), F.log((n + alpha) / (F.col("__n") + alpha * F.col("__k"))).alias("log_prob"))
+
+
+def naive_bayes_category_scores(df: DataFrame, label: str, xs, key: str, alpha: float = 1.0) -> DataFrame:
+    """Per row: the predicted class (the first of equals) of categorical columns and its log posterior (up to a constant).
+
+    Every column's levels carry the log probabilities of all classes as one array, so a row is
+    joined once per column and its classes are compared in place."""
+    known = df.where(F.col(label).isNotNull())
+    one = known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(label).alias("class"), "n"))).alias("__classes"), F.sum("n").alias("__N"))
+    rows = df.select(key, *xs)
+    total = F.transform("__classes", lambda c: F.log(c["n"] / F.col("__N")))
+    for i, x in enumerate(as_list(xs)):
+        t = naive_bayes_levels(df, label, x, alpha).groupBy(x).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct(label, "log_prob"))), lambda s: s["log_prob"]).alias(f"__p{i}"))
+        rows = join_rows_by(rows, t, [x])
+        # a level without labelled rows says nothing
+        total = F.when(F.col(f"__p{i}").isNull(), total).otherwise(F.zip_with(total, F.col(f"__p{i}"), lambda a, b: a + b))
+    best = F.array_max(F.transform(total, lambda ll, i: F.struct(ll.alias("ll"), (-i).alias("at"))))
+    return rows.crossJoin(F.broadcast(one)).withColumn("__best", best).select(
+        key, F.get("__classes", -F.col("__best.at"))["class"].alias("predicted"), F.col("__best.ll").alias("log_post"))
+
+
 # ---------------------------------------------------------------- preprocessing
 def near_zero_var(df: DataFrame, cols) -> DataFrame:
     """Per column: frequency ratio (most common / second most common value count),

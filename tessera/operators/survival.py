@@ -64,6 +64,15 @@ def logrank_test(df: DataFrame, duration: str, event: str, group: str, a, b) ->
                     F.try_divide((F.col("observed_a") - F.col("expected_a")) ** 2, F.col("variance")).alias("chisq"))
 
 
+def _terms(df: DataFrame, duration: str, event: str, xs):
+    """Numeric columns as given, or the terms of a formula ``"~ a + b"`` (categorical terms allowed)."""
+    if isinstance(xs, str) and "~" in xs:
+        from tessera.operators.models import design
+        d, _, names = design(df, f"{duration} {xs if xs.lstrip().startswith('~') else '~' + xs.split('~', 1)[1]}", [duration, event])
+        return d, names
+    return df, as_list(xs)
+
+
 def aft_fit(df: DataFrame, duration: str, event: str, xs, shift: float = 0.0) -> DataFrame:
     """Weibull accelerated failure time model (Spark ML AFTSurvivalRegression).
     Zero durations are invalid for the log-time model: pass ``shift`` (e.g. 1)
@@ -71,7 +80,7 @@ def aft_fit(df: DataFrame, duration: str, event: str, xs, shift: float = 0.0) ->
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import AFTSurvivalRegression
 
-    xs = as_list(xs)
+    df, xs = _terms(df, duration, event, xs)
     d = df.select((F.col(duration).cast("double") + shift).alias("label"),
                   F.col(event).cast("double").alias("censor"), *[F.col(x).cast("double") for x in xs]).dropna()
     feats = VectorAssembler(inputCols=xs, outputCol="features").transform(d)
@@ -90,7 +99,7 @@ def cox_fit(df: DataFrame, duration: str, event: str, xs, max_iter: int = 25, to
     The k-vector score and k x k information are solved on the driver.
     Rows: term, estimate, std_error, z, plus iterations and log partial likelihood.
     """
-    xs = as_list(xs)
+    df, xs = _terms(df, duration, event, xs)
     k = len(xs)
     d = df.select(F.col(duration).cast("double").alias("__t"), F.col(event).cast("int").alias("__e"),
                   *[F.col(x).cast("double").alias(f"__x{i}") for i, x in enumerate(xs)]).dropna()

@@ -166,17 +166,10 @@ def q_business_days(t):
     j = t.lineitem.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("ship")).join(
         t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("od")),
         F.col("l_orderkey") == F.col("o_orderkey"))
-    dates = t.orders.select(F.col("o_orderdate").alias("d")).unionByName(
-        t.lineitem.select(F.col("l_shipdate").alias("d")))
-    cal = D.business_calendar(dates, "d", hol)
-    # the calendar has one row per day of the covered span: a bounded broadcast
-    co = F.broadcast(cal.select(F.col("dt").alias("od"), F.col("is_business").alias("order_is_business"),
-                                F.col("next_bd").alias("order_next_bd"), F.col("bd_index").alias("__bo")))
-    cs = F.broadcast(cal.select(F.col("dt").alias("ship"), F.col("bd_index").alias("__bs")))
-    return j.join(co, "od").join(cs, "ship").select(
-        "l_orderkey", "l_linenumber", "order_is_business",
-        F.col("order_next_bd").cast("timestamp_ntz").alias("order_next_bd"),
-        (F.col("__bs") - F.col("__bo")).alias("bd_to_ship"))
+    r = D.business_days(j, "od", "ship", hol)
+    return r.select("l_orderkey", "l_linenumber", F.col("start_is_business").alias("order_is_business"),
+                    F.col("start_next_bd").cast("timestamp_ntz").alias("order_next_bd"),
+                    F.col("business_days").alias("bd_to_ship"))
 
 
 # ------------------------------------------------------------------ 2.10 maths

@@ -419,3 +419,46 @@ def q_split_stratified(t):
     """Repeatable 80/20 split and 5 folds of orders, stratified by status."""
     return ST.split_stratified(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus",
                                p=0.8, k=5, seed=42)
+
+
+@register("lm_fit_formula", sql="""
+WITH g AS (SELECT l_returnflag AS f, count(*) AS n, avg(l_extendedprice) AS m, sum(l_extendedprice ^ 2) - count(*) * avg(l_extendedprice) ^ 2 AS ss
+           FROM lineitem GROUP BY 1),
+r AS (SELECT f, n, m FROM g ORDER BY n, f DESC LIMIT 1),
+s AS (SELECT sum(ss) / (sum(n) - count(*)) AS s2, 1 - sum(ss) / (SELECT var_pop(l_extendedprice) * count(*) FROM lineitem) AS r2 FROM g),
+t AS (SELECT '(Intercept)' AS term, r.m AS estimate, sqrt(s2 / r.n) AS std_error FROM r, s
+      UNION ALL SELECT 'l_returnflag_' || g.f, g.m - r.m, sqrt(s2 * (1 / g.n + 1 / r.n)) FROM g, r, s WHERE g.f <> r.f)
+SELECT term, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error, round(r2, 6) AS r_squared FROM t, s""")
+def q_lm_fit_formula(t):
+    """Price on a factor: the coefficients are differences of group means."""
+    r = ST.lm_fit(t.lineitem, "l_extendedprice ~ l_returnflag")
+    return r.select("term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"),
+                    F.round("r_squared", 6).alias("r_squared"))
+
+
+_CAT = """s AS (SELECT o_orderkey AS k, o_orderstatus AS y, o_orderpriority AS a, CAST(o_custkey % 4 AS INTEGER) AS b FROM orders)"""
+
+
+def _categories(t):
+    return t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("y"), F.col("o_orderpriority").alias("a"),
+                           (F.col("o_custkey") % 4).cast("int").alias("b"))
+
+
+@register("naive_bayes_levels", sql=f"""
+WITH {_CAT}, c AS (SELECT y, count(*) AS t FROM s GROUP BY y), l AS (SELECT DISTINCT a FROM s),
+n AS (SELECT a, y, count(*) AS n FROM s GROUP BY ALL)
+SELECT l.a, c.y, coalesce(n.n, 0) AS n, round(ln((coalesce(n.n, 0) + 1.0) / (c.t + (SELECT count(*) FROM l))), 6) AS log_prob
+FROM l CROSS JOIN c LEFT JOIN n ON n.a = l.a AND n.y = c.y""")
+def q_nb_levels(t):
+    return ST.naive_bayes_levels(_categories(t), "y", "a").withColumn("log_prob", F.round("log_prob", 6))
+
+
+@register("naive_bayes_category_scores", sql=f"""
+WITH {_CAT}, c AS (SELECT y, count(*) AS t FROM s GROUP BY y),
+p AS (SELECT s.k, c.y, ln(c.t / (SELECT count(*) FROM s))
+        + ln(((SELECT count(*) FROM s u WHERE u.a = s.a AND u.y = c.y) + 1.0) / (c.t + (SELECT count(DISTINCT a) FROM s)))
+        + ln(((SELECT count(*) FROM s u WHERE u.b = s.b AND u.y = c.y) + 1.0) / (c.t + (SELECT count(DISTINCT b) FROM s))) AS ll
+      FROM s CROSS JOIN c)
+SELECT k, arg_max(y, (round(ll, 9), -ascii(y))) AS predicted, round(max(ll), 6) AS log_post FROM p GROUP BY k""")
+def q_nb_category_scores(t):
+    return ST.naive_bayes_category_scores(_categories(t), "y", ["a", "b"], "k").withColumn("log_post", F.round("log_post", 6))
