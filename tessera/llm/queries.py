@@ -84,7 +84,30 @@ def op6(table):
     return toxicity.score(docs, toxicity.learn(docs, table("labels")))
 
 
-@query("op7_hash_tree_shards")
+#: Hand-written for 8 equal shards: with equal weights the least draw -ln(u) is the largest u.
+_SHARDS_SQL = """
+WITH crc AS (  -- the table of CRC-32, from its rule
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::UBIGINT, list_transform(range(8), lambda i: i::UBIGINT)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+b AS (SELECT doc_id, octet_length(encode(x)) + 1 AS size, hex(encode(x)) AS h FROM d),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::UBIGINT,
+        list_transform(range(size - 1), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT)),
+        lambda c, v: xor(c >> 8, t[1 + CAST(xor(c, v) & 255 AS BIGINT)])), 4294967295) AS crc FROM b, crc),
+u AS (SELECT *, list_transform(['0', '1', '2', '0/0', '0/1', '1/0', '1/1', '0/0/0', '0/0/1', '0/1/2', '0/1/3', '1/0/4', '1/0/5', '1/1/6', '1/1/7'],
+        lambda p: (('0x' || substr(md5(p || '|' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) AS u FROM c),
+g AS (SELECT *, CASE WHEN u[1] >= u[2] THEN 0 ELSE 1 END AS g FROM u),
+r AS (SELECT *, CASE WHEN u[4 + 2 * g] >= u[5 + 2 * g] THEN 0 ELSE 1 END AS r FROM g),
+s AS (SELECT *, 4 * g + 2 * r + CASE WHEN u[8 + 4 * g + 2 * r] >= u[9 + 4 * g + 2 * r] THEN 0 ELSE 1 END AS shard,
+        ('0x' || substr(md5(doc_id || '|' || crc), 1, 12))::BIGINT % 1024 AS bucket FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, crc, size) - 1 AS slot,
+  CAST(CASE WHEN -ln(u[3]) < -ln(greatest(u[1], u[2])) / 4 THEN 8 ELSE shard END AS INTEGER) AS grown_shard
+FROM s
+"""
+
+
+@query("op7_hash_tree_shards", _SHARDS_SQL)
 def op7(table):
     from tessera.llm import sharding
     return sharding.shard_rows(table("documents"), sharding.even_topology(8))
