@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tessera.checks import as_list
 from tessera.operators.groupjoin import join_by, join_rows_by, safe_corr
 from tessera.operators.ranking import average_ranks, cut_bin, exact_quantiles, sorted_cumulative
+from tessera.session import scratch_dir
 
 
 def _long(df: DataFrame, cols, key=None, value_type: str = "double") -> DataFrame:
@@ -59,10 +60,11 @@ def profile_numeric(df: DataFrame, cols=None) -> DataFrame:
     excess kurtosis. Quantiles are exact (distributed rank recipe)."""
     cols = as_list(cols) or [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     long = _long(df, cols)
-    mom = long.groupBy("column").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"))
+    # moments in one plain aggregate of the wide table; only the quantiles need (column, value) rows
+    parts = {"n": F.count, "mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max, "skewness": F.skewness, "kurtosis": F.kurtosis}
+    one = df.agg(*[fn(F.col(c).cast("double")).alias(f"__{k}_{i}") for i, c in enumerate(cols) for k, fn in parts.items()])
+    mom = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"__{k}_{i}").alias(k) for k in parts])
+                                        for i, c in enumerate(cols)])))
     names = [f"p{int(round(p * 100)):02d}" for p in PROFILE_PROBS]
     q = exact_quantiles(long, "value", list(PROFILE_PROBS), by=["column"], names=names)
     return mom.join(q, "column", "left").select(
@@ -123,7 +125,9 @@ def correlations(df: DataFrame, cols, method: str = "pearson") -> DataFrame:
     cols = as_list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if method == "spearman":
-        ranks = average_ranks(_long(df, cols), "value", by=["column"]).select("column", "value", "avg_rank")
+        # written once: every column's join below reads its part of it, not the table again
+        scratch_dir(df.sparkSession)
+        ranks = average_ranks(_long(df, cols), "value", by=["column"]).select("column", "value", "avg_rank").checkpoint()
         src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
         for c in cols:
             rc = ranks.where(F.col("column") == F.lit(c)).select(

@@ -35,13 +35,3 @@ def stream_bucket_sums(events: DataFrame, ts: str, width: str = "1 hour", by=(),
     g = src.groupBy(*by, F.window(F.col(ts), width).alias("w")).agg(*aggs)
     bucket = F.col("w.start").cast("timestamp_ntz") if ntz else F.col("w.start")
     return g.select(*by, bucket.alias("bucket"), *[a for a in ("n", "total") if a in g.columns])
-
-
-def run_to_completion(stream_df: DataFrame, query_name: str, checkpoint: str) -> DataFrame:
-    """Drive a streaming aggregate over its available input to the end (memory
-    sink, append mode) and return the result as a batch frame; for tests and
-    backfills. The checkpoint location must be a shared, durable folder."""
-    q = (stream_df.writeStream.outputMode("append").format("memory").queryName(query_name)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return stream_df.sparkSession.table(query_name)

@@ -5,7 +5,15 @@ import tempfile
 from pyspark.sql import functions as F
 
 from tessera.operators import windows as W
-from tessera.streaming.buckets import run_to_completion, stream_bucket_sums
+from tessera.streaming.buckets import stream_bucket_sums
+
+
+def run_to_completion(stream_df, query_name, checkpoint):
+    """Drive a streaming aggregate over its available input to the end through the memory sink."""
+    q = (stream_df.writeStream.outputMode("append").format("memory").queryName(query_name)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return stream_df.sparkSession.table(query_name)
 
 
 def test_stream_equals_batch(spark, small_dir):
