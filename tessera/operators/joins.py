@@ -132,8 +132,19 @@ def epoch_seconds(c) -> Column:
                             c.cast("timestamp_ntz"))
 
 
+#: Rows of one key that one task of an as-of join sorts, when the bucket is chosen from the data.
+ASOF_BUCKET_ROWS = 200_000
+
+
+def _asof_bucket(left: DataFrame, right: DataFrame, by, ts: str, right_ts: str) -> int:
+    both = left.select(*by, epoch_seconds(ts).alias("__t")).unionByName(right.select(*by, epoch_seconds(right_ts).alias("__t")))
+    rate = F.count("__t") / (F.max("__t") - F.min("__t") + 1)
+    top = both.groupBy(*by).agg(rate.alias("r")).agg(F.max("r")).first()[0]  # rows a second of the busiest key
+    return max(1, int(ASOF_BUCKET_ROWS / top)) if top else 86_400
+
+
 def join_asof(left: DataFrame, right: DataFrame, by, ts: str, right_cols,
-              right_ts: str | None = None, bucket_seconds: int = 86_400,
+              right_ts: str | None = None, bucket_seconds: int | None = None,
               prefix: str = "r_") -> DataFrame:
     """For each left row, the last right row with the same ``by`` key and
     ``right_ts <= ts`` (a right row at the same instant counts). Left rows
@@ -143,7 +154,9 @@ def join_asof(left: DataFrame, right: DataFrame, by, ts: str, right_cols,
     window over the tagged union finds the match; a left row with none in its
     bucket takes the latest right row of earlier buckets, found from a
     per-(key, bucket) maximum (partial aggregation, so a hot key is reduced
-    map-side) and a window over buckets of the key.
+    map-side) and a window over buckets of the key. Without ``bucket_seconds``
+    one counting job makes the buckets so long that the busiest key has about
+    ``ASOF_BUCKET_ROWS`` rows in one. A NULL key or time matches nothing.
     """
     by, right_cols = as_list(by), as_list(right_cols)
     right_ts = right_ts or ts
@@ -152,7 +165,7 @@ def join_asof(left: DataFrame, right: DataFrame, by, ts: str, right_cols,
     rnames = [prefix + c for c in right_cols]
     rts_name = prefix + right_ts
     lcols = left.columns
-    bw = F.lit(bucket_seconds)
+    bw = F.lit(bucket_seconds or _asof_bucket(left, right, by, ts, right_ts))
 
     l = left.withColumn("__b", F.floor(epoch_seconds(ts) / bw)).withColumn("__tag", F.lit(1))
     r = right.select(*[F.col(c) for c in by],
@@ -193,18 +206,22 @@ def join_asof(left: DataFrame, right: DataFrame, by, ts: str, right_cols,
 
 # ------------------------------------------------------------------- range
 def join_range(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: str,
-               on=(), bucket_seconds: int = 3_600, closed: str = "left") -> DataFrame:
+               on=(), bucket_seconds: int | None = None, closed: str = "left") -> DataFrame:
     """Point-in-interval join: pairs with ``lo <= point < hi`` (``closed='left'``)
     or ``lo <= point <= hi`` (``'both'``), plus optional equality keys ``on``.
 
     Intervals are exploded into the time buckets they touch and joined to the
     point's bucket by equality, so the plan is a hash/sort-merge join rather than
     a nested loop; each pair is met in exactly one bucket (the point's).
-    Explosion per interval is its length / ``bucket_seconds`` + 1.
+    An interval comes in its length / ``bucket_seconds`` + 1 copies; without
+    ``bucket_seconds`` one job takes the mean length of the intervals, so two copies on average.
     """
     on = as_list(on)
     require_columns(points, point, *on)
     require_columns(intervals, lo, hi, *on)
+    if not bucket_seconds:
+        mean = intervals.agg(F.avg(epoch_seconds(hi) - epoch_seconds(lo))).first()[0]
+        bucket_seconds = max(1, int(mean or 3_600))
     bw = F.lit(bucket_seconds)
     p = points.withColumn("__b", F.floor(epoch_seconds(point) / bw))
     iv = intervals.withColumn("__b", F.explode(F.sequence(

@@ -491,16 +491,16 @@ def q_join_asof(t):
 
 @register("join_range", sql="""
 SELECT p.event_id AS purchase_id, e.event_id
-FROM events e JOIN events p ON p.event_type = 'purchase'
- AND e.ts >= p.ts AND e.ts < p.ts + INTERVAL 30 MINUTE""")
+FROM events e JOIN events p ON p.event_type = 'purchase' AND e.user_id = p.user_id
+ AND e.ts >= p.ts AND e.ts <= p.ts + INTERVAL 6 HOUR""")
 def q_join_range(t):
-    """Every event inside the 30 minutes that start at each purchase."""
+    """Every event of the user inside the six hours that start at each purchase, both ends included."""
     e = t.events
     iv = e.where("event_type = 'purchase'").select(
-        F.col("event_id").alias("purchase_id"), F.col("ts").alias("lo"),
-        (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("hi"))
-    pts = e.select("event_id", F.col("ts").alias("p_ts"))
-    return J.join_range(pts, iv, "p_ts", "lo", "hi").select("purchase_id", "event_id")
+        F.col("event_id").alias("purchase_id"), "user_id", F.col("ts").alias("lo"),
+        (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("hi"))
+    pts = e.select("event_id", "user_id", F.col("ts").alias("p_ts"))
+    return J.join_range(pts, iv, "p_ts", "lo", "hi", on=["user_id"], closed="both").select("purchase_id", "event_id")
 
 
 @register("join_range_keyed", sql="""
