@@ -27,6 +27,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
 
 
+#: Ids that are broadcast at most, as 8 bytes each; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is not among ``ids``; texts are not shuffled while the ids are few."""
+    ids = ids.checkpoint()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id stays, once.
 
@@ -34,10 +45,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = simhash_golay.near_duplicates(docs, shingle=3, max_bits=3).where("doc_id is not null")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id").checkpoint()
+    out = without(docs, gone)
     if twice.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    one = docs.join(twice, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return docs.join(twice.unionAll(gone), "doc_id", "left_anti").select(docs.columns).unionAll(one.select(docs.columns))
+        return out
+    one = out.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return without(out, twice).unionAll(one)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(size)
 
 
-def parts(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def parts(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Row runs of about ``limit`` bytes: first row, bytes, offsets (from 0; a null is empty). Texts stay whole."""
     texts = texts.cast(pa.large_string())
     if texts.null_count:

@@ -26,9 +26,12 @@ def byte_letters() -> dict[int, str]:
 
 
 class CachedEncoder(dict):
-    """``ids(text)`` of a tokenizers file. As a dict: a stretch between spaces to the ids' bytes, with its leading space."""
+    """``ids(text)`` of a tokenizers file. As a dict: a stretch between spaces to the ids' bytes, with its leading space.
 
-    def __init__(self, path: str, most: int = 1_600_000):
+    It remembers at most about ``2 * most`` stretches: a full dict becomes the older one, from
+    which what is met again moves over."""
+
+    def __init__(self, path: str, most: int = 350_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -36,6 +39,7 @@ class CachedEncoder(dict):
         self.tokenizer.encode_special_tokens = True
         self.model, self.most, self.letters = self.tokenizer.model, most, byte_letters()
         self.marks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -57,6 +61,10 @@ class CachedEncoder(dict):
         return (self[word] if space else self._word(word, "")) + self.marks[tail]
 
     def __missing__(self, chunk: str) -> bytes:
+        v = self.older.get(chunk)
+        if v is not None:
+            self[chunk] = v
+            return v
         head, line, tail = chunk.partition("\n")
         if line and head and tail and tail.isalpha() and not head[-1].isspace():
             v = self._marked(head, " ") + self._line() + self._word(tail, "")
@@ -74,6 +82,7 @@ class CachedEncoder(dict):
 
     def ids(self, text: str) -> np.ndarray:
         if len(self) > self.most:
+            self.older = dict(self)
             self.clear()
         if _SPLITS_ALIKE.search(text):
             return np.frombuffer(self._whole(text), "<u4")

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.labelled import held_out, sample
 from tessera.llm.textbytes import U64
+from tessera.session import scratch_dir
 
 
 @dataclass(frozen=True)
@@ -54,7 +56,8 @@ class Model:
 def places(texts: pa.Array, params: Params) -> Iterator[np.ndarray]:
     """The distinct places of each text."""
     slot = np.zeros(1 << params.bits, np.int32)
-    for text in pc.utf8_lower(texts.cast(pa.large_string())).to_pylist():
+    runs = (texts.slice(i, 256) for i in range(0, len(texts), 256))
+    for text in chain.from_iterable(pc.utf8_lower(r.cast(pa.large_string())).to_pylist() for r in runs):
         c = np.frombuffer(f" {text or ''} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(U64)
         found, h = [], np.zeros(len(c), U64)
         for n in range(1, max(params.orders) + 1):
@@ -93,16 +96,25 @@ def _kept(params: Params, useful: np.ndarray):
     return run
 
 
-def logistic(at: np.ndarray, sizes: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+def logistic(at: np.ndarray, sizes: np.ndarray, scale: np.ndarray, y: np.ndarray, penalty: float, steps: int,
+             block: int = 500_000) -> tuple[np.ndarray, float]:
     """Weights and bias of the penalised fit, by accelerated gradient steps. ``at``: the features of all rows, one row after the other."""
-    rows, k = np.repeat(np.arange(len(sizes)), sizes), len(scale)
-    values = scale[at]
+    k, ends = len(scale), np.cumsum(sizes)
+    # a block of rows at a time, so that nothing as long as ``at`` is made
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, len(at) + block, block), "left"))
+    cuts = np.unique(np.concatenate([[0], cuts, [len(sizes)]]))
+    blocks = [(a, b, at[ends[a] - sizes[a]:ends[b - 1]], np.repeat(np.arange(b - a), sizes[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)
+              if b > a] if len(sizes) else []
 
     def forward(w):
-        return np.bincount(rows, values * w[at], minlength=len(sizes))
+        u = scale * w
+        return np.concatenate([np.bincount(r, u[i], minlength=b - a) for a, b, i, r in blocks])
 
     def back(g):
-        return np.bincount(at, values * g[rows], minlength=k)
+        out = np.zeros(k)
+        for a, b, i, r in blocks:
+            out += np.bincount(i, g[a:b][r], minlength=k)
+        return scale * out
 
     v = np.ones(k)
     top = 1.0
@@ -125,29 +137,32 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
           params: Params = Params(), key: str = "doc_id", text: str = "text") -> Model:
     """The model of at most ``params.most_rows`` labelled rows outside the held-out fold."""
     rows = sample(docs, labels, label, folds, fold, params.most_rows, key, text)
-    n = rows.mapInArrow(_counts(params), "place long, n0 long, n1 long").groupBy("place").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most 2 ** bits + 1 rows
-    place, n0, n1 = (n.column(c).to_numpy() for c in ("place", "n0", "n1"))
-    rows0, rows1 = (int(x[place == -1].sum()) for x in (n0, n1))
+    scratch_dir(docs.sparkSession)
+    counts = rows.mapInArrow(_counts(params), "place long, n0 long, n1 long").groupBy("place").agg(
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).checkpoint()  # at most 2 ** bits + 1 rows
+    total = counts.where("place = -1").first()
+    rows0, rows1 = (total.n0, total.n1) if total else (0, 0)
     weights = np.zeros(1 << params.bits, np.float32)
     if not rows0 or not rows1:
         share = (rows1 + 0.5) / (rows0 + rows1 + 1) if rows0 + rows1 else 0.0
         return Model(params, weights, float(np.log(share / (1 - share))) if share else -1e9)
-    place, n0, n1 = place[place >= 0], n0[place >= 0], n1[place >= 0]
-    a = params.alpha
-    ratio = np.log((n1 + a) / (rows1 + 2 * a)) - np.log((n0 + a) / (rows0 + 2 * a))
-    error = np.sqrt(1 / (n1 + a) + 1 / (n0 + a))
-    good = (np.abs(ratio) > params.z * error) & (n0 + n1 >= 3)
+    n0, n1 = F.col("n0") + params.alpha, F.col("n1") + params.alpha
+    ratio = F.log(n1 / (rows1 + 2 * params.alpha)) - F.log(n0 / (rows0 + 2 * params.alpha))
+    good = counts.where("place >= 0 and n0 + n1 >= 3").where(F.abs(ratio) > params.z * F.sqrt(1 / n1 + 1 / n0)).select(
+        "place", ratio.alias("ratio")).toArrow()
+    place, scale = good.column("place").to_numpy(), good.column("ratio").to_numpy()
+    order = np.argsort(place)
+    place, scale = place[order], scale[order]
     useful = np.zeros(1 << params.bits, bool)
-    useful[place[good]] = True
-    kept = rows.mapInArrow(_kept(params, useful), "places array<int>, label int").toArrow()  # at most most_rows rows
+    useful[place] = True
+    kept = rows.mapInArrow(_kept(params, useful), "places array<int>, label int").toArrow()  # at most most_rows rows, useful places only
     lists = kept.column("places").combine_chunks()
     number = np.zeros(1 << params.bits, np.int32)
-    number[place[good]] = np.arange(int(good.sum()))
+    number[place] = np.arange(len(place))
     at = number[lists.flatten().to_numpy(zero_copy_only=False)]
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-    w, b = logistic(at, sizes, ratio[good], kept.column("label").to_numpy().astype(float), params.penalty, params.steps)
-    weights[place[good]] = (w * ratio[good]).astype(np.float32)
+    w, b = logistic(at, sizes, scale, kept.column("label").to_numpy().astype(float), params.penalty, params.steps)
+    weights[place] = (w * scale).astype(np.float32)
     return Model(params, weights, b)
 
 
