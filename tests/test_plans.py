@@ -63,3 +63,19 @@ def test_projection_reaches_scan(spark, medium_dir):
 def test_top_k_plans(spark, medium_dir):
     assert "TakeOrderedAndProject" in executed_plan(E.queries()["arrange_limit"](spark, medium_dir))
     assert "WindowGroupLimit" in executed_plan(E.queries()["slice_top"](spark, medium_dir))
+
+
+def test_rows_are_not_shuffled_on_a_group_key(spark, small_dir):
+    """With tables too large to broadcast from static sizes, a counted per-group table still is."""
+    from tessera.functions import mathx as M
+    from tessera.operators import profile as P
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1024")
+    try:
+        o = spark.read.parquet(f"{small_dir}/orders.parquet")
+        for df in (P.outlier_fence(o, "o_orderpriority", "o_totalprice"), P.box_summary(o, "o_orderpriority", "o_totalprice"),
+                   M.scale_by_group(o, "o_totalprice", "o_orderpriority")):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
