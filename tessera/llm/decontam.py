@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.batches import small_batches
 from tessera.llm.textbytes import U64, mixed, parts, word_bounds, word_hashes
 
 #: Fixed masks, five compared positions each.
@@ -162,7 +163,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), block_w
     """``key, item, doc_word, item_word, n_words, n_equal, identity`` of every overlap that counts."""
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item, benchmark.schema[item].dataType)]
                           + [T.StructField(c, T.LongType()) for c in ("doc_word", "item_word", "n_words", "n_equal")])
-    rows = docs.select(key, F.col(text).cast("string").alias("__text"))
+    rows = small_batches(docs).select(key, F.col(text).cast("string").alias("__text"))
     out = None
     for index in _blocks(benchmark, rule, block_words, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -186,7 +187,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), block_w
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), block_words: int = 2_000_000,
                       text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows without an overlap, all columns as they are."""
-    where = docs.columns.index(text)
+    where = small_batches(docs).columns.index(text)
     for index in _blocks(benchmark, rule, block_words, item, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import small_batches
 from tessera.session import scratch_dir
 
 #: Fixed values of HTML: elements without content, with raw text, and those that break no block.
@@ -341,7 +342,7 @@ def _fold(table: pa.Table) -> pa.Table:
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html", salts: int = 16, most_hosts: int = 2000) -> DataFrame:
     """``host, wrapper``: one pickled wrapper per host; ``"".join(map(str, pickle.loads(wrapper)))`` shows the expression."""
-    rows = pages.select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
+    rows = small_batches(pages).select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     part = rows.mapInArrow(_infer(most_hosts), "host string, wrapper binary")
     once = part.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts))).groupBy("host", "salt").applyInArrow(
         _fold, "host string, wrapper binary")

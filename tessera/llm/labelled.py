@@ -16,9 +16,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int
     """``text, label`` of at most ``most`` labelled rows outside the fold, picked by a hash of their ids.
 
     The pick is made on the labels alone, so its ids are at most ``most`` and are broadcast; texts are not
-    shuffled. A document labelled 0 and 1 counts as 1; a NULL label is none."""
+    shuffled before they are picked. A document labelled 0 and 1 counts as 1; a NULL label is none; of
+    rows that share an id the least text counts, so an id with very many rows is still one."""
     known = (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__id"))
              .agg(F.max(F.col(label).cast("int")).alias("__label")).where(~held_out(F.col("__id"), folds, fold)))
     picked = known.orderBy(F.xxhash64("__id"), "__id").limit(most)
     rows = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(picked), F.col("__key") == F.col("__id")).select("text", F.col("__label").alias("label"))
+    return (rows.join(F.broadcast(picked), F.col("__key") == F.col("__id")).groupBy("__id")
+            .agg(F.min("text").alias("text"), F.first("__label").alias("label")).select("text", "label"))

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import small_batches
 from tessera.llm.tokens import CachedEncoder
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -169,7 +170,7 @@ def pack_documents(df: DataFrame, encoder: Callable[[], CachedEncoder], limits:
         if out:
             yield _batch(out)
 
-    return df.select(*cols).mapInArrow(run, SCHEMA)
+    return small_batches(df).select(*cols).mapInArrow(run, SCHEMA)
 
 
 def _batch(rows: list[tuple]):

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import small_batches
 from tessera.llm.labelled import held_out, sample
 from tessera.llm.textbytes import U64, parts, word_bounds, word_hashes
 
@@ -210,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
             x = features(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(x[:, j]) for j in range(x.shape[1])] + [b.column(1)], names=[*names, "label"])
 
-    rows = sample(docs, labels, label, folds, fold, params.most_rows, key, text).mapInArrow(
+    rows = sample(small_batches(docs), labels, label, folds, fold, params.most_rows, key, text).mapInArrow(
         run, ", ".join(f"{c} double" for c in names) + ", label int").toArrow()  # at most most_rows rows
     x = np.stack([rows.column(c).to_numpy() for c in names], axis=1)
     y = rows.column("label").to_numpy().astype(float)
@@ -220,7 +221,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
 def score(docs: DataFrame, model: Model, folds: int = 3, fold: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, held_out, score, predicted`` of every row."""
-    rows = docs.select(key, held_out(F.col(key), folds, fold).alias("held_out"), F.col(text).cast("string").alias("__text"))
+    rows = small_batches(docs).select(key, held_out(F.col(key), folds, fold).alias("held_out"), F.col(text).cast("string").alias("__text"))
 
     def run(batches):
         for b in batches:

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import small_batches
 from tessera.llm.components import components
 from tessera.llm.textbytes import U64, parts, word_bounds
 from tessera.session import scratch_dir
@@ -286,7 +287,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, hot: i
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(b.column(1), shingle).view(np.int64))],
                                              names=[key, "print"])
 
-    rows = docs.select(key, F.col(text).cast("string").alias("__text"))
+    rows = small_batches(docs).select(key, F.col(text).cast("string").alias("__text"))
     schema = rows.select(key).schema.add("print", "long")
     marked = rows.mapInArrow(run, schema).checkpoint()
     nodes = marked.groupBy("print").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n_copies")).checkpoint()

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import small_batches
 from tessera.llm.labelled import held_out, sample
 from tessera.llm.textbytes import U64
 from tessera.session import scratch_dir
@@ -136,7 +137,7 @@ def logistic(at: np.ndarray, sizes: np.ndarray, scale: np.ndarray, y: np.ndarray
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0,
           params: Params = Params(), key: str = "doc_id", text: str = "text") -> Model:
     """The model of at most ``params.most_rows`` labelled rows outside the held-out fold."""
-    rows = sample(docs, labels, label, folds, fold, params.most_rows, key, text)
+    rows = sample(small_batches(docs), labels, label, folds, fold, params.most_rows, key, text)
     scratch_dir(docs.sparkSession)
     counts = rows.mapInArrow(_counts(params), "place long, n0 long, n1 long").groupBy("place").agg(
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).checkpoint()  # at most 2 ** bits + 1 rows
@@ -169,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 def score(docs: DataFrame, model: Model, folds: int = 5, fold: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, held_out, score, predicted`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** bits weights
-    rows = docs.select(key, held_out(F.col(key), folds, fold).alias("held_out"), F.col(text).cast("string").alias("__text"))
+    rows = small_batches(docs).select(key, held_out(F.col(key), folds, fold).alias("held_out"), F.col(text).cast("string").alias("__text"))
 
     def run(batches):
         for b in batches:
@@ -182,7 +183,7 @@ def score(docs: DataFrame, model: Model, folds: int = 5, fold: int = 0, key: str
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows that score under 0.5, all columns as they are."""
-    shared, where = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+    shared, where = small_batches(docs).sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches):
         for b in batches:

@@ -50,6 +50,17 @@ def test_classifier_edges(spark, odd_docs, no_docs, module, label):
         assert module.score(no_docs, module.learn(no_docs, labels)).count() == 0
 
 
+def test_sample_is_bounded_and_outside_the_fold(spark):
+    from tessera.llm.labelled import sample
+    docs = spark.createDataFrame([(i % 50, f"text {i}") for i in range(500)] + [(7, "again")] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 1)], "doc_id long, toxic int")
+    rows = sample(docs, labels, "toxic", 5, 0, 1000).collect()
+    ids = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted((r.text, r.label) for r in rows) == sorted(
+        (min([f"text {j}" for j in range(i, 500, 50)] + ["again"] * (i == 7)), i % 2) for i in ids)
+    assert sample(docs, labels, "toxic", 5, 0, 10).count() <= 10
+
+
 def test_logistic_fit_meets_its_equation():
     rng = np.random.default_rng(1)
     x = (rng.random((300, 6)) < 0.4).astype(float)
