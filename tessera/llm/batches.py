@@ -15,7 +15,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     bounds memory and changes no result; a smaller one that is already set stays."""
     conf = df.sparkSession.conf
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)):
-        now = str(conf.get(name, "0"))
+        now = str(conf.get(name)).rstrip("bB")
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(name, str(most))
     return df
