@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import scratch_dir
+
 #: Turn numbers per hashing piece, and turns per rendered row.
 PIECE = 4096
 PART_TURNS = 256
@@ -69,9 +71,9 @@ def prefix_hashes(placed: DataFrame) -> DataFrame:
         "conv_id", "pos", F.col("a").bitwiseXOR(F.col("ca")).alias("h1"), F.col("b").bitwiseXOR(F.col("cb")).alias("h2"))
 
 
-def maximal(turns: DataFrame, piece: int = PIECE) -> DataFrame:
-    """``conv_id, n_turns, n_copies`` of the conversations to keep."""
-    hashes = prefix_hashes(positions(turns, piece))
+def maximal(placed: DataFrame) -> DataFrame:
+    """``conv_id, n_turns, n_copies`` of the conversations to keep, from their placed turns."""
+    hashes = prefix_hashes(placed)
     ends = hashes.groupBy("conv_id").agg(F.max(F.struct("pos", "h1", "h2")).alias("e"))
     finals = (ends.groupBy("e.pos", "e.h1", "e.h2")
               .agg(F.min(F.struct(F.col("conv_id").isNull().alias("n"), "conv_id")).alias("c"),
@@ -95,8 +97,9 @@ def collapse_and_render(turns: DataFrame, piece: int = PIECE, part_turns: int =
     """``conv_id, part, n_turns, n_copies, rendered`` of every maximal conversation.
 
     ``n_copies`` counts the logged conversations equal to the kept one, itself included."""
-    placed = positions(turns, piece)
-    keep = maximal(turns, piece)
+    scratch_dir(turns.sparkSession)
+    placed = positions(turns, piece).checkpoint()  # read three times below
+    keep = maximal(placed)
     kept = _same(placed, keep.select("conv_id"), ["conv_id"], "left_semi")
     return _same(render(kept, part_turns), keep, ["conv_id"], "inner").select(
         "conv_id", "part", "n_turns", "n_copies", "rendered")
