@@ -17,8 +17,8 @@ element, role, class or id - and slots whose text is the same on all of at least
 of the host. Blocks are trimmed, white space inside one becomes one space, and blocks are joined by a space.
 
 Defined results: NULL and empty pages have empty text; pages cut off anywhere keep what they
-hold; a NULL or odd url belongs to the host ""; repeated rows are returned each, but count as one
-page of their host where the copies meet in a partition; extra columns are ignored; an empty table gives an empty result.
+hold; a NULL or odd url belongs to the host ""; repeated rows are returned each, but copies of a page count as one
+page of their host, wherever they lie; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import small_batches
@@ -302,9 +302,20 @@ def main_text(page: str, fixed: dict[str, int], region: str) -> str:
     return " ".join(blocks)
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", url or "")
-    return m[1].lower() if m else ""
+def _host(url: str) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+
+
+def different_pages(pages: DataFrame, url: str = "url", html: str = "html", broadcast_rows: int = 200_000) -> DataFrame:
+    """``host, html`` of every different page of a host; only texts that have copies are shuffled, once a partition."""
+    rows = pages.select(_host(url).alias("host"), F.col(html).cast("string").alias("html")).where("html <> ''").withColumn("digest", F.sha2("html", 256))
+    copied = rows.groupBy("host", "digest").count().where("count > 1").select("host", "digest").checkpoint()
+    n = copied.limit(broadcast_rows + 1).count()
+    if not n:
+        return rows.select("host", "html")
+    copied = F.broadcast(copied) if n <= broadcast_rows else copied
+    one = rows.join(copied, ["host", "digest"], "left_semi").groupBy("host", "digest").agg(F.first("html").alias("html"))
+    return rows.join(copied, ["host", "digest"], "left_anti").select("host", "html").unionAll(one.select("host", "html"))
 
 
 def _infer(most_hosts: int):
@@ -312,19 +323,13 @@ def _infer(most_hosts: int):
         known: OrderedDict[str, list] = OrderedDict()
 
         def emit(items):
-            return pa.RecordBatch.from_arrays([pa.array([h for h, _ in items]), pa.array([pickle.dumps(w[0]) for _, w in items], pa.binary())],
+            return pa.RecordBatch.from_arrays([pa.array([h for h, _ in items]), pa.array([pickle.dumps(w) for _, w in items], pa.binary())],
                                               names=["host", "wrapper"])
 
         for b in batches:
-            for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not page:
-                    continue
-                host = _host(url)
-                own, digest = stream(parse(page)), zlib.crc32(page.encode("utf-8", "surrogatepass"))
-                if host not in known:
-                    known[host] = [own, {digest}]
-                elif digest not in known[host][1]:
-                    known[host] = [align(known[host][0], own), known[host][1] if len(known[host][1]) > 4096 else known[host][1] | {digest}]
+            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = stream(parse(page))
+                known[host] = align(known[host], own) if host in known else own
                 if len(known) > most_hosts:
                     yield emit([known.popitem(last=False) for _ in range(most_hosts // 2)])
         if known:
@@ -342,8 +347,8 @@ def _fold(table: pa.Table) -> pa.Table:
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html", salts: int = 16, most_hosts: int = 2000) -> DataFrame:
     """``host, wrapper``: one pickled wrapper per host; ``"".join(map(str, pickle.loads(wrapper)))`` shows the expression."""
-    rows = small_batches(pages).select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    part = rows.mapInArrow(_infer(most_hosts), "host string, wrapper binary")
+    scratch_dir(pages.sparkSession)
+    part = different_pages(small_batches(pages), url, html).mapInArrow(_infer(most_hosts), "host string, wrapper binary")
     once = part.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts))).groupBy("host", "salt").applyInArrow(
         _fold, "host string, wrapper binary")
     return once.groupBy("host").applyInArrow(_fold, "host string, wrapper binary")
@@ -365,8 +370,7 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     known = wrappers(pages, url, html).mapInArrow(plans, "__host string, __plan binary").checkpoint()
     size = known.agg(F.sum(F.length("__plan") + F.length("__host") + 64)).first()[0] or 0
     rows = pages.select(key, F.col(url).cast("string").alias(url), F.col(html).cast("string").alias("__html"))
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    joined = rows.withColumn("__host", host).join(F.broadcast(known) if size <= broadcast_bytes else known, "__host", "left")
+    joined = rows.withColumn("__host", _host(url)).join(F.broadcast(known) if size <= broadcast_bytes else known, "__host", "left")
 
     def run(batches):
         loaded: dict[bytes, tuple] = {}

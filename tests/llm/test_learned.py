@@ -131,6 +131,17 @@ def test_template_text_of_a_host_is_left_out(spark):
         assert r.text == f"Story {r.page_id} {'w ' * 30}More {r.page_id}"
 
 
+def test_copies_of_a_page_count_once_at_every_layout(spark):
+    """One page copied over 16 partitions is one page of its host: its text is no template."""
+    body = "<article><h1>Head</h1><p>Only words</p></article>"
+    rows = [(i, *page(body, "copies.example")) for i in range(64)] + [(100 + i, *page(f"<article><p>other {i}</p></article>", "copies.example")) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_wrapper.different_pages(df.repartition(16)).count() == html_wrapper.different_pages(df.repartition(16), broadcast_rows=0).count() == 4
+    for parts in (1, 16):
+        got = {r.page_id: r.text for r in html_wrapper.main_texts(df.repartition(parts)).collect()}
+        assert got == {i: "Head Only words" for i in range(64)} | {100 + i: f"other {i}" for i in range(3)}
+
+
 def test_wrapper_expression():
     pages = ["<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>c</li></ul><h2>t</h2><p>y</p>"]
     a, b = (html_wrapper.stream(html_wrapper.parse(p)) for p in pages)
