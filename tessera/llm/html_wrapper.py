@@ -54,7 +54,7 @@ OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising banner br
                       "footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion "
                       "related recommended replies reply respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
-_ATTR = re.compile(r"(class|id|role|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -70,9 +70,11 @@ class Node:
 
 
 def _element(name: str, attrs: str) -> Node:
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs and "=" in attrs or "hidden" in attrs else {}
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):  # of a repeated attribute the first counts
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     names, role = f"{found.get('class', '')} {found.get('id', '')}".strip(), found.get("role", "").lower()
-    out = name in OUT_TAGS or role in OUT_ROLES or "hidden" in found and not found["hidden"] or bool(
+    out = name in OUT_TAGS or role in OUT_ROLES or found.get("hidden", "until-found").lower() != "until-found" or bool(
         names and {w.lower() for w in _WORDS.findall(names)} & OUT_WORDS)
     main = 2 if name == "article" or found.get("itemprop") == "articleBody" else 1 if name == "main" or role == "main" else 0
     key = name + ("." + re.sub(r"\d+", "0", ".".join(names.split())) if names else "")

@@ -131,6 +131,15 @@ def test_template_text_of_a_host_is_left_out(spark):
         assert r.text == f"Story {r.page_id} {'w ' * 30}More {r.page_id}"
 
 
+@pytest.mark.parametrize("attrs,out,key", [
+    ('style="overflow:hidden"', False, "div"), ('href="/hidden-valley"', False, "div"), ("title='hidden gems' data-x=hidden", False, "div"),
+    ('id="comments" width="100%"', True, "div.comments"), ('data-id="comments" aria-hidden="true"', False, "div"), ("hidden", True, "div"), ('HIDDEN=""', True, "div"),
+    ('hidden="hidden" class=a', True, "div.a"), ("class=a id = 'b' class=c", False, "div.a.b"), ("", False, "div")])
+def test_only_names_of_attributes_count(attrs, out, key):
+    node = html_wrapper.parse(f"<div {attrs}>x</div>").children[0]
+    assert (node.out, node.key) == (out, key)
+
+
 def test_copies_of_a_page_count_once_at_every_layout(spark):
     """One page copied over 16 partitions is one page of its host: its text is no template."""
     body = "<article><h1>Head</h1><p>Only words</p></article>"
