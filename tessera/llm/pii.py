@@ -14,7 +14,9 @@ one surrogate; the spelling's format is filled in again afterwards:
 The surrogate is a function of (key, kind, entity, attempt). Collisions are checked over all
 entities of the table: a surrogate that is a real entity of its kind, or that two entities
 share, is drawn again with the next attempt for all but one of them, until none is left; so distinct
-entities stay distinct, and one entity has one surrogate in every document.
+entities stay distinct, and one entity has one surrogate in every document. Made names grow with every attempt, and
+phone numbers, addresses and secrets from the third redraw on, so that short forms never run out; a name in a
+script without syllables gets a Latin one.
 Replacement is a pure column expression for first attempts. Entities that
 needed another attempt are joined by text, and only if there are any.
 
@@ -157,19 +159,28 @@ def _surrogate(kind: Column, entity: Column, attempt: Column, draws: Column) ->
     top = F.regexp_extract(entity, r"(\.\p{L}+)$", 1)
     email = F.concat(_alike(F.substring(entity, F.lit(1), n - F.length(top)), draws), top)
     script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").when(entity.rlike(r"\p{IsGreek}"), "greek").when(entity.rlike(r"\p{IsLatin}"), "latin")
-    made = None
+    made = latin = None
     for s, syllables in SYLLABLES.items():
-        stem = F.concat(*[F.element_at(F.array(*map(F.lit, syllables)), _number(draws, F.lit(i), len(syllables)) + 1) for i in range(3)],
-                        # later attempts draw longer stems, so there is always room
-                        F.when(attempt > 0, F.element_at(F.array(*map(F.lit, syllables)), _number(draws, F.lit(9), len(syllables)) + 1)).otherwise(""))
+        def one(i, syllables=syllables):
+            return F.element_at(F.array(*map(F.lit, syllables)), _number(draws, i, len(syllables)) + 1)
+        # every later attempt draws a syllable more, so there is always room
+        stem = F.concat(*[one(F.lit(i)) for i in range(3)],
+                        F.when(attempt > 0, F.concat_ws("", F.transform(F.sequence(F.lit(3), attempt + 2), lambda i: one(i)))).otherwise(""))
         end = reduce(lambda o, g, s=s: o.when(kind == f"given_{g}", ENDINGS[s][g]), "fmu", F.when(kind == "surname", ENDINGS[s]["s"]))
+        latin = F.concat(stem, end) if s == "latin" else latin
         made = F.when(script == s, F.concat(stem, end)) if made is None else made.when(script == s, F.concat(stem, end))
-    name = made.otherwise(_alike(entity, draws))
-    return (F.when(kind == "email", email).when(kind == "ip", ip)
-            .when((kind == "card") & (F.pmod(_luhn(entity), F.lit(10)) == 0), luhn).when(kind.isin("phone", "card", "ssn"), digits)
+    name = made.otherwise(latin)  # other scripts have no syllables here, and keeping their letters would keep the name
+    # from the third redraw on, what may be too short for all its entities grows by a character an attempt
+    grows = attempt > 2
+    more = F.sequence(F.lit(3), attempt)
+    more_digits = F.when(grows, F.concat_ws("", F.transform(more, lambda i: _number(draws, i + 32, 10).cast("string")))).otherwise("")
+    more_letters = F.when(grows, F.concat_ws("", F.transform(more, lambda i: F.substring(F.lit(_LOWER["a"]), _number(draws, i + 32, 26) + 1, F.lit(1))))).otherwise("")
+    return (F.when(kind == "email", F.concat(more_letters, email)).when(kind == "ip", ip)
+            .when((kind == "card") & (F.pmod(_luhn(entity), F.lit(10)) == 0), luhn).when(kind == "phone", F.concat(digits, more_digits))
+            .when(kind.isin("card", "ssn"), digits)
             .when(kind == "iban", F.concat(F.substring(entity, 1, 2), _alike(F.substring(entity, F.lit(3), n), draws)))
             .when((kind == "secret") & entity.rlike("^[0-9a-f]+$"), F.substring(F.concat(draws, draws, draws), F.lit(1), n))
-            .when(kind.startswith("given") | (kind == "surname"), name).otherwise(_alike(entity, draws)))
+            .when(kind.startswith("given") | (kind == "surname"), name).otherwise(F.concat(_alike(entity, draws), more_letters)))
 
 
 def rendered(m: Column, new: Column) -> Column:
@@ -184,7 +195,8 @@ def _rendered(m: Column, kind: Column, new: Column, first: Column) -> Column:
             own = c.rlike("[0-9A-Za-z]")
             return F.struct(F.concat(a["s"], F.when(own, F.substring(s, a["i"], F.lit(1))).otherwise(c)).alias("s"),
                             (a["i"] + own.cast("int")).alias("i"))
-        return F.aggregate(F.split(m, ""), start, step)["s"]
+        # characters beyond the format's places (short numbers drawn again) follow at its end
+        return F.aggregate(F.split(m, ""), start, step, lambda a: F.concat(a["s"], F.substring(s, a["i"], F.length(s))))
 
     words = F.split(F.substring(m, F.length(_title(m)) + 1, F.length(m)), " ")
     cased = F.zip_with(words, new, lambda w, s: F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(s)).otherwise(

@@ -239,6 +239,23 @@ def test_collisions_are_drawn_again(spark):
     assert got[-1] == f"Mr. {new[0]} again, Mr. {new[0]}"
 
 
+def test_surrogates_never_run_out(spark):
+    """More names than stems of three and four syllables, every five-digit number, and forms that can't change."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"{a.upper()}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters][:72_000]
+    texts = [" and ".join(f"Mr. {n}" for n in names[i:i + 1000]) for i in range(0, len(names), 1000)]
+    texts += [", ".join(f"+{n}" for n in range(i, i + 1000)) for i in range(10_000, 70_000, 1000)]
+    texts += ["Dr. Արամ, Mr. Արա", "ł@ł.example", " ".join(f"{a}@{b}.org" for a in letters for b in letters)]
+    got = one(spark, *texts)
+    new = [w for t in got[:72] for w in re.findall(r"Mr\. (\w+)", t)]
+    assert len(new) == len(set(new)) == 72_000 and not set(new) & set(names)
+    new = [w for t in got[72:132] for w in re.findall(r"\+(\d+)", t)]
+    assert len(new) == len(set(new)) == 60_000 and not set(new) & {str(n) for n in range(10_000, 70_000)}
+    assert all(a != b for a, b in zip(texts, got, strict=True)) and not set("Արամ") & set(got[132])
+    new = got[134].split()
+    assert len(set(new)) == 676 and not set(new) & set(texts[134].split())
+
+
 def test_surrogate_edges(spark, odd_docs, no_docs):
     out = pii.replace(odd_docs, "k")
     assert out.columns == odd_docs.columns and pii.replace(no_docs, "k").count() == 0
