@@ -9,7 +9,9 @@ one surrogate; the spelling's format is filled in again afterwards:
 * letters become letters of the same script and case, digits digits, hexadecimal
   secrets stay hexadecimal, IP addresses stay valid, card numbers that pass
   the Luhn check pass it again, IBAN country codes and e-mail top-level domains stay;
-* given names get the grammatical gender of their title and the script of the original.
+* given names get the grammatical gender of their title and the script of the original; after a title without gender they
+  share the surrogate they have after one with a gender, if there is one in the table;
+* a name's words are replaced wherever they stand capitalised in a text that has them after a title; possessives stay.
 
 The surrogate is a function of (key, kind, entity, attempt). Collisions are checked over all
 entities of the table: a surrogate that is a real entity of its kind, or that two entities
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import scratch_dir
 
-#: Titles that make the next one or two capitalised words a person's name, by gender.
+#: Titles that make the capitalised words after them a person's name, by gender.
 TITLES = {
     "f": ("Mrs.", "Ms.", "Mrs", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra.", "Госпожа", "Κυρία"),
     "m": ("Mr.", "Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr.", "Господин", "Κύριος"),
@@ -60,7 +62,13 @@ IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d.,-])\d(?:[ -]?\d){12,18}(?![\d])"
 PHONE = r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)|(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}) \p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}})?"
+#: A capitalised word that is no title before another word; all such words after a title, and initials between them, are the name.
+_CAPITAL = rf"(?!(?:{_TITLE}) )\p{{Lu}}[\p{{L}}'’-]{{1,40}}"
+_NAME_WORD = rf"(?:\p{{Lu}}\. )*+{_CAPITAL}"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}) {_NAME_WORD}(?: {_NAME_WORD})*+"
+#: What follows a name in its word: a possessive, hyphens and apostrophes.
+_TAIL = r"(?:['’][sS])?[-'’]*$"
+_MENTION = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}'’-]{1,40}"
 ANY = "|".join((EMAIL, IBAN, SECRET, IP, SSN, CARD, PHONE, NAME))
 
 #: What every entity holds at least; tested first, since most texts hold none of it.
@@ -92,6 +100,38 @@ def _title(m: Column) -> Column:
     return F.regexp_extract(m, rf"^((?:{_TITLE}) )", 1)
 
 
+def _tail(word: Column) -> Column:
+    return F.regexp_extract(word, _TAIL, 0)
+
+
+def _bare(word: Column) -> Column:
+    """A word of a name without its possessive."""
+    return F.substring(word, F.lit(1), F.length(word) - F.length(_tail(word)))
+
+
+def _cased(word: Column, new: Column) -> Column:
+    """A made name in the case of a word, with its possessive; of an initial, the initial."""
+    first, bare = F.upper(F.substring(new, 1, 1)), _bare(word)
+    name = F.when((F.length(bare) > 1) & (bare == F.upper(bare)), F.upper(new)).otherwise(F.concat(first, F.substring(new, F.lit(2), F.length(new))))
+    return F.when(word.rlike(r"^\p{Lu}\.$"), F.concat(first, F.lit("."))).otherwise(F.concat(name, _tail(word)))
+
+
+def _names(found: Column) -> Column:
+    """The distinct names among entities, surnames before given names; initials name nobody."""
+    names = F.filter(found, lambda e: ((e["kind"] == "surname") | e["kind"].startswith("given")) & ~e["entity"].endswith("."))
+    ranked = F.concat(F.filter(names, lambda e: e["kind"] == "surname"), F.filter(names, lambda e: e["kind"] != "surname"))
+    return _let(ranked, lambda r: _let(F.transform(r, lambda e: e["entity"]), lambda words: F.filter(
+        r, lambda e, i: F.array_position(words, e["entity"]) == i + 1)))
+
+
+def _mentions(gap: Column, known: Column) -> Column:
+    """The text between matches with every capitalised word that is a known name replaced."""
+    def say(w: Column) -> Column:
+        return _let(F.try_element_at(known, F.lower(_bare(w))), lambda new: F.when(new.isNull(), w).otherwise(_cased(w, new)))
+    return F.concat_ws("", F.zip_with(F.split(gap, _MENTION, -1), F.transform(F.regexp_extract_all(gap, F.lit(_MENTION), F.lit(0)), lambda w: say(w)),
+                                      lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))))
+
+
 def entities(m: Column) -> Column:
     """The entities of a match: an array of (kind, entity)."""
     def one(kind, e):
@@ -101,8 +141,7 @@ def entities(m: Column) -> Column:
 
 def _entities(m: Column, kind: Column, one: Callable[[Column, Column], Column]) -> Column:
     words = F.split(F.substring(m, F.length(_title(m)) + 1, F.length(m)), " ")
-    two = F.size(words) > 1
-    names = F.transform(words, lambda w, i: one(F.when(two & (i == 0), F.concat(F.lit("given_"), _gender(m))).otherwise("surname"), F.lower(w)))
+    names = F.transform(words, lambda w, i: one(F.when(i < F.size(words) - 1, F.concat(F.lit("given_"), _gender(m))).otherwise("surname"), F.lower(_bare(w))))
     plain = (F.when(kind == "email", F.lower(m)).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(m, r"\D", ""))
              .when(kind == "iban", F.replace(m, F.lit(" "), F.lit(""))).otherwise(m))
     return F.when(kind == "name", names).otherwise(F.array(one(kind, plain)))
@@ -158,8 +197,8 @@ def _surrogate(kind: Column, entity: Column, attempt: Column, draws: Column) ->
     ip = F.concat_ws(".", *[(_number(draws, F.lit(i), 254) + 1).cast("string") for i in range(4)])
     top = F.regexp_extract(entity, r"(\.\p{L}+)$", 1)
     email = F.concat(_alike(F.substring(entity, F.lit(1), n - F.length(top)), draws), top)
-    script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").when(entity.rlike(r"\p{IsGreek}"), "greek").when(entity.rlike(r"\p{IsLatin}"), "latin")
-    made = latin = None
+    script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").when(entity.rlike(r"\p{IsGreek}"), "greek")
+    name = None
     for s, syllables in SYLLABLES.items():
         def one(i, syllables=syllables):
             return F.element_at(F.array(*map(F.lit, syllables)), _number(draws, i, len(syllables)) + 1)
@@ -167,9 +206,8 @@ def _surrogate(kind: Column, entity: Column, attempt: Column, draws: Column) ->
         stem = F.concat(*[one(F.lit(i)) for i in range(3)],
                         F.when(attempt > 0, F.concat_ws("", F.transform(F.sequence(F.lit(3), attempt + 2), lambda i: one(i)))).otherwise(""))
         end = reduce(lambda o, g, s=s: o.when(kind == f"given_{g}", ENDINGS[s][g]), "fmu", F.when(kind == "surname", ENDINGS[s]["s"]))
-        latin = F.concat(stem, end) if s == "latin" else latin
-        made = F.when(script == s, F.concat(stem, end)) if made is None else made.when(script == s, F.concat(stem, end))
-    name = made.otherwise(latin)  # other scripts have no syllables here, and keeping their letters would keep the name
+        # other scripts have no syllables here, and keeping their letters would keep the name
+        name = F.concat(stem, end) if name is None else F.when(script == s, F.concat(stem, end)).otherwise(name)
     # from the third redraw on, what may be too short for all its entities grows by a character an attempt
     grows = attempt > 2
     more = F.sequence(F.lit(3), attempt)
@@ -199,16 +237,21 @@ def _rendered(m: Column, kind: Column, new: Column, first: Column) -> Column:
         return F.aggregate(F.split(m, ""), start, step, lambda a: F.concat(a["s"], F.substring(s, a["i"], F.length(s))))
 
     words = F.split(F.substring(m, F.length(_title(m)) + 1, F.length(m)), " ")
-    cased = F.zip_with(words, new, lambda w, s: F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(s)).otherwise(
-        F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s)))))
+    cased = F.zip_with(words, new, _cased)
     return (F.when(kind == "name", F.concat(_title(m), F.concat_ws(" ", cased)))
             .when(kind.isin("phone", "card", "ssn", "iban"), fill(first))
             .when((kind == "email") & (m == F.upper(m)), F.upper(first)).otherwise(first))
 
 
-def _draw_again(found: DataFrame, key: str, rounds: int) -> DataFrame | None:
-    """``kind, entity, surrogate`` of entities whose first surrogate collides; None if none does."""
-    taken, waiting, moved = None, found.withColumn("attempt", F.lit(0)), None
+def _shared_given(found: DataFrame) -> DataFrame:
+    """``entity, as_kind`` of given names after a title without gender that stand after one with a gender elsewhere (the more frequent)."""
+    known = found.where("kind in ('given_f', 'given_m')").groupBy("entity").agg(F.max(F.struct("n", "kind"))["kind"].alias("as_kind"))
+    return found.where("kind = 'given_u'").join(known, "entity").select("entity", "as_kind").checkpoint()
+
+
+def _draw_again(found: DataFrame, drawn_for: DataFrame, key: str, rounds: int) -> DataFrame | None:
+    """``kind, entity, surrogate`` of entities to draw for whose first surrogate collides; None if none does."""
+    taken, waiting, moved = None, drawn_for.select("kind", "entity", F.lit(0).alias("attempt")), None
     for _ in range(rounds):
         drawn = waiting.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("entity"), F.col("attempt")))
         real = found.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
@@ -234,19 +277,40 @@ def replace(docs: DataFrame, key: str, text: str = "text", rounds: int = 50) ->
     matches = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
     # every occurrence is reduced to distinct entities before anything is shuffled
     found = (docs.where(holds).select(F.explode(F.flatten(F.transform(matches, entities))).alias("e"))
-             .groupBy("e.kind", "e.entity").agg(F.count(F.lit(1)).alias("n")).select("kind", "entity").checkpoint())
-    moved = _draw_again(found, key, rounds)
+             .groupBy("e.kind", "e.entity").agg(F.count(F.lit(1)).alias("n")).select("kind", "entity", "n").checkpoint())
+    shared = _shared_given(found)
+    if shared.isEmpty():
+        moved = _draw_again(found, found, key, rounds)
+    else:
+        same = shared.select(F.lit("given_u").alias("kind"), "entity")
+        moved = _draw_again(found, found.join(same, ["kind", "entity"], "left_anti"), key, rounds)
+        own = surrogate(key, F.col("as_kind"), F.col("entity"), F.lit(0))
+        if moved is not None:
+            shared = shared.join(moved.select(F.col("kind").alias("as_kind"), "entity", F.col("surrogate").alias("again")), ["as_kind", "entity"], "left")
+            own = F.coalesce("again", own)
+        shared = shared.select(F.lit("given_u").alias("kind"), "entity", own.alias("surrogate"))
+        moved = (shared if moved is None else moved.unionAll(shared)).checkpoint()
 
-    def write(m: Column, other: Column | None) -> Column:
+    def rewritten(other: Column | None) -> Column:
         def new(e: Column) -> Column:
             own = surrogate(key, e["kind"], e["entity"], F.lit(0))
             return own if other is None else F.coalesce(F.try_element_at(other, F.concat_ws("\u0001", e["kind"], e["entity"])), own)
-        return rendered(m, F.transform(entities(m), new))
 
-    def rewritten(other: Column | None) -> Column:
-        gaps = F.split(t, ANY, -1)
-        return F.concat_ws("", F.zip_with(gaps, F.transform(matches, lambda m: write(m, other)),
-                                          lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))))
+        def drawn(m: Column) -> Column:
+            es = F.transform(entities(m), lambda e: F.struct(e["kind"].alias("kind"), e["entity"].alias("entity"), new(e).alias("new")))
+            return F.struct(m.alias("m"), es.alias("es"))
+
+        def named(found: Column) -> Column:
+            by_word = _let(_names(F.flatten(F.transform(found, lambda d: d["es"]))), lambda names: F.map_from_arrays(
+                F.transform(names, lambda e: e["entity"]), F.transform(names, lambda e: e["new"])))
+            return _let(F.when(t.rlike(NAME), by_word), lambda known: joined(found, known))
+
+        def joined(found: Column, known: Column) -> Column:
+            written = F.transform(found, lambda d: rendered(d["m"], F.transform(d["es"], lambda e: e["new"])))
+            return F.concat_ws("", F.zip_with(F.split(t, ANY, -1), written, lambda g, s: F.concat(
+                F.when(known.isNull(), g).otherwise(_mentions(g, known)), F.coalesce(s, F.lit("")))))
+
+        return _let(F.transform(matches, drawn), named)
 
     if moved is None:
         return docs.withColumn(text, F.when(holds, rewritten(None)).otherwise(t))

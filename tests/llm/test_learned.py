@@ -256,6 +256,18 @@ def test_surrogates_never_run_out(spark):
     assert len(set(new)) == 676 and not set(new) & set(texts[134].split())
 
 
+def test_names_are_whole_and_keep_their_coreference(spark):
+    got = one(spark, "Dr. Martin Luther King met Mr. King's aide. King's speech, KING; Martin said", "Mrs. Jane Smith left. Smith said", "Dr. Jane Smith’s",
+              "Smith and King stay in a text without a title", "Prof. Dr. John F. Smith, Smithy, Mr. Smith Mrs. Jones", "Smith met Mr. Smith")
+    martin, luther, king, rest = re.fullmatch(r"Dr\. (\w+) (\w+) (\w+) met (.*)", got[0]).groups()
+    assert not {"Martin", "Luther", "King"} & {martin, luther, king}
+    assert rest == f"Mr. {king}'s aide. {king}'s speech, {king.upper()}; {martin} said"
+    jane, smith = re.fullmatch(r"Mrs\. (\w+na) (\w+) left\. \2 said", got[1]).groups()
+    assert got[2] == f"Dr. {jane} {smith}’s" and got[3] == "Smith and King stay in a text without a title"
+    assert re.fullmatch(rf"Prof\. Dr\. (?!John)\w+ [A-Z]\. {smith}, Smithy, Mr\. {smith} Mrs\. (?!Jones)\w+", got[4])
+    assert got[5] == f"{smith} met Mr. {smith}"
+
+
 def test_surrogate_edges(spark, odd_docs, no_docs):
     out = pii.replace(odd_docs, "k")
     assert out.columns == odd_docs.columns and pii.replace(no_docs, "k").count() == 0
