@@ -1,6 +1,8 @@
 """Benchmark decontamination by spaced seeds.
 
-Texts are lower-cased and cut into words (runs of letters and digits). A mask
+Texts are lower-cased and cut into words: runs of Unicode letters, digits and the marks
+on them; in scripts written without spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese and
+their like) every character with its marks is a word. A mask
 such as ``1101101`` hashes the words at its 1s and ignores those at its 0s, so
 a replaced word does not break a seed that skips it. Seeds of all masks of the
 benchmark are joined with those of the documents; a hit names an item
@@ -21,8 +23,10 @@ an empty benchmark or table gives an empty result; extra columns pass through ``
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,56 @@ from tessera.llm.textbytes import U64, mixed, parts, word_bounds, word_hashes
 
 #: Fixed masks, five compared positions each.
 MASKS = ("11111", "111011", "110111", "1101101", "1011011")
-_WORD = np.array([chr(b).isalnum() and b < 128 or b >= 128 for b in range(256)])
+_WORD = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+#: Names of characters of scripts without spaces between words.
+_UNSPACED = ("CJK ", "HIRAGANA ", "KATAKANA ", "HALFWIDTH KATAKANA ", "IDEOGRAPHIC ", "THAI ", "LAO ", "KHMER ", "MYANMAR ", "TIBETAN ", "YI ", "TAI ", "NEW TAI ", "BOPOMOFO ",
+             "JAVANESE ", "BALINESE ", "TANGUT ", "NUSHU ", "KHITAN ", "HENTAIGANA ")
+_OUTSIDE, _INSIDE, _ALONE, _MARK = range(4)
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """What each code point is: no part of a word, a letter or digit, a word of its own, a mark on the character before."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))
+        if kind[0] == "M":
+            out[c] = _MARK
+        elif kind[0] in "LN":
+            out[c] = _ALONE if c > 0x2000 or 0xE00 <= c < 0x1800 and kind[0] == "L" else _INSIDE
+    for c in np.flatnonzero(out == _ALONE).tolist():
+        if not unicodedata.name(chr(c), "").startswith(_UNSPACED):
+            out[c] = _INSIDE
+    return out
+
+
+def _cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Which bytes of UTF-8 are inside words, and where words are cut besides."""
+    inside = _WORD[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return inside, None
+    first, last = data[lead].astype(np.int64), len(data) - 1
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    code = first & (0x7F >> size)
+    for k in range(1, 4):
+        code = np.where(size > k, code << 6 | data[np.minimum(lead + k, last)] & 0x3F, code)
+    kind = _classes()[np.minimum(code, 0x10FFFF)]
+    inside[lead] = kind != _OUTSIDE
+    for k in range(1, 4):
+        some = size > k
+        inside[np.minimum(lead[some] + k, last)] = kind[some] != _OUTSIDE
+    alone = kind == _ALONE
+    if not alone.any():
+        return inside, None
+    after = lead + size  # a word ends after a character of its own and the marks on it
+    cuts = np.zeros(len(data) + 1, bool)
+    cuts[lead[alone]] = True
+    cuts[np.minimum(after[alone], last + 1)] = True
+    for at, end in zip(lead[kind == _MARK].tolist(), after[kind == _MARK].tolist(), strict=True):
+        if cuts[at]:  # a mark goes with what it stands on
+            cuts[at], cuts[min(end, last + 1)] = False, True
+    return inside, np.flatnonzero(cuts[:-1])
 
 
 @dataclass(frozen=True)
@@ -50,8 +103,8 @@ class Rule:
 def words_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, word hashes and their rows, a run of rows at a time."""
     for first, data, offsets in parts(pc.utf8_lower(texts.cast(pa.large_string()))):
-        inside = _WORD[data]
-        starts, _, rows = word_bounds(inside, offsets)
+        inside, cuts = _cut(data)
+        starts, _, rows = word_bounds(inside, offsets, cuts)
         yield first, word_hashes(data, inside, starts), rows
 
 

@@ -55,8 +55,8 @@ def parts(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarr
         lo = hi
 
 
-def word_bounds(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each run of True; a run ends where its row ends."""
+def word_bounds(inside: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of True; a run ends where its row ends, and at ``cuts``."""
     n = len(inside)
     if not n:
         z = np.zeros(0, np.int64)
@@ -64,6 +64,8 @@ def word_bounds(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     edge = np.zeros(n + 1, bool)
     edge[1:n] = inside[1:] != inside[:-1]
     edge[offsets] = True
+    if cuts is not None:
+        edge[cuts] = True
     at = np.flatnonzero(edge[:n])
     ends = np.append(at[1:], n)
     real = inside[at]

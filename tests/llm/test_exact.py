@@ -323,6 +323,20 @@ def test_overlaps(spark):
     assert decontam.overlaps(df, bench.limit(0)).count() == 0 and decontam.overlaps(df.limit(0), bench).count() == 0
 
 
+def test_words_are_of_unicode(spark):
+    def count(s):
+        return sum(len(w) for _, w, _ in decontam.words_of(pa.array([s])))
+    for text, n in (("“Größer”—ñandú\u00a0x…", 3), ("北京大学abc。东", 6), ("कि ताब", 2), ("ภาษาไทย", 7), ("น้ำ", 2), ("か\u3099き", 2), ("е́ж 1²", 2), ("\U00020000\U0001f600x", 2), ("", 0), ("é", 1)):
+        assert count(text) == n, text
+    both = pa.array(["“alpha”", "alpha", "北", "京北"])
+    hashes = np.concatenate([w for _, w, _ in decontam.words_of(both)])
+    assert hashes[0] == hashes[1] and hashes[2] == hashes[4] != hashes[3]
+    item = "在一个阳光明媚的早晨，小明走出家门去学校上课。"
+    bench = spark.createDataFrame([(1, item), (2, "the “quick” brown fox—jumps over a lazy dog")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item), (2, "前面的文字" + item + "后面"), (3, "完全不同的一段文字，没有关系，不会重复。"), (4, 'The "quick" brown fox - jumps over a lazy dog')], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.overlaps(docs, bench).collect()} == {(1, 1), (2, 1), (4, 2)}
+
+
 def test_overlaps_edges(spark, odd_docs):
     bench = spark.createDataFrame([(1, "Alpha, beta gamma delta epsilon!")], "item_id long, text string")
     assert sorted(r.doc_id for r in decontam.overlaps(odd_docs, bench).collect()) == [1, 5, 5]
