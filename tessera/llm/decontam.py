@@ -8,15 +8,16 @@ a replaced word does not break a seed that skips it. Seeds of all masks of the
 benchmark are joined with those of the documents; a hit names an item
 and a diagonal (shift of item against document). Around each hit the whole
 diagonal is compared word by word, and the longest stretch with at least
-``identity`` equal words is the overlap. It counts from ``min_words`` words,
-or the whole item where that is shorter.
+``identity`` equal words is the overlap. It counts from ``min_words`` words. An item
+of at most ``min_words`` words is compared as a whole, replaced first and last words included;
+four more masks, only for such items, leave no choice of at most a fifth replaced words without a seed.
 
 The benchmark is the small, stated side: it is taken in blocks of at most
 ``block_words`` words, each broadcast in turn, so the broadcast has a bound
 at any benchmark size. Documents are read once a block and never shuffled.
 
 Defined results: NULL and empty texts overlap nothing; items with fewer words
-than the shortest mask (5) say too little and match nothing; repeated rows are reported each;
+than five words say too little and match nothing; repeated rows are reported each;
 of several places with one item the longest overlap is given, then the first;
 an empty benchmark or table gives an empty result; extra columns pass through ``drop_contaminated`` and are ignored by ``overlaps``.
 """
@@ -40,6 +41,10 @@ from tessera.llm.textbytes import U64, mixed, parts, word_bounds, word_hashes
 
 #: Fixed masks, five compared positions each.
 MASKS = ("11111", "111011", "110111", "1101101", "1011011")
+#: Four compared positions each, for items of at most ``min_words`` words.
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
+#: Words of the shortest item that is looked for.
+LEAST = 5
 _WORD = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 #: Names of characters of scripts without spaces between words.
 _UNSPACED = ("CJK ", "HIRAGANA ", "KATAKANA ", "HALFWIDTH KATAKANA ", "IDEOGRAPHIC ", "THAI ", "LAO ", "KHMER ", "MYANMAR ", "TIBETAN ", "YI ", "TAI ", "NEW TAI ", "BOPOMOFO ",
@@ -96,6 +101,7 @@ def _cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
 class Rule:
     """When an overlap counts."""
     masks: tuple[str, ...] = MASKS
+    short_masks: tuple[str, ...] = SHORT_MASKS
     identity: float = 0.8
     min_words: int = 13
 
@@ -150,13 +156,19 @@ class Index:
     item: np.ndarray = field(init=False)
     at: np.ndarray = field(init=False)
     maybe: np.ndarray = field(init=False)
+    masks: tuple[str, ...] = field(init=False)
 
     def __post_init__(self):
-        lengths = [len(w) for w in self.words]
+        lengths = np.array([len(w) for w in self.words], np.int64)
+        short = (lengths >= LEAST) & (lengths <= self.rule.min_words)
+        self.masks = self.rule.masks + (self.rule.short_masks if short.any() else ())
         rows = np.repeat(np.arange(len(self.words)), lengths)
         flat = np.concatenate([*self.words, np.zeros(0, U64)])
         begin = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        found = [seeds(flat, rows, m) for m in self.rule.masks]
+        found = [seeds(flat, rows, m) for m in self.masks]
+        for i in range(len(self.rule.masks), len(self.masks)):
+            p, h = found[i]
+            found[i] = p[short[rows[p]]], h[short[rows[p]]]
         at = np.concatenate([p for p, _ in found])
         keys = np.concatenate([h for _, h in found])
         order = np.argsort(keys, kind="stable")
@@ -171,7 +183,7 @@ class Index:
         if not len(self.keys):
             return []
         seen, best = set(), {}
-        for mask in self.rule.masks:
+        for mask in self.masks:
             at, h = seeds(words, rows, mask)
             some = self.maybe[h >> U64(44)]
             at, h = at[some], h[some]
@@ -183,7 +195,11 @@ class Index:
         for row, k, shift in sorted(seen):
             item = self.words[k]
             lo, hi = max(0, first[row] - shift), min(len(item), first[row + 1] - shift)
-            a, b = longest_stretch(words[lo + shift:hi + shift] == item[lo:hi], self.rule.identity)
+            equal = words[lo + shift:hi + shift] == item[lo:hi]
+            if len(item) <= self.rule.min_words:
+                a, b = 0, len(equal) if equal.sum() >= self.rule.identity * len(item) - 1e-9 else 0
+            else:
+                a, b = longest_stretch(equal, self.rule.identity)
             if b - a >= min(self.rule.min_words, len(item)):
                 a, b = a + lo, b + lo
                 new = (int(row), self.ids[k], int(a + shift - first[row]), int(a), int(b - a),

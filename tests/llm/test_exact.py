@@ -1,6 +1,7 @@
 """Operators against brute force on small tables."""
 
 import collections
+import itertools
 import json
 import math
 import re
@@ -337,6 +338,21 @@ def test_words_are_of_unicode(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.overlaps(docs, bench).collect()} == {(1, 1), (2, 1), (4, 2)}
 
 
+def test_short_items_with_any_fifth_of_their_words_replaced():
+    for n in range(5, 14):
+        item = np.arange(1, n + 1).astype(np.uint64)
+        index = decontam.Index([7], [item], decontam.Rule())
+        for k in range(n // 5 + 2):
+            for gone in itertools.combinations(range(n), k):
+                words = item.copy()
+                words[list(gone)] = 99
+                doc = np.concatenate([np.full(3, 50), words, np.full(2, 60)]).astype(np.uint64)
+                want = [(0, 7, 3, 0, n, n - k)] if n - k >= 0.8 * n - 1e-9 else []
+                assert index.overlaps(doc, np.zeros(len(doc), np.int64)) == want, (n, gone)
+        cut = item[:-1]  # a part of a short item is not the item
+        assert index.overlaps(cut, np.zeros(n - 1, np.int64)) == []
+
+
 def test_overlaps_edges(spark, odd_docs):
     bench = spark.createDataFrame([(1, "Alpha, beta gamma delta epsilon!")], "item_id long, text string")
     assert sorted(r.doc_id for r in decontam.overlaps(odd_docs, bench).collect()) == [1, 5, 5]
