@@ -328,6 +328,13 @@ def q_robust_se_cluster(t):
     return r.withColumns({k: F.round(k, 4) for k in ("estimate", "std_error")})
 
 
+@register("robust_se_cluster_two")
+def q_robust_se_cluster_two(t):
+    """Cluster-robust (by order) standard errors of two regressors."""
+    r = ST.robust_se(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"], cluster="l_orderkey")
+    return r.withColumns({k: F.round(k, 4) for k in ("estimate", "std_error")})
+
+
 @register("naive_bayes", sql=f"""
 WITH s AS (SELECT d.doc_id, d.n_chars, l.quality FROM documents d JOIN labels l USING (doc_id)),
 g AS (SELECT quality, count(*) AS n, round(avg(n_chars), 6) AS mean_n_chars, round(var_pop(n_chars), 4) AS var_n_chars

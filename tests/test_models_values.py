@@ -110,3 +110,20 @@ def test_break_dates_against_all_cuts(spark):
         return ((v - v.mean()) ** 2).sum()
     best = min((rss(y[:i]) + rss(y[i:j]) + rss(y[j:]), i, j) for i in range(6, 49) for j in range(i + 6, 55))
     assert [r.break_order for r in got] == [best[1] - 1, best[2] - 1] and math.isclose(got[0].rss, best[0], rel_tol=1e-9)
+
+
+def test_cluster_errors_of_two_regressors(spark, medium_dir):
+    rows = E.queries()["robust_se_cluster_two"](spark, medium_dir).collect()
+    names = ["l_orderkey", "l_extendedprice", "l_quantity", "l_discount"]
+    pdf = spark.read.parquet(f"{medium_dir}/lineitem.parquet").select(names).dropna().toPandas().astype(float)
+    y, x = pdf.l_extendedprice.to_numpy(), np.column_stack([np.ones(len(pdf)), pdf.l_quantity, pdf.l_discount])
+    inverse = np.linalg.inv(x.T @ x)
+    b = inverse @ x.T @ y
+    _, at = np.unique(pdf.l_orderkey, return_inverse=True)
+    g, n = at.max() + 1, len(y)
+    score = np.zeros((g, 3))
+    np.add.at(score, at, x * (y - x @ b)[:, None])
+    v = inverse @ score.T @ score @ inverse * (g / (g - 1)) * ((n - 1) / (n - 3))
+    assert [r.term for r in rows] == ["(Intercept)", "l_quantity", "l_discount"]
+    assert np.allclose([r.estimate for r in rows], b, rtol=1e-6, atol=1e-3)
+    assert np.allclose([r.std_error for r in rows], np.sqrt(np.diag(v)), rtol=1e-6, atol=1e-3)
