@@ -62,8 +62,8 @@ IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d.,-])\d(?:[ -]?\d){12,18}(?![\d])"
 PHONE = r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\d)|(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
-#: A capitalised word that is no title before another word; all such words after a title, and initials between them, are the name.
-_CAPITAL = rf"(?!(?:{_TITLE}) )\p{{Lu}}[\p{{L}}'’-]{{1,40}}"
+#: A capitalised word that is no title before another capitalised word; all such words after a title, and initials between them, are the name.
+_CAPITAL = rf"(?!(?:{_TITLE}) \p{{Lu}})\p{{Lu}}[\p{{L}}'’-]{{1,40}}"
 _NAME_WORD = rf"(?:\p{{Lu}}\. )*+{_CAPITAL}"
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}) {_NAME_WORD}(?: {_NAME_WORD})*+"
 #: What follows a name in its word: a possessive, hyphens and apostrophes.
