@@ -147,3 +147,61 @@ def op10(table):
 def op9(table):
     from tessera.llm import html_wrapper
     return html_wrapper.main_texts(table("pages"))
+
+
+_MANIFEST_SQL = """
+WITH RECURSIVE crc AS (  -- the table of CRC-32, from its rule
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::UBIGINT, list_transform(range(8), lambda i: i::UBIGINT)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+f AS (
+  SELECT row_number() OVER () AS id, doc_id, lang,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS chars,
+    coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS more,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(strlen(CAST(doc_id AS VARCHAR))),
+          lambda i: ('0x' || substr(hex(encode(CAST(doc_id AS VARCHAR))), 2 * i + 1, 2))::UBIGINT)),
+        lambda c, v: xor(c >> 8, t[1 + CAST(xor(c, v) & 255 AS BIGINT)])), 4294967295) % 7 = 0 AS tampered
+  FROM documents, crc),
+l AS (
+  SELECT id, doc_id, lang, sha256(head || chars || tail) AS leaf,
+    sha256(head || CASE WHEN tampered THEN more ELSE chars END || tail) AS claimed FROM f),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l),
+nodes AS (
+  SELECT lang, CAST(0 AS BIGINT) AS lev, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT) AS n, leaf AS h FROM ranked
+  UNION ALL
+  SELECT lang, lev + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1
+  GROUP BY lang, lev, pos // 2, n),
+subs AS (
+  SELECT lang, lev AS height, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS sat, count(*) OVER () AS sn FROM nodes WHERE n = 1),
+tops AS (
+  SELECT CAST(0 AS BIGINT) AS lev, CAST(sat AS BIGINT) AS pos, CAST(sn AS BIGINT) AS n, subroot AS h FROM subs
+  UNION ALL
+  SELECT lev + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY lev, pos // 2, n),
+whole AS (SELECT lev AS top_height, h AS root FROM tops WHERE n = 1),
+r AS (SELECT ranked.*, height, subroot, sat, top_height, root FROM ranked JOIN subs ON ranked.lang IS NOT DISTINCT FROM subs.lang, whole),
+steps AS (  -- the sibling of each level, through the subroot up to the root
+  SELECT r.id, g.lev, r.pos >> g.lev AS pos, s.h AS sib FROM r, LATERAL (SELECT unnest(range(height)) AS lev) g
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM r.lang AND s.lev = g.lev AND s.pos = xor(r.pos >> g.lev, 1)
+  UNION ALL
+  SELECT r.id, r.height + g.lev, r.sat >> g.lev, s.h FROM r, LATERAL (SELECT unnest(range(top_height)) AS lev) g
+  LEFT JOIN tops s ON s.lev = g.lev AND s.pos = xor(r.sat >> g.lev, 1)),
+proofs AS (SELECT id, sha256(string_agg(coalesce(sib, ''), '' ORDER BY lev)) AS p FROM steps GROUP BY id),
+folds AS (
+  SELECT id, CAST(0 AS BIGINT) AS lev, claimed AS h FROM r
+  UNION ALL
+  SELECT folds.id, folds.lev + 1, sha256(CASE WHEN sib IS NULL THEN h WHEN pos & 1 = 1 THEN sib || h ELSE h || sib END)
+  FROM folds JOIN steps ON steps.id = folds.id AND steps.lev = folds.lev),
+ends AS (SELECT id, arg_max(h, lev) AS folded FROM folds GROUP BY id)
+SELECT doc_id, leaf, subroot, root, coalesce(p, sha256('')) AS proof_sha256, folded AS folded_root, folded = root AS verified,
+  2 * pos - bit_count(pos) AS position
+FROM r JOIN ends ON ends.id = r.id LEFT JOIN proofs ON proofs.id = r.id
+"""
+
+
+@query("op12_merkle_log", _MANIFEST_SQL)
+def op12(table):
+    from tessera.llm import merkle_log
+    return merkle_log.audited(table("documents"))
