@@ -205,3 +205,16 @@ FROM r JOIN ends ON ends.id = r.id LEFT JOIN proofs ON proofs.id = r.id
 def op12(table):
     from tessera.llm import merkle_log
     return merkle_log.audited(table("documents"))
+
+
+@query("op11_signature_rules")
+def op11(table):
+    from tessera.llm import license_scan
+    return license_scan.scan_documents(table("documents")).drop("detections")
+
+
+@query("op13_distinct_texts")
+def op13(table):
+    from tessera.llm import cross_tokens
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return cross_tokens.align_documents(table("documents"), functools.partial(cross_tokens.aligner_for, *files)).documents
