@@ -19,10 +19,12 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.batches import small_batches
-from tessera.llm.tokens import CachedEncoder, byte_letters
+from tessera.llm.tokens import byte_letters
 from tessera.session import scratch_path
 
 #: White space before a space or at the end: tokens can cross or end there in another way.
@@ -73,14 +75,20 @@ class Aligner:
 
     def __init__(self, path_a: str, path_b: str, most: int = 150_000):
         import sentencepiece
-        self.a = CachedEncoder(path_a, most)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+        self.a = Tokenizer.from_file(path_a)
+        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte_of = {c: n for n, c in byte_letters().items()}
-        self.bytes_a: dict[int, bytes] = {}
-        for token, n in self.a.tokenizer.get_vocab().items():
+        vocabulary = self.a.get_vocab()
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for token, n in vocabulary.items():
             self.bytes_a[n] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         self.bytes_b = [bytes([int(self.b.id_to_piece(n)[3:-1], 16)]) if self.b.is_byte(n) else self.b.id_to_piece(n).replace("▁", " ").encode()
                         for n in range(self.b.get_piece_size())]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.names = [str(n) for n in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.most, self.known, self.older = most, {}, {}
 
     def _aligned(self, spaced: str, a: list[int], b: list[int]) -> Aligned | None:
@@ -93,17 +101,37 @@ class Aligner:
 
     def whole(self, text: str) -> Aligned | None:
         """A text aligned in one piece."""
-        return self._aligned(" " + text, self.a.ids(" " + text).tolist(), self.b.encode(text))
+        return self._aligned(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
 
     def _learn(self, words: list[str]) -> dict[str, Aligned | None]:
-        """Words not yet known, aligned; B takes them in one call."""
-        if len(self.a) > self.a.most:
-            self.a.older = dict(self.a)
-            self.a.clear()
-        out = {}
-        for word, b in zip(words, self.b.encode(words), strict=True):
-            out[word] = self._aligned(" " + word, np.frombuffer(self.a[word], "<u4").tolist(), b)
-        return out
+        """Words not yet known, aligned together: their tokens follow each other as those of one text, and both have an end at each word's."""
+        spaced = [" " + w for w in words]
+        a, b = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)], self.b.encode(words)
+        all_a, all_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        sizes = np.array([len(w.encode()) for w in spaced], np.int64)
+        raw = "".join(spaced).encode()
+        n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        ids_a, ids_b = np.array(all_a, np.int64), np.array(all_b, np.int64)
+        ends_a, ends_b, ends = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b]), np.cumsum(sizes)
+        last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
+        if not (n_a.all() and n_b.all() and np.array_equal(ends_a[last_a - 1], ends) and np.array_equal(ends_b[last_b - 1], ends)
+                and b"".join([self.bytes_a[n] for n in all_a]) == raw and b"".join([self.bytes_b[n] for n in all_b]) == raw):
+            half = len(words) // 2  # some word is not given back; the others are found together
+            if half < 4:
+                return {w: self._aligned(s, x, y) for w, s, x, y in zip(words, spaced, a, b, strict=True)}
+            return self._learn(words[:half]) | self._learn(words[half:])
+        # between two neighbouring ends lies one pair of tokens; where both end, a group
+        cuts = np.union1d(ends_a, ends_b)
+        pairs = (ids_a[np.searchsorted(ends_a, cuts)] << 32 | ids_b[np.searchsorted(ends_b, cuts)]).tobytes()
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        names = self.names
+        text_a, text_b = [names[n] for n in all_a], [names[n] for n in all_b]
+        upto_a, upto_b = (np.searchsorted(e, both, "right").tolist() for e in (ends_a, ends_b))
+        groups = [(text_a[p] if q - p == 1 else ",".join(text_a[p:q])) + "|" + (text_b[r] if t - r == 1 else ",".join(text_b[r:t]))
+                  for p, q, r, t in zip([0, *upto_a], upto_a, [0, *upto_b], upto_b)]
+        links, of_groups = np.searchsorted(cuts, ends, "right").tolist(), np.searchsorted(both, ends, "right").tolist()
+        return {w: (x, y, h - g, v - u, groups[g] if h - g == 1 else ";".join(groups[g:h]), pairs[8 * u:8 * v])
+                for w, x, y, g, h, u, v in zip(words, n_a.tolist(), n_b.tolist(), [0, *of_groups], of_groups, [0, *links], links)}
 
     def texts(self, texts: list[str]) -> list[Aligned | None]:
         """All texts, in order; None for one without tokens."""
