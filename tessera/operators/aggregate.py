@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.checks import as_list, require_columns
 from tessera.operators.groupjoin import join_by
-from tessera.operators.ranking import exact_quantiles, sorted_cumulative, value_histogram
+from tessera.operators.ranking import exact_quantiles, quantiles, sorted_cumulative, value_histogram
 
 AGG_FUNCS = {
     "sum": F.sum, "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max,
@@ -69,17 +69,17 @@ def distinct_count(df: DataFrame, by, col: str, approx: bool = False, rsd: float
 
 
 def quantiles_by(df: DataFrame, by, col: str, probs, approx: bool = False,
-                 accuracy: int = 10_000, names=None) -> DataFrame:
+                 accuracy: int = 10_000, names=None, sketch: int | None = None) -> DataFrame:
     """Quantiles per group. Exact (linear interpolation, type 7) by default via
-    the distributed rank recipe; ``approx=True`` uses ``percentile_approx``,
-    whose result differs, so it is never chosen silently."""
+    the distributed rank recipe. ``approx=True`` uses ``percentile_approx`` and ``sketch`` mergeable KLL sketches of that many
+    items (``ranking.quantile_sketches``); their results differ, so neither is ever chosen silently."""
     by, probs = as_list(by), as_list(probs)
     names = as_list(names) or [f"q{int(round(p * 100)):02d}" for p in probs]
     if approx:
         q = F.percentile_approx(F.col(col), probs, accuracy)
         g = df.groupBy(*by).agg(q.alias("__q"))
         return g.select(*by, *[F.col("__q")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    return exact_quantiles(df, col, probs, by=by, names=names)
+    return quantiles(df, col, probs, by=by, names=names, sketch=sketch)
 
 
 def weighted_stats(df: DataFrame, by, x: str, w: str, probs=(0.5,), names=None) -> DataFrame:

@@ -13,19 +13,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.checks import as_list
+from tessera.operators.ranking import numbered
 
 
 def ols_cusum(df: DataFrame, order: str, y: str, by=()) -> DataFrame:
     """OLS-based CUSUM for a mean model: residuals from the series mean,
     cumulated in order and scaled by sigma * sqrt(n) (sigma with n - 1 df).
-    Adds ``resid``, ``cusum`` and the series' ``max_abs`` of the path."""
+    Adds ``resid``, ``cusum`` and the series' ``max_abs`` of the path. Points of one place in the order come
+    in the order of their values; one with a NULL value has no residual and keeps the path.
+
+    Without ``by`` the one series is numbered and cumulated by a sort over ranges, so no task holds it; with ``by`` a
+    series is a window."""
     by = as_list(by)
+    if not by:
+        one = df.agg(F.avg(y).alias("__mean"), F.count(F.lit(1)).alias("__n"))
+        d = df.crossJoin(F.broadcast(one)).withColumn("resid", F.col(y) - F.col("__mean")).withColumn("__step", F.coalesce("resid", F.lit(0.0)))
+        d = numbered(d, [F.col(order).asc_nulls_first(), F.col(y).asc_nulls_first()], ["__step"])
+        spread = d.agg(F.sqrt(F.try_divide(F.sum(F.col("resid") ** 2), F.first("__n") - 1)).alias("__sigma"))
+        path = d.crossJoin(F.broadcast(spread)).withColumn(
+            "cusum", F.try_divide(F.col("__step_before") + F.col("__step"), F.col("__sigma") * F.sqrt("__n")))
+        most = path.agg(F.max(F.abs("cusum")).alias("max_abs"))
+        return path.select(*df.columns, "resid", "cusum").crossJoin(F.broadcast(most))
     whole = Window.partitionBy(*by)
-    run = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*by).orderBy(F.col(order).asc_nulls_first(), F.col(y).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     d = df.withColumn("resid", F.col(y) - F.avg(y).over(whole))
     n = F.count(F.lit(1)).over(whole)
     sigma = F.sqrt(F.try_divide(F.sum(F.col("resid") ** 2).over(whole), n - 1))
-    d = d.withColumn("cusum", F.try_divide(F.sum("resid").over(run), sigma * F.sqrt(n)))
+    d = d.withColumn("cusum", F.try_divide(F.sum(F.coalesce("resid", F.lit(0.0))).over(run), sigma * F.sqrt(n)))
     return d.withColumn("max_abs", F.max(F.abs("cusum")).over(whole))
 
 
@@ -60,13 +74,54 @@ BREAK_SCHEMA = T.StructType([
     T.StructField("rss", T.DoubleType()), T.StructField("bic", T.DoubleType()),
 ])
 
-MAX_SERIES_LENGTH = 2_000
-
+def segment_costs(v: np.ndarray, max_breaks: int, min_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least residual sums of squares of v[:j] in m + 1 segments of at least ``min_size`` points, and where
+    the last segment starts: arrays (m, j), exact, by functional pruning.
 
-def _breaks_one(pdf, order, y, max_breaks, min_size, key_cols):
-    """Least-squares segmentation of a mean-shift model by dynamic programming
-    (optimal partition into m+1 segments minimising the residual sum of
-    squares, each segment at least ``min_size`` points), for m = 0..max_breaks.
+    A start i stays a candidate for the last segment only where some mean makes its cost the least: the candidates share
+    the range of means as intervals, ordered by mean. The cost of i less that of a later i' is a parabola in the mean
+    that no further point changes, so i keeps of its interval what lies between the parabola's roots, and the new
+    candidate takes what is freed; a candidate without an interval never comes back. A few candidates are left
+    at any time, so the work grows nearly with the length of the series, not with its square."""
+    n = len(v)
+    v = v - v.mean() if n else v  # smaller squares; costs do not change
+    c1, c2 = np.concatenate([[0.0], np.cumsum(v)]), np.concatenate([[0.0], np.cumsum(v * v)])
+    cost = np.full((max_breaks + 1, n + 1), np.inf)
+    back = np.zeros((max_breaks + 1, n + 1), dtype=np.int64)
+    if n < min_size:
+        return cost, back
+    low, high = float(v.min()), float(v.max())
+    j = np.arange(min_size, n + 1)
+    cost[0, j] = np.maximum(c2[j] - c1[j] ** 2 / j, 0.0)
+    for m in range(1, max_breaks + 1):
+        prev = cost[m - 1]
+        at = np.zeros(0, np.int64)
+        lo = hi = np.zeros(0)
+        for end in range((m + 1) * min_size, n + 1):
+            new = end - min_size
+            if len(at):
+                k = new - at
+                mid = (c1[new] - c1[at]) / k
+                room = mid * mid - (prev[at] - prev[new] + c2[new] - c2[at]) / k
+                half = np.sqrt(np.maximum(room, 0.0))
+                a, b = np.maximum(lo, mid - half), np.minimum(hi, mid + half)
+                stays = (room >= 0) & (a <= b)
+                at, lo, hi = at[stays], a[stays], b[stays]
+            left, right = np.append(low, hi), np.append(lo, high)
+            free = left < right if len(at) else np.array([True])
+            if free.any():
+                at, lo, hi = np.append(at, np.full(int(free.sum()), new)), np.append(lo, left[free]), np.append(hi, right[free])
+                order = np.argsort(lo, kind="stable")
+                at, lo, hi = at[order], lo[order], hi[order]
+            total = prev[at] + np.maximum(c2[end] - c2[at] - (c1[end] - c1[at]) ** 2 / (end - at), 0.0)
+            least = total.min()
+            cost[m, end], back[m, end] = least, at[total == least].min()
+    return cost, back
+
+
+def _breaks_one(pdf, order, y, max_breaks, min_frac, key_cols):
+    """Least-squares segmentation of a mean-shift model (optimal partition into m + 1 segments, each of
+    at least ``min_frac`` of the series' points), for m = 0..max_breaks.
     Returns one row per (m, break) plus m = 0 with no break; BIC per m."""
     import pandas as pd
 
@@ -75,27 +130,7 @@ def _breaks_one(pdf, order, y, max_breaks, min_size, key_cols):
     t = pdf[order].to_numpy()
     n = len(v)
     series = "|".join(str(pdf[c].iloc[0]) for c in key_cols) if key_cols else ""
-    if n > MAX_SERIES_LENGTH:
-        raise ValueError(f"series {series!r} has {n} points (> {MAX_SERIES_LENGTH}); aggregate it first")
-    c1 = np.concatenate([[0.0], np.cumsum(v)])
-    c2 = np.concatenate([[0.0], np.cumsum(v * v)])
-
-    def seg(i, j):  # rss of v[i:j]
-        s, s2, m = c1[j] - c1[i], c2[j] - c2[i], j - i
-        return s2 - s * s / m
-
-    inf = float("inf")
-    cost = np.full((max_breaks + 1, n + 1), inf)
-    back = np.zeros((max_breaks + 1, n + 1), dtype=int)
-    for j in range(min_size, n + 1):
-        cost[0, j] = seg(0, j)
-    for m in range(1, max_breaks + 1):
-        for j in range((m + 1) * min_size, n + 1):
-            i = np.arange(m * min_size, j - min_size + 1)
-            s, s2 = c1[j] - c1[i], c2[j] - c2[i]
-            c = cost[m - 1, i] + (s2 - s * s / (j - i))
-            k = int(np.argmin(c))  # first minimum, as a left-to-right scan would keep
-            cost[m, j], back[m, j] = c[k], i[k]
+    cost, back = segment_costs(v, max_breaks, max(2, int(np.floor(min_frac * n))))
     rows = []
     for m in range(0, max_breaks + 1):
         if not np.isfinite(cost[m, n]):
@@ -105,7 +140,7 @@ def _breaks_one(pdf, order, y, max_breaks, min_size, key_cols):
         bic = n * np.log(rss / n) + k * np.log(n) if rss > 0 else float("-inf")
         cuts, j = [], n
         for mm in range(m, 0, -1):
-            j = back[mm, j]
+            j = int(back[mm, j])
             cuts.append(j)
         cuts.reverse()
         if not cuts:
@@ -117,20 +152,16 @@ def _breaks_one(pdf, order, y, max_breaks, min_size, key_cols):
 
 def breakpoints(df: DataFrame, order: str, y: str, by=(), max_breaks: int = 3, min_frac: float = 0.15) -> DataFrame:
     """Break dates of a piecewise-constant mean, for 0..max_breaks breaks, per
-    series. Each series is one group of ``applyInPandas`` (a series of at most
-    MAX_SERIES_LENGTH aggregated points, checked), so series run in parallel
-    and no task holds more than one series."""
+    series; a segment holds at least ``min_frac`` of its series' points (2 at least). Each series is one group
+    of ``applyInPandas``, so series run in parallel; its length is not limited, the search
+    takes time nearly in proportion to it (``segment_costs``). Points with a NULL value or place are left out."""
     by = as_list(by)
-    data = df.select(*by, order, y)
-    n_max = data.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if n_max > MAX_SERIES_LENGTH:
-        raise ValueError(f"a series has {n_max} points; aggregate with time_bucket_agg first")
-    min_size = max(2, int(np.floor(min_frac * n_max)))
+    data = df.select(*by, order, y).dropna(subset=[order, y])
 
     def fn(pdf):
-        return _breaks_one(pdf, order, y, max_breaks, min_size, by)
+        return _breaks_one(pdf, order, y, max_breaks, min_frac, by)
 
     if by:
         return data.groupBy(*by).applyInPandas(fn, BREAK_SCHEMA)
     return data.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(
-        lambda p: _breaks_one(p, order, y, max_breaks, min_size, []), BREAK_SCHEMA)
+        lambda p: _breaks_one(p, order, y, max_breaks, min_frac, []), BREAK_SCHEMA)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.groupjoin import join_by
-from tessera.operators.ranking import exact_quantiles, sorted_cumulative
+from tessera.operators.ranking import exact_quantiles, numbered
 
 
 def level_counts(df: DataFrame, col: str) -> DataFrame:
@@ -27,8 +27,7 @@ def factor_lump(df: DataFrame, col: str, n: int, other: str = "Other", name: str
 def factor_order(df: DataFrame, col: str, by: str | None = None, fn: str = "freq") -> DataFrame:
     """Level table (level, n, key, position): ordered by frequency (descending)
     or, with ``by``, by the median of ``by`` within the level (ascending); ties
-    by level value. Positions are ranks of the distinct keys by the distributed
-    recipe, plus the place among the levels of one key."""
+    by level value. Positions come from one sort over ranges of (key, level)."""
     counts = level_counts(df.where(F.col(col).isNotNull()), col)
     if by is None:
         lv = counts.withColumn("key", F.col("n").cast("double")).withColumn("__down", -F.col("key"))
@@ -36,7 +35,5 @@ def factor_order(df: DataFrame, col: str, by: str | None = None, fn: str = "freq
         med = exact_quantiles(df.where(F.col(col).isNotNull()), by, [0.5], by=[col], names=["key"])
         # a level without values comes last
         lv = join_by(counts, med, [col]).withColumn("__down", F.coalesce("key", F.lit(float("inf"))))
-    keys = sorted_cumulative(lv.groupBy("__down").agg(F.count(F.lit(1)).alias("__levels")), "__down", ["__levels"])
-    w = Window.partitionBy("__down").orderBy(F.col(col).asc())
-    out = lv.withColumn("__at", F.row_number().over(w)).join(keys, "__down")
-    return out.select(col, "n", "key", (F.col("__levels_before") + F.col("__at")).cast("int").alias("position"))
+    out = numbered(lv, [F.col("__down"), F.col(col)])
+    return out.select(col, "n", "key", F.col("position").cast("int").alias("position"))

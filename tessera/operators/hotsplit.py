@@ -180,6 +180,20 @@ def with_halo(df: DataFrame, by, order, before: int, after: int, cols_fn, hot_ro
     by = as_list(by)
     if not has_hot_groups(df, by, hot_rows):
         return df.select(*df.columns, *cols_fn(Window.partitionBy(*by).orderBy(*order_spec(order))))
+    u = _pieces_with_halo(df, by, order, before, after, hot_rows)
+    w = Window.partitionBy(*by, "__piece").orderBy(*order_spec(order))
+    return u.select(*df.columns, "__halo", *cols_fn(w)).where("__halo = 0").drop("__halo")
+
+
+def halo_rows(df: DataFrame, by, order, before: int, after: int, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """The rows with ``__piece`` and ``__halo`` (1 for the rows that a piece has only as context)."""
+    by = as_list(by)
+    if not has_hot_groups(df, by, hot_rows):
+        return df.select("*", F.lit(0).alias("__piece"), F.lit(0).alias("__halo"))
+    return _pieces_with_halo(df, by, order, before, after, hot_rows)
+
+
+def _pieces_with_halo(df: DataFrame, by: list[str], order, before: int, after: int, hot_rows: int | None) -> DataFrame:
     d = split_groups(df, by, order, hot_rows)
     spec = order_spec(order)
     wp = Window.partitionBy(*by, "__piece")
@@ -216,8 +230,7 @@ def with_halo(df: DataFrame, by, order, before: int, after: int, cols_fn, hot_ro
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    w = Window.partitionBy(*by, "__piece").orderBy(*spec)
-    return u.select(*df.columns, "__halo", *cols_fn(w)).where("__halo = 0").drop("__halo")
+    return u
 
 
 def with_time_halo(df: DataFrame, by, ts: str, span_seconds: int, cols_fn, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -205,30 +205,40 @@ def join_asof(left: DataFrame, right: DataFrame, by, ts: str, right_cols,
 
 
 # ------------------------------------------------------------------- range
+#: A level's cells are this many times as long as those of the level below.
+CELL_FACTOR = 8
+#: Levels from one second to some 270 years.
+CELL_LEVELS = 12
+
+
 def join_range(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: str,
-               on=(), bucket_seconds: int | None = None, closed: str = "left") -> DataFrame:
+               on=(), bucket_seconds: int = 1, closed: str = "left") -> DataFrame:
     """Point-in-interval join: pairs with ``lo <= point < hi`` (``closed='left'``)
     or ``lo <= point <= hi`` (``'both'``), plus optional equality keys ``on``.
 
-    Intervals are exploded into the time buckets they touch and joined to the
-    point's bucket by equality, so the plan is a hash/sort-merge join rather than
-    a nested loop; each pair is met in exactly one bucket (the point's).
-    An interval comes in its length / ``bucket_seconds`` + 1 copies; without
-    ``bucket_seconds`` one job takes the mean length of the intervals, so two copies on average.
-    """
+    A multi-level time index: the cells of level 0 are ``bucket_seconds`` long, those of
+    each further level ``CELL_FACTOR`` times as long. An interval is put on the level whose cells are just
+    not longer than it, so it touches at most ``CELL_FACTOR + 1`` of them at any length (longer
+    ones than the last level's: as many as its length asks for). A point comes once per level that has intervals;
+    these few numbers are one row, found in the same plan, nothing is counted before. Pairs meet by equality of
+    (``on``, level, cell) in exactly one cell, so the plan is a hash or sort-merge join, whose skew AQE splits,
+    never a nested loop. NULL points, ends and keys match nothing."""
     on = as_list(on)
     require_columns(points, point, *on)
     require_columns(intervals, lo, hi, *on)
-    if not bucket_seconds:
-        mean = intervals.agg(F.avg(epoch_seconds(hi) - epoch_seconds(lo))).first()[0]
-        bucket_seconds = max(1, int(mean or 3_600))
-    bw = F.lit(bucket_seconds)
-    p = points.withColumn("__b", F.floor(epoch_seconds(point) / bw))
-    iv = intervals.withColumn("__b", F.explode(F.sequence(
-        F.floor(epoch_seconds(lo) / bw), F.floor(epoch_seconds(hi) / bw))))
     clash = (set(points.columns) & set(intervals.columns)) - set(on)
     if clash:
         raise ValueError(f"rename clashing columns first: {sorted(clash)}")
-    j = p.join(iv, [*on, "__b"])
+    sizes = [bucket_seconds * CELL_FACTOR ** k for k in range(CELL_LEVELS)]
+    size_of = F.array(*[F.lit(s).cast("bigint") for s in sizes])
+    start, end = F.floor(epoch_seconds(lo)), F.floor(epoch_seconds(hi))
+    level = reduce(lambda x, k: F.when(end - start >= sizes[k], k).otherwise(x), range(1, CELL_LEVELS), F.lit(0))
+    iv = intervals.where(F.col(hi) >= F.col(lo)).withColumn("__level", level)
+    cell = F.get(size_of, F.col("__level"))
+    iv = iv.withColumn("__b", F.explode(F.sequence(F.floor(start / cell), F.floor(end / cell))))
+    used = intervals.where(F.col(hi) >= F.col(lo)).agg(F.collect_set(level).alias("__levels"))
+    p = points.crossJoin(F.broadcast(used)).withColumn("__level", F.explode("__levels")).drop("__levels")
+    p = p.withColumn("__b", F.floor(F.floor(epoch_seconds(point)) / cell))
+    j = p.join(iv, [*on, "__level", "__b"])
     upper = (F.col(point) < F.col(hi)) if closed == "left" else (F.col(point) <= F.col(hi))
-    return j.where((F.col(point) >= F.col(lo)) & upper).drop("__b")
+    return j.where((F.col(point) >= F.col(lo)) & upper).drop("__b", "__level")

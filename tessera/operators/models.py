@@ -14,7 +14,7 @@ import re
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import RFormula
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GeneralizedLinearRegression, RandomForestRegressor)
@@ -22,6 +22,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.crossval import cv_linear, cv_logistic
+
 
 def formula_encode(df: DataFrame, formula: str, keep=()) -> DataFrame:
     """R-style formula to (label, features): categorical terms one-hot encoded
@@ -148,14 +150,17 @@ def glm_fit(df: DataFrame, formula: str, family: str = "binomial", link: str | N
 def cross_validate(df: DataFrame, formula: str, fold_col: str, model: str = "tree",
                    grid: dict | None = None, metric: str = "areaUnderROC") -> DataFrame:
     """k-fold cross-validation over a parameter grid with given folds (e.g.
-    from ``split_stratified``); rows: one per setting with its mean metric."""
+    from ``split_stratified``); rows: one per setting with its mean metric. ``lm`` and ``glm`` (logistic) have no
+    grid and no fit per fold: their mean root mean square error comes from sums per fold (``crossval``)."""
+    if model in ("lm", "glm"):
+        data, label, names = design(df, formula, [fold_col])
+        folds = (cv_linear if model == "lm" else cv_logistic)(data, label, names, fold_col)
+        return folds.agg(F.lit(model).alias("setting"), F.avg("rmse").alias("metric"))
     rf = RFormula(formula=formula, featuresCol="features", labelCol="label", handleInvalid="skip")
     if model == "tree":
         est = DecisionTreeClassifier(seed=42)
     elif model == "forest":
         est = RandomForestClassifier(seed=42)
-    elif model == "glm":
-        est = GeneralizedLinearRegression(family="binomial")
     else:
         raise ValueError(f"model={model!r}")
     pipe = Pipeline(stages=[rf, est])
@@ -163,8 +168,7 @@ def cross_validate(df: DataFrame, formula: str, fold_col: str, model: str = "tre
     for name, values in (grid or {"maxDepth": [2, 4]}).items():
         gb = gb.addGrid(est.getParam(name), values)
     maps = gb.build()
-    ev = (BinaryClassificationEvaluator(metricName=metric) if model != "glm"
-          else RegressionEvaluator(metricName="rmse", predictionCol="prediction"))
+    ev = BinaryClassificationEvaluator(metricName=metric)
     data = df.withColumn(fold_col, F.col(fold_col).cast("int")).cache()
     try:
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,

@@ -16,14 +16,14 @@ from pyspark.sql import types as T
 
 from tessera.checks import as_list
 from tessera.operators.groupjoin import join_by, join_rows_by, safe_corr
-from tessera.operators.ranking import average_ranks, cut_bin, exact_quantiles, sorted_cumulative
+from tessera.operators.ranking import cut_bin, exact_quantiles, numbered, quantiles, sketch_quantiles, sorted_cumulative
 from tessera.session import scratch_dir
 
 
 def _long(df: DataFrame, cols, key=None, value_type: str = "double") -> DataFrame:
     """(key..., column, value) rows for the given columns."""
     key = as_list(key)
-    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(value_type).alias("value")) for c in cols])
+    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast(value_type).alias("value")) for c in cols])
     return df.select(*key, F.explode(arr).alias("__kv")).select(*key, "__kv.column", "__kv.value")
 
 
@@ -31,20 +31,20 @@ def profile_table(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Per column: type, rows, NULLs, zeros (numeric), NaN or infinite (floating),
     distinct non-NULL values. One aggregate over the table."""
     aggs = [F.count(F.lit(1)).alias("__rows")]
-    for f in df.schema.fields:
+    for i, f in enumerate(df.schema.fields):  # named by number: a name may hold dots
         c = F.col(f"`{f.name}`")
-        aggs.append(F.count_if(c.isNull()).alias(f"{f.name}__null"))
+        aggs.append(F.count_if(c.isNull()).alias(f"{i}__null"))
         if isinstance(f.dataType, T.NumericType):
-            aggs.append(F.count_if(c == 0).alias(f"{f.name}__zero"))
+            aggs.append(F.count_if(c == 0).alias(f"{i}__zero"))
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            aggs.append(F.count_if(F.isnan(c) | c.isin(float("inf"), float("-inf"))).alias(f"{f.name}__naninf"))
+            aggs.append(F.count_if(F.isnan(c) | c.isin(float("inf"), float("-inf"))).alias(f"{i}__naninf"))
         d = F.approx_count_distinct(c) if approx_distinct else F.count_distinct(c)
-        aggs.append(d.alias(f"{f.name}__distinct"))
+        aggs.append(d.alias(f"{i}__distinct"))
     one = df.agg(*aggs)
     rows = []
-    for f in df.schema.fields:
-        def g(suffix):
-            name = f"{f.name}__{suffix}"
+    for i, f in enumerate(df.schema.fields):
+        def g(suffix, i=i):
+            name = f"{i}__{suffix}"
             return F.col(name).cast("bigint") if name in one.columns else F.lit(None).cast("bigint")
         rows.append(F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
                              F.col("__rows").alias("n_rows"), g("null").alias("n_null"), g("zero").alias("n_zero"),
@@ -55,38 +55,42 @@ def profile_table(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
 PROFILE_PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
-def profile_numeric(df: DataFrame, cols=None) -> DataFrame:
+def profile_numeric(df: DataFrame, cols=None, sketch: int | None = None) -> DataFrame:
     """Per numeric column: n, mean, sd, cv, min, p01..p99, max, iqr, skewness,
-    excess kurtosis. Quantiles are exact (distributed rank recipe)."""
+    excess kurtosis. Quantiles are exact (distributed rank recipe), or with ``sketch`` those of a KLL sketch of that many items
+    per column: then the whole profile is one aggregate of the table, without a copy of each row per column."""
     cols = as_list(cols) or [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    long = _long(df, cols)
-    # moments in one plain aggregate of the wide table; only the quantiles need (column, value) rows
+    # moments in one plain aggregate of the wide table; only exact quantiles need (column, value) rows
     parts = {"n": F.count, "mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max, "skewness": F.skewness, "kurtosis": F.kurtosis}
-    one = df.agg(*[fn(F.col(c).cast("double")).alias(f"__{k}_{i}") for i, c in enumerate(cols) for k, fn in parts.items()])
+    if sketch is not None:
+        parts["sketch"] = lambda c: F.kll_sketch_agg_double(F.when(~F.isnan(c), c), F.lit(sketch))
+        parts["__known"] = lambda c: F.count(F.when(~F.isnan(c), c))
+    one = df.agg(*[fn(F.col(f"`{c}`").cast("double")).alias(f"__{k}_{i}") for i, c in enumerate(cols) for k, fn in parts.items()])
     mom = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"__{k}_{i}").alias(k) for k in parts])
                                         for i, c in enumerate(cols)])))
     names = [f"p{int(round(p * 100)):02d}" for p in PROFILE_PROBS]
-    q = exact_quantiles(long, "value", list(PROFILE_PROBS), by=["column"], names=names)
-    return mom.join(q, "column", "left").select(
+    if sketch is None:
+        q = exact_quantiles(_long(df, cols), "value", list(PROFILE_PROBS), by=["column"], names=names)
+        j = mom.join(q, "column", "left")
+    else:
+        mom = mom.withColumn("sketch", F.when(F.col("__known") > 0, F.col("sketch")))
+        rest = [k for k in parts if k not in ("sketch", "__known")]
+        j = sketch_quantiles(mom, PROFILE_PROBS, ["column", *rest], names)
+    return j.select(
         "column", "n", "mean", "sd", F.try_divide(F.col("sd"), F.col("mean")).alias("cv"), "min", *names, "max",
         (F.col("p75") - F.col("p25")).alias("iqr"), "skewness", "kurtosis")
 
 
 def freq_table(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
     """value, count, percent, cumulative percent; most frequent first (ties by
-    value), NULL counted as a level. Levels of one count are ordered within that
-    count; counts are few (n levels have at most about sqrt(2 x rows) different
-    ones), and their running sums use the distributed recipe."""
+    value), NULL counted as a level. Levels are numbered by one sort over ranges of (count, level),
+    so a column of once-only values is spread over all tasks."""
     g = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    c = g.groupBy("n").agg(F.count(F.lit(1)).alias("__levels")).select(
-        "n", "__levels", (F.col("n") * F.col("__levels")).alias("__rows"), (-F.col("n")).alias("__down"))
-    c = sorted_cumulative(c, "__down", ["__levels", "__rows"])
-    w = Window.partitionBy("n").orderBy(F.col(col).asc_nulls_last())
-    j = g.withColumn("__at", F.row_number().over(w)).join(c.drop("__levels", "__rows", "__down"), "n")
+    j = numbered(g, [F.col("n").desc(), F.col(col).asc_nulls_last()], ["n"])
     out = j.select(
-        col, "n", (F.col("n") * 100.0 / F.col("__rows_total")).alias("pct"),
-        ((F.col("__rows_before") + F.col("n") * F.col("__at")) * 100.0 / F.col("__rows_total")).alias("cum_pct"),
-        (F.col("__levels_before") + F.col("__at")).cast("int").alias("position"))
+        col, "n", (F.col("n") * 100.0 / F.col("n_total")).alias("pct"),
+        ((F.col("n_before") + F.col("n")) * 100.0 / F.col("n_total")).alias("cum_pct"),
+        F.col("position").cast("int").alias("position"))
     return out.where(F.col("position") <= top) if top else out
 
 
@@ -114,35 +118,47 @@ def outlier_fence(df: DataFrame, by, col: str, method: str = "tukey", k: float |
     return j.withColumn("is_outlier", (F.col(col) < F.col("lower")) | (F.col(col) > F.col("upper")))
 
 
+def _pairwise_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows with ``r<i>_<j>``: the mid-rank of column i among the rows where column j is known too.
+
+    One run of the rank recipe serves all pairs: a value of column i is counted once per partner, over the
+    rows where that partner is known, and the running sums of these counts are its ranks beside each
+    partner. The rank table is written once; each column's part of it is then joined by value, and
+    AQE broadcasts the parts its runtime statistics show to be small."""
+    scratch_dir(df.sparkSession)
+    known = [F.col(f"`{c}`").isNotNull().cast("bigint").alias(f"n{j}") for j, c in enumerate(cols)]
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("value"), *known)
+                                        for i, c in enumerate(cols)])))
+    counts = [f"n{j}" for j in range(len(cols))]
+    hist = long.where(F.col("value").isNotNull()).groupBy("i", "value").agg(*[F.sum(n).alias(n) for n in counts])
+    cum = sorted_cumulative(hist, "value", counts, by=["i"])
+    ranks = cum.select("i", "value", *[(F.col(f"{n}_before") + (F.col(n) + 1) / 2.0).alias(f"r{n[1:]}") for n in counts]).checkpoint()
+    src = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    for i in range(len(cols)):
+        mine = ranks.where(F.col("i") == i).select(F.col("value").alias(f"c{i}"), *[F.col(f"r{j}").alias(f"r{i}_{j}") for j in range(len(cols)) if j != i])
+        src = src.join(mine, f"c{i}", "left")
+    return src
+
+
 def correlations(df: DataFrame, cols, method: str = "pearson") -> DataFrame:
-    """Long form (var1, var2, r) for every pair var1 before var2 in ``cols``.
+    """Long form (var1, var2, r) for every pair var1 before var2 in ``cols``, each
+    over the rows where both are known; NULL where one is constant there.
 
-    Spearman = Pearson on mid-ranks. Mid-ranks of all columns come from one
-    run of the distributed rank recipe over (column, value) rows; each
-    column's rank table (one row per distinct value) is then joined to the
-    rows by value; AQE broadcasts the tables its runtime statistics show to be
-    small (columns with few distinct values) and shuffles the others."""
+    Spearman = Pearson on mid-ranks, where both columns are ranked among the rows
+    that the pair uses, so a NULL in one column leaves its row out of the other's ranks."""
     cols = as_list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if method == "spearman":
-        # written once: every column's join below reads its part of it, not the table again
-        scratch_dir(df.sparkSession)
-        ranks = average_ranks(_long(df, cols), "value", by=["column"]).select("column", "value", "avg_rank").checkpoint()
-        src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-        for c in cols:
-            rc = ranks.where(F.col("column") == F.lit(c)).select(
-                F.col("value").alias(c), F.col("avg_rank").alias(f"__r_{c}"))
-            # no hint: AQE measures each materialised rank table and broadcasts
-            # the small ones (few distinct values), shuffling only large ones
-            src = src.join(rc, c, "left")
-        src = src.select(*[F.col(f"__r_{c}").alias(c) for c in cols])
+        src = _pairwise_ranks(df, cols)
+        sides = [(f"r{i}_{j}", f"r{j}_{i}") for i, j in pairs]
     elif method == "pearson":
-        src = df
+        src = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
+        sides = [(f"c{i}", f"c{j}") for i, j in pairs]
     else:
         raise ValueError(f"method={method!r}")
-    one = src.agg(*[safe_corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    rows = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"{a}__{b}").alias("r")) for a, b in pairs]
-    return one.select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    one = src.agg(*[safe_corr(a, b).alias(f"p{n}") for n, (a, b) in enumerate(sides)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(cols[i]).alias("var1"), F.lit(cols[j]).alias("var2"), F.col(f"p{n}").alias("r"))
+                                         for n, (i, j) in enumerate(pairs)])))
 
 
 def _entropy_of(counts: DataFrame, by, n_col: str = "n") -> DataFrame:
@@ -216,11 +232,11 @@ def histogram_bins(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
         (F.col("__lo") + F.col("bin") * width).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def box_summary(df: DataFrame, by, col: str) -> DataFrame:
+def box_summary(df: DataFrame, by, col: str, sketch: int | None = None) -> DataFrame:
     """Quartiles, whiskers (most extreme values within 1.5 IQR of the box) and
-    number of points outside them, per group."""
+    number of points outside them, per group; with ``sketch`` quartiles of KLL sketches of that many items."""
     by = as_list(by)
-    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"])
+    q = quantiles(df, col, [0.25, 0.5, 0.75], by=by, names=["q1", "median", "q3"], sketch=sketch)
     j = join_rows_by(df, q, by)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))

@@ -6,17 +6,15 @@ correlation and stratified splits):
 
 1. pre-aggregate to one row per distinct (group, value) with its weights; the
    partial aggregation also flattens a hot value into a single row;
-2. cut the value range of each large group into B buckets at approximate quantiles
+2. a group of up to ``BUCKET_VALUES`` distinct values is one window;
+3. the value range of each larger group is cut into B buckets at approximate quantiles
    of the distinct values (``percentile_approx``: one small row of bounds per
-   large group), so a bucket holds about 1/B of the group's distinct values; a
-   group of up to ``BUCKET_VALUES`` distinct values is one bucket. The bucket
+   large group), so a bucket holds about 1/B of the group's distinct values. The bucket
    is a deterministic function of the row, so every branch of the plan agrees;
-3. running weight inside (group, bucket) by a window partitioned on both, so
+4. running weight inside (group, bucket) by a window partitioned on both, so
    each window task sorts about 1/B of a group;
-4. per (group, bucket) totals, at most groups x B rows, become offsets by a
-   window partitioned by group (or, with no group, over the B bucket rows);
-5. the offsets are joined back: broadcast when their row count is known or
-   checked to be small, a shuffle join otherwise.
+5. per (group, bucket) totals, at most large groups x B rows, become offsets by a
+   window partitioned by group (or, with no group, over the B bucket rows), joined back.
 
 Everything stays in the JVM (no Python worker, no checkpoint).
 """
@@ -31,6 +29,7 @@ from pyspark.sql import types as T
 
 from tessera.checks import as_list, require_columns
 from tessera.operators.groupjoin import join_by
+from tessera.session import scratch_dir
 
 _ORDERABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -51,15 +50,21 @@ def _below(bounds: Column, key: Column, steps: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["lo"]
 
 
+#: Groups that are cut at most, the largest first; any other has at most a ten-thousandth of the rows.
+LARGE_GROUPS = 10_000
+
+
 def sorted_cumulative(df: DataFrame, order_col: str, weights, by=(), *,
                       buckets: int | None = None, bucket_values: int = BUCKET_VALUES) -> DataFrame:
     """For rows that are already one per distinct (by, order_col), add for every
     weight ``w`` the columns ``w_before`` (sum of ``w`` over rows of the same group
     with a smaller key) and ``w_total`` (group sum). NULL is a group like any other.
 
-    Only groups with more than ``bucket_values`` rows are cut, into ``buckets``
+    Groups are windows, dealt once by group, so an aggregation by group that follows needs no
+    exchange. Only groups with more than ``bucket_values`` rows are cut, into ``buckets``
     (by default the session's shuffle partitions) ranges of the key; text
-    keys are cut by the number their first bytes make."""
+    keys are cut by the number their first bytes make. Which groups these are is found in the same plan: their list
+    (at most LARGE_GROUPS) is broadcast, and where it is empty Spark drops the whole branch."""
     weights, by = as_list(weights), as_list(by)
     require_columns(df, order_col, *weights, *by)
     nb = int(buckets or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -68,22 +73,40 @@ def sorted_cumulative(df: DataFrame, order_col: str, weights, by=(), *,
         proxy = key
     elif isinstance(df.schema[order_col].dataType, T.StringType):
         proxy = text_number(key)
-    if nb > 1 and proxy is not None:
-        probs = [i / nb for i in range(1, nb)]
-        # one row per group that is large; the others have no bounds and stay whole
-        large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > bucket_values)
-        src = df.withColumn("__proxy", proxy)
-        held = join_by(src, large, by, "inner") if by else src.crossJoin(F.broadcast(large))
-        bounds = held.groupBy(*by).agg(F.percentile_approx("__proxy", probs, max(10_000, 50 * nb)).alias("__bounds"))
-        d = join_by(src, bounds, by)
-        d = d.withColumn("__bkt", F.when(F.col("__bounds").isNull(), F.lit(0)).otherwise(
-            _below(F.col("__bounds"), F.col("__proxy"), nb.bit_length() + 1))).drop("__bounds", "__proxy")
-    else:
-        d = df.withColumn("__bkt", F.lit(0))
+    if nb <= 1 or proxy is None:
+        return _whole_groups(df, key, weights, by)
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > bucket_values)
+    if not by:
+        held = df.withColumn("__proxy", proxy).crossJoin(F.broadcast(counts)).drop("__rows")
+        return _cut_groups(df, held, df.withColumn("__proxy", proxy), key, weights, by, nb)
+    large = counts.orderBy(F.desc("__rows")).limit(LARGE_GROUPS).select(*by, F.lit(True).alias("__large"))
+    small = join_by(df, large, by, broadcast=True).where("__large is null").select(*df.columns)
+    held = join_by(df, large, by, "inner", broadcast=True).drop("__large").withColumn("__proxy", proxy)
+    return _whole_groups(small, key, weights, by).unionByName(_cut_groups(df, held, held, key, weights, by, nb))
+
+
+def _whole_groups(df: DataFrame, key: Column, weights: list[str], by: list[str]) -> DataFrame:
+    """Running sums by one window per group."""
+    earlier = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    out = [F.col(c) for c in df.columns]
+    for w in weights:
+        zero = F.lit(0).cast(df.schema[w].dataType)
+        out += [F.coalesce(F.sum(w).over(earlier), zero).alias(w + "_before"), F.sum(w).over(whole).alias(w + "_total")]
+    return df.select(*out)
+
 
+def _cut_groups(df: DataFrame, held: DataFrame, rows: DataFrame, key: Column, weights: list[str], by: list[str], nb: int) -> DataFrame:
+    """Running sums of ``rows`` by one window per range of the key; the ranges come from the rows held (both with ``__proxy``). Without
+    groups nothing is held of a small frame, whose rows are one range."""
+    probs = [i / nb for i in range(1, nb)]
+    bounds = held.groupBy(*by).agg(F.percentile_approx("__proxy", probs, max(10_000, 50 * nb)).alias("__bounds"))
+    # the bounds of at most LARGE_GROUPS groups
+    d = join_by(rows, bounds, by, broadcast=True)
+    d = d.withColumn("__bkt", F.when(F.col("__bounds").isNull(), F.lit(0)).otherwise(
+        _below(F.col("__bounds"), F.col("__proxy"), nb.bit_length() + 1))).drop("__bounds", "__proxy")
     run_w = Window.partitionBy(*by, "__bkt").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     d = d.select("*", *[F.sum(w).over(run_w).alias("__run_" + w) for w in weights])
-
     stats = d.groupBy(*by, "__bkt").agg(*[F.sum(w).alias("__sum_" + w) for w in weights])
     prev = Window.partitionBy(*by).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -92,7 +115,7 @@ def sorted_cumulative(df: DataFrame, order_col: str, weights, by=(), *,
         cols += [F.coalesce(F.sum("__sum_" + w).over(prev), F.lit(0)).alias("__off_" + w),
                  F.sum("__sum_" + w).over(whole).alias(w + "_total")]
     stats = stats.select(*cols)
-    # with groups: at most groups + large groups x buckets rows, left to AQE; without: at most ``nb`` rows
+    # with groups: at most LARGE_GROUPS x buckets rows, left to AQE; without: at most ``nb`` rows
     joined = join_by(d, stats, [*by, "__bkt"], "inner", broadcast=not by)
     out = [F.col(c) for c in df.columns]
     for w in weights:
@@ -101,6 +124,31 @@ def sorted_cumulative(df: DataFrame, order_col: str, weights, by=(), *,
     return joined.select(*out)
 
 
+def numbered(df: DataFrame, order, weights=()) -> DataFrame:
+    """Rows with their ``position`` (1-based) in the order of ``order`` over the whole
+    frame and, per weight ``w``, ``w_before`` (its sum over earlier rows) and ``w_total``.
+
+    One sort over ranges of all order columns, written once so that every reader sees the same
+    cut; a position is the row's place in its range plus the rows of earlier ranges (one row
+    per range is broadcast). The order columns should tell rows apart: equal ones share a range."""
+    weights = as_list(weights)
+    scratch_dir(df.sparkSession)
+    d = (df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
+         .checkpoint().withColumn("__part", F.shiftright("__row", 33)))
+    totals = d.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"), *[F.sum(w).alias(f"__sum_{w}") for w in weights])
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(F.lit(1))
+    offsets = totals.select("__part", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__first"),
+                            *[F.coalesce(F.sum(f"__sum_{w}").over(earlier), F.lit(0)).alias(f"__off_{w}") for w in weights],
+                            *[F.sum(f"__sum_{w}").over(whole).alias(f"{w}_total") for w in weights])
+    run = Window.partitionBy("__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("*", *[(F.sum(w).over(run) - F.col(w)).alias(f"__run_{w}") for w in weights])
+    place = F.col("__row") - F.shiftleft("__part", 33)
+    return d.join(F.broadcast(offsets), "__part").select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col("__first") + place + 1).alias("position"),
+        *[x for w in weights for x in ((F.col(f"__off_{w}") + F.col(f"__run_{w}")).alias(f"{w}_before"), F.col(f"{w}_total"))])
+
+
 def text_number(c: Column) -> Column:
     """A number that never decreases along the order of texts: their first six bytes."""
     return F.conv(F.substring(F.rpad(F.hex(F.encode(c, "UTF-8")), 12, "0"), 1, 12), 16, 10).cast("bigint")
@@ -153,6 +201,51 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=(), *, names=None,
     return agg.select(*outs)
 
 
+#: Items kept by a quantile sketch; see ``sketch_rank_error``.
+SKETCH_K = 2000
+
+
+def sketch_rank_error(k: int = SKETCH_K) -> float:
+    """Largest rank error of a KLL sketch of ``k`` items, as a share of the rows, with 99 % confidence
+    (the fit that the sketch's library publishes): 1.3 % for 200, 0.14 % for 2000."""
+    return 2.296 / k ** 0.9723
+
+
+def quantile_sketches(df: DataFrame, col: str, by=(), k: int = SKETCH_K) -> DataFrame:
+    """One KLL sketch per group (NULL is a group): ``sketch`` (bytes) and ``n``, its non-NULL values; NULL without one.
+
+    Built by partial aggregation, so a group of any size is some ``k`` numbers per task before the shuffle. Sketches
+    can be stored and merged with those of other rows (``merged_sketches``). NaN are left out, as the sketch does."""
+    by = as_list(by)
+    x = F.col(f"`{col}`").cast("double")
+    x = F.when(~F.isnan(x), x)
+    g = df.groupBy(*by).agg(F.kll_sketch_agg_double(x, F.lit(k)).alias("sketch"), F.count(x).alias("n"))
+    return g.withColumn("sketch", F.when(F.col("n") > 0, F.col("sketch")))
+
+
+def merged_sketches(sketches: DataFrame, by=()) -> DataFrame:
+    """The sketches of coarser groups, or of the same groups from several tables."""
+    by = as_list(by)
+    g = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+    return g.withColumn("sketch", F.when(F.col("n") > 0, F.col("sketch")))
+
+
+def sketch_quantiles(sketches: DataFrame, probs, by=(), names=None, count_name: str | None = None) -> DataFrame:
+    """Quantiles of sketches: values whose rank is within ``sketch_rank_error`` of p, NULL for a group without values."""
+    by, probs = as_list(by), [float(p) for p in as_list(probs)]
+    names = as_list(names) or [f"q_{str(p).replace('.', '_')}" for p in probs]
+    known = F.col("sketch").isNotNull()
+    return sketches.select(*by, *([F.col("n").alias(count_name)] if count_name else []),
+                           *[F.when(known, F.kll_sketch_get_quantile_double("sketch", F.lit(p))).alias(n) for p, n in zip(probs, names)])
+
+
+def quantiles(df: DataFrame, col: str, probs, by=(), *, names=None, sketch: int | None = None) -> DataFrame:
+    """Exact quantiles, or with ``sketch`` those of KLL sketches of that many items."""
+    if sketch is None:
+        return exact_quantiles(df, col, probs, by, names=names)
+    return sketch_quantiles(quantile_sketches(df, col, by, sketch), probs, by, names)
+
+
 def average_ranks(df: DataFrame, col: str, by=()) -> DataFrame:
     """Per distinct non-NULL (by, col): ``_n`` rows, mid-rank ``avg_rank``
     (1-based, ties share the mean of their positions) and ``_n_total``."""

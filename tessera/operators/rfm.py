@@ -34,8 +34,14 @@ def _as_of_col(as_of):
     return F.to_date(F.lit(str(as_of)))
 
 
-def rfm_cut_points(per_customer: DataFrame, bins: int = 5) -> DataFrame:
-    """One row: ``<measure>_c1 .. <measure>_c{bins-1}`` for the three measures."""
+def rfm_cut_points(per_customer: DataFrame, bins: int = 5, sketch: int | None = None) -> DataFrame:
+    """One row: ``<measure>_c1 .. <measure>_c{bins-1}`` for the three measures. With ``sketch`` the cut points are those of
+    KLL sketches of that many items, built by one aggregate of the customers (``ranking.sketch_rank_error``)."""
+    if sketch is not None:
+        one = per_customer.agg(*[F.kll_sketch_agg_double(F.col(m).cast("double"), F.lit(sketch)).alias(m) for m in MEASURES],
+                               *[F.count(m).alias(f"{m}_n") for m in MEASURES])
+        return one.select(*[F.when(F.col(f"{m}_n") > 0, F.kll_sketch_get_quantile_double(m, F.lit(i / bins))).alias(f"{m}_c{i}")
+                            for m in MEASURES for i in range(1, bins)])
     long = per_customer.select(F.explode(F.array(*[
         F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
         for m in MEASURES])).alias("kv")).select("kv.measure", "kv.value")
@@ -51,7 +57,7 @@ def rfm_cut_points(per_customer: DataFrame, bins: int = 5) -> DataFrame:
 
 
 def rfm_customers(df: DataFrame, id_col: str, last_col: str, n_col: str, amount_col: str,
-                  as_of, bins: int = 5) -> DataFrame:
+                  as_of, bins: int = 5, sketch: int | None = None) -> DataFrame:
     """Scores from pre-aggregated rows (one per customer: last date, count, revenue)."""
     require_columns(df, id_col, last_col, n_col, amount_col)
     per = df.select(
@@ -60,11 +66,11 @@ def rfm_customers(df: DataFrame, id_col: str, last_col: str, n_col: str, amount_
         F.col(n_col).cast("bigint").alias("frequency"),
         F.round(F.col(amount_col).cast("double"), 2).alias("monetary"),
     )
-    return score_rfm(per, bins)
+    return score_rfm(per, bins, sketch)
 
 
-def score_rfm(per: DataFrame, bins: int = 5) -> DataFrame:
-    cuts = rfm_cut_points(per, bins)
+def score_rfm(per: DataFrame, bins: int = 5, sketch: int | None = None) -> DataFrame:
+    cuts = rfm_cut_points(per, bins, sketch)
     scored = per.crossJoin(F.broadcast(cuts))  # one row, size fixed by `bins`
 
     def score(m):
@@ -81,15 +87,15 @@ def score_rfm(per: DataFrame, bins: int = 5) -> DataFrame:
 
 
 def rfm_orders(orders: DataFrame, id_col: str, ts_col: str, amount_col: str, as_of,
-               bins: int = 5) -> DataFrame:
-    """Scores straight from order rows."""
+               bins: int = 5, sketch: int | None = None) -> DataFrame:
+    """Scores straight from order rows; ``sketch`` as in ``rfm_cut_points``."""
     require_columns(orders, id_col, ts_col, amount_col)
     per = orders.groupBy(id_col).agg(
         F.max(ts_col).alias("_last"),
         F.count(F.lit(1)).alias("_n"),
         F.sum(amount_col).alias("_amount"),
     )
-    return rfm_customers(per, id_col, "_last", "_n", "_amount", as_of, bins)
+    return rfm_customers(per, id_col, "_last", "_n", "_amount", as_of, bins, sketch)
 
 
 # Fixed values of this library's own choice: default segment rules, checked in order, first match wins.

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.checks import as_list, require_columns
 from tessera.operators.ranking import sorted_cumulative
+from tessera.session import scratch_dir
 
 
 def km_curve(df: DataFrame, duration: str, event: str, by=()) -> DataFrame:
@@ -90,62 +91,109 @@ def aft_fit(df: DataFrame, duration: str, event: str, xs, shift: float = 0.0) ->
     return df.sparkSession.createDataFrame(rows, "term string, estimate double")
 
 
-def cox_fit(df: DataFrame, duration: str, event: str, xs, max_iter: int = 25, tol: float = 1e-9) -> DataFrame:
-    """Cox proportional hazards, Breslow ties, by Newton-Raphson.
+def cox_fit(df: DataFrame, duration: str, event: str, xs, max_iter: int = 50, tol: float = 1e-9) -> DataFrame:
+    """Cox proportional hazards, Breslow ties, by safeguarded Newton-Raphson.
 
-    Per iteration one Spark job: rows are reduced to per-time sums of
+    One Spark job per evaluation: rows are reduced to per-time sums of
     exp(eta), exp(eta) x and exp(eta) x x' (group by time, k + k^2 sums), and
     the reverse-cumulative risk-set sums run over the distinct-time table.
-    The k-vector score and k x k information are solved on the driver.
-    Rows: term, estimate, std_error, z, plus iterations and log partial likelihood.
-    """
+    The k-vector score and k x k information are solved on the driver. A step that lowers the
+    partial likelihood is halved. Rows: term, estimate, std_error, z, iterations (evaluations), loglik, and how the fit ended:
+
+    * ``converged``: the likelihood and the step stand still;
+    * ``separated``: the likelihood stands still while the step does not, so an estimate runs to infinity (some
+      covariate orders the events completely); estimates are the last ones reached;
+    * ``singular``: the information has no inverse (a constant or repeated covariate); the least-norm solution, NULL
+      errors where nothing is known;
+    * ``no_events``: nothing to fit (no event, or no rows); all numbers are NULL;
+    * ``not_converged``: ``max_iter`` evaluations did not suffice."""
     df, xs = _terms(df, duration, event, xs)
     k = len(xs)
     d = df.select(F.col(duration).cast("double").alias("__t"), F.col(event).cast("int").alias("__e"),
-                  *[F.col(x).cast("double").alias(f"__x{i}") for i, x in enumerate(xs)]).dropna()
-    from tessera.session import scratch_dir
+                  *[F.col(f"`{x}`").cast("double").alias(f"__x{i}") for i, x in enumerate(xs)]).dropna()
     scratch_dir(df.sparkSession)
     d = d.checkpoint(eager=True)  # reused every iteration; cut lineage once
+    one = d.agg(F.sum("__e").alias("d"), *[F.avg(f"__x{i}").alias(f"m{i}") for i in range(k)]).first()
+    schema = "term string, estimate double, std_error double, z double, iterations int, loglik double, status string"
+    if not one["d"]:
+        return df.sparkSession.createDataFrame([(x, None, None, None, 0, None, "no_events") for x in xs], schema)
+    # centred covariates leave the estimates as they are and keep exp(eta) small
+    d = d.select("__t", "__e", *[(F.col(f"__x{i}") - F.lit(float(one[f"m{i}"]))).alias(f"__x{i}") for i in range(k)])
+
     beta = np.zeros(k)
-    loglik = None
-    it = 0
-    info = np.eye(k)
-    for it in range(1, max_iter + 1):
-        eta = sum((F.lit(float(beta[i])) * F.col(f"__x{i}") for i in range(k)), F.lit(0.0))
-        r = F.exp(eta)
-        aggs = [F.sum(r).alias("s0"), F.sum("__e").alias("d"),
-                F.sum(F.when(F.col("__e") == 1, eta).otherwise(0.0)).alias("eta_ev")]
-        aggs += [F.sum(r * F.col(f"__x{i}")).alias(f"s1_{i}") for i in range(k)]
-        aggs += [F.sum(F.when(F.col("__e") == 1, F.col(f"__x{i}")).otherwise(0.0)).alias(f"xe_{i}") for i in range(k)]
-        aggs += [F.sum(r * F.col(f"__x{i}") * F.col(f"__x{j}")).alias(f"s2_{i}_{j}")
-                 for i in range(k) for j in range(i, k)]
-        per_t = d.groupBy("__t").agg(*aggs)
-        # risk-set sums at t (durations >= t) = totals - sums over earlier times
-        sums = ["s0"] + [f"s1_{i}" for i in range(k)] + [f"s2_{i}_{j}" for i in range(k) for j in range(i, k)]
-        per_t = sorted_cumulative(per_t, "__t", sums)
-        cum = [(F.col(s + "_total") - F.col(s + "_before")).alias("S" + s[1:]) for s in sums]
-        rs = per_t.select("d", "eta_ev", *[f"xe_{i}" for i in range(k)], *cum).where("d > 0")
-        tot = [F.sum("eta_ev").alias("eta_ev"), F.sum(F.col("d") * F.log("S0")).alias("dlogS0")]
-        tot += [F.sum(F.col(f"xe_{i}") - F.col("d") * F.col(f"S1_{i}") / F.col("S0")).alias(f"u_{i}") for i in range(k)]
-        for i in range(k):
-            for j in range(i, k):
-                tot.append(F.sum(F.col("d") * (F.col(f"S2_{i}_{j}") / F.col("S0")
-                                               - F.col(f"S1_{i}") * F.col(f"S1_{j}") / (F.col("S0") ** 2)))
-                           .alias(f"i_{i}_{j}"))
-        row = rs.agg(*tot).first()
-        if row["u_0"] is None:
-            raise ValueError(f"no event in {event!r}: the partial likelihood is empty")
-        u = np.array([row[f"u_{i}"] for i in range(k)])
-        info = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                info[i, j] = info[j, i] = row[f"i_{i}_{j}"]
-        loglik = row["eta_ev"] - row["dlogS0"]
-        step = np.linalg.solve(info, u)
-        beta = beta + step
+    loglik, u, info = _cox_at(d, beta, k)
+    status, it = "not_converged", 1
+    while it < max_iter:
+        step, full = _newton_step(info, u)
         if np.max(np.abs(step)) < tol:
+            status = "converged" if full else "singular"
+            break
+        new = beta + step
+        got = _cox_at(d, new, k)
+        it += 1
+        while not got[0] >= loglik - 1e-12 * abs(loglik) and it < max_iter and np.max(np.abs(step)) >= tol:
+            step = step / 2
+            new = beta + step
+            got = _cox_at(d, new, k)
+            it += 1
+        if not got[0] >= loglik - 1e-12 * abs(loglik):
+            break
+        gain, beta = got[0] - loglik, new
+        loglik, u, info = got
+        if gain <= tol * (abs(loglik) + tol):
+            step, full = _newton_step(info, u)
+            if np.any((np.abs(step) > tol) & (np.abs(step) > math.sqrt(tol) * np.abs(beta))):
+                status = "separated"
+            else:
+                status = "converged" if full else "singular"
+                beta = beta + step
             break
-    se = np.sqrt(np.diag(np.linalg.inv(info)))
-    rows = [(x, float(b), float(s), float(b / s), it, float(loglik)) for x, b, s in zip(xs, beta, se)]
-    return df.sparkSession.createDataFrame(
-        rows, "term string, estimate double, std_error double, z double, iterations int, loglik double")
+    var = np.diag(np.linalg.pinv(info, rcond=1e-12, hermitian=True))
+    rows = []
+    for x, b, v in zip(xs, beta, var):
+        se = float(math.sqrt(v)) if v > 0 else None
+        rows.append((x, float(b), se, float(b / se) if se else None, it, float(loglik), status))
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def _newton_step(info: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The step and whether the information has full rank (scaled to its diagonal)."""
+    scale = np.sqrt(np.where(np.diag(info) > 0, np.diag(info), 1.0))
+    full = np.linalg.matrix_rank(info / np.outer(scale, scale), tol=1e-10, hermitian=True) == len(u)
+    step = np.linalg.solve(info, u) if full else np.linalg.pinv(info, rcond=1e-10, hermitian=True) @ u
+    return step, bool(full)
+
+
+def _cox_at(d: DataFrame, beta: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log partial likelihood, score and information at ``beta``; -inf where they are no numbers."""
+    eta = sum((F.lit(float(beta[i])) * F.col(f"__x{i}") for i in range(k)), F.lit(0.0))
+    r = F.exp(eta)
+    aggs = [F.sum(r).alias("s0"), F.sum("__e").alias("d"),
+            F.sum(F.when(F.col("__e") == 1, eta).otherwise(0.0)).alias("eta_ev")]
+    aggs += [F.sum(r * F.col(f"__x{i}")).alias(f"s1_{i}") for i in range(k)]
+    aggs += [F.sum(F.when(F.col("__e") == 1, F.col(f"__x{i}")).otherwise(0.0)).alias(f"xe_{i}") for i in range(k)]
+    aggs += [F.sum(r * F.col(f"__x{i}") * F.col(f"__x{j}")).alias(f"s2_{i}_{j}")
+             for i in range(k) for j in range(i, k)]
+    per_t = d.groupBy("__t").agg(*aggs)
+    # risk-set sums at t (durations >= t) are summed from the latest time on, so that nothing small is a difference of large sums
+    sums = ["s0"] + [f"s1_{i}" for i in range(k)] + [f"s2_{i}_{j}" for i in range(k) for j in range(i, k)]
+    per_t = sorted_cumulative(per_t.withColumn("__down", -F.col("__t")), "__down", sums)
+    cum = [(F.col(s) + F.col(s + "_before")).alias("S" + s[1:]) for s in sums]
+    rs = per_t.select("d", "eta_ev", *[f"xe_{i}" for i in range(k)], *cum).where("d > 0")
+    tot = [F.sum("eta_ev").alias("eta_ev"), F.sum(F.col("d") * F.log("S0")).alias("dlogS0")]
+    tot += [F.sum(F.col(f"xe_{i}") - F.col("d") * F.try_divide(F.col(f"S1_{i}"), F.col("S0"))).alias(f"u_{i}") for i in range(k)]
+    for i in range(k):
+        for j in range(i, k):
+            tot.append(F.sum(F.col("d") * (F.try_divide(F.col(f"S2_{i}_{j}"), F.col("S0"))
+                                           - F.try_divide(F.col(f"S1_{i}") * F.col(f"S1_{j}"), F.col("S0") ** 2)))
+                       .alias(f"i_{i}_{j}"))
+    row = rs.agg(*tot).first()
+    numbers = [row[c] for c in row.asDict()]
+    if any(x is None or not math.isfinite(x) for x in numbers):
+        return -math.inf, np.zeros(k), np.eye(k)
+    u = np.array([row[f"u_{i}"] for i in range(k)])
+    info = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            info[i, j] = info[j, i] = row[f"i_{i}_{j}"]
+    return row["eta_ev"] - row["dlogS0"], u, info

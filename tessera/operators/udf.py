@@ -2,24 +2,30 @@
 
 * ``row_map``: a pandas Series -> Series function over a column (scalar
   ``pandas_udf``); rows travel in Arrow batches, never one at a time.
-* ``group_map``: a pandas DataFrame -> DataFrame function per group
-  (``applyInPandas``): split, apply, combine. One group is held by one Python
-  worker, so groups must be bounded; split hot keys before using it.
-* ``group_reduce``: a pandas Series -> scalar function per group (grouped
-  aggregate ``pandas_udf``), with the same one-group-per-worker rule.
-Prefer built-in functions whenever they can express the computation.
+* ``group_map``: a function per group. With ``combine`` it runs on the map side, on the runs
+  of a group within the batches of a task, and only its partial rows are shuffled. Without, the group goes to one
+  worker: at once (``pandas``, ``arrow``) or as an iterator of batches (``pandas_batches``, ``arrow_batches``),
+  which holds one batch of a group of any size.
+* ``group_reduce``: a Series -> scalar function per group, with the same two ways.
+
+No plan depends on the number of rows. Prefer built-in functions whenever they can express the computation.
 """
 
-# no postponed annotations here: pandas_udf reads the type hints of the
-# functions below to choose the UDF kind
+# no postponed annotations here: Spark reads the type hints of the functions
+# below to choose the kind of user function
+from typing import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.checks import as_list, require_columns
-from tessera.operators.groupjoin import join_by
 
 
 def row_map(df: DataFrame, col: str, fn, return_type: str = "double", name: str | None = None) -> DataFrame:
@@ -28,97 +34,135 @@ def row_map(df: DataFrame, col: str, fn, return_type: str = "double", name: str
     return df.withColumn(name or f"{col}_mapped", u(F.col(col)))
 
 
+GROUP_KINDS = ("pandas", "arrow", "pandas_batches", "arrow_batches")
+
+
 def group_map(df: DataFrame, by, fn, schema: str, kind: str = "pandas", combine=None,
-              combine_schema: str | None = None, pieces: int = 64, hot_rows: int = 1_000_000) -> DataFrame:
-    """``kind='pandas'``: fn(pandas.DataFrame) -> pandas.DataFrame
-    (``applyInPandas``). ``kind='arrow'``: fn(pyarrow.Table) -> pyarrow.Table
-    (``applyInArrow``), which skips the per-group pandas conversion; with many
-    small groups it is several times faster.
-
-    With ``combine``: split-apply-combine in two levels. ``fn`` runs on
-    sub-groups (the group's rows spread over ``pieces`` by a hash of the row)
-    and returns partial rows (``schema``); ``combine`` runs per group on its at
-    most ``pieces`` x (partial rows) rows and returns ``combine_schema``; with
-    no ``combine_schema``, ``combine`` is a DataFrame -> DataFrame function
-    over all partial rows (a Spark aggregation, no second Python pass). Only
-    groups above ``hot_rows`` rows are spread; no worker then holds a whole
-    hot group."""
+              combine_schema: str | None = None) -> DataFrame:
+    """``kind='pandas'``: fn(pandas.DataFrame) -> pandas.DataFrame; ``'arrow'``:
+    fn(pyarrow.Table) -> pyarrow.Table, without the pandas conversion. Either holds a whole group.
+    ``'pandas_batches'`` and ``'arrow_batches'``: fn(iterator of DataFrames or RecordBatches) -> iterator of them,
+    called once per group, whose batches arrive one after another.
+
+    With ``combine`` (kinds ``pandas`` and ``arrow``): split-apply-combine in two levels. Each task sorts its rows by the
+    group and calls ``fn`` on every run of one group within an Arrow batch, so before anything is
+    shuffled and with one batch in memory; ``fn`` returns partial rows (``schema``), which hold the group columns. ``combine`` runs per group
+    on its partial rows and returns ``combine_schema``; with no ``combine_schema`` it is a DataFrame -> DataFrame
+    function over all partial rows (a Spark aggregation, no second Python pass). A group's runs depend
+    on how its rows lie, so ``fn`` and ``combine`` must give the same for any cut of the group."""
     by = as_list(by)
     require_columns(df, *by)
-
-    def apply(grouped, f, sch):
-        if kind == "arrow":
-            return grouped.applyInArrow(f, sch)
-        if kind == "pandas":
-            return grouped.applyInPandas(f, sch)
+    if kind not in GROUP_KINDS:
         raise ValueError(f"kind={kind!r}")
-
     if combine is None:
-        return apply(df.groupBy(*by), fn, schema)
-    d = _with_pieces(df, by, pieces, hot_rows)
-    partial = apply(d.groupBy(*by, "__piece"), lambda t: fn(_drop_piece(t)), schema)
+        grouped = df.groupBy(*by)
+        if kind == "pandas":
+            return grouped.applyInPandas(fn, schema)
+        if kind == "arrow":
+            return grouped.applyInArrow(fn, schema)
+        if kind == "pandas_batches":
+            def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                yield from fn(batches)
+            return grouped.applyInPandas(frames, schema)
+
+        def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from fn(batches)
+        return grouped.applyInArrow(records, schema)
+    if kind not in ("pandas", "arrow"):
+        raise ValueError("combine takes the kinds pandas and arrow")
+    partial = _map_runs(df, by, fn, schema, kind)
     if combine_schema is None:
-        # a DataFrame -> DataFrame combine: plain Spark aggregation of partials
         return combine(partial)
-    return apply(partial.groupBy(*by), combine, combine_schema)
-
-
-HOT_ROWS = 1_000_000
-
-
-def _with_pieces(df: DataFrame, by, pieces: int, hot_rows: int) -> DataFrame:
-    """``__piece``: 0 for groups of at most ``hot_rows`` rows, else a hash of the
-    row modulo ``pieces``. The hot-group list (at most rows / hot_rows keys) is
-    broadcast."""
-    hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__c")).where(F.col("__c") > hot_rows) \
-        .select(*by, F.lit(True).alias("__hot"))
-    if by:
-        j = join_by(df, hot, by)
-    else:
-        j = df.crossJoin(F.broadcast(df.agg((F.count(F.lit(1)) > hot_rows).alias("__hot"))))
-    # a hash of the row alone, so that a task that is run again deals its rows alike; equal rows share a piece
-    spread = F.xxhash64(*[F.col(c) for c in df.columns])
-    piece = F.when(F.col("__hot"), F.pmod(spread, F.lit(pieces))).otherwise(F.lit(0).cast("bigint"))
-    return j.withColumn("__piece", piece).drop("__hot")
-
-
-def _drop_piece(t):
-    """The user function sees its input columns only."""
-    if hasattr(t, "drop_columns") and "__piece" in t.column_names:
-        return t.drop_columns(["__piece"])
-    if hasattr(t, "drop") and "__piece" in getattr(t, "columns", []):
-        return t.drop(columns=["__piece"])
-    return t
+    grouped = partial.groupBy(*by)
+    return grouped.applyInPandas(combine, combine_schema) if kind == "pandas" else grouped.applyInArrow(combine, combine_schema)
+
+
+def run_starts(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
+    """Where in a batch a row's keys differ from those of the row before it; NULL equals NULL."""
+    n = batch.num_rows
+    if not n:
+        return []
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for k in keys:
+        c = batch.column(k)
+        if pa.types.is_nested(c.type):
+            values = c.to_pylist()
+            new[1:] |= [a != b for a, b in zip(values, values[1:])]
+            continue
+        a, b = c.slice(0, n - 1), c.slice(1)
+        both = pc.fill_null(pc.not_equal(a, b), False)
+        new[1:] |= pc.or_(both, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new).tolist()
+
+
+def _map_runs(df: DataFrame, by: list[str], fn, schema: str, kind: str) -> DataFrame:
+    """fn on every run of one group within the batches of each task, after a sort inside the task."""
+    want = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = run_starts(batch, by)
+            out = []
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
+                rows = pa.Table.from_batches([batch.slice(lo, hi - lo)])
+                if kind == "arrow":
+                    out.append(fn(rows).select(want.names).cast(want))
+                else:
+                    out.append(pa.Table.from_pandas(fn(rows.to_pandas()), schema=want, preserve_index=False))
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
+
+    return (df.sortWithinPartitions(*by) if by else df).mapInArrow(run, schema)
 
 
 def group_reduce(df: DataFrame, by, col: str, fn, return_type: str = "double", name: str = "value",
-                 combine=None, pieces: int = 64, hot_rows: int = 1_000_000) -> DataFrame:
-    """Series -> scalar user aggregate per group (grouped-aggregate pandas UDF).
-
-    With ``combine`` (a Series -> scalar function over partial results), the
-    reduction is two-level: each group's rows are spread over ``pieces``
-    sub-groups by a hash of the row, ``fn`` runs per sub-group, and ``combine``
-    reduces the at most ``pieces`` partial values of the group. No Python
-    worker then holds more than about 1/pieces of a group. This needs a
-    decomposable ``fn`` (sum, max, sum of logs, ...); without ``combine`` a
-    whole group goes to one worker."""
+                 combine=None, batches: bool = False) -> DataFrame:
+    """Series -> scalar user aggregate per group.
+
+    With ``combine`` (a Series -> scalar function over partial results) the reduction is two-level: ``fn`` runs on
+    the runs of a group within the batches of each task, before the shuffle, and ``combine`` reduces the partial
+    values. This needs a decomposable ``fn`` (sum, max, sum of logs, ...). With ``batches`` ``fn`` takes an iterator of
+    Series, the batches of a group one after another, and returns the scalar; no worker holds the group.
+    Otherwise a whole group goes to one worker (a grouped-aggregate pandas UDF)."""
     by = as_list(by)
     require_columns(df, col, *by)
+    data = df.select(*by, F.col(col).alias("__value"))
+    keys = [f"{f.name} {f.dataType.simpleString()}" for f in data.schema.fields if f.name != "__value"]
+    if combine is not None:
+        def partial(rows: pa.Table) -> pa.Table:
+            value = fn(rows.column("__value").to_pandas())
+            return rows.slice(0, 1).drop_columns(["__value"]).append_column("__part", pa.array([value]))
+
+        parts = _map_runs(data, by, partial, ", ".join([*keys, f"__part {return_type}"]), "arrow")
+        c = pandas_udf(combine, return_type)
+        return parts.groupBy(*by).agg(c(F.col("__part")).alias(name))
+    if batches:
+        schema = ", ".join([*keys, f"`{name}` {return_type}"])
+        want = to_arrow_schema(T.StructType.fromDDL(schema))
+
+        def whole(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = []
+
+            def series():
+                for b in frames:
+                    if not first:
+                        first.append(b.slice(0, 1).select(by))
+                    yield b.column("__value").to_pandas()
+            value = fn(series())
+            for _ in frames:  # what fn left unread
+                pass
+            if first:
+                yield pa.RecordBatch.from_arrays([*first[0].columns, pa.array([value])], names=want.names).cast(want)
+        return data.groupBy(*by).applyInArrow(whole, schema)
     u = pandas_udf(fn, return_type)  # Series -> scalar: a grouped aggregate UDF
-    if combine is None:
-        return df.groupBy(*by).agg(u(F.col(col)).alias(name))
-    d = _with_pieces(df, by, pieces, hot_rows)
-    partial = d.groupBy(*by, "__piece").agg(u(F.col(col)).alias("__part"))
-    c = pandas_udf(combine, return_type)
-    return partial.groupBy(*by).agg(c(F.col("__part")).alias(name))
+    return df.groupBy(*by).agg(u(F.col(col)).alias(name))
 
 
 # -- ready-made functions used by the registered queries --------------------
 def ols_slope_per_group_arrow(x: str, y: str, key: str):
     """Group function: slope of y on x (population covariance / variance)."""
-    import numpy as np
-    import pyarrow as pa
-
     def fn(tbl: pa.Table) -> pa.Table:
         xv = tbl.column(x).to_numpy().astype(float)
         yv = tbl.column(y).to_numpy().astype(float)
@@ -149,9 +193,6 @@ MOMENT_SCHEMA = "n long, sx double, sy double, sxx double, sxy double"
 def ols_moments_arrow(x: str, y: str, key: str, shift_x: float = 0.0, shift_y: float = 0.0):
     """Sub-group function: row count and the sums needed for a slope (x and y
     shifted by constants to keep the sums small)."""
-    import numpy as np
-    import pyarrow as pa
-
     def fn(tbl: pa.Table) -> pa.Table:
         xv = tbl.column(x).to_numpy().astype(float) - shift_x
         yv = tbl.column(y).to_numpy().astype(float) - shift_y
@@ -164,9 +205,6 @@ def ols_moments_arrow(x: str, y: str, key: str, shift_x: float = 0.0, shift_y: f
 def ols_slope_combine_arrow(key: str):
     """Group function over the partial sums: count and slope (NULL when x has
     no spread)."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
     def fn(tbl: pa.Table) -> pa.Table:
         n = pc.sum(tbl.column("n")).as_py()
         sx, sy = pc.sum(tbl.column("sx")).as_py(), pc.sum(tbl.column("sy")).as_py()

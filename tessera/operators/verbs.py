@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tessera.checks import as_list, numeric_columns, require_columns
 from tessera.operators.groupjoin import join_rows_by
-from tessera.operators.ranking import cut_bin, exact_quantiles
+from tessera.operators.ranking import cut_bin, quantiles
 
 
 def _col(c) -> Column:
@@ -152,12 +152,12 @@ def bin_fixed(df: DataFrame, col: str, breaks, name: str = "bin", labels=None) -
     return df.withColumn(name, expr)
 
 
-def bin_equal_freq(df: DataFrame, col: str, n: int, name: str = "bin", by=()) -> DataFrame:
+def bin_equal_freq(df: DataFrame, col: str, n: int, name: str = "bin", by=(), sketch: int | None = None) -> DataFrame:
     """Quantile bins: cut points are exact quantiles at 1/n..(n-1)/n (per group
-    in ``by``); bin = 1 + number of cut points strictly below the value."""
+    in ``by``), or those of KLL sketches of ``sketch`` items; bin = 1 + number of cut points strictly below the value."""
     by = as_list(by)
     names = [f"_cut{i}" for i in range(1, n)]
-    cuts = exact_quantiles(df, col, [i / n for i in range(1, n)], by=by, names=names)
+    cuts = quantiles(df, col, [i / n for i in range(1, n)], by=by, names=names, sketch=sketch)
     joined = join_rows_by(df, cuts, by)
     return joined.withColumn(name, cut_bin(F.col(col), [F.col(c) for c in names])).drop(*names)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.checks import as_list, require_columns
 from tessera.operators import hotsplit
 from tessera.operators.groupjoin import join_by
+from tessera.operators.sliding import rolling_median
 from tessera.operators.verbs import order_cols
 
 RANK_KINDS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile")
@@ -65,14 +66,14 @@ def cumulative(df: DataFrame, by, order, col: str, any_flag: Column | None = Non
     return r.select(*df.columns, *names)
 
 
-ROLL_FUNCS = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "median": F.median}
+ROLL_FUNCS = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min}
 
 
 def rolling_rows(df: DataFrame, by, order, col: str, k: int, fn: str = "mean",
                  align: str = "right", name: str | None = None, hot_rows: int | None = hotsplit.HOT_ROWS) -> DataFrame:
     """k-row rolling aggregate; NULL where the window holds fewer than k rows.
     ``align='right'`` uses the current and k-1 previous rows; ``'center'`` (odd k)
-    uses (k-1)/2 rows on each side."""
+    uses (k-1)/2 rows on each side. ``fn`` is mean, sum, max, min, or median (order columns given by name)."""
     if align == "right":
         lo, hi = -(k - 1), 0
     elif align == "center":
@@ -82,20 +83,15 @@ def rolling_rows(df: DataFrame, by, order, col: str, k: int, fn: str = "mean",
     else:
         raise ValueError(f"align={align!r}")
 
+    name = name or f"{col}_roll_{fn}"
+    if fn == "median":
+        # Spark has no median over a frame: the frame's values are kept sorted from row to row
+        return rolling_median(df, by, order, col, k, hi, name, hot_rows)
+
     def cols(wbase):
         w = wbase.rowsBetween(lo, hi)
-        if fn == "median":
-            # Spark refuses a frame on median(); the frame holds k rows, so
-            # sorting its values is bounded work per row.
-            a = F.array_sort(F.collect_list(col).over(w))
-            n = F.size(a)
-            mid = F.element_at(a, (n / 2 + 0.5).cast("int"))
-            val = F.when(n == 0, F.lit(None)).when(n % 2 == 1, mid).otherwise(
-                (F.element_at(a, (n / 2).cast("int")) + F.element_at(a, (n / 2 + 1).cast("int"))) / 2)
-        else:
-            val = ROLL_FUNCS[fn](col).over(w)
         full = F.count(F.lit(1)).over(w) == k
-        return [F.when(full, val).alias(name or f"{col}_roll_{fn}")]
+        return [F.when(full, ROLL_FUNCS[fn](col).over(w)).alias(name)]
 
     if all(isinstance(o, str) for o in as_list(order)):
         return hotsplit.with_halo(df, by, order, -lo, hi, cols, hot_rows)
@@ -192,30 +188,36 @@ def _epoch_micros(c: Column) -> Column:
                             c.cast("timestamp_ntz")).cast("double")
 
 
+#: Buckets of one stretch of a spine, made by one task at a time.
+SPINE_CHUNK = 65_536
+
+
 def time_bucket_agg(df: DataFrame, by, ts: str, unit: str, aggs: dict, fill: dict | None = None,
-                    width: int = 1) -> DataFrame:
+                    width: int = 1, chunk: int = SPINE_CHUNK) -> DataFrame:
     """Regular series: rows cut into buckets of ``width`` units (15 ``minute``, 2 ``hour``,
     ``day``, ``quarter``...; counted from 1970-01-01, weeks from their Monday) and aggregated; every bucket between a group's first and last one is kept,
-    empty ones with ``fill`` values. The spine is one row per bucket per group,
-    made by ``sequence`` from the group's own bounds (its size is the time span
-    over the bucket width, not the row count)."""
+    empty ones with ``fill`` values. The spine is one row per bucket per group, numbered from the group's own
+    bounds. It is made in stretches of at most ``chunk`` buckets that are dealt to all tasks, so a group may
+    have any number of buckets. Rows with a NULL time are in no bucket."""
     by = as_list(by)
     unit = unit.lower()
     whole = F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")
     if unit in ("month", "quarter", "year"):
         months = {"month": 1, "quarter": 3, "year": 12}[unit] * width
-        number = (F.year(whole) - 1970) * 12 + F.month(whole) - 1
-        bucket = F.add_months(F.lit("1970-01-01").cast("date"), (F.floor(number / months) * months).cast("int")).cast("timestamp_ntz")
-        step = F.expr(f"INTERVAL {months} MONTH")
+        number = F.floor(((F.year(whole) - 1970) * 12 + F.month(whole) - 1) / months)
+        bucket = F.add_months(F.lit("1970-01-01").cast("date"), (F.col("__k") * months).cast("int")).cast("timestamp_ntz")
     else:
         secs = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400}[unit] * width
         origin = F.lit("1969-12-29 00:00:00" if unit == "week" else "1970-01-01 00:00:00").cast("timestamp_ntz")
-        at = F.timestamp_diff("SECOND", origin, whole)
-        bucket = origin + F.make_dt_interval(secs=F.floor(at / secs) * secs)
-        step = F.expr(f"INTERVAL {secs} SECOND")
-    g = df.groupBy(*by, bucket.alias("bucket")).agg(*[v.alias(k) for k, v in aggs.items()])
-    bounds = g.groupBy(*by).agg(F.min("bucket").alias("__lo"), F.max("bucket").alias("__hi"))
-    spine = bounds.select(*by, F.explode(F.sequence("__lo", "__hi", step))
-                          .alias("bucket"))
-    out = join_by(spine, g, [*by, "bucket"])
+        number = F.floor(F.timestamp_diff("SECOND", origin, whole) / secs)
+        bucket = origin + F.make_dt_interval(secs=F.col("__k") * secs)
+    g = df.groupBy(*by, number.cast("bigint").alias("__k")).agg(*[v.alias(k) for k, v in aggs.items()])
+    bounds = df.groupBy(*by).agg(F.min(number).cast("bigint").alias("__lo"), F.max(number).cast("bigint").alias("__hi"))
+    first = F.col("__lo") + F.col("__chunk") * chunk
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stretches = bounds.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__hi") - F.col("__lo")) / chunk))))
+    spine = stretches.repartition(tasks, *by, "__chunk").select(
+        *by, F.explode(F.sequence(first, F.least(first + (chunk - 1), F.col("__hi")))).alias("__k"))
+    out = join_by(spine, g, [*by, "__k"])
+    out = out.select(*by, bucket.alias("bucket"), *aggs)
     return out.fillna(fill) if fill else out

@@ -69,6 +69,36 @@ def q_cross_validate(t):
     return MD.cross_validate(folds, FORMULA, "fold", "tree", {"maxDepth": [2, 4, 6]})
 
 
+@register("cross_validate_lm", sql="""
+WITH d AS (SELECT l_extendedprice AS y, l_quantity AS x, l_orderkey % 5 AS f FROM lineitem),
+m AS (SELECT g.f, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d JOIN (SELECT DISTINCT f FROM d) g ON d.f <> g.f GROUP BY g.f)
+SELECT 'lm' AS setting, round(avg(rmse), 4) AS metric
+FROM (SELECT d.f, sqrt(avg((y - a - b * x) ^ 2)) AS rmse FROM d JOIN m ON d.f = m.f GROUP BY d.f)""")
+def q_cross_validate_lm(t):
+    """5-fold error of a linear model, from one scan of sums per fold."""
+    d = t.lineitem.select("l_extendedprice", "l_quantity", (F.col("l_orderkey") % 5).cast("int").alias("fold"))
+    return MD.cross_validate(d, "l_extendedprice ~ l_quantity", "fold", "lm").withColumn("metric", F.round("metric", 4))
+
+
+@register("cross_validate_glm")
+def q_cross_validate_glm(t):
+    """5-fold error of a logistic model of quality, all folds fitted together."""
+    d = labelled_docs(t).withColumn("fold", (F.col("doc_id") % 5).cast("int"))
+    return MD.cross_validate(d, "quality ~ n_chars + lang", "fold", "glm")
+
+
+@register("glm_fit_gamma", sql="""
+WITH g AS (SELECT o_orderpriority AS p, count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, p) AS i, count(*) OVER () AS k FROM g),
+b AS (SELECT m AS m0 FROM r WHERE i = k)
+SELECT CASE WHEN i = k THEN '(Intercept)' ELSE 'o_orderpriority_' || p END AS term,
+       round(CASE WHEN i = k THEN ln(m0) ELSE ln(m / m0) END, 4) AS estimate FROM r, b""")
+def q_glm_fit_gamma(t):
+    """Gamma GLM, log link, of order value on priority: with one factor the fit is the log of the group means."""
+    fit = MD.glm_fit(t.orders, "o_totalprice ~ o_orderpriority", "gamma", "log")
+    return fit.select("term", F.round("estimate", 4).alias("estimate"))
+
+
 # ------------------------------------------------------------------ 2.11
 @register("row_map", sql="SELECT l_orderkey, l_linenumber, l_extendedprice * 2.0 + 1.0 AS price_mapped FROM lineitem")
 def q_row_map(t):
@@ -83,8 +113,8 @@ FROM orders GROUP BY o_custkey""")
 def q_group_map(t):
     o = t.orders.select("o_custkey", "o_totalprice",
                         F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).alias("day"))
-    # split-apply-combine in two levels: partial sums per (customer, piece),
-    # then the slope per customer from at most 64 partial rows
+    # split-apply-combine in two levels: partial sums per run of a customer in a
+    # batch, before the shuffle, then the slope per customer from its partial rows
     r = U.group_map(o, "o_custkey",
                     U.ols_moments_arrow("day", "o_totalprice", "o_custkey", shift_x=10957.0, shift_y=250000.0),
                     "o_custkey long, " + U.MOMENT_SCHEMA, kind="arrow",
@@ -92,14 +122,36 @@ def q_group_map(t):
     return r.withColumn("slope", F.round("slope", 4))
 
 
+@register("group_map_batches", sql="""
+SELECT o_orderpriority, count(*) AS n, round(max(o_totalprice) - min(o_totalprice), 2) AS spread FROM orders GROUP BY 1""")
+def q_group_map_batches(t):
+    """A user function that sees each priority as an iterator of batches."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def spread(batches):
+        n, low, high, key = 0, None, None, None
+        for b in batches:
+            key = b.column("o_orderpriority")[0].as_py()
+            got = pc.min_max(b.column("o_totalprice")).as_py()
+            n += b.num_rows
+            low = got["min"] if low is None else min(low, got["min"])
+            high = got["max"] if high is None else max(high, got["max"])
+        yield pa.RecordBatch.from_pydict({"o_orderpriority": [key], "n": [n], "spread": [high - low]})
+
+    r = U.group_map(t.orders.select("o_orderpriority", "o_totalprice"), "o_orderpriority", spread,
+                    "o_orderpriority string, n long, spread double", "arrow_batches")
+    return r.withColumn("spread", F.round("spread", 2))
+
+
 @register("group_reduce", sql="""
 SELECT o_orderpriority, round(exp(avg(ln(o_totalprice))), 4) AS geo_mean FROM orders GROUP BY 1""")
 def q_group_reduce(t):
-    """Geometric mean per priority: a user aggregate (sum of logs, pandas UDF)
-    reduced in two levels so no worker holds a whole priority group."""
+    """Geometric mean per priority: a user aggregate (sum of logs)
+    reduced in two levels, so no worker holds a whole priority group."""
     o = t.orders
     r = U.group_reduce(o, "o_orderpriority", "o_totalprice", U.sum_of_logs, "double", "log_sum",
-                       combine=U.plain_sum, pieces=64)
+                       combine=U.plain_sum)
     n = o.groupBy("o_orderpriority").agg(F.count("o_totalprice").alias("__n"))
     return r.join(n, "o_orderpriority").select(
         "o_orderpriority", F.round(F.exp(F.col("log_sum") / F.col("__n")), 4).alias("geo_mean"))

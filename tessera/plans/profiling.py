@@ -65,6 +65,37 @@ def q_freq_table(t):
     return f.withColumns({"pct": F.round("pct", 6), "cum_pct": F.round("cum_pct", 6)})
 
 
+@register("freq_table_ids", sql="""
+WITH g AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_partkey, n, round(n * 100.0 / sum(n) OVER (), 6) AS pct,
+  round(sum(n) OVER (ORDER BY n DESC, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 100.0
+        / sum(n) OVER (), 6) AS cum_pct,
+  CAST(row_number() OVER (ORDER BY n DESC, l_partkey) AS INTEGER) AS position
+FROM g""")
+def q_freq_table_ids(t):
+    """Frequencies of an id column: very many levels share a count."""
+    f = P.freq_table(t.lineitem, "l_partkey")
+    return f.withColumns({"pct": F.round("pct", 6), "cum_pct": F.round("cum_pct", 6)})
+
+
+@register("profile_numeric_sketch", sql="\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, true AS ranks_within_half_percent FROM lineitem" for c in _NUM_COLS))
+def q_profile_numeric_sketch(t):
+    """The profile with KLL quantiles, one aggregate: are all their ranks within 0.5 % of what was asked?"""
+    p = P.profile_numeric(t.lineitem, _NUM_COLS, sketch=2000)
+    one = p.groupBy().agg(*[F.max(F.when(F.col("column") == c, F.col(q))).alias(f"{c}__{q}") for c in _NUM_COLS for q in _PNAMES])
+    near = []
+    for c in _NUM_COLS:
+        n, x = F.count(c), F.col(c)
+        for q, prob in zip(_PNAMES, P.PROFILE_PROBS):
+            v = F.col(f"{c}__{q}")
+            near.append(((F.count_if(x <= v) >= n * (prob - 0.005) - 1) & (F.count_if(x < v) <= n * (prob + 0.005) + 1)).alias(f"{c}__{q}"))
+    seen = t.lineitem.select(*_NUM_COLS).crossJoin(F.broadcast(one)).agg(*near)
+    rows = seen.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.forall(F.array(*[F.col(f"{c}__{q}") for q in _PNAMES]), lambda b: b)
+                                                   .alias("ranks_within_half_percent")) for c in _NUM_COLS])))
+    return p.select("column", "n", F.round("mean", 6).alias("mean")).join(F.broadcast(rows), "column")
+
+
 @register("outlier_fence", sql="""
 WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1,
                   quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1),
@@ -115,6 +146,27 @@ def q_correlations_spearman(t):
     return c.withColumn("r", F.round("r", 6))
 
 
+_GAPS = """(SELECT l_quantity, l_extendedprice, CASE WHEN l_linenumber % 3 <> 0 THEN l_discount END AS l_discount,
+  CASE WHEN l_quantity <= 40 THEN l_tax END AS l_tax FROM lineitem)"""
+
+
+def _ranked_pairs_sql():
+    def ranked(c):
+        return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+    pairs = [(a, b) for i, a in enumerate(_NUM_COLS) for b in _NUM_COLS[i + 1:]]
+    return "\nUNION ALL ".join(
+        f"SELECT '{a}' AS var1, '{b}' AS var2, round(corr(ra, rb), 6) AS r FROM (SELECT {ranked(a)} AS ra, {ranked(b)} AS rb "
+        f"FROM {_GAPS} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)" for a, b in pairs)
+
+
+@register("correlations_spearman_nulls", sql=_ranked_pairs_sql())
+def q_correlations_spearman_nulls(t):
+    """Spearman where two columns have gaps: each pair is ranked on its own complete rows."""
+    li = t.lineitem.select("l_quantity", "l_extendedprice", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_discount")).alias("l_discount"),
+                           F.when(F.col("l_quantity") <= 40, F.col("l_tax")).alias("l_tax"))
+    return P.correlations(li, _NUM_COLS, "spearman").withColumn("r", F.round("r", 6))
+
+
 _INFO_COLS = ["l_linestatus", "l_quantity", "l_discount"]
 
 

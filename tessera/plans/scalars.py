@@ -257,6 +257,18 @@ def q_read_delimited(t):
     return TX.read_delimited(t.spark, path, NATION_SCHEMA, sep=";")
 
 
+@register("read_delimited_multiline", sql="""
+SELECT p_partkey, replace(p_name, ' ', chr(10)) || ',"' || p_brand || '"' AS p_name, p_retailprice, CAST(NULL AS VARCHAR) AS _corrupt_record FROM part""")
+def q_read_delimited_multiline(t):
+    """Names with line breaks, separators and quotes, written quoted and read in splits."""
+    path = scratch_path(t.spark, "csv_part")
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("\n")), F.lit(',"'), F.col("p_brand"), F.lit('"'))
+    part = t.part.select("p_partkey", name.alias("p_name"), "p_retailprice")
+    TX.write_delimited(part, path)
+    schema = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType()), T.StructField("p_retailprice", T.DoubleType())])
+    return TX.read_delimited(t.spark, path, schema, multiline=True)
+
+
 @register("write_partitioned", sql="""
 SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, count(*) AS n, round(sum(o_totalprice), 2) AS total
 FROM orders WHERE year(o_orderdate) >= 1998 GROUP BY 1""")

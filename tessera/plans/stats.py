@@ -132,6 +132,13 @@ def q_breakpoints(t):
     return C.breakpoints(monthly_in(t), "t", "y", max_breaks=3)
 
 
+@register("breakpoints_daily")
+def q_breakpoints_daily(t):
+    """Break dates in the daily revenue (some 2,400 points)."""
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return C.breakpoints(t.orders.groupBy(day.alias("t")).agg(F.round(F.sum("o_totalprice"), 2).alias("y")), "t", "y", max_breaks=3)
+
+
 # ------------------------------------------------------------------ group tests
 @register("t_test_welch", sql="""
 WITH m AS (SELECT o_orderpriority AS level, count(*) AS n, avg(o_totalprice) AS mean, var_samp(o_totalprice) AS var

@@ -4,6 +4,7 @@ set operations (inventory sections 2.2, 2.3, 2.4, 2.7, 2.8)."""
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregate as A
+from tessera.operators import ranking as R
 from tessera.operators import joins as J
 from tessera.operators import verbs as V
 from tessera.plans.registry import register
@@ -287,6 +288,20 @@ def q_quantiles_by(t):
     return q.select("o_orderpriority", *[F.round(c, 6).alias(c) for c in ("q10", "q25", "q50", "q75", "q90")])
 
 
+@register("quantiles_by_sketch", sql="""
+SELECT o_orderpriority, count(*) AS n, true AS ranks_within_half_percent FROM orders GROUP BY o_orderpriority""")
+def q_quantiles_by_sketch(t):
+    """Quantiles of KLL sketches merged from two halves of the orders: are their ranks within 0.5 % of what was asked?"""
+    probs, names = [0.1, 0.25, 0.5, 0.75, 0.9], [f"q{i}" for i in range(5)]
+    halves = [R.quantile_sketches(t.orders.where(F.col("o_orderkey") % 2 == h), "o_totalprice", "o_orderpriority") for h in (0, 1)]
+    q = R.sketch_quantiles(R.merged_sketches(halves[0].unionByName(halves[1]), "o_orderpriority"), probs, "o_orderpriority", names)
+    n = F.count(F.lit(1))
+    near = [(F.count_if(F.col("o_totalprice") <= F.col(f"q{i}")) >= n * (p - 0.005) - 1)
+            & (F.count_if(F.col("o_totalprice") < F.col(f"q{i}")) <= n * (p + 0.005) + 1) for i, p in enumerate(probs)]
+    return t.orders.join(q, "o_orderpriority").groupBy("o_orderpriority").agg(
+        n.alias("n"), (near[0] & near[1] & near[2] & near[3] & near[4]).alias("ranks_within_half_percent"))
+
+
 @register("quantiles_by_approx", sql="""
 SELECT o_orderpriority, count(*) AS n, true AS ranks_within_1_percent FROM orders GROUP BY o_orderpriority""")
 def q_quantiles_by_approx(t):
@@ -515,3 +530,22 @@ def q_join_range_keyed(t):
         (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("lo"), F.col("ts").alias("hi"))
     pts = e.select("event_id", "user_id", F.col("ts").alias("p_ts"))
     return J.join_range(pts, iv, "p_ts", "lo", "hi", on=["user_id"]).select("purchase_id", "event_id")
+
+
+_LENGTHS = {0: 1, 1: 60, 2: 3_600, 3: 30 * 86_400}
+
+
+@register("join_range_mixed", sql="""
+SELECT p.event_id AS purchase_id, e.event_id
+FROM events p JOIN events e ON p.event_type = 'purchase' AND e.user_id = p.user_id AND e.ts >= p.ts
+ AND e.ts < p.ts + to_seconds(CASE p.event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 60 WHEN 2 THEN 3600 WHEN 3 THEN 2592000 ELSE 946080000 END)""")
+def q_join_range_mixed(t):
+    """Intervals from one second to thirty years in one join."""
+    e = t.events
+    secs = F.lit(30 * 365 * 86_400)
+    for k, n in _LENGTHS.items():
+        secs = F.when(F.col("event_id") % 5 == k, n).otherwise(secs)
+    iv = e.where("event_type = 'purchase'").select(
+        F.col("event_id").alias("purchase_id"), "user_id", F.col("ts").alias("lo"), (F.col("ts") + F.make_dt_interval(secs=secs)).alias("hi"))
+    pts = e.select("event_id", "user_id", F.col("ts").alias("p_ts"))
+    return J.join_range(pts, iv, "p_ts", "lo", "hi", on=["user_id"]).select("purchase_id", "event_id")

@@ -82,6 +82,19 @@ def q_rolling_rows_center(t):
     return W.rolling_rows(e, "user_id", ["ts", "event_id"], "value", 5, "median", align="center")
 
 
+_TYPE_W = "PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 100 PRECEDING AND CURRENT ROW"
+
+
+@register("rolling_rows_median_wide", sql=f"""
+SELECT event_id, event_type, ts, value,
+  CASE WHEN count(*) OVER ({_TYPE_W}) = 101 THEN median(value) OVER ({_TYPE_W}) END AS value_roll_median
+FROM events""")
+def q_rolling_rows_median_wide(t):
+    """The median of the last 101 events of a type."""
+    e = t.events.select("event_id", "event_type", "ts", "value")
+    return W.rolling_rows(e, "event_type", ["ts", "event_id"], "value", 101, "median")
+
+
 @register("rolling_time", sql="""
 SELECT event_id, user_id, ts, value,
   round(sum(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW), 6) AS win_sum,

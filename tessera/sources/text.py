@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.groupjoin import BROADCAST_ROWS
+from tessera.session import scratch_dir
+
 CORRUPT = "_corrupt_record"
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
                    encoding: str = "utf-8", locale: str = "en-US", date_format: str | None = None,
-                   header: bool = True, keep_corrupt: bool = True) -> DataFrame:
+                   header: bool = True, keep_corrupt: bool = True, multiline: bool = False, escape: str = "\\") -> DataFrame:
     """Typed read of delimited text. Rows that do not parse are kept, with NULL
     fields and the raw line in ``_corrupt_record`` (PERMISSIVE mode). The text
     tokens "" and "NA" read as NULL. For cp1252 files the session must have
     ``spark.sql.legacy.javaCharsets=true``, which only its owner sets; ISO-8859-1
-    differs in 0x80-0x9F."""
+    differs in 0x80-0x9F.
+
+    With ``multiline`` quoted fields may hold line breaks (see ``quoted_records``); files are still
+    read in splits. ``escape`` is what stands before a quote inside quotes: a backslash, or a quote for doubled quotes."""
     if encoding.lower().replace("_", "-") in ("cp1252", "windows-1252"):
         if str(spark.conf.get("spark.sql.legacy.javaCharsets", "false")).lower() != "true":
             raise ValueError("set spark.sql.legacy.javaCharsets=true to read cp1252 files")
@@ -24,15 +30,101 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: st
     fields = list(schema.fields)
     if keep_corrupt and CORRUPT not in schema.fieldNames():
         fields.append(T.StructField(CORRUPT, T.StringType(), True))
-    r = (spark.read.schema(T.StructType(fields))
-         .option("sep", sep).option("header", str(header).lower())
-         .option("encoding", encoding).option("locale", locale)
-         .option("mode", "PERMISSIVE").option("nullValue", "NA").option("emptyValue", None))
+    options = {"sep": sep, "locale": locale, "mode": "PERMISSIVE", "nullValue": "NA", "escape": escape}
     if keep_corrupt:
-        r = r.option("columnNameOfCorruptRecord", CORRUPT)
+        options["columnNameOfCorruptRecord"] = CORRUPT
     if date_format:
-        r = r.option("dateFormat", date_format)
-    return r.csv(path)
+        options["dateFormat"] = date_format
+    if multiline:
+        records = quoted_records(spark, path, encoding, header, escape)
+        parsed = records.select(F.from_csv("record", T.StructType(fields).toDDL(), options).alias("r"))
+        return parsed.select("r.*")
+    return (spark.read.schema(T.StructType(fields)).options(**options)
+            .option("header", str(header).lower()).option("encoding", encoding).option("emptyValue", None).csv(path))
+
+
+def quoted_records(spark: SparkSession, path: str, encoding: str = "utf-8", header: bool = True, escape: str = "\\") -> DataFrame:
+    """The records of delimited text whose quoted fields may hold line breaks, one per row (``record``), raw.
+
+    Files are read as lines, in splits. Whether a line begins inside quotes follows from the number of quotes before it
+    in its file, odd or even: one aggregate counts them per split, a running sum over the splits of a file (one row
+    each) tells every split how it begins, and a second pass puts lines together in the order of reading. Only what
+    reaches over the end of a split is shuffled, at most two pieces of each. A quote that is never closed takes the
+    rest of its file into one bad record. ``header`` leaves out each file's first record; empty lines are no records."""
+    import pyarrow as pa
+
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.decode(F.col("value").cast("binary"), encoding).alias("line"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    plain = F.regexp_replace("line", r"\\.", "") if escape == "\\" else F.col("line")
+    lines = lines.withColumn("quotes", F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit(""))))
+    splits = lines.groupBy("file", "block").agg((F.sum("quotes") % 2).alias("odd"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = splits.select(F.col("file").alias("__file"), F.col("block").alias("__block"),
+                           (F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2).alias("inside"))
+    scratch_dir(spark)
+    begins = begins.checkpoint()
+    same = (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block"))
+    lines = lines.withColumn("__row", F.monotonically_increasing_id())
+    if begins.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        lines = lines.join(F.broadcast(begins), same)  # rows stay where and in the order they are read
+    else:
+        lines = lines.join(begins, same).sortWithinPartitions("file", "block", "__row")
+    lines = lines.select("line", "file", "block", "quotes", "inside")
+
+    def run(batches):
+        split, inside, parts, skip, continues = None, False, [], False, False
+        out = {"record": [], "file": [], "block": [], "kind": []}
+
+        def put(kind):
+            nonlocal skip
+            text = "\n".join(parts)
+            if kind == WHOLE and text.endswith("\r"):
+                text = text[:-1]
+            if kind == WHOLE and skip:
+                skip = False
+            elif kind != WHOLE or text:
+                for c, v in zip(out, (text, *split, kind)):
+                    out[c].append(v)
+            parts.clear()
+
+        def batch():
+            got = pa.RecordBatch.from_pydict(out, schema=pa.schema([("record", pa.string()), ("file", pa.string()), ("block", pa.int64()), ("kind", pa.int32())]))
+            for c in out.values():
+                c.clear()
+            return got
+
+        for b in batches:
+            for line, file, block, quotes, start in zip(*(c.to_pylist() for c in b.columns)):
+                if (file, block) != split:
+                    if parts:
+                        put(BEGUN if not continues else GOES_ON)
+                    split, inside, continues = (file, block), bool(start), bool(start)
+                    skip = header and block == 0
+                parts.append(line)
+                inside ^= bool(quotes & 1)
+                if not inside:
+                    put(ENDS if continues else WHOLE)
+                    continues = False
+            if len(out["record"]):
+                yield batch()
+        if parts:
+            put(BEGUN if not continues else GOES_ON)
+            yield batch()
+
+    pieces = lines.mapInArrow(run, "record string, file string, block long, kind int")
+    whole = pieces.where(F.col("kind") == WHOLE).select("record")
+    # a record over several splits: begun in one, ending in another, some between
+    cut = pieces.where(F.col("kind") != WHOLE)
+    order = Window.partitionBy("file").orderBy("block", F.col("kind") == BEGUN)
+    cut = cut.withColumn("number", F.sum(F.when(F.col("kind") == BEGUN, 1).otherwise(0)).over(order))
+    parts = F.array_sort(F.collect_list(F.struct("block", F.col("kind") == BEGUN, "record")))
+    joined = cut.groupBy("file", "number").agg(F.concat_ws("\n", F.transform(parts, lambda x: x["record"])).alias("record"))
+    return whole.unionByName(joined.select(F.regexp_replace("record", "\r$", "").alias("record")))
+
+
+#: How a piece lies in its split: a whole record, the end of an earlier split's, one that goes on after this split, one begun in it.
+WHOLE, ENDS, GOES_ON, BEGUN = range(4)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> str:

@@ -102,7 +102,7 @@ def test_two_level_udfs_match_one_level(spark, small_dir):
     two = U.group_map(o, "o_custkey", U.ols_moments_arrow("day", "o_totalprice", "o_custkey", 10957.0, 250000.0),
                       "o_custkey long, " + U.MOMENT_SCHEMA, kind="arrow",
                       combine=U.ols_slope_combine_arrow("o_custkey"),
-                      combine_schema="o_custkey long, n long, slope double", pieces=4, hot_rows=3).toPandas()
+                      combine_schema="o_custkey long, n long, slope double").toPandas()
     one = U.group_map(o, "o_custkey", U.ols_slope_per_group_arrow("day", "o_totalprice", "o_custkey"),
                       "o_custkey long, n long, slope double", kind="arrow").toPandas()
     m = two.merge(one, on="o_custkey", suffixes=("_2", "_1"))
@@ -110,8 +110,7 @@ def test_two_level_udfs_match_one_level(spark, small_dir):
     both = m.dropna(subset=["slope_1", "slope_2"])
     assert len(both) == m["slope_1"].notna().sum()
     assert ((both["slope_2"] - both["slope_1"]).abs() <= 1e-6 * (1 + both["slope_1"].abs())).all()
-    r2 = U.group_reduce(o, "o_orderpriority", "o_totalprice", U.sum_of_logs, combine=U.plain_sum,
-                        pieces=8, hot_rows=10).toPandas().set_index("o_orderpriority")
+    r2 = U.group_reduce(o, "o_orderpriority", "o_totalprice", U.sum_of_logs, combine=U.plain_sum).toPandas().set_index("o_orderpriority")
     r1 = U.group_reduce(o, "o_orderpriority", "o_totalprice", U.sum_of_logs).toPandas().set_index("o_orderpriority")
     assert ((r2["value"] - r1["value"]).abs() < 1e-6).all()
 
