@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, packing, pii, simhash_golay, tokens, toxicity
-from tessera.session import prepare_session, scratch_path
+from tessera.session import drop_path, prepare_session, scratch_path
 from tessera.sources.tables import read_table
 
 #: A deployment passes its own secret.
@@ -82,11 +82,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the whole ``documents`` table."""
+    """The last stage's rows over the whole ``documents`` table. A stage's folder goes when the next one's is written."""
     prepare_session(spark)
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last is not None:
+            drop_path(spark, last)
+        last = path
     return docs

@@ -15,6 +15,21 @@ from tessera.session import scratch_dir
 BROADCAST_ROWS = 200_000
 
 
+#: Leaves of a plan that may be read several times as it is.
+MOST_LEAVES = 4
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The frame, written once (checkpoint) if its plan has more than MOST_LEAVES leaves.
+
+    Operators that read their input for two branches would, one upon the other, double the plan each time; a chain of
+    them is cut by a written table instead. A table, a join or an aggregate of tables stays as it is."""
+    if df._jdf.queryExecution().analyzed().collectLeaves().size() <= MOST_LEAVES:
+        return df
+    scratch_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def join_by(df: DataFrame, table: DataFrame, by, how: str = "left", broadcast: bool = False) -> DataFrame:
     """``df`` with the columns of a table that has one row per group ``by``
     (NULL equals NULL). With no group the table is one row."""

@@ -12,11 +12,11 @@ The piece of a row is a deterministic function of the row and two small
 broadcast tables (the hot groups and their cut points), so recomputation
 after a lost executor gives the same pieces.
 
-Cost: one counting pass (partial counts per group) decides whether any group
-is hot; when none is, the plain one-window-per-group plan runs. With hot
-groups, their cut points take one more pass over the hot groups' rows. When
-the input is an expensive plan, write it first (or pass ``hot_rows=None``
-where no key can be hot, which skips the counting pass).
+Which groups are hot is decided in the plan: one aggregate counts the rows per group, its short
+list of hot groups is broadcast, ordinary groups take the plain one-window-per-group branch, and Spark drops the
+other branch at run time when the list is empty. No job runs while a query is built,
+unless its input is itself such a plan, which is then written once (``settled``). With hot
+groups, their cut points take one more pass over their rows. ``hot_rows=None`` leaves the count out where no key can be hot.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.checks import as_list
-from tessera.operators.groupjoin import join_by
+from tessera.operators.groupjoin import join_by, settled
 from tessera.operators.ranking import text_number
 
 HOT_ROWS = 5_000_000
@@ -47,35 +47,39 @@ def order_spec(order) -> list[Column]:
     return out
 
 
-def has_hot_groups(df: DataFrame, by, hot_rows) -> bool:
-    """One aggregate pass (partial counts per group): is any group larger than
-    ``hot_rows``? When none is, callers run the plain one-window-per-group
-    plan, which then costs a single further pass."""
-    if hot_rows is None:
-        return False
-    by = as_list(by)
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__cnt"))
-    return not counts.where(F.col("__cnt") > hot_rows).isEmpty()
+#: Groups that are split at most, the largest first; any other has at most a twenty-thousandth of the rows.
+HOT_GROUPS = 20_000
+
 
+def _by_heat(df: DataFrame, by, hot_rows: int | None, plain, split) -> DataFrame:
+    """``plain`` of the rows of ordinary groups and ``split`` of those of groups with more than ``hot_rows`` rows.
 
-def split_groups(df: DataFrame, by, order, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
-    """Adds ``__piece``: 0 for groups of at most ``hot_rows`` rows; for larger
-    groups, the piece of the group's range of the first order column (pieces
-    increase along the window order)."""
+    Which groups are hot is found in the plan itself, by one aggregate (partial counts per group) whose list of at most HOT_GROUPS
+    groups is broadcast to both sides; where it is empty, Spark drops the split side. ``hot_rows=None`` splits nothing and counts nothing."""
+    if hot_rows is None:
+        return plain(df)
+    df = settled(df)
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__cnt")).where(F.col("__cnt") > hot_rows)
+    if not by:  # one group: all rows or none
+        one = F.broadcast(counts.select(F.lit(1).alias("__one")))
+        return plain(df.join(one, F.lit(1) == F.col("__one"), "left_anti")).unionByName(
+            split(df.join(one, F.lit(1) == F.col("__one"), "left_semi")))
+    hot = counts.orderBy(F.desc("__cnt")).limit(HOT_GROUPS).select(*by, F.lit(True).alias("__hot"))
+    ordinary = join_by(df, hot, by, broadcast=True).where("__hot is null").drop("__hot")
+    return plain(ordinary).unionByName(split(join_by(df, hot, by, "inner", broadcast=True).drop("__hot")))
+
+
+def split_groups(df: DataFrame, by, order, pieces: int = PIECES) -> DataFrame:
+    """Adds ``__piece``: the piece of the group's range of the first order column (pieces
+    increase along the window order). Every group is cut; there are at most HOT_GROUPS."""
     by = as_list(by)
     col, desc = _first_order(order)
-    if hot_rows is None:
-        # splitting disabled: one piece per group, no extra passes over the input
-        return df.withColumn("__piece", F.lit(0))
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__cnt"))
-    hot = counts.where(F.col("__cnt") > hot_rows).select(*by)  # at most rows / hot_rows groups
     probs = [i / pieces for i in range(1, pieces)]
     # texts are cut by the number their first bytes make, which follows their order
     key = text_number(F.col(col)) if isinstance(df.schema[col].dataType, T.StringType) else F.col(col)
     src = df.withColumn("__order", key)
-    held = join_by(src, hot, by, "inner") if by else src.crossJoin(hot.select(F.lit(1).alias("__h")))
-    bounds = held.groupBy(*by).agg(F.percentile_approx("__order", probs, 10_000).alias("__bounds"))
-    d = join_by(src, bounds, by) if by else _cross_left(src, bounds)
+    bounds = src.groupBy(*by).agg(F.percentile_approx("__order", probs, 10_000).alias("__bounds"))
+    d = join_by(src, bounds, by, broadcast=True) if by else _cross_left(src, bounds)
     me = F.col("__order")
     cmp = (lambda b: b > me) if desc else (lambda b: b < me)
     # NULL comes first in ascending order and last in descending order
@@ -99,10 +103,13 @@ def running(df: DataFrame, by, order, aggs: dict, hot_rows: int = HOT_ROWS) -> D
     """Running aggregates from the first row of the group to the current row.
     ``aggs``: {name: (kind, Column)} with kind in sum, count, min, max, any, all."""
     by = as_list(by)
-    if not has_hot_groups(df, by, hot_rows):
-        w = Window.partitionBy(*by).orderBy(*order_spec(order)).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select(*df.columns, *[_PIECE_AGG[k](c).over(w).alias(n) for n, (k, c) in aggs.items()])
-    d = split_groups(df, by, order, hot_rows)
+    w = Window.partitionBy(*by).orderBy(*order_spec(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return _by_heat(df, by, hot_rows, lambda d: d.select(*df.columns, *[_PIECE_AGG[k](c).over(w).alias(n) for n, (k, c) in aggs.items()]),
+                    lambda d: _running_split(d, by, order, aggs))
+
+
+def _running_split(df: DataFrame, by, order, aggs: dict) -> DataFrame:
+    d = split_groups(df, by, order)
     w = Window.partitionBy(*by, "__piece").orderBy(*order_spec(order)).rowsBetween(Window.unboundedPreceding, 0)
     d = d.select("*", *[_PIECE_AGG[k](c).over(w).alias(f"__in_{n}") for n, (k, c) in aggs.items()])
     pieces = d.groupBy(*by, "__piece").agg(*[_PIECE_AGG[k](c).alias(f"__p_{n}") for n, (k, c) in aggs.items()])
@@ -135,12 +142,15 @@ def ranks(df: DataFrame, by, order, kinds, ntile: int = 4, hot_rows: int = HOT_R
     by = as_list(by)
     kinds = as_list(kinds)
     spec = order_spec(order)
-    if not has_hot_groups(df, by, hot_rows):
-        w = Window.partitionBy(*by).orderBy(*spec)
-        fns = {"row_number": F.row_number(), "rank": F.rank(), "dense_rank": F.dense_rank(),
-               "percent_rank": F.percent_rank(), "cume_dist": F.cume_dist(), "ntile": F.ntile(ntile)}
-        return df.select(*df.columns, *[fns[k].over(w).alias(k) for k in kinds])
-    d = split_groups(df, by, order, hot_rows)
+    w = Window.partitionBy(*by).orderBy(*spec)
+    fns = {"row_number": F.row_number(), "rank": F.rank(), "dense_rank": F.dense_rank(),
+           "percent_rank": F.percent_rank(), "cume_dist": F.cume_dist(), "ntile": F.ntile(ntile)}
+    return _by_heat(df, by, hot_rows, lambda d: d.select(*df.columns, *[fns[k].over(w).alias(k) for k in kinds]),
+                    lambda d: _ranks_split(d, by, order, spec, kinds, ntile))
+
+
+def _ranks_split(df: DataFrame, by, order, spec, kinds, ntile: int) -> DataFrame:
+    d = split_groups(df, by, order)
     w = Window.partitionBy(*by, "__piece").orderBy(*spec)
     peers = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.select("*", F.row_number().over(w).alias("__rn"), F.rank().over(w).alias("__rk"),
@@ -178,23 +188,23 @@ def with_halo(df: DataFrame, by, order, before: int, after: int, cols_fn, hot_ro
     for a Window ``w`` over (group, piece) in the requested order; halo rows
     only serve as context and are dropped from the output."""
     by = as_list(by)
-    if not has_hot_groups(df, by, hot_rows):
-        return df.select(*df.columns, *cols_fn(Window.partitionBy(*by).orderBy(*order_spec(order))))
-    u = _pieces_with_halo(df, by, order, before, after, hot_rows)
-    w = Window.partitionBy(*by, "__piece").orderBy(*order_spec(order))
-    return u.select(*df.columns, "__halo", *cols_fn(w)).where("__halo = 0").drop("__halo")
+
+    def split(d):
+        w = Window.partitionBy(*by, "__piece").orderBy(*order_spec(order))
+        return _pieces_with_halo(d, by, order, before, after).select(*df.columns, "__halo", *cols_fn(w)).where("__halo = 0").drop("__halo")
+
+    return _by_heat(df, by, hot_rows, lambda d: d.select(*df.columns, *cols_fn(Window.partitionBy(*by).orderBy(*order_spec(order)))), split)
 
 
 def halo_rows(df: DataFrame, by, order, before: int, after: int, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """The rows with ``__piece`` and ``__halo`` (1 for the rows that a piece has only as context)."""
     by = as_list(by)
-    if not has_hot_groups(df, by, hot_rows):
-        return df.select("*", F.lit(0).alias("__piece"), F.lit(0).alias("__halo"))
-    return _pieces_with_halo(df, by, order, before, after, hot_rows)
+    return _by_heat(df, by, hot_rows, lambda d: d.select("*", F.lit(0).alias("__piece"), F.lit(0).alias("__halo")),
+                    lambda d: _pieces_with_halo(d, by, order, before, after))
 
 
-def _pieces_with_halo(df: DataFrame, by: list[str], order, before: int, after: int, hot_rows: int | None) -> DataFrame:
-    d = split_groups(df, by, order, hot_rows)
+def _pieces_with_halo(df: DataFrame, by: list[str], order, before: int, after: int) -> DataFrame:
+    d = split_groups(df, by, order)
     spec = order_spec(order)
     wp = Window.partitionBy(*by, "__piece")
     d = d.withColumn("__rn", F.row_number().over(wp.orderBy(*spec))) \
@@ -241,15 +251,17 @@ def with_time_halo(df: DataFrame, by, ts: str, span_seconds: int, cols_fn, hot_r
     partition columns to use in the window. Copies per row are bounded by the
     number of pieces; they are dropped from the output."""
     by = as_list(by)
-    if not has_hot_groups(df, by, hot_rows):
-        return df.select(*df.columns, *cols_fn(by))
-    d = split_groups(df, by, [ts], hot_rows)
+    return _by_heat(df, by, hot_rows, lambda d: d.select(*df.columns, *cols_fn(by)), lambda d: _time_split(d, by, ts, span_seconds, cols_fn))
+
+
+def _time_split(df: DataFrame, by, ts: str, span_seconds: int, cols_fn) -> DataFrame:
+    d = split_groups(df, by, [ts])
     secs = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                             F.col(ts).cast("timestamp_ntz"))
     starts = d.where(F.col("__piece") > 0).groupBy(*by, "__piece").agg(F.min(secs).alias("__s")) \
         .groupBy(*by).agg(F.collect_list(F.struct(F.col("__piece").alias("p"), F.col("__s").alias("s")))
                           .alias("__starts"))
-    # only split (hot) groups appear: at most rows / hot_rows groups x PIECES entries
+    # at most HOT_GROUPS groups x PIECES entries
     j = join_by(d, starts, by) if by else _cross_left(d, starts)
     j = j.withColumn("__starts", F.coalesce("__starts", F.array().cast(starts.schema["__starts"].dataType)))
     me = secs
@@ -265,16 +277,22 @@ def fill_forward(df: DataFrame, by, order, col: str, name: str, max_gap: int | N
     """Last non-NULL value at or before each row (optionally only within
     ``max_gap`` rows), with hot groups split into pieces."""
     by = as_list(by)
-    if not has_hot_groups(df, by, hot_rows):
+
+    def plain(d):
         w = Window.partitionBy(*by).orderBy(*order_spec(order))
         upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        d = df.withColumn("__rn", F.row_number().over(w))
+        d = d.withColumn("__rn", F.row_number().over(w))
         d = d.withColumn("__kn", F.when(F.col(col).isNotNull(), F.col("__rn")))
         val = F.last(col, ignorenulls=True).over(upto)
         if max_gap is not None:
             val = F.when(F.col("__rn") - F.last("__kn", ignorenulls=True).over(upto) <= max_gap, val)
         return d.select(*df.columns, val.alias(name))
-    d = split_groups(df, by, order, hot_rows)
+
+    return _by_heat(df, by, hot_rows, plain, lambda d: _fill_split(d, by, order, col, name, max_gap))
+
+
+def _fill_split(df: DataFrame, by, order, col: str, name: str, max_gap: int | None) -> DataFrame:
+    d = split_groups(df, by, order)
     w = Window.partitionBy(*by, "__piece").orderBy(*order_spec(order))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("__rn", F.row_number().over(w))

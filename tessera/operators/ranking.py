@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.checks import as_list, require_columns
-from tessera.operators.groupjoin import join_by
+from tessera.operators.groupjoin import join_by, settled
 from tessera.session import scratch_dir
 
 _ORDERABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -75,6 +75,7 @@ def sorted_cumulative(df: DataFrame, order_col: str, weights, by=(), *,
         proxy = text_number(key)
     if nb <= 1 or proxy is None:
         return _whole_groups(df, key, weights, by)
+    df = settled(df)
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > bucket_values)
     if not by:
         held = df.withColumn("__proxy", proxy).crossJoin(F.broadcast(counts)).drop("__rows")

@@ -157,17 +157,17 @@ def locf_fill(df: DataFrame, by, order, col: str, direction: str = "forward",
 
 
 def interpolate_linear(df: DataFrame, by, ts: str, col: str, order_tiebreak: str | None = None,
-                       name: str | None = None) -> DataFrame:
+                       name: str | None = None, hot_rows: int | None = hotsplit.HOT_ROWS) -> DataFrame:
     """NULLs between two known points are filled on the straight line through
-    them in time; leading and trailing NULLs stay NULL."""
+    them in time; leading and trailing NULLs stay NULL. Groups above ``hot_rows`` rows run in pieces (see ``hotsplit``)."""
     order = [ts] + ([order_tiebreak] if order_tiebreak else [])
     t = _epoch_micros(F.col(ts))
     if all(isinstance(o, str) for o in order):
         # previous and next known (value, time) by two hot-group-safe fills
         known = F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("v"), t.alias("t")))
         d = df.withColumn("__known", known)
-        d = hotsplit.fill_forward(d, by, order, "__known", "__prev")
-        d = hotsplit.fill_forward(d, by, ["-" + o for o in order], "__known", "__next")
+        d = hotsplit.fill_forward(d, by, order, "__known", "__prev", hot_rows=hot_rows)
+        d = hotsplit.fill_forward(d, by, ["-" + o for o in order], "__known", "__next", hot_rows=hot_rows)
         v0, t0, v1, t1 = (F.col("__prev.v"), F.col("__prev.t"), F.col("__next.v"), F.col("__next.t"))
         interp = F.when(F.col(col).isNotNull(), F.col(col)).when(
             t1 == t0, v0).otherwise(v0 + (v1 - v0) * (t - t0) / (t1 - t0))

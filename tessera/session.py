@@ -76,6 +76,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{os.getpid()}-{next(_COUNTER)}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this run wrote under the scratch folder and does not need any more."""
+    if not path.startswith(scratch_dir(spark).rstrip("/") + "/"):
+        raise ValueError(f"{path} is not under the scratch folder")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _counter():
     i = 0
     while True:
