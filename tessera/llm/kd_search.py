@@ -10,12 +10,14 @@ hands them on from shard to shard.
 
 Equal vectors of a shard are one point with its k + 1 least ids (more can't be among the k
 best, since ties go to smaller ids). Queries are a stated set; they are taken in blocks
-of at most about ``block`` vectors, each broadcast in turn, so the broadcast has
-a bound at any size and no pairs of rows are formed.
+of at most about ``block`` vectors. A block is broadcast, searched, ranked, appended to the result's folder and dropped before the
+next one, so the broadcast has a bound at any size and no pairs of rows are formed. Where there are fewer shards than
+cores, a shard is searched by several tasks, each with a part of the block's queries.
 
 Defined results: vectors NULL or with NULL or non-finite components, and rows with a NULL id, take no part; of rows
 that share an id the least vector counts; only vectors of one length are
-compared; scores must fit 64 bits; extra columns are ignored; an empty table gives an empty result.
+compared; a component or score beyond 64 bits counts as the nearest number of 64 bits (such ties, too, go to smaller ids); extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,9 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import scratch_dir
+from tessera.session import scratch_path
 
 RESULT = "query_id long, vec_id long, score long"
+RANKED = "query_id long, rank int, vec_id long, score long"
+#: The bounds of a score.
+LEAST, MOST = -2 ** 63, 2 ** 63 - 1
+#: Tasks that share a shard at most.
+MOST_PARTS = 16
 
 
 def whole_numbers(vector: Column, scale: int = 256) -> Column:
@@ -107,7 +114,7 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarr
             if not len(some):
                 continue
             for j in some.tolist():
-                s = int(scores[j])
+                s = min(max(int(scores[j]), LEAST), MOST)
                 best += [(-s, i) for i in tree.ids[lo + j] if i != own]
             best = heapq.nsmallest(k, best)
             if len(best) == k:
@@ -128,17 +135,18 @@ def _build(k: int):
 
 
 def _search(shared, k: int):
-    """shared: per vector length, query ids, queries and the scores they have reached."""
+    """shared: per vector length, query ids, queries and the scores they have reached. A row of the index names the queries it is for."""
     def run(batches):
         held = {size: (ids, q, list(kth)) for size, (ids, q, kth) in shared.value.items()}
         for b in batches:
-            for size, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for size, part, parts, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 if size not in held:
                     continue
                 ids, q, kth = held[size]
+                own = np.arange(part, len(ids), parts)
                 rows = []
-                for n, (own, best) in enumerate(zip(ids.tolist(), search(pickle.loads(blob.as_py()), ids, q, kth, k), strict=True)):
-                    rows += [(own, i, -s) for s, i in best]
+                for n, best in zip(own.tolist(), search(pickle.loads(blob.as_py()), ids[own], q[own], [kth[n] for n in own], k), strict=True):
+                    rows += [(int(ids[n]), i, -s) for s, i in best]
                     if len(best) == k:
                         kth[n] = -best[-1][0] if kth[n] is None else max(kth[n], -best[-1][0])
                 if rows:
@@ -151,7 +159,7 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", ve
           shard_rows: int = 32_768, block: int = 16_384) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best of each query, the rows whose id is divisible by ``every``."""
     spark = table.sparkSession
-    scratch_dir(spark)
+    path = scratch_path(spark, "kd-top")
     rows = (table.select(F.col(key).cast("long").alias("vec_id"), whole_numbers(F.col(vector)).alias("vector"))
             .where("vec_id is not null and vector is not null")
             .groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("size", F.size("vector")).checkpoint())
@@ -161,7 +169,14 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", ve
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
     index = (rows.withColumn("shard", shard).groupBy("size", "shard")
              .applyInArrow(_build(k), "size int, shard long, tree binary").checkpoint())
-    found = []
+    cores = spark.sparkContext.defaultParallelism
+
+    def tasks(which, n_shards: int) -> DataFrame:
+        """The shards, each as often as tasks share it."""
+        parts = max(1, min(MOST_PARTS, -(-cores // n_shards)))
+        dealt = index.where(which).select("size", "shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(parts).alias("parts"), "tree")
+        return dealt.repartition(max(1, min(n_shards * parts, 4096)), "shard", "part").select("size", "part", "parts", "tree")
+
     for i in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)) == i).toArrow()
         held = {}
@@ -170,18 +185,17 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", ve
             flat = mine.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
             ids = mine.column("vec_id").to_numpy()
             held[size] = (ids, flat.reshape(len(ids), size), [None] * len(ids))
-        shared = spark.sparkContext.broadcast(held)
-        first = index.where("shard = 0").select("size", "tree").mapInArrow(_search(shared, k), RESULT).checkpoint()
-        found.append(first)
+        shared = [spark.sparkContext.broadcast(held)]
+        found = first = tasks("shard = 0", 1).mapInArrow(_search(shared[0], k), RESULT).checkpoint()
         if shards > 1:
             reached = first.groupBy("query_id").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
             kth = {r[0]: r[1] for r in reached.select("query_id", "s").collect()}  # one number for each query of the block
-            passed = spark.sparkContext.broadcast(
-                {size: (ids, q, [kth.get(x) for x in ids.tolist()]) for size, (ids, q, _) in held.items()})
-            found.append(index.where("shard > 0").select("size", "tree").repartition(max(1, min(shards - 1, 4096)))
-                         .mapInArrow(_search(passed, k), RESULT))
-    every_one = found[0]
-    for f in found[1:]:
-        every_one = every_one.unionAll(f)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return every_one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            shared.append(spark.sparkContext.broadcast(
+                {size: (ids, q, [kth.get(x) for x in ids.tolist()]) for size, (ids, q, _) in held.items()}))
+            found = first.unionAll(tasks("shard > 0", shards - 1).mapInArrow(_search(shared[1], k), RESULT))
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+         .select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path))
+        for b in shared:
+            b.destroy()
+    return spark.read.schema(RANKED).parquet(path)
