@@ -1,6 +1,6 @@
 """Model fitting on Spark ML, returned as tidy rows.
 
-Fits run as Spark ML jobs over the distributed, cached training frame; only
+Fits run as Spark ML jobs over the distributed training frame, written once; only
 the fitted parameters (a handful of numbers per feature, or the tree's node
 list) come back, turned into a small DataFrame. Differences from the
 single-machine tree libraries the inventory names: Spark bins continuous
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.crossval import cv_linear, cv_logistic
+from tessera.session import scratch_dir
 
 
 def formula_encode(df: DataFrame, formula: str, keep=()) -> DataFrame:
@@ -54,12 +55,14 @@ def feature_names(encoded: DataFrame, col: str = "features") -> list[str]:
 
 
 def _prepared(df: DataFrame, formula: str):
-    """Encode once and cache for the fit. Rows with NULL inputs are skipped;
+    """Encode once and write for the fit, which reads it many times; memory is left to others. Rows with NULL inputs are skipped;
     a numeric 0/1 label is used as it is (indexing it would add levels)."""
     rf = RFormula(formula=formula, featuresCol="features", labelCol="label", handleInvalid="skip")
     model = rf.fit(df)
-    data = model.transform(df).select("label", "features").cache()
-    return data, feature_names(data)
+    data = model.transform(df).select("label", "features")
+    names = feature_names(data)
+    scratch_dir(df.sparkSession)
+    return data.checkpoint(), names
 
 
 _SPLIT = re.compile(r"^(\s*)(If|Else) \(feature (\d+) (<=|>|in|not in) (.+)\)$")
@@ -89,13 +92,10 @@ def tree_fit(df: DataFrame, formula: str, depth: int = 5, min_n: int = 20, kind:
              max_bins: int = 32, seed: int = 42) -> DataFrame:
     """Decision tree; rows are the leaves: rule (conjunction of splits), prediction."""
     data, names = _prepared(df, formula)
-    try:
-        est = (DecisionTreeClassifier if kind == "classification" else DecisionTreeRegressor)(
-            maxDepth=depth, minInstancesPerNode=min_n, maxBins=max_bins, seed=seed)
-        m = est.fit(data)
-        rows = _tree_rules(m.toDebugString, names)
-    finally:
-        data.unpersist()
+    est = (DecisionTreeClassifier if kind == "classification" else DecisionTreeRegressor)(
+        maxDepth=depth, minInstancesPerNode=min_n, maxBins=max_bins, seed=seed)
+    m = est.fit(data)
+    rows = _tree_rules(m.toDebugString, names)
     return df.sparkSession.createDataFrame(rows, "leaf_id int, rule string, prediction double")
 
 
@@ -103,13 +103,10 @@ def forest_fit(df: DataFrame, formula: str, n_trees: int = 50, depth: int = 5, s
                kind: str = "classification") -> DataFrame:
     """Random forest; rows are (feature, importance), importances summing to 1."""
     data, names = _prepared(df, formula)
-    try:
-        est = (RandomForestClassifier if kind == "classification" else RandomForestRegressor)(
-            numTrees=n_trees, maxDepth=depth, seed=seed)
-        m = est.fit(data)
-        imp = m.featureImportances.toArray()
-    finally:
-        data.unpersist()
+    est = (RandomForestClassifier if kind == "classification" else RandomForestRegressor)(
+        numTrees=n_trees, maxDepth=depth, seed=seed)
+    m = est.fit(data)
+    imp = m.featureImportances.toArray()
     return df.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(names, imp)],
                                            "feature string, importance double")
 
@@ -117,10 +114,7 @@ def forest_fit(df: DataFrame, formula: str, n_trees: int = 50, depth: int = 5, s
 def svm_linear(df: DataFrame, formula: str, reg: float = 0.01, max_iter: int = 100) -> DataFrame:
     """Linear max-margin classifier (hinge loss, L2); rows (term, coefficient)."""
     data, names = _prepared(df, formula)
-    try:
-        m = LinearSVC(regParam=reg, maxIter=max_iter, standardization=True).fit(data)
-    finally:
-        data.unpersist()
+    m = LinearSVC(regParam=reg, maxIter=max_iter, standardization=True).fit(data)
     rows = [("(Intercept)", float(m.intercept))] + [(n, float(c)) for n, c in zip(names, m.coefficients)]
     return df.sparkSession.createDataFrame(rows, "term string, coefficient double")
 
@@ -129,17 +123,14 @@ def glm_fit(df: DataFrame, formula: str, family: str = "binomial", link: str | N
     """GLM by iteratively reweighted least squares (Spark ML); rows (term,
     estimate, std_error, z_value) plus deviance and AIC."""
     data, names = _prepared(df, formula)
-    try:
-        kw = {"family": family, "maxIter": 50}
-        if link:
-            kw["link"] = link
-        m = GeneralizedLinearRegression(**kw).fit(data)
-        s = m.summary
-        se = list(s.coefficientStandardErrors)
-        tv = list(s.tValues)
-        dev, aic = float(s.deviance), float(s.aic)
-    finally:
-        data.unpersist()
+    kw = {"family": family, "maxIter": 50}
+    if link:
+        kw["link"] = link
+    m = GeneralizedLinearRegression(**kw).fit(data)
+    s = m.summary
+    se = list(s.coefficientStandardErrors)
+    tv = list(s.tValues)
+    dev, aic = float(s.deviance), float(s.aic)
     est = list(m.coefficients) + [m.intercept]
     terms = names + ["(Intercept)"]
     rows = [(t, float(e), float(s_), float(z), dev, aic) for t, e, s_, z in zip(terms, est, se, tv)]
@@ -169,14 +160,12 @@ def cross_validate(df: DataFrame, formula: str, fold_col: str, model: str = "tre
         gb = gb.addGrid(est.getParam(name), values)
     maps = gb.build()
     ev = BinaryClassificationEvaluator(metricName=metric)
-    data = df.withColumn(fold_col, F.col(fold_col).cast("int")).cache()
-    try:
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                            numFolds=int(data.agg(F.max(fold_col)).first()[0]) + 1, seed=42,
-                            parallelism=max(1, len(maps)))
-        m = cv.fit(data)
-        metrics = list(m.avgMetrics)
-    finally:
-        data.unpersist()
+    scratch_dir(df.sparkSession)
+    data = df.withColumn(fold_col, F.col(fold_col).cast("int")).checkpoint()
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
+                        numFolds=int(data.agg(F.max(fold_col)).first()[0]) + 1, seed=42,
+                        parallelism=max(1, len(maps)))
+    m = cv.fit(data)
+    metrics = list(m.avgMetrics)
     rows = [(", ".join(f"{p.name}={v}" for p, v in pm.items()), float(v)) for pm, v in zip(maps, metrics)]
     return df.sparkSession.createDataFrame(rows, "setting string, metric double")

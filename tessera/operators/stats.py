@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.checks import as_list, require_columns
@@ -370,31 +370,37 @@ def near_zero_var(df: DataFrame, cols) -> DataFrame:
         (F.col("n_distinct") * 100.0 / F.col("rows")).alias("percent_unique"), "n_distinct")
 
 
+PREPROCESS_STEPS = ("impute", "center", "scale", "range")
+
+
 def preprocess(df: DataFrame, cols, steps=("impute", "center", "scale")) -> DataFrame:
     """``impute``: NULL -> exact median; ``center``: minus mean; ``scale``: divided
-    by sample sd; ``range``: (x - min) / (max - min). Statistics come from one
-    aggregate (and one quantile job for the medians), broadcast as one row."""
-    cols = as_list(cols)
+    by sample sd; ``range``: (x - min) / (max - min), which goes with neither of the two. Statistics come from one
+    aggregate, and one quantile job for the medians of all columns, broadcast as one row."""
+    cols, steps = as_list(cols), as_list(steps)
+    if unknown := set(steps) - set(PREPROCESS_STEPS):
+        raise ValueError(f"unknown steps {sorted(unknown)}")
+    if "range" in steps and {"center", "scale"} & set(steps):
+        raise ValueError("range replaces center and scale; choose one")
     out = df
     if "impute" in steps:
-        for c in cols:
-            med = exact_quantiles(df, c, [0.5], names=[f"__med_{c}"])
-            out = out.crossJoin(F.broadcast(med)).withColumn(c, F.coalesce(F.col(c), F.col(f"__med_{c}"))) \
-                .drop(f"__med_{c}")
-    st = out.agg(*[e for c in cols for e in (F.avg(c).alias(f"__m_{c}"), F.stddev_samp(c).alias(f"__s_{c}"),
-                                             F.min(c).alias(f"__lo_{c}"), F.max(c).alias(f"__hi_{c}"))])
-    j = out.crossJoin(F.broadcast(st))
-    for c in cols:
-        x = F.col(c)
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("__i"), F.col(f"`{c}`").cast("double").alias("__v")) for i, c in enumerate(cols)])))
+        med = exact_quantiles(long, "__v", [0.5], by=["__i"], names=["__med"])
+        one = med.agg(*[F.max(F.when(F.col("__i") == i, F.col("__med"))).alias(f"__med_{i}") for i in range(len(cols))])
+        out = df.crossJoin(F.broadcast(one)).select(
+            *[F.coalesce(F.col(f"`{c}`"), F.col(f"__med_{cols.index(c)}")).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns])
+    st = out.agg(*[e for i, c in enumerate(cols) for e in (F.avg(f"`{c}`").alias(f"__m_{i}"), F.stddev_samp(f"`{c}`").alias(f"__s_{i}"),
+                                                          F.min(f"`{c}`").alias(f"__lo_{i}"), F.max(f"`{c}`").alias(f"__hi_{i}"))])
+
+    def scaled(c: str) -> Column:
+        x, i = F.col(f"`{c}`"), cols.index(c)
         if "range" in steps:
-            x = F.try_divide(x - F.col(f"__lo_{c}"), F.col(f"__hi_{c}") - F.col(f"__lo_{c}"))
-        else:
-            if "center" in steps:
-                x = x - F.col(f"__m_{c}")
-            if "scale" in steps:
-                x = F.try_divide(x, F.col(f"__s_{c}"))
-        j = j.withColumn(c, x)
-    return j.select(*df.columns)
+            return F.try_divide(x - F.col(f"__lo_{i}"), F.col(f"__hi_{i}") - F.col(f"__lo_{i}"))
+        if "center" in steps:
+            x = x - F.col(f"__m_{i}")
+        return F.try_divide(x, F.col(f"__s_{i}")) if "scale" in steps else x
+
+    return out.crossJoin(F.broadcast(st)).select(*[scaled(c).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns])
 
 
 def drop_correlated(df: DataFrame, cols, cutoff: float = 0.9) -> DataFrame:

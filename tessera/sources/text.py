@@ -168,13 +168,16 @@ def _parse_pages(batches):
     from html.parser import HTMLParser
 
     class P(HTMLParser):
-        SKIP = {"script", "style", "head", "noscript", "template"}
+        SKIP = {"script", "style", "noscript", "template"}
+        HEAD = SKIP | {"head", "html", "title", "meta", "link", "base"}
 
         def __init__(self):
             super().__init__(convert_charrefs=True)
-            self.title, self.in_title, self.links, self.depth, self.text = [], False, 0, 0, []
+            self.title, self.in_title, self.links, self.depth, self.text, self.in_head = [], False, 0, 0, [], False
 
         def handle_starttag(self, tag, attrs):
+            # the end tag of a head is optional: the first element that can't be in one ends it
+            self.in_head = tag in self.HEAD and (self.in_head or tag == "head")
             if tag == "title":
                 self.in_title = True
             if tag in self.SKIP:
@@ -185,6 +188,8 @@ def _parse_pages(batches):
         def handle_endtag(self, tag):
             if tag == "title":
                 self.in_title = False
+            if tag == "head":
+                self.in_head = False
             if tag in self.SKIP and self.depth:
                 self.depth -= 1
 
@@ -192,7 +197,9 @@ def _parse_pages(batches):
             if self.in_title:
                 self.title.append(data)
             elif not self.depth:
-                self.text.append(data)
+                self.in_head = self.in_head and not data.strip()
+                if not self.in_head:
+                    self.text.append(data)
 
     import pandas as pd
 

@@ -227,3 +227,23 @@ def test_large_groups_are_cut_alike(spark):
         whole = sorted_cumulative(d, key, ["w"], "g")
         cut = sorted_cumulative(d, key, ["w"], "g", buckets=13, bucket_values=50)
         assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
+
+
+def test_page_text_without_the_end_of_a_head(spark):
+    from tessera.sources import text as TX
+    pages = ["<head><title>T</title><meta a=b><body>eleven char", "<head><title>T</title>eleven char", "<html><head><style>x</style><p>eleven char</p>",
+             "<head><title>T</title></head><body>eleven char<script>no</script>", "eleven char", "<head>  <title>T</title>  </head>", None]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    assert [r.text_chars for r in TX.html_extract(df).orderBy("page_id").collect()] == [11, 11, 11, 11, 11, 0, 0]
+
+
+def test_preprocess_steps_that_exclude_each_other(spark):
+    import pytest
+
+    from tessera.operators import stats as ST
+    df = spark.createDataFrame([(1.0, None), (3.0, 5.0), (None, 7.0)], "a double, `b.c` double")
+    for steps in (("center", "range"), ("scale", "range"), ("log",)):
+        with pytest.raises(ValueError):
+            ST.preprocess(df, ["a"], steps)
+    got = [tuple(r) for r in ST.preprocess(df, ["a", "b.c"], ("impute", "center")).collect()]
+    assert got == [(-1.0, 0.0), (1.0, -1.0), (0.0, 1.0)]

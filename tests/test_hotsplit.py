@@ -147,3 +147,25 @@ def test_nulls_text_and_descending_orders(spark, small_dir):
                        lambda hot: H.fill_forward(o, by, order, "x", "f", max_gap=2, hot_rows=hot)):
                 plain, split = (fn(h).toPandas().set_index("o_orderkey").sort_index() for h in (None, 50))
                 pd.testing.assert_frame_equal(plain[sorted(plain.columns)], split[sorted(plain.columns)], check_dtype=False)
+
+
+def test_no_job_runs_while_a_window_query_is_built(spark, small_dir):
+    from tessera.operators import windows as W
+    o = spark.read.parquet(f"{small_dir}/orders.parquet")
+    order = ["o_orderdate", "o_orderkey"]
+    spark.sparkContext.setJobGroup("building", "no job may be in this group")
+    built = [W.rank_family(o, "o_custkey", order), W.lead_lag(o, "o_custkey", order, "o_totalprice"), W.cumulative(o, "o_custkey", order, "o_totalprice"),
+             W.rolling_rows(o, "o_custkey", order, "o_totalprice", 3), W.rolling_rows(o, "o_custkey", order, "o_totalprice", 3, "median"),
+             W.rolling_time(o, "o_custkey", "o_orderdate", "o_totalprice", "7 DAY"), W.locf_fill(o, "o_custkey", order, "o_totalprice")]
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(built) == 7 and not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+
+
+def test_chains_do_not_multiply_their_plans(spark, small_dir):
+    from tessera.operators import windows as W
+    o = spark.read.parquet(f"{small_dir}/orders.parquet")
+    d = o
+    for i in range(4):
+        d = W.locf_fill(d, "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice", name=f"f{i}")
+    assert d._jdf.queryExecution().analyzed().collectLeaves().size() < 12
+    assert d.where("f0 = f3").count() == o.count()
