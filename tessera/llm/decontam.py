@@ -146,6 +146,10 @@ def longest_stretch(equal: np.ndarray, identity: float) -> tuple[int, int]:
     return best
 
 
+#: Candidates made and words compared at a time.
+CANDIDATES, COMPARED = 1 << 20, 1 << 21
+
+
 @dataclass
 class Index:
     """Seeds of a block of items, ready to probe."""
@@ -157,6 +161,9 @@ class Index:
     at: np.ndarray = field(init=False)
     maybe: np.ndarray = field(init=False)
     masks: tuple[str, ...] = field(init=False)
+    flat: np.ndarray = field(init=False)
+    begin: np.ndarray = field(init=False)
+    lengths: np.ndarray = field(init=False)
 
     def __post_init__(self):
         lengths = np.array([len(w) for w in self.words], np.int64)
@@ -177,35 +184,70 @@ class Index:
         self.at = at - begin[self.item] if len(at) else at
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.keys >> U64(44)] = True
-
-    def overlaps(self, words: np.ndarray, rows: np.ndarray) -> list[tuple]:
-        """(row, item id, document word, item word, length, equal words) of each row and item that overlap."""
-        if not len(self.keys):
-            return []
-        seen, best = set(), {}
+        self.flat, self.begin, self.lengths, self.words = flat, begin, lengths, []
+
+    def _candidates(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, item and shift of every diagonal with a seed, in order. A seed that many items share is repeated as arrays, a bounded
+        number at a time, and each diagonal is kept once."""
+        longest = int(self.lengths.max(initial=0))
+        span, items = len(words) + longest + 1, len(self.lengths)
+        known = np.zeros(0, np.int64)
         for mask in self.masks:
             at, h = seeds(words, rows, mask)
             some = self.maybe[h >> U64(44)]
             at, h = at[some], h[some]
             lo, hi = np.searchsorted(self.keys, h, "left"), np.searchsorted(self.keys, h, "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for k in range(a, b):
-                    seen.add((int(rows[p]), int(self.item[k]), p - int(self.at[k])))
-        first = np.searchsorted(rows, np.arange(int(rows[-1]) + 2)) if len(rows) else np.zeros(1, int)
-        for row, k, shift in sorted(seen):
-            item = self.words[k]
-            lo, hi = max(0, first[row] - shift), min(len(item), first[row + 1] - shift)
-            equal = words[lo + shift:hi + shift] == item[lo:hi]
-            if len(item) <= self.rule.min_words:
-                a, b = 0, len(equal) if equal.sum() >= self.rule.identity * len(item) - 1e-9 else 0
-            else:
-                a, b = longest_stretch(equal, self.rule.identity)
-            if b - a >= min(self.rule.min_words, len(item)):
-                a, b = a + lo, b + lo
-                new = (int(row), self.ids[k], int(a + shift - first[row]), int(a), int(b - a),
-                       int((words[a + shift:b + shift] == item[a:b]).sum()))
-                if (row, k) not in best or new[4] > best[row, k][4]:
-                    best[row, k] = new
+            hit = hi > lo
+            at, lo, count = at[hit], lo[hit], (hi - lo)[hit]
+            upto = np.cumsum(count)
+            a = 0
+            while a < len(at):
+                before = upto[a] - count[a]
+                b = max(a + 1, int(np.searchsorted(upto, before + CANDIDATES, "right")))
+                n = count[a:b]
+                place = np.repeat(lo[a:b] - (upto[a:b] - n - before), n) + np.arange(upto[b - 1] - before)
+                p = np.repeat(at[a:b], n)
+                diagonal = (rows[p] * items + self.item[place]) * span + (p - self.at[place] + longest)
+                known = np.union1d(known, diagonal)
+                a = b
+        pair, shift = known // span, known % span - longest
+        return pair // items, pair % items, shift
+
+    def overlaps(self, words: np.ndarray, rows: np.ndarray) -> list[tuple]:
+        """(row, item id, document word, item word, length, equal words) of each row and item that overlap."""
+        if not len(self.keys) or not len(words):
+            return []
+        row, item, shift = self._candidates(words, rows)
+        first = np.searchsorted(rows, np.arange(int(rows[-1]) + 2))
+        lo = np.maximum(0, first[row] - shift)
+        size = np.minimum(self.lengths[item], first[row + 1] - shift) - lo
+        rule, best, known = self.rule, {}, {}
+        upto = np.cumsum(size)
+        a = 0
+        while a < len(row):  # whole diagonals, a bounded number of words at a time
+            before = upto[a] - size[a]
+            b = max(a + 1, int(np.searchsorted(upto, before + COMPARED, "right")))
+            n = size[a:b]
+            starts = upto[a:b] - n - before
+            step = np.arange(upto[b - 1] - before) - np.repeat(starts, n)
+            equal = words[np.repeat(lo[a:b] + shift[a:b], n) + step] == self.flat[np.repeat(self.begin[item[a:b]] + lo[a:b], n) + step]
+            same = np.add.reduceat(equal, starts, dtype=np.int64)
+            least = np.minimum(rule.min_words, self.lengths[item[a:b]])
+            for c in np.flatnonzero(same >= rule.identity * least - 1e-9).tolist():
+                r, k, s, at = int(row[a + c]), int(item[a + c]), int(shift[a + c]), int(lo[a + c])
+                mine = equal[starts[c]:starts[c] + n[c]]
+                if self.lengths[k] <= rule.min_words:
+                    x, y = 0, len(mine)
+                else:  # items that share a passage differ from the document alike
+                    pattern = mine.tobytes()
+                    if pattern not in known:
+                        known[pattern] = longest_stretch(mine, rule.identity)
+                    x, y = known[pattern]
+                if y - x >= least[c]:
+                    new = (r, self.ids[k], at + x + s - int(first[r]), at + x, y - x, int(mine[x:y].sum()))
+                    if (r, k) not in best or new[4] > best[r, k][4]:
+                        best[r, k] = new
+            a = b
         return list(best.values())
 
 
