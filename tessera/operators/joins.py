@@ -220,7 +220,7 @@ def join_range(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi:
     each further level ``CELL_FACTOR`` times as long. An interval is put on the level whose cells are just
     not longer than it, so it touches at most ``CELL_FACTOR + 1`` of them at any length (longer
     ones than the last level's: as many as its length asks for). A point comes once per level that has intervals;
-    these few numbers are one row, found in the same plan, nothing is counted before. Pairs meet by equality of
+    these few numbers are a scalar subquery of the same plan, nothing is counted before. Pairs meet by equality of
     (``on``, level, cell) in exactly one cell, so the plan is a hash or sort-merge join, whose skew AQE splits,
     never a nested loop. NULL points, ends and keys match nothing."""
     on = as_list(on)
@@ -237,7 +237,7 @@ def join_range(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi:
     cell = F.get(size_of, F.col("__level"))
     iv = iv.withColumn("__b", F.explode(F.sequence(F.floor(start / cell), F.floor(end / cell))))
     used = intervals.where(F.col(hi) >= F.col(lo)).agg(F.collect_set(level).alias("__levels"))
-    p = points.crossJoin(F.broadcast(used)).withColumn("__level", F.explode("__levels")).drop("__levels")
+    p = points.withColumn("__level", F.explode(used.scalar()))
     p = p.withColumn("__b", F.floor(F.floor(epoch_seconds(point)) / cell))
     j = p.join(iv, [*on, "__level", "__b"])
     upper = (F.col(point) < F.col(hi)) if closed == "left" else (F.col(point) <= F.col(hi))
