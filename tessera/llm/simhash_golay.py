@@ -185,9 +185,34 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+#: Prints of a bucket that are compared with each other; more are dealt again by their bits.
+COMPARED = 4096
+
+
 def spanning(prints: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links (positions) that connect what is connected within ``max_bits``: breadth first over those not reached."""
+    """Links (positions) that connect what is connected within ``max_bits``, of distinct prints.
+
+    Up to COMPARED prints go breadth first over those not reached. Of more, at least 13 bits differ somewhere; these are
+    dealt into one group more than bits may differ, so two prints within ``max_bits`` agree on a group at least,
+    and the prints that agree on a group are a smaller case."""
     prints = prints.view(U64)  # the bits of a negative number are not those of its absolute value
+    if len(prints) > COMPARED:
+        varying = int(np.bitwise_or.reduce(prints ^ prints[0]))
+        bits, out = [i for i in range(64) if varying >> i & 1], []
+        for j in range(max_bits + 1):
+            value = np.zeros(len(prints), U64)
+            for n, i in enumerate(bits[j::max_bits + 1]):
+                value |= (prints >> U64(i) & U64(1)) << U64(n)
+            order = np.argsort(value, kind="stable")
+            cuts = np.flatnonzero(np.diff(value[order])) + 1
+            for some in np.split(order, cuts):
+                if len(some) > 1:
+                    out += [(int(some[a]), int(some[b])) for a, b in spanning(prints[some], max_bits)]
+        return out
+    if len(prints) <= 512:  # most small groups hold no link
+        near = np.bitwise_count(prints[:, None] ^ prints) <= max_bits
+        if np.count_nonzero(near) == len(prints):
+            return []
     left, out = np.arange(len(prints)), []
     while len(left):
         queue, left = [left[0]], left[1:]

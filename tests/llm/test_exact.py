@@ -5,6 +5,7 @@ import itertools
 import json
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -258,6 +259,33 @@ def test_simhash_edges(spark, odd_docs, no_docs):
     assert simhash_golay.near_duplicates(no_docs).count() == 0
 
 
+def test_large_buckets_are_dealt_again(monkeypatch):
+    """A bucket where nothing links takes no comparison of all with all, and loses no link."""
+    rng = np.random.default_rng(7)
+    free = rng.integers(0, 2 ** 36, 60_000).astype(np.uint64)
+    prints = np.unique(free << np.uint64(28) | np.uint64(12345))
+    start = time.time()
+    simhash_golay.spanning(prints, 3)
+    assert time.time() - start < 2
+
+    def roots(n, links):
+        up = list(range(n))
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+        for a, b in links:
+            up[top(a)] = top(b)
+        return [frozenset(i for i in range(n) if top(i) == r) for r in {top(x) for x in range(n)}]
+    base = rng.integers(0, 2 ** 63, 40).astype(np.uint64)
+    near = np.unique(np.concatenate([base, *[base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64))
+                                             for _ in range(6)]]))
+    whole = set(roots(len(near), simhash_golay.spanning(near, 3)))
+    monkeypatch.setattr(simhash_golay, "COMPARED", 20)
+    assert set(roots(len(near), simhash_golay.spanning(near, 3))) == whole
+
+
 def test_xxh64_of_any_length():
     rng = np.random.default_rng(2)
     raw = rng.integers(0, 256, 5000).astype(np.uint8)
@@ -353,6 +381,38 @@ def test_short_items_with_any_fifth_of_their_words_replaced():
         assert index.overlaps(cut, np.zeros(n - 1, np.int64)) == []
 
 
+def test_items_that_share_a_phrase():
+    """A lead phrase of 10,000 items is a seed of all of them; it costs arrays, not a loop for each item and document."""
+    rng = np.random.default_rng(3)
+    for lead in (8, 14):  # a phrase too short to count, and one that counts
+        phrase = np.arange(1, lead + 1)
+        items = [np.concatenate([phrase, rng.integers(10 ** 6, 10 ** 9, 16)]).astype(np.uint64) for _ in range(10_000)]
+        index = decontam.Index(list(range(10_000)), items, decontam.Rule())
+        docs = [np.concatenate([rng.integers(10 ** 9, 10 ** 12, 50), phrase, items[7 * d][lead:lead + 10], rng.integers(10 ** 9, 10 ** 12, 40)]).astype(np.uint64) for d in range(20)]
+        rows = np.repeat(np.arange(20), [len(d) for d in docs])
+        start = time.time()
+        got = index.overlaps(np.concatenate(docs), rows)
+        took = time.time() - start
+        if lead == 8:
+            assert took < 0.5
+            assert sorted((r, k, n) for r, k, _, _, n, _ in got) == [(d, 7 * d, lead + 10) for d in range(20)]
+        else:
+            assert len(got) == 200_000 and {(at, n) for _, _, at, _, n, _ in got} >= {(50, lead)}
+            assert sorted((r, k) for r, k, _, _, n, _ in got if n > 20) == [(d, 7 * d) for d in range(20)]
+
+
+def test_candidates_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    items = [rng.integers(0, 6, int(rng.integers(0, 40))).astype(np.uint64) for _ in range(30)]
+    docs = [rng.integers(0, 6, int(rng.integers(0, 60))).astype(np.uint64) for _ in range(12)]
+    index = decontam.Index(list(range(30)), items, decontam.Rule())
+    rows = np.repeat(np.arange(12), [len(d) for d in docs])
+    whole = index.overlaps(np.concatenate(docs), rows)
+    monkeypatch.setattr(decontam, "CANDIDATES", 7)
+    monkeypatch.setattr(decontam, "COMPARED", 50)
+    assert index.overlaps(np.concatenate(docs), rows) == whole and whole
+
+
 def test_overlaps_edges(spark, odd_docs):
     bench = spark.createDataFrame([(1, "Alpha, beta gamma delta epsilon!")], "item_id long, text string")
     assert sorted(r.doc_id for r in decontam.overlaps(odd_docs, bench).collect()) == [1, 5, 5]
@@ -389,6 +449,15 @@ def test_top_k(spark, shard_rows, block):
     assert kd_search.top_k(df.limit(0)).count() == 0
 
 
+def test_scores_beyond_64_bits(spark):
+    vectors = [(0, [1e9, 1.0]), (1, [1e9, 2.0]), (2, [-1e9, 3.0]), (3, [2e9, 0.0]), (4, [0.5, 0.5]), (50, [1.0, 0.0]), (100, [1e300, -1e300])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in kd_search.top_k(df, 3, 50).collect()}
+    top = 2 ** 63 - 1
+    assert [got[0, n] for n in (1, 2, 3)] == [(1, top), (3, top), (100, top)]
+    assert got[50, 1] == (100, top) and got[50, 2] == (3, int(256 * 2e9) * 256)
+
+
 def test_tree_search_skips_far_boxes():
     rng = np.random.default_rng(8)
     points = np.concatenate([rng.normal(c, 3, (500, 3)) for c in ((0, 0, 100), (100, 0, 0), (0, -100, 0), (0, 0, -100))]).astype(np.int64)
