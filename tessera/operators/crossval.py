@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import scratch_dir
+
 
 def _fold_rows(df: DataFrame, y: str, xs: list[str], fold: str) -> DataFrame:
     """``fold, y, x0..``, as numbers; rows with a NULL are left out."""
@@ -53,45 +55,49 @@ def cv_linear(df: DataFrame, y: str, xs: list[str], fold: str) -> DataFrame:
     return df.sparkSession.createDataFrame(out, "fold int, n_train long, n_test long, rmse double, coefficients array<double>")
 
 
-def cv_logistic(df: DataFrame, y: str, xs: list[str], fold: str, max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
+def cv_logistic(df: DataFrame, y: str, xs: list[str], fold: str, max_iter: int = 25, tol: float = 1e-8) -> DataFrame:
     """Logistic regression with an intercept: the columns of ``cv_linear``, errors of the predicted probabilities.
 
     All folds' models take their reweighted steps together: one scan gives each model the score and the
-    information over the rows outside its fold. A step that lowers a model's likelihood is halved."""
-    rows = _fold_rows(df, y, xs, fold)
+    information over the rows outside its fold. A step that lowers a model's likelihood is halved. A model is done when its step or the
+    gain of its likelihood is small (so also where an estimate runs to infinity), at the latest after ``max_iter`` scans."""
+    scratch_dir(df.sparkSession)
+    raw = _fold_rows(df, y, xs, fold)
     p = len(xs) + 1
-    sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-    folds = sorted(sizes)
-    if not folds:
+    names = [f"z{i}" for i in range(p)]
+    scale = raw.agg(*[f(f"x{i}").alias(f"{k}{i}") for i in range(p - 1) for k, f in (("m", F.avg), ("s", F.stddev_pop))], F.count(F.lit(1)).alias("n")).first()
+    if not scale["n"]:
         return df.sparkSession.createDataFrame([], "fold int, n_train long, n_test long, rmse double, coefficients array<double>")
-    scale = rows.agg(*[f(f"x{i}").alias(f"{k}{i}") for i in range(p - 1) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     centre = np.array([scale[f"m{i}"] for i in range(p - 1)])
     spread = np.array([scale[f"s{i}"] or 1.0 for i in range(p - 1)])
-    z = [F.lit(1.0)] + [(F.col(f"x{i}") - F.lit(float(centre[i]))) / F.lit(float(spread[i])) for i in range(p - 1)]
+    # standardised once, read once per iteration
+    rows = raw.select("fold", "y", F.lit(1.0).alias("z0"), *[((F.col(f"x{i}") - F.lit(float(centre[i]))) / F.lit(float(spread[i]))).alias(f"z{i + 1}")
+                                                             for i in range(p - 1)]).checkpoint()
+    sizes = {r["fold"]: r["n"] for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    folds = sorted(sizes)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    e = sum((F.col(f"b{i}") * F.col(f"z{i}") for i in range(1, p)), F.col("b0"))
+    mu = 1 / (1 + F.exp(-e))
+    soft = F.greatest(e, F.lit(0.0)) + F.log1p(F.exp(-F.abs(e)))  # log(1 + exp(e)) without overflow
 
-    def eta(b):
-        return sum((F.lit(float(b[i])) * z[i] for i in range(1, p)), F.lit(float(b[0])))
+    def beside(models, same: bool) -> DataFrame:
+        """Each row with the models of its own fold, or of the others; the coefficients are data, so every iteration runs the same code."""
+        table = df.sparkSession.createDataFrame([(f, *map(float, b)) for f, b in models.items()], "model int, " + ", ".join(f"b{i} double" for i in range(p)))
+        own = F.col("fold") == F.col("model")
+        return rows.join(F.broadcast(table), own if same else ~own)  # one row per fold
 
     def look(models):
         """Log-likelihood, score and information of each fold's model over the other folds, in one scan."""
-        aggs = []
-        for f in models:
-            b, use = models[f], F.col("fold") != f
-            e = eta(b)
-            mu = 1 / (1 + F.exp(-e))
-            # log(1 + exp(e)) without overflow
-            soft = F.greatest(e, F.lit(0.0)) + F.log1p(F.exp(-F.abs(e)))
-            aggs.append(F.sum(F.when(use, F.col("y") * e - soft)).alias(f"l_{f}"))
-            aggs += [F.sum(F.when(use, (F.col("y") - mu) * z[i])).alias(f"u_{f}_{i}") for i in range(p)]
-            aggs += [F.sum(F.when(use, mu * (1 - mu) * z[i] * z[j])).alias(f"i_{f}_{i}_{j}") for i, j in pairs]
-        r = rows.agg(*aggs).first()
+        each = beside(models, same=False).select("model", "y", *names, e.alias("e"), mu.alias("mu"), soft.alias("soft"))
+        got = each.groupBy("model").agg(
+            F.sum(F.col("y") * F.col("e") - F.col("soft")).alias("l"), *[F.sum((F.col("y") - F.col("mu")) * F.col(f"z{i}")).alias(f"u{i}") for i in range(p)],
+            *[F.sum(F.col("mu") * (1 - F.col("mu")) * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"i{i}_{j}") for i, j in pairs])
         out = {}
-        for f in models:
+        for r in got.collect():
             info = np.zeros((p, p))
             for i, j in pairs:
-                info[i, j] = info[j, i] = r[f"i_{f}_{i}_{j}"]
-            out[f] = (r[f"l_{f}"], np.array([r[f"u_{f}_{i}"] for i in range(p)]), info)
+                info[i, j] = info[j, i] = r[f"i{i}_{j}"]
+            out[r["model"]] = (r["l"], np.array([r[f"u{i}"] for i in range(p)]), info)
         return out
 
     live = [f for f in folds if len(folds) > 1]
@@ -112,17 +118,18 @@ def cv_logistic(df: DataFrame, y: str, xs: list[str], fold: str, max_iter: int =
                 continue
             beta[f], now[f] = beta[f] + step[f], tried[f]
             step[f] = np.linalg.lstsq(now[f][2], now[f][1], rcond=1e-12)[0]
-            if np.max(np.abs(step[f])) > tol and gain > 1e-14 * abs(now[f][0]):
+            if np.max(np.abs(step[f])) > tol and gain > 1e-9 * (abs(now[f][0]) + 1):
                 left.append(f)
         live = left
-    wrong = [F.sum(F.when(F.col("fold") == f, (F.col("y") - 1 / (1 + F.exp(-eta(beta[f])))) ** 2)).alias(f"e_{f}") for f in beta]
-    errors = rows.agg(*wrong).first() if wrong else {}
+    errors = {}
+    if beta:
+        errors = {r["model"]: r["e"] for r in beside(beta, same=True).groupBy("model").agg(F.sum((F.col("y") - mu) ** 2).alias("e")).collect()}
     out = []
     for f in folds:
         if f not in beta:
             out.append((f, 0, sizes[f], None, None))
             continue
         slopes = beta[f][1:] / spread
-        out.append((f, sum(sizes.values()) - sizes[f], sizes[f], float(np.sqrt(errors[f"e_{f}"] / sizes[f])),
+        out.append((f, sum(sizes.values()) - sizes[f], sizes[f], float(np.sqrt(errors[f] / sizes[f])),
                     [float(beta[f][0] - slopes @ centre), *map(float, slopes)]))
     return df.sparkSession.createDataFrame(out, "fold int, n_train long, n_test long, rmse double, coefficients array<double>")
