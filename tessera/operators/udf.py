@@ -3,7 +3,8 @@
 * ``row_map``: a pandas Series -> Series function over a column (scalar
   ``pandas_udf``); rows travel in Arrow batches, never one at a time.
 * ``group_map``: a function per group. With ``combine`` it runs on the map side, on the runs
-  of a group within the batches of a task, and only its partial rows are shuffled. Without, the group goes to one
+  of a group within the batches of a task, and only its partial rows are shuffled; a function of all runs of a batch at once
+  (``arrow_runs``) costs no Python call per group. Without, the group goes to one
   worker: at once (``pandas``, ``arrow``) or as an iterator of batches (``pandas_batches``, ``arrow_batches``),
   which holds one batch of a group of any size.
 * ``group_reduce``: a Series -> scalar function per group, with the same two ways.
@@ -34,7 +35,7 @@ def row_map(df: DataFrame, col: str, fn, return_type: str = "double", name: str
     return df.withColumn(name or f"{col}_mapped", u(F.col(col)))
 
 
-GROUP_KINDS = ("pandas", "arrow", "pandas_batches", "arrow_batches")
+GROUP_KINDS = ("pandas", "arrow", "pandas_batches", "arrow_batches", "arrow_runs")
 
 
 def group_map(df: DataFrame, by, fn, schema: str, kind: str = "pandas", combine=None,
@@ -44,9 +45,11 @@ def group_map(df: DataFrame, by, fn, schema: str, kind: str = "pandas", combine=
     ``'pandas_batches'`` and ``'arrow_batches'``: fn(iterator of DataFrames or RecordBatches) -> iterator of them,
     called once per group, whose batches arrive one after another.
 
-    With ``combine`` (kinds ``pandas`` and ``arrow``): split-apply-combine in two levels. Each task sorts its rows by the
+    With ``combine`` (kinds ``pandas``, ``arrow`` and ``arrow_runs``): split-apply-combine in two levels. Each task sorts its rows by the
     group and calls ``fn`` on every run of one group within an Arrow batch, so before anything is
-    shuffled and with one batch in memory; ``fn`` returns partial rows (``schema``), which hold the group columns. ``combine`` runs per group
+    shuffled and with one batch in memory; ``fn`` returns partial rows (``schema``), which hold the group columns. With
+    ``'arrow_runs'`` it is fn(pyarrow.Table, starts) -> pyarrow.Table, called once per batch with where in it the runs start: for many
+    small groups, whose calls one by one would cost far more than the work in them. ``combine`` runs per group
     on its partial rows and returns ``combine_schema``; with no ``combine_schema`` it is a DataFrame -> DataFrame
     function over all partial rows (a Spark aggregation, no second Python pass). A group's runs depend
     on how its rows lie, so ``fn`` and ``combine`` must give the same for any cut of the group."""
@@ -55,6 +58,8 @@ def group_map(df: DataFrame, by, fn, schema: str, kind: str = "pandas", combine=
     if kind not in GROUP_KINDS:
         raise ValueError(f"kind={kind!r}")
     if combine is None:
+        if kind == "arrow_runs":
+            raise ValueError("the kind arrow_runs needs combine")
         grouped = df.groupBy(*by)
         if kind == "pandas":
             return grouped.applyInPandas(fn, schema)
@@ -68,8 +73,8 @@ def group_map(df: DataFrame, by, fn, schema: str, kind: str = "pandas", combine=
         def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from fn(batches)
         return grouped.applyInArrow(records, schema)
-    if kind not in ("pandas", "arrow"):
-        raise ValueError("combine takes the kinds pandas and arrow")
+    if kind not in ("pandas", "arrow", "arrow_runs"):
+        raise ValueError("combine takes the kinds pandas, arrow and arrow_runs")
     partial = _map_runs(df, by, fn, schema, kind)
     if combine_schema is None:
         return combine(partial)
@@ -105,6 +110,9 @@ def _map_runs(df: DataFrame, by: list[str], fn, schema: str, kind: str) -> DataF
             if not batch.num_rows:
                 continue
             starts = run_starts(batch, by)
+            if kind == "arrow_runs":
+                yield from fn(pa.Table.from_batches([batch]), np.array(starts)).select(want.names).cast(want).combine_chunks().to_batches()
+                continue
             out = []
             for lo, hi in zip(starts, [*starts[1:], batch.num_rows]):
                 rows = pa.Table.from_batches([batch.slice(lo, hi - lo)])
@@ -190,18 +198,23 @@ def plain_sum(s: pd.Series) -> float:
 MOMENT_SCHEMA = "n long, sx double, sy double, sxx double, sxy double"
 
 
-def ols_moments_arrow(x: str, y: str, key: str, shift_x: float = 0.0, shift_y: float = 0.0):
-    """Sub-group function: row count and the sums needed for a slope (x and y
+def ols_moments_runs(x: str, y: str, key: str, shift_x: float = 0.0, shift_y: float = 0.0):
+    """Function of all runs of a batch: per run its row count and the sums needed for a slope (x and y
     shifted by constants to keep the sums small)."""
-    def fn(tbl: pa.Table) -> pa.Table:
+    def fn(tbl: pa.Table, starts: np.ndarray) -> pa.Table:
         xv = tbl.column(x).to_numpy().astype(float) - shift_x
         yv = tbl.column(y).to_numpy().astype(float) - shift_y
-        return pa.table({key: tbl.column(key).slice(0, 1), "n": pa.array([len(xv)], pa.int64()),
-                         "sx": [float(xv.sum())], "sy": [float(yv.sum())],
-                         "sxx": [float((xv * xv).sum())], "sxy": [float((xv * yv).sum())]})
+        sums = {n: np.add.reduceat(v, starts) for n, v in (("sx", xv), ("sy", yv), ("sxx", xv * xv), ("sxy", xv * yv))}
+        return pa.table({key: tbl.column(key).take(pa.array(starts)), "n": np.diff(starts, append=len(xv)), **sums})
     return fn
 
 
+def ols_moments_arrow(x: str, y: str, key: str, shift_x: float = 0.0, shift_y: float = 0.0):
+    """Sub-group function: the same of one run."""
+    runs = ols_moments_runs(x, y, key, shift_x, shift_y)
+    return lambda tbl: runs(tbl, np.zeros(1, int))
+
+
 def ols_slope_combine_arrow(key: str):
     """Group function over the partial sums: count and slope (NULL when x has
     no spread)."""

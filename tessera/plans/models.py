@@ -114,10 +114,10 @@ def q_group_map(t):
     o = t.orders.select("o_custkey", "o_totalprice",
                         F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date")).alias("day"))
     # split-apply-combine in two levels: partial sums per run of a customer in a
-    # batch, before the shuffle, then the slope per customer from its partial rows
+    # batch, all runs of a batch in one call and before the shuffle, then the slope per customer from its partial rows
     r = U.group_map(o, "o_custkey",
-                    U.ols_moments_arrow("day", "o_totalprice", "o_custkey", shift_x=10957.0, shift_y=250000.0),
-                    "o_custkey long, " + U.MOMENT_SCHEMA, kind="arrow",
+                    U.ols_moments_runs("day", "o_totalprice", "o_custkey", shift_x=10957.0, shift_y=250000.0),
+                    "o_custkey long, " + U.MOMENT_SCHEMA, kind="arrow_runs",
                     combine=U.ols_slope_combine_spark("o_custkey"))
     return r.withColumn("slope", F.round("slope", 4))
 

@@ -57,6 +57,31 @@ def test_combine_function_per_group(rows):
     assert {(r.k,): (r.n, r.s) for r in out.collect()} == totals(rows, "k")
 
 
+def test_runs_of_a_batch_in_one_call(spark):
+    """Twenty thousand groups, one with NULL key: the function is called once per batch, not once per group."""
+    rng = random.Random(8)
+    data = [(i % 20_000 or None, float(rng.randint(0, 50)), rng.choice([None, rng.uniform(-9, 9)]) if i % 7 == 0 else rng.uniform(-9, 9)) for i in range(60_000)]
+    df = spark.createDataFrame(data, "k long, x double, y double").coalesce(1)
+    sums = U.ols_moments_runs("x", "y", "k", 25.0)
+
+    def counted(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        out = sums(rows, starts)
+        return out.append_column("calls", pa.array([1] + [0] * (len(out) - 1)))
+
+    calls = U.group_map(df, "k", counted, "k long, calls long", "arrow_runs", combine=lambda p: p.agg(F.sum("calls").alias("calls")))
+    assert calls.first().calls <= 60_000 // 10_000 + 1
+    got = U.group_map(df, "k", sums, "k long, " + U.MOMENT_SCHEMA, "arrow_runs",
+                      combine=lambda p: p.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")]))
+    want = {}
+    for k, x, y in data:
+        x, y = x - 25.0, math.nan if y is None else y
+        want[k] = [a + b for a, b in zip(want.get(k, [0] * 5), (1, x, y, x * x, x * y))]
+    assert {r.k: list(r)[1:] for r in got.collect()} == {k: pytest.approx(v, nan_ok=True) for k, v in want.items()}
+    assert U.group_map(df.limit(0), "k", sums, "k long, " + U.MOMENT_SCHEMA, "arrow_runs", combine=lambda p: p).count() == 0
+    with pytest.raises(ValueError):
+        U.group_map(df, "k", sums, "k long, n long", "arrow_runs")
+
+
 def test_a_group_in_batches(spark):
     """Ten million rows of one key: the function sees them batch by batch."""
     n = 10_000_000
