@@ -105,7 +105,8 @@ def outlier_fence(df: DataFrame, by, col: str, method: str = "tukey", k: float |
                      (F.col("__q3") + k * (F.col("__q3") - F.col("__q1"))).alias("upper"))
     elif method == "mad":
         k = 3.0 if k is None else k
-        med = exact_quantiles(df, col, [0.5], by=by, names=["__med"])
+        scratch_dir(df.sparkSession)
+        med = exact_quantiles(df, col, [0.5], by=by, names=["__med"]).checkpoint()  # read for the deviations and for the fences
         dev = join_rows_by(df, med, by).select(
             *by, F.abs(F.col(col) - F.col("__med")).alias("__dev"))
         mad = exact_quantiles(dev, "__dev", [0.5], by=by, names=["__mad"])

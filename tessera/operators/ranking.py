@@ -16,6 +16,9 @@ correlation and stratified splits):
 5. per (group, bucket) totals, at most large groups x B rows, become offsets by a
    window partitioned by group (or, with no group, over the B bucket rows), joined back.
 
+Quantiles of a group with more than ``BUCKET_VALUES`` rows need no order of all its values: ``_narrowed`` counts the rows beside
+approximate quantiles and orders only the values between the two that hold the rank sought.
+
 Everything stays in the JVM (no Python worker, no checkpoint).
 """
 
@@ -167,21 +170,77 @@ def _with_null_row(df: DataFrame, col: str, by) -> DataFrame:
     return df.groupBy(*as_list(by), col).agg(F.count(col).alias("_n"))
 
 
+#: Accuracy of the approximate quantiles between which ``_narrowed`` looks: their ranks are off by at most a share of 1/ACCURACY.
+ACCURACY = 10_000
+
+
+def _narrowed(df: DataFrame, col: str, probs: list[float], by: list[str], large: DataFrame) -> DataFrame:
+    """The values of the large groups around the ranks of ``probs``, with their counts as ``sorted_cumulative`` has them.
+
+    Two approximate quantiles around each probability part a group's rows into those below, between and above; they are counted, which
+    tells exactly what part holds the rank sought, nearly always the one between (some 4/ACCURACY of the rows). Only its
+    values are counted one by one and ordered, per group and probability (``__i``). A poor approximation makes that part larger, never wrong.
+    Raw rows are not shuffled, and each step takes the cuts from the one before, so all agree on them."""
+    v, rows = F.col(f"`{col}`"), df.where(F.col(f"`{col}`").isNotNull()).select(*by, F.col(f"`{col}`"))
+    near = [min(max(p + side * 2 / ACCURACY, 0.0), 1.0) for p in probs for side in (-1, 1)]
+    cuts = (join_by(rows, large, by, "inner", broadcast=True).groupBy(*by)
+            .agg(F.percentile_approx(v, near, ACCURACY).alias("__cuts"), F.max("_n_total").alias("_n_total"))
+            .where(F.col("_n_total").isNotNull())
+            .select(*by, "_n_total", *[F.get("__cuts", F.lit(j)).alias(f"__c{j}") for j in range(len(near))]))
+    sums = [F.max("_n_total").alias("_n_total"), *[F.max(f"__c{j}").alias(f"__c{j}") for j in range(len(near))]]
+    for i in range(len(probs)):
+        sums += [F.count_if(v < F.col(f"__c{2 * i}")).alias(f"__lt{i}"), F.count_if(v <= F.col(f"__c{2 * i + 1}")).alias(f"__le{i}")]
+    parts, kept = [], []
+    for i, p in enumerate(probs):
+        lt, le, h = F.col(f"__lt{i}"), F.col(f"__le{i}"), (F.col("_n_total") - 1).cast("double") * F.lit(p)
+        first, last = (F.when(r < lt, 0).when(r < le, 1).otherwise(2) for r in (F.floor(h), F.ceil(h)))
+        parts += [first.alias(f"__first{i}"), last.alias(f"__last{i}"),
+                  F.when(first == 0, F.lit(0).cast("bigint")).when(first == 1, lt).otherwise(le).alias(f"__before{i}")]
+        part = F.when(v < F.col(f"__c{2 * i}"), 0).when(v <= F.col(f"__c{2 * i + 1}"), 1).otherwise(2)
+        kept.append(F.when(part.between(F.col(f"__first{i}"), F.col(f"__last{i}")),
+                           F.struct(F.lit(i).alias("__i"), F.col(f"__before{i}").alias("__before"))))
+    ends = (join_by(rows, cuts, by, "inner", broadcast=True).groupBy(*by).agg(*sums).where(F.col("_n_total").isNotNull())
+            .select(*by, "_n_total", *[f"__c{j}" for j in range(len(near))], *parts))
+    found = join_by(rows, ends, by, "inner", broadcast=True)
+    found = found.where(reduce(lambda a, b: a | b, [k.isNotNull() for k in kept])).select(
+        *by, v, "_n_total", F.inline(F.array_compact(F.array(*kept))))
+    hist = found.groupBy(*by, "__i", v).agg(F.count(F.lit(1)).alias("_n"), F.max("__before").alias("__before"), F.max("_n_total").alias("_n_total"))
+    earlier = Window.partitionBy(*by, "__i").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
+    return hist.select(*by, "__i", v, "_n", (F.col("__before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_n_before"), "_n_total")
+
+
+def _values_at_ranks(df: DataFrame, col: str, probs: list[float], by: list[str], large_rows: int) -> DataFrame:
+    """Distinct values with their running counts: all of a small group, those around the ranks sought of a large one."""
+    if not isinstance(df.schema[col].dataType, _ORDERABLE):
+        return sorted_cumulative(_with_null_row(df, col, by), col, ["_n"], by).withColumn("__i", F.lit(None).cast("int"))
+    df = settled(df.select(*by, F.col(f"`{col}`")))
+    counts = df.groupBy(*by).agg(F.count(F.col(f"`{col}`")).alias("_n_total"))
+    large = counts.where(F.col("_n_total") > large_rows)
+    if by:
+        large = large.orderBy(F.desc("_n_total"), *by).limit(LARGE_GROUPS)
+        rest = join_by(df, large, by, broadcast=True).where("_n_total is null")
+    else:
+        rest = join_by(df, counts.where(F.col("_n_total") <= large_rows), by)
+    hist = _with_null_row(rest.drop("_n_total"), col, by)
+    small = _whole_groups(hist, F.col(f"`{col}`"), ["_n"], by).withColumn("__i", F.lit(None).cast("int"))
+    return small.unionByName(_narrowed(df, col, probs, by, large))
+
+
 def exact_quantiles(df: DataFrame, col: str, probs, by=(), *, names=None,
-                    count_name: str | None = None) -> DataFrame:
+                    count_name: str | None = None, large_rows: int = BUCKET_VALUES) -> DataFrame:
     """Linear-interpolation quantiles (position (n-1)p, the rule of R type 7 and
     of DuckDB ``quantile_cont``) per group; NULLs ignored, and NULL for a group
     without values. One row per group (NULL is a group) with one double column per probability (named ``names`` or ``q_<p>``), plus the
-    group's non-NULL count when ``count_name`` is given."""
+    group's non-NULL count when ``count_name`` is given. Groups with more than ``large_rows`` values are narrowed to those around the ranks
+    sought (at most LARGE_GROUPS, the largest; found in the same plan, and without any Spark drops that branch)."""
     by, probs = as_list(by), [float(p) for p in as_list(probs)]
     names = as_list(names) or [f"q_{str(p).replace('.', '_')}" for p in probs]
-    hist = _with_null_row(df, col, by)
-    cum = sorted_cumulative(hist, col, ["_n"], by)
+    cum = _values_at_ranks(df, col, probs, by, large_rows)
     n = F.col("_n_total")
     before, cnt = F.col("_n_before"), F.col("_n")
 
-    def covers(k: Column) -> Column:
-        return (before <= k) & (k < before + cnt)
+    def covers(k: Column, i: int) -> Column:
+        return (F.col("__i").isNull() | (F.col("__i") == i)) & (before <= k) & (k < before + cnt)
 
     parts = []
     for p in probs:
@@ -189,8 +248,8 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=(), *, names=None,
         parts.append((h, F.floor(h), F.ceil(h)))
     aggs = []
     for i, (h, lo, hi) in enumerate(parts):
-        aggs += [F.max(F.when(covers(lo), F.col(col))).cast("double").alias(f"_lo{i}"),
-                 F.max(F.when(covers(hi), F.col(col))).cast("double").alias(f"_hi{i}"),
+        aggs += [F.max(F.when(covers(lo, i), F.col(col))).cast("double").alias(f"_lo{i}"),
+                 F.max(F.when(covers(hi, i), F.col(col))).cast("double").alias(f"_hi{i}"),
                  F.max(F.when(n > 0, h - lo)).alias(f"_d{i}")]
     if count_name:
         aggs.append(F.max(n).alias(count_name))

@@ -31,6 +31,46 @@ def test_nulls_and_nan(spark):
     assert m.loc[2, "n"] == 0
 
 
+_INF = float("inf")
+_COLUMNS = {"double": [1.5, None, float("nan"), 0.0, -0.0, 7.25, 7.25, -_INF, _INF, 3.0], "bigint": [2 ** 62, 2 ** 62 + 1, None, -5, -5, 0, 9],
+            "timestamp": [dt.datetime(2001, 3, d) for d in (1, 9, 9, 4)] + [None], "string": ["10", "9", None, "2"]}
+
+
+@pytest.mark.parametrize("kind,cuts", [*((k, "near") for k in _COLUMNS), ("double", "low"), ("double", "high")])
+def test_narrowed_quantiles(spark, monkeypatch, kind, cuts):
+    """Groups cut down to the values around the ranks sought have the same quantiles, however bad the approximate cuts."""
+    rows = [(g, v) for g in (None, 1, 2) for v in _COLUMNS[kind][(g or 0):] * (1 + (g or 0))] + [(3, None)]
+    df = spark.createDataFrame(rows, f"g int, x {kind}").coalesce(2)
+    if cuts != "near":
+        end = F.min if cuts == "low" else F.max
+        monkeypatch.setattr(R.F, "percentile_approx", lambda v, near, accuracy: F.array(*[end(v)] * len(near)))
+    for by in (["g"], []):
+        want = R.exact_quantiles(df, "x", [0, 0.1, 0.5, 1], by, count_name="n").collect()
+        got = R.exact_quantiles(df, "x", [0, 0.1, 0.5, 1], by, count_name="n", large_rows=2).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == (4 if by else 1)
+
+
+def test_large_groups_are_not_ordered_whole(spark):
+    """Of a large group only the values around the ranks sought are told apart, and the small group beside it stays whole."""
+    df = spark.range(600_000).select((F.col("id") % 300_000 == 0).alias("few"), ((F.col("id") * 7919) % 600_000).cast("double").alias("x"))
+    for by in ([], ["few"]):
+        assert R._values_at_ranks(df, "x", [0.25, 0.5], by, R.BUCKET_VALUES).count() < 5_000
+        got = {tuple(r)[:-2]: tuple(r)[-2:] for r in R.exact_quantiles(df, "x", [0.25, 0.5], by).collect()}
+        want = df.groupBy(*by).agg(F.percentile("x", 0.25).alias("a"), F.percentile("x", 0.5).alias("b")).collect()
+        assert got == {tuple(r)[:-2]: tuple(r)[-2:] for r in want}
+
+
+def test_mad_fence_of_large_groups(spark):
+    df = spark.range(500_000).select((F.col("id") % 2).alias("g"), F.col("id").alias("i"), (F.xxhash64("id") % 1_000_003 / 7).alias("x"))
+    out = P.outlier_fence(df, "g", "x", "mad").groupBy("g").agg(F.min("lower").alias("lo"), F.max("upper").alias("hi"), F.count_if("is_outlier").alias("n"), F.count("*").alias("rows"))
+    p = df.toPandas()
+    for r in out.collect():
+        x = p.loc[p.g == r.g, "x"]
+        mad = (x - x.median()).abs().median()
+        lo, hi = x.median() - 3 * 1.4826 * mad, x.median() + 3 * 1.4826 * mad
+        assert (r.lo, r.hi) == (pytest.approx(lo), pytest.approx(hi)) and r.rows == 250_000 and r.n == int(((x < lo) | (x > hi)).sum())
+
+
 def test_quantiles_ignore_null_and_empty_group(spark):
     df = spark.createDataFrame([(1, 1.0), (1, None), (1, 3.0), (2, None)], "g int, x double")
     q = R.exact_quantiles(df, "x", [0.5], by="g", names=["med"]).toPandas()
