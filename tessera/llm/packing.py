@@ -154,8 +154,8 @@ def pack_documents(df: DataFrame, encoder: Callable[[], CachedEncoder], limits:
 
         def items():
             for b in batches:
-                for doc, words, loss_at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    ids = np.append(encode.ids(words), np.uint32(end_id))
+                for doc, ids, loss_at in zip(b.column(0).to_pylist(), encode.many(b.column(1)), b.column(2).to_pylist(), strict=True):
+                    ids = np.append(ids, np.uint32(end_id))  # a copy: waiting pieces do not hold their batch
                     yield Piece(doc, 0, ids, len(ids), loss_at)
 
         base, out = TaskContext.get().partitionId() << 32, []

@@ -3,6 +3,7 @@
 The vocabulary file splits a text before each space that follows a character
 other than white space, so such stretches can be encoded apart and their ids
 remembered. Texts where white space stands before a space are encoded whole.
+Of many texts at once Arrow finds the different stretches, so each is looked up once.
 """
 
 from __future__ import annotations
@@ -12,7 +13,11 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Characters of a text that is encoded by itself.
+LONG = 1 << 20
 _SPLITS_ALIKE = re.compile(r"\s ")
 #: ASCII characters that are neither letters, digits nor white space, except the apostrophe, which starts contractions.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -80,15 +85,50 @@ class CachedEncoder(dict):
             self.marks["\n"] = self._whole("\n")
         return self.marks["\n"]
 
-    def ids(self, text: str) -> np.ndarray:
+    def _turn(self) -> None:
         if len(self) > self.most:
             self.older = dict(self)
             self.clear()
+
+    def ids(self, text: str) -> np.ndarray:
+        self._turn()
         if _SPLITS_ALIKE.search(text):
             return np.frombuffer(self._whole(text), "<u4")
         first, *rest = text.split(" ")
         return np.frombuffer(self._whole(first) + b"".join(map(self.__getitem__, rest)), "<u4")
 
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """``ids`` of every text. Very long texts go one by one, so the arrays here stay within a few times a batch."""
+        words = texts.to_pylist()
+        alone = np.array([len(t) > LONG or _SPLITS_ALIKE.search(t) is not None for t in words], bool)
+        together = iter(self._together(texts.filter(pa.array(~alone))))
+        return [self.ids(t) if a else next(together) for t, a in zip(words, alone)]
+
+    def _together(self, texts: pa.Array) -> list[np.ndarray]:
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(texts, " ")
+        bounds = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        code, different = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        first = bounds[:-1]  # a text's first stretch has no space before it
+        heads = [self._whole(different[c]) for c in code[first]]
+        code[first] = np.arange(len(heads)) + len(different)
+        used = np.zeros(len(different) + len(heads), bool)
+        used[code] = True
+        parts: list[bytes] = []
+        for k in range(0, len(different), 100_000):
+            self._turn()
+            parts += [self[w] if u else b"" for w, u in zip(different[k:k + 100_000], used[k:].tolist())]
+        parts += heads
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        n, known = size[code], np.frombuffer(b"".join(parts), "<u4")
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[code] - (ends - n), n)
+        cuts = np.append(0, ends)[bounds]
+        out = known[at]
+        return [out[lo:hi] for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
 
 _ENCODERS: dict[str, CachedEncoder] = {}
 

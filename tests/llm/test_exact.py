@@ -150,6 +150,35 @@ def encoder():
     return tokens.encoder_for(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def test_ids_of_many_texts(docs):
+    """Ids of a batch are those of its texts one by one; each different stretch of the batch is looked up once."""
+    class Counted(tokens.CachedEncoder):
+        asked = 0
+
+        def __getitem__(self, stretch):
+            self.asked += 1
+            return super().__getitem__(stretch)
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    odd = ["", " ", "a", " a", "a ", "a  b", "a\n b", "\n", "a\nb c", "don't (stop), now...", "<|endoftext|> x <|endoftext|>", "été \u4f60\u597d \U0001f600 x\u00a0 y",
+           "x" * 50, "word " * 40 + "word", "\x00 \x00"]
+    texts = odd + [r.text or "" for r in docs.limit(60).collect()] + odd
+    few, plain = Counted(path, most=50), tokens.CachedEncoder(path)
+    for batch in (texts, texts[5:], [], ["a  b"], [""]):
+        got = few.many(pa.array(batch, pa.string()))
+        assert [g.tolist() for g in got] == [plain.ids(t).tolist() for t in batch]
+        assert [g.tolist() for g in got] == [plain.tokenizer.encode(t, add_special_tokens=False).ids for t in batch]
+    once = Counted(path)
+    once.many(pa.array(["one two three two one two"] * 500))
+    assert once.asked <= 3
+
+
+def test_long_texts_go_alone(monkeypatch):
+    monkeypatch.setattr(tokens, "LONG", 20)
+    texts = ["a short text", "a text that is longer than that limit", "b"]
+    assert [g.tolist() for g in encoder().many(pa.array(texts))] == [encoder().ids(t).tolist() for t in texts]
+
+
 def test_packing(spark, docs, odd_docs, no_docs):
     for df in (docs, odd_docs):
         check_pack(packing.pack_documents(df, encoder).collect(), [(r.doc_id, r.text) for r in df.collect()])
