@@ -124,7 +124,8 @@ class CachedEncoder(dict):
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         n, known = size[code], np.frombuffer(b"".join(parts), "<u4")
         ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[code] - (ends - n), n)
+        at = np.repeat((np.cumsum(size) - size)[code] - (ends - n), n)
+        at += np.arange(ends[-1])
         cuts = np.append(0, ends)[bounds]
         out = known[at]
         return [out[lo:hi] for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist())]

@@ -173,6 +173,9 @@ def _with_null_row(df: DataFrame, col: str, by) -> DataFrame:
 #: Accuracy of the approximate quantiles between which ``_narrowed`` looks: their ranks are off by at most a share of 1/ACCURACY.
 ACCURACY = 10_000
 
+#: Probabilities that are narrowed in one plan at most; for more all values are ordered.
+MOST_RANKS = 20
+
 
 def _narrowed(df: DataFrame, col: str, probs: list[float], by: list[str], large: DataFrame) -> DataFrame:
     """The values of the large groups around the ranks of ``probs``, with their counts as ``sorted_cumulative`` has them.
@@ -211,7 +214,7 @@ def _narrowed(df: DataFrame, col: str, probs: list[float], by: list[str], large:
 
 def _values_at_ranks(df: DataFrame, col: str, probs: list[float], by: list[str], large_rows: int) -> DataFrame:
     """Distinct values with their running counts: all of a small group, those around the ranks sought of a large one."""
-    if not isinstance(df.schema[col].dataType, _ORDERABLE):
+    if not isinstance(df.schema[col].dataType, _ORDERABLE) or len(probs) > MOST_RANKS:
         return sorted_cumulative(_with_null_row(df, col, by), col, ["_n"], by).withColumn("__i", F.lit(None).cast("int"))
     df = settled(df.select(*by, F.col(f"`{col}`")))
     counts = df.groupBy(*by).agg(F.count(F.col(f"`{col}`")).alias("_n_total"))
