@@ -182,7 +182,7 @@ def _narrowed(df: DataFrame, col: str, probs: list[float], by: list[str], large:
 
     Two approximate quantiles around each probability part a group's rows into those below, between and above; they are counted, which
     tells exactly what part holds the rank sought, nearly always the one between (some 4/ACCURACY of the rows). Only its
-    values are counted one by one and ordered, per group and probability (``__i``). A poor approximation makes that part larger, never wrong.
+    values are counted one by one and ordered, per group and probability (``__sought``). A poor approximation makes that part larger, never wrong.
     Raw rows are not shuffled, and each step takes the cuts from the one before, so all agree on them."""
     v, rows = F.col(f"`{col}`"), df.where(F.col(f"`{col}`").isNotNull()).select(*by, F.col(f"`{col}`"))
     near = [min(max(p + side * 2 / ACCURACY, 0.0), 1.0) for p in probs for side in (-1, 1)]
@@ -201,21 +201,21 @@ def _narrowed(df: DataFrame, col: str, probs: list[float], by: list[str], large:
                   F.when(first == 0, F.lit(0).cast("bigint")).when(first == 1, lt).otherwise(le).alias(f"__before{i}")]
         part = F.when(v < F.col(f"__c{2 * i}"), 0).when(v <= F.col(f"__c{2 * i + 1}"), 1).otherwise(2)
         kept.append(F.when(part.between(F.col(f"__first{i}"), F.col(f"__last{i}")),
-                           F.struct(F.lit(i).alias("__i"), F.col(f"__before{i}").alias("__before"))))
+                           F.struct(F.lit(i).alias("__sought"), F.col(f"__before{i}").alias("__before"))))
     ends = (join_by(rows, cuts, by, "inner", broadcast=True).groupBy(*by).agg(*sums).where(F.col("_n_total").isNotNull())
             .select(*by, "_n_total", *[f"__c{j}" for j in range(len(near))], *parts))
     found = join_by(rows, ends, by, "inner", broadcast=True)
     found = found.where(reduce(lambda a, b: a | b, [k.isNotNull() for k in kept])).select(
         *by, v, "_n_total", F.inline(F.array_compact(F.array(*kept))))
-    hist = found.groupBy(*by, "__i", v).agg(F.count(F.lit(1)).alias("_n"), F.max("__before").alias("__before"), F.max("_n_total").alias("_n_total"))
-    earlier = Window.partitionBy(*by, "__i").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
-    return hist.select(*by, "__i", v, "_n", (F.col("__before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_n_before"), "_n_total")
+    hist = found.groupBy(*by, "__sought", v).agg(F.count(F.lit(1)).alias("_n"), F.max("__before").alias("__before"), F.max("_n_total").alias("_n_total"))
+    earlier = Window.partitionBy(*by, "__sought").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
+    return hist.select(*by, "__sought", v, "_n", (F.col("__before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("_n_before"), "_n_total")
 
 
 def _values_at_ranks(df: DataFrame, col: str, probs: list[float], by: list[str], large_rows: int) -> DataFrame:
     """Distinct values with their running counts: all of a small group, those around the ranks sought of a large one."""
     if not isinstance(df.schema[col].dataType, _ORDERABLE) or len(probs) > MOST_RANKS:
-        return sorted_cumulative(_with_null_row(df, col, by), col, ["_n"], by).withColumn("__i", F.lit(None).cast("int"))
+        return sorted_cumulative(_with_null_row(df, col, by), col, ["_n"], by).withColumn("__sought", F.lit(None).cast("int"))
     df = settled(df.select(*by, F.col(f"`{col}`")))
     counts = df.groupBy(*by).agg(F.count(F.col(f"`{col}`")).alias("_n_total"))
     large = counts.where(F.col("_n_total") > large_rows)
@@ -225,7 +225,7 @@ def _values_at_ranks(df: DataFrame, col: str, probs: list[float], by: list[str],
     else:
         rest = join_by(df, counts.where(F.col("_n_total") <= large_rows), by)
     hist = _with_null_row(rest.drop("_n_total"), col, by)
-    small = _whole_groups(hist, F.col(f"`{col}`"), ["_n"], by).withColumn("__i", F.lit(None).cast("int"))
+    small = _whole_groups(hist, F.col(f"`{col}`"), ["_n"], by).withColumn("__sought", F.lit(None).cast("int"))
     return small.unionByName(_narrowed(df, col, probs, by, large))
 
 
@@ -243,7 +243,7 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=(), *, names=None,
     before, cnt = F.col("_n_before"), F.col("_n")
 
     def covers(k: Column, i: int) -> Column:
-        return (F.col("__i").isNull() | (F.col("__i") == i)) & (before <= k) & (k < before + cnt)
+        return (F.col("__sought").isNull() | (F.col("__sought") == i)) & (before <= k) & (k < before + cnt)
 
     parts = []
     for p in probs:
